@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convseries.llm import exact_dedup, html_text, mixing, packing, quality, token_files, toxicity, url_filter
+from convseries.llm import exact_dedup, html_text, mixing, near_dedup, packing, quality, repeats, token_files, toxicity, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +34,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 200 bytes."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
@@ -50,6 +55,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_grammar(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -79,7 +89,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """name -> callable(spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op4_html_text, op5_exact_dedup, op6_toxicity, op8_packing, op9_token_files, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_repeats, op4_html_text, op5_exact_dedup, op6_toxicity, op7_near_dedup, op8_packing, op9_token_files, op10_url_filter)}
 
 
 MIX_SQL = r"""
