@@ -10,6 +10,9 @@ bands. In a bucket everyone is compared with the member that shares most buckets
 joined into components. Buckets that still hold several components then take a second such member, and those that
 hold several even then compare all members of different components. So no link between classes that share a bucket
 is lost, and large groups of copies cost one comparison each.
+
+Tables that a skewed key meets in a join are written first: Spark splits a skewed join only where both sides come
+straight from a shuffle.
 """
 
 from __future__ import annotations
@@ -145,7 +148,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = staged(signed(docs, id_col, text_col), "signed")
     classes = staged(rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
     spread = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = staged(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = staged(spread.join(shared.hint("shuffle_merge"), "key"), "members")
     scores = members.groupBy("id").agg(F.sum("size").alias("score"))
     members = staged(members.drop("size").join(scores.hint("shuffle_merge"), "id"), "scored")
@@ -163,7 +166,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Components so far, and the members of buckets with several of them."""
         found = components(edges)
         own = of.join(found.hint("shuffle_merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        own = staged(own, "labelled")
+        mixed = staged(own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed-keys")
         return found, staged(own.join(mixed.hint("shuffle_merge"), "key"), "mixed")
 
     first = small_checkpoint(heads(members))
@@ -171,7 +175,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = staged(verified(tried, texts, percent), "links")
     found, rest = labelled(edges, members.select("id", "n", "key", "score"))
     if not rest.isEmpty():
-        of_head = first.select("key", F.col("head")["id"].alias("id")).join(rest.select("key", "id", "component"), ["key", "id"]).select("key", F.col("component").alias("head_component"))
+        of_head = staged(first.select("key", F.col("head")["id"].alias("id")).join(rest.select("key", "id", "component"), ["key", "id"]).select("key", F.col("component").alias("head_component")), "heads")
         others = rest.join(of_head.hint("shuffle_merge"), "key").where("component != head_component")
         second = small_checkpoint(heads(others))
         more = staged(stars(rest, second).join(tried, ["a", "b"], "left_anti"), "pairs")

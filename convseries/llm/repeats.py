@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convseries.llm.common import BYTE_VALUES, mix, prefix_sums, range_hashes, small_checkpoint, staged, text_chunks
+from convseries.llm.common import BYTE_VALUES, mix, prefix_sums, range_hashes, staged, text_chunks
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -240,7 +240,7 @@ def _grouped_marks(spans: DataFrame, length: int) -> DataFrame:
                 yield pd.DataFrame({"a": r.a, "h": found, "id": r.id, "t": r.t, "start": r.first + at, "n": r.n})
 
     found = spans.select("a", "id", "t", "first", "n", "bytes").mapInPandas(windows, "a long, h long, id long, t int, start long, n long")
-    often = found.groupBy("a", "h").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    often = staged(found.groupBy("a", "h").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "often")
     hit = found.where("n = 1").join(often.hint("shuffle_merge"), ["a", "h"])
     return hit.select("id", "t", "start", (F.col("start") + length).alias("end"))
 
@@ -249,7 +249,7 @@ def repeated_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, t, start, end): ranges of bytes of the texts (id, t, text) covered by strings that also start elsewhere; ranges may overlap."""
     spans = span_table(docs, length)
     anchors = spans.groupBy("a").agg(F.count("*").alias("times"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("times > 1")
-    shared = anchors.select("a", (F.col("lo") != F.col("hi")).alias("differ"))
+    shared = staged(anchors.select("a", (F.col("lo") != F.col("hi")).alias("differ")), "shared")  # written, so that the join can split a frequent anchor
     rows = staged(spans.join(shared.hint("shuffle_merge"), "a"), "spans")
     end = F.col("first") + F.col("more") + length
     same = rows.where("NOT differ").select("id", "t", F.col("first").alias("start"), end.alias("end"))
@@ -259,7 +259,7 @@ def repeated_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = rows.where("differ").join(repeated.hint("shuffle_merge"), ["a", "s"]).select("id", "t", F.col("first").alias("start"), end.alias("end"))
 
     # one span of each kind, for anchors with a kind that occurs once
-    open_anchors = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1").select("a", "kinds")
+    open_anchors = staged(kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1").select("a", "kinds"), "open")
     wanted = kinds.join(open_anchors.hint("shuffle_merge"), "a").select("a", "s", "n", "kinds", "one.*")
     wanted = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("a", "s", "n", "kinds", "first", "more")).alias("spans"))
 
