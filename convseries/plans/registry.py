@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from convseries.functions import series as fs
+from convseries.operators.transform import conv_features
+from convseries.plans import base, ensemble_queries, evaluate_queries, series_queries  # noqa: F401  (they register)
+
 
 def flagship(spark, sf_dir):
-    """Mean convolution features by label."""
-    raise NotImplementedError
+    """Mean maximum and mean positive share of 50 kernels over normalised series, by label."""
+    s = base.series(spark, sf_dir).select("label", fs.normalize_series(F.col("values")).alias("values"))
+    f = conv_features(s, "values", 50, 7)
+    mean = lambda x: fs.array_mean(x(F.col("features")))
+    return f.groupBy("label").agg(F.count("*").alias("n"), base.r6(F.avg(mean(fs.maxes))).alias("mean_max"), base.r6(F.avg(mean(fs.ppvs))).alias("mean_ppv"))
 
 
 def queries():
     """name -> callable(spark, sf_dir)."""
-    return {}
+    return {**base.QUERIES, "flagship": flagship}
 
 
 def oracle_sql():
     """name -> DuckDB SQL."""
-    return {}
+    return dict(base.SQL)
