@@ -1,6 +1,7 @@
-"""Token files: flat little-endian unsigned 32-bit ids, and 64-bit document offsets beside them.
+"""Token files: flat little-endian unsigned ids, and 64-bit document offsets beside them.
 
-A folder holds, for each part p, `p.ids` (the ids of its documents, one after another), `p.offsets` (int64: where each
+Ids take 16 bits where the vocabulary has at most 65,536 of them, else 32; the width stands in the parts table. A
+folder holds, for each part p, `p.ids` (the ids of its documents, one after another), `p.offsets` (int64: where each
 document begins in `p.ids`, and the end) and `p.docs` (int64: the document ids). Parts follow each other in ascending
 document id. The ids before a part, its base, come from prefix sums over the parts' totals: one row for each part.
 A document's global start is its part's base plus its offset. Parts are written under a name of their own and renamed,
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convseries.llm.common import new_folder, small_checkpoint
-from convseries.llm.tokens import encoded_texts
+from convseries.llm.tokens import encoded_texts, encoder
 
 #: What stands for a null document id in `p.docs`.
 NO_ID = -(2**63)
@@ -61,7 +62,7 @@ def map_file(uri: str, dtype: str) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the ids of every text, with end_id after each, and returns the parts as (part, n_docs, n_ids, base).
+    """Writes the ids of every text, with end_id after each, and returns the parts as (part, width, n_docs, n_ids, base).
 
     Null texts are empty and give end_id alone. Ties of the id are ordered by text; null ids come first and are stored
     as NO_ID. An empty table gives no parts.
@@ -73,23 +74,24 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str =
 
         part = TaskContext.get().partitionId()
         ids, sizes, names = [], [], []
+        width = 2 if max(encoder(tokenizer, kind).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             column = batch.column(1)
             names.append(np.asarray(batch.column(0).cast(pa.int64()).fill_null(NO_ID)))
             for _, flat, first in encoded_texts(column, tokenizer, kind, end_id):
-                ids.append(flat.astype("<u4", copy=False))
+                ids.append(flat.astype(f"<u{width}", copy=False))
                 sizes.append(np.diff(first))
         if not names or not sum(map(len, names)):
             return
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
         name = f"{folder}/part-{part:06d}"
-        write_file(f"{name}.ids", np.concatenate(ids).tobytes())
+        write_file(f"{name}.ids", memoryview(np.concatenate(ids)).cast("B"))
         write_file(f"{name}.offsets", offsets.tobytes())
         write_file(f"{name}.docs", np.concatenate(names).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n_docs": pa.array([len(offsets) - 1], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "width": pa.array([width], pa.int32()), "n_docs": pa.array([len(offsets) - 1], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64())})
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    parts = small_checkpoint(ordered.mapInArrow(write, "part long, n_docs long, n_ids long"))
+    parts = small_checkpoint(ordered.mapInArrow(write, "part long, width int, n_docs long, n_ids long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -101,13 +103,13 @@ def read_token_files(parts: DataFrame, folder: str, id_col: str = "doc_id") -> D
         import pandas as pd
 
         for batch in batches:
-            for part, base in zip(batch["part"], batch["base"]):
+            for part, width, base in zip(batch["part"], batch["width"], batch["base"]):
                 name = f"{folder}/part-{part:06d}"
-                ids, offsets, docs = map_file(f"{name}.ids", "<u4"), map_file(f"{name}.offsets", "<i8"), map_file(f"{name}.docs", "<i8")
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+                ids, offsets, docs = map_file(f"{name}.ids", f"<u{width}"), map_file(f"{name}.offsets", "<i8"), map_file(f"{name}.docs", "<i8")
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pd.DataFrame({"id": pd.array(docs, dtype="Int64").astype(object).where(docs != NO_ID, None) if (docs == NO_ID).any() else np.asarray(docs), "start": base + offsets[:-1], "n_tokens": np.diff(offsets), "ids_crc32": np.array(crc, np.int64)})
 
-    found = parts.select("part", "base").repartition("part").mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")
+    found = parts.select("part", "width", "base").repartition("part").mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")
     return found.withColumnRenamed("id", id_col)
 
 
