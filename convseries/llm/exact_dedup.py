@@ -78,7 +78,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = index.where("n > 1").select("digest", F.col("first").alias("keep"))
     rows = base.select(F.substring(sha, 1, digest_hex).alias("digest"), rank.alias("first"), normalised(F.col("text")).alias("norm"))
     hit_rows = staged(rows.join(hits.hint("shuffle_merge"), "digest"), "hits")
-    kept_texts = hit_rows.where(F.col("first").eqNullSafe(F.col("keep"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
+    kept_texts = staged(hit_rows.where(F.col("first").eqNullSafe(F.col("keep"))).groupBy("digest").agg(F.min("norm").alias("kept_norm")), "kept-texts")
     others = hit_rows.where(~F.col("first").eqNullSafe(F.col("keep"))).select("digest", "first", "norm")
     wrong = staged(others.join(kept_texts.hint("shuffle_merge"), "digest").where("norm != kept_norm").select("digest", "first", "norm"), "collisions")
 
