@@ -207,7 +207,7 @@ def labeller_table(preds: DataFrame, truth: DataFrame, models: list[str]) -> Dat
 
 def time_split(marks: DataFrame) -> DataFrame:
     """(grp, transform_seconds, classify_seconds) from marks (grp, phase in start, transformed, classified, ts)."""
-    at = lambda phase: F.max(F.when(F.col("phase") == phase, F.unix_micros("ts")))
+    at = lambda phase: F.max(F.when(F.col("phase") == phase, F.unix_micros(F.col("ts").cast("timestamp"))))
     out = marks.groupBy("grp").agg(at("start").alias("a"), at("transformed").alias("b"), at("classified").alias("c"))
     return out.select("grp", ((F.col("b") - F.col("a")) / 1e6).alias("transform_seconds"), ((F.col("c") - F.col("b")) / 1e6).alias("classify_seconds"))
 

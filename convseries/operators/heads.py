@@ -10,11 +10,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convseries.functions.prng import let
+from convseries.functions.series import slice_group
 from convseries.operators import ensemble, routing, sampling
 from convseries.operators.kernels import EnsembleConfig
 from convseries.operators.ranking import global_rank, kept
 from convseries.operators.transform import conv_features
-from convseries.functions.series import slice_group
 
 MOST_CONTEXT = 10_000
 MOST_CLASSES = 10
@@ -97,7 +98,8 @@ def decision_values(rows: DataFrame, heads: DataFrame, features: str = "features
     joined = rows.join(F.broadcast(heads), "grp")
     z = F.zip_with(F.zip_with(features, "mean", lambda a, m: a - m), "scale", lambda a, s: a / s)
     joined = joined.withColumn("_z", z)
-    decision = F.zip_with(F.transform("coef", lambda w: _dot(w, F.col("_z"))), "intercept", lambda a, b: a + b)
+    products = let(F.col("_z"), lambda v: F.transform("coef", lambda w: _dot(w, v)))  # bound outside the lambda, so that features may come from a Python function
+    decision = F.zip_with(products, "intercept", lambda a, b: a + b)
     return joined.withColumn("decision", decision).drop("_z", "mean", "scale", "coef", "intercept", "alpha")
 
 
@@ -110,9 +112,9 @@ def argmax_decision(decision: Column, classes: Column) -> Column:
 def softmax_map(decision: Column, classes: Column) -> Column:
     """Class probabilities from decision values; a single value becomes (-d, d)."""
     both = F.when(F.size(decision) == 1, F.array(-F.get(decision, F.lit(0)), F.get(decision, F.lit(0)))).otherwise(decision)
-    exps = F.transform(both, lambda d: F.exp(d - F.array_max(both)))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, v: a + v)
-    return F.map_from_arrays(classes, F.transform(exps, lambda e: e / total))
+    exps = let(both, lambda b: F.transform(b, lambda d: F.exp(d - F.array_max(b))))
+    shares = let(exps, lambda x: F.transform(x, lambda e: e / F.aggregate(x, F.lit(0.0), lambda a, v: a + v)))
+    return F.map_from_arrays(classes, shares)
 
 
 def classify_groups(train: DataFrame, test: DataFrame, features: str = "features") -> DataFrame:

@@ -54,7 +54,7 @@ def compare_labels(spark, sf_dir):
     return evaluate.compare_predictions(one.select("id", F.col("q").alias("yhat")), one.select("id", F.col("t").alias("yhat")))
 
 
-@query("E5_conformance", f"WITH {SERIES}, v AS (SELECT (unnest(range(len(vals)))) AS at, unnest(vals) AS e FROM series), w AS (SELECT at, e, CASE WHEN at % 8 = 0 THEN e + 0.5 ELSE e END AS g FROM v) SELECT count(*) AS n_values, round(max(abs(e - g)), 6) AS max_abs, count_if(abs(e - g) > 1e-6)::BIGINT AS beyond, count_if(at % 2 = 1 AND e <> g)::BIGINT AS ppv_differ FROM w")
+@query("E5_conformance", f"WITH {SERIES}, v AS (SELECT (unnest(range(len(vals)))) AS k, unnest(vals) AS e FROM series), w AS (SELECT k, e, CASE WHEN k % 8 = 0 THEN e + 0.5 ELSE e END AS g FROM v) SELECT count(*) AS n_values, round(max(abs(e - g)), 6) AS max_abs, count_if(abs(e - g) > 1e-6)::BIGINT AS beyond, count_if(k % 2 = 1 AND e <> g)::BIGINT AS ppv_differ FROM w")
 def conformance(spark, sf_dir):
     s = series(spark, sf_dir).select("id", F.col("values").alias("features"))
     moved = s.withColumn("features", F.transform("features", lambda v, i: F.when(i % 8 == 0, v + 0.5).otherwise(v)))

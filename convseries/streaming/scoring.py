@@ -20,7 +20,7 @@ def series_from_events(events: DataFrame, keys: list[str], ts: str, value: str,
     """One series per key and tumbling window (or session, with gap) of an event stream, in time order; events later than the watermark are dropped."""
     window = F.session_window(ts, gap) if gap else F.window(ts, width)
     points = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(value).cast("double").alias("v"))))
-    rows = events.withWatermark(ts, late).groupBy(*keys, window.alias("window")).agg(points.alias("_points"))
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(*keys, window.alias("window")).agg(points.alias("_points"))
     return rows.select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), F.transform("_points", lambda p: p["v"]).alias(name))
 
 
