@@ -165,7 +165,7 @@ def power_plan(var: DataFrame, target: float, sizes: tuple[int, ...] = (24, 28,
 
 def _segments(curve: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("e")
-    return curve.select(*by, F.lag("e").over(w).alias("e0"), F.lag("d").over(w).alias("d0"), F.col("e").alias("e1"), F.col("d").alias("d1"), F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(*by)).alias("k")).where("e0 IS NOT NULL")
+    return curve.select(*by, F.lag("e").over(w).alias("e0"), F.lag("d").over(w).alias("d0"), F.col("e").alias("e1"), F.col("d").alias("d1"), F.row_number().over(w).alias("_i"), F.count("*").over(Window.partitionBy(*by)).alias("_k")).where("e0 IS NOT NULL")
 
 
 def break_even(curve: DataFrame, by: list[str]) -> DataFrame:
@@ -182,9 +182,9 @@ def curve_at(curve: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
     slope = F.coalesce(F.try_divide(F.col("d1") - F.col("d0"), F.col("e1") - F.col("e0")), F.lit(0.0))
     hits = points.join(s, by)
     value = F.when(inside, F.col("d0") + slope * (F.col("x") - F.col("e0"))).otherwise(F.col("d1") + slope * (F.col("x") - F.col("e1")))
-    rank = F.when(inside, F.col("i")).when(F.col("i") == F.col("k"), F.lit(1_000_000))
-    chosen = hits.where(rank.isNotNull()).groupBy(*by, "x").agg(F.min_by(F.struct(value.alias("value"), (~inside).alias("extrapolated")), rank).alias("v"))
-    return chosen.select(*by, "x", "v.value", "v.extrapolated")
+    rank = F.when(inside, F.col("_i")).when(F.col("_i") == F.col("_k"), F.lit(1_000_000))
+    chosen = hits.where(rank.isNotNull()).groupBy(*by, "x").agg(F.min_by(F.struct(value.alias("value"), (~inside).alias("extrapolated")), rank).alias("_v"))
+    return chosen.select(*by, "x", "_v.value", "_v.extrapolated")
 
 
 def structured_gap(curve: DataFrame, teacher: DataFrame, by: list[str]) -> DataFrame:

@@ -32,9 +32,9 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/{HEADS}"), json.loads(spark.read.parquet(f"{path}/{THRESHOLD}").first()["meta"])
 
 
-def score(rows: DataFrame, student: DataFrame, meta: dict) -> DataFrame:
+def score(rows: DataFrame, student: DataFrame, meta: dict, normalize: bool = False) -> DataFrame:
     """rows (id, values) plus student, margin, escalated; columns and Arrow batches only, so it also runs on streams."""
-    own = conv_features(rows, "values", meta["kernels"], meta["seed"], 0, meta["n_ref"]).withColumn("grp", F.lit(0).cast("long"))
+    own = conv_features(rows, "values", meta["kernels"], meta["seed"], 0, meta["n_ref"], normalize=normalize).withColumn("grp", F.lit(0).cast("long"))
     out = heads.score_with_margin(own, student).drop("features", "grp")
     return out.withColumn("escalated", F.col("margin") < meta["threshold"])
 

@@ -51,11 +51,18 @@ def _checked(values, n_reference: int | None) -> np.ndarray:
     return x
 
 
+def normalized(x: np.ndarray) -> np.ndarray:
+    """Zero mean and unit deviation along the last axis; what lies within rounding noise of constant is only centred."""
+    mean, sd = x.mean(axis=-1, keepdims=True), x.std(axis=-1, keepdims=True)
+    scale = np.maximum(np.abs(mean), np.abs(x).max(axis=-1, keepdims=True))
+    return (x - mean) / np.where(sd > 8 * np.finfo(float).eps * np.where(scale > 0, scale, 1.0), sd, 1.0)
+
+
 class Transformer:
     """Features of lists of series; keeps the banks that it has drawn (one for each reference length and channel count)."""
 
-    def __init__(self, k: int, seed: int, first: int = 0, n_reference: int | None = None):
-        self.k, self.seed, self.first, self.n_reference, self.banks = k, seed, first, n_reference, {}
+    def __init__(self, k: int, seed: int, first: int = 0, n_reference: int | None = None, normalize: bool = False):
+        self.k, self.seed, self.first, self.n_reference, self.normalize, self.banks = k, seed, first, n_reference, normalize, {}
 
     def bank(self, n: int, channels: int) -> list[tuple]:
         key = (self.n_reference or n, channels)
@@ -71,7 +78,7 @@ class Transformer:
         for i, values in enumerate(series):
             if values is not None:
                 x = _checked(values, self.n_reference)
-                by_shape.setdefault(x.shape, []).append((i, x))
+                by_shape.setdefault(x.shape, []).append((i, normalized(x) if self.normalize else x))
         for (channels, n), rows in by_shape.items():
             bank = self.bank(n, channels)
             step = max(1, BLOCK // n)
@@ -82,16 +89,16 @@ class Transformer:
         return out
 
 
-def conv_features(df: DataFrame, values: str, k: int, seed: int = 0, first: int = 0, n_reference: int | None = None, name: str = "features") -> DataFrame:
+def conv_features(df: DataFrame, values: str, k: int, seed: int = 0, first: int = 0, n_reference: int | None = None, name: str = "features", normalize: bool = False) -> DataFrame:
     """df with the interleaved features of kernels first .. first + k - 1; the column may hold arrays or arrays of channels.
 
     Without n_reference each row's own length draws the bank, which suits tables of one length only. Null series give
     null; series with nulls, of unequal channels, too short for the kernels or below n_reference are errors. The
     workers get the series column and what else df has, so select what is needed first. A bank takes about 100 bytes
-    per kernel and channel and is drawn once in each worker.
+    per kernel and channel and is drawn once in each worker. normalize brings each channel to zero mean and unit deviation first.
     """
     check_bank(k, n_reference or LONGEST, first)
-    own = Transformer(k, seed, first, n_reference)
+    own = Transformer(k, seed, first, n_reference, normalize)
 
     @F.pandas_udf("array<double>")
     def features(column):  # noqa: ANN001, ANN202

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convseries.functions.series import normalize_series
 from convseries.operators import serving
 
 
 def score_stream(rows: DataFrame, student: DataFrame, meta: dict, normalize: bool = True) -> DataFrame:
     """A stream (id, values) scored by the student: (id, ..., student, margin, escalated). Stateless."""
-    if normalize:
-        rows = rows.withColumn("values", normalize_series(F.col("values")))
-    return serving.score(rows, student, meta)
+    return serving.score(rows, student, meta, normalize)
 
 
 def series_from_events(events: DataFrame, keys: list[str], ts: str, value: str, width: str | None = "1 day", gap: str | None = None, late: str = "1 hour", name: str = "values") -> DataFrame:
