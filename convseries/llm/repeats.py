@@ -10,7 +10,9 @@ The index sorts the suffixes of a block of spans, forms the Burrows-Wheeler tran
 runs, with their text positions and the match with the neighbour there. Streaming over the text from left to right, the
 sampled run ends give the longest match of each place with any other one (inside a run the match shrinks by one byte
 per step), and places with at least `length` bytes are marked. Anchors with very many different spans would make a
-block too large; their strings are compared one by one, by grouping hashes, instead.
+block too large. Their spans are halved: the strings that start in the same half (by the distance from the anchor) have
+more bytes in common than the anchor, so the halves are dealt anew by these bytes, and halves that are equal or alone are
+settled; what is left goes to the index or is halved again.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convseries.llm.common import BYTE_VALUES, mix, prefix_sums, range_hashes, staged, text_chunks
+from convseries.llm.common import BYTE_VALUES, GOLD, mix, powers, prefix_sums, range_hashes, staged, text_chunks
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -48,15 +50,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_spans(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, span hash, first, last) of the spans of texts: strings of `length` bytes that start from first to last share the anchor."""
-    none = (np.zeros(0, np.int64),) * 5
+    """(text, anchor hash, span hash, first, more, rel) of the spans of texts: the strings of `length` bytes that start at first and the next `more` bytes share the anchor, which stands rel bytes after first."""
+    none = (np.zeros(0, np.int64),) * 6
     if len(buf) < length:
         return none
     width = length - K + 1
     sums = prefix_sums(BYTE_VALUES[buf])
     at = np.arange(len(buf) - K + 1)
-    hashes = range_hashes(sums, at, at + K)
-    keys = (hashes >> _PLACE_BITS << _PLACE_BITS) | at.astype(np.uint64)
+    _, down = powers(len(sums))
+    keys = ((sums[K:] - sums[:-K]) * down[: len(at)] * GOLD) >> _PLACE_BITS << _PLACE_BITS | at.astype(np.uint64)
     place = (sliding_min(keys, width) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
     begins = np.zeros(len(place) + 1, bool)
     begins[1:-1] = place[1:] != place[:-1]
@@ -73,22 +75,22 @@ def anchor_spans(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     anchor = place[first]
     spans = range_hashes(sums, first, last + length)
     # where the anchor stands in the span is part of what makes spans equal
-    return text, hashes[anchor].view(np.int64), mix(spans + (anchor - first).astype(np.uint64)).view(np.int64), first - offsets[text], last - offsets[text]
+    return text, range_hashes(sums, anchor, anchor + K).view(np.int64), mix(spans + (anchor - first).astype(np.uint64)).view(np.int64), first - offsets[text], last - first, anchor - first
 
 
 def span_table(docs: DataFrame, length: int) -> DataFrame:
-    """(a, s, id, t, first, last): every span of every text (id, t, text)."""
+    """(a, s, id, t, first, more, rel): every span of every text (id, t, text)."""
 
     def find(batches):
         import pyarrow as pa
 
         for batch in batches:
             for row, buf, offsets in text_chunks(batch.column(2), 2_000_000):
-                text, a, s, first, last = anchor_spans(buf, offsets, length)
+                text, a, s, first, more, rel = anchor_spans(buf, offsets, length)
                 take = pa.array(row + text)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int64()), pa.array((last - first).astype(np.int16))], names=["a", "s", "id", "t", "first", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int64()), pa.array(more.astype(np.int16)), pa.array(rel.astype(np.int16))], names=["a", "s", "id", "t", "first", "more", "rel"])
 
-    return docs.mapInArrow(find, "a long, s long, id long, t int, first long, more short")
+    return docs.mapInArrow(find, "a long, s long, id long, t int, first long, more short, rel short")
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +202,7 @@ def mark_block(spans: list[bytes], length: int) -> list[list[tuple[int, int]]]:
 
 
 def _indexed_marks(spans: DataFrame, length: int) -> DataFrame:
-    """Marks (id, t, start, end) of spans (a, id, t, first, n, bytes), each anchor within one block."""
+    """Marks (id, t, start, end) of the spans (PIECE) that occur once, each anchor within one block."""
 
     def mark(batches):
         import pandas as pd
@@ -226,23 +228,49 @@ def _indexed_marks(spans: DataFrame, length: int) -> DataFrame:
     return spans.repartition("a").sortWithinPartitions("a", "s").mapInPandas(mark, "id long, t int, start long, end long")
 
 
-def _grouped_marks(spans: DataFrame, length: int) -> DataFrame:
-    """The same marks for anchors with very many spans: each string of each span by its hash, counted over the anchor."""
+#: A span of one kind: its anchor and span keys, place, number of occurrences, the distances (lo, hi) from the anchor at which its strings may start, and its bytes.
+PIECE = "a long, s long, id long, t int, first long, more int, rel int, n long, lo int, hi int, bytes binary"
 
-    def windows(batches):
+
+def _halves(pieces: DataFrame, length: int) -> DataFrame:
+    """Each piece cut into the strings of the lower and of the upper half of [lo, hi], with keys of the bytes that all strings of a half share."""
+
+    def halve(batches):
         import pandas as pd
 
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                buf = np.frombuffer(r.bytes, np.uint8)
-                at = np.arange(len(buf) - length + 1)
-                found = range_hashes(prefix_sums(BYTE_VALUES[buf]), at, at + length).view(np.int64)
-                yield pd.DataFrame({"a": r.a, "h": found, "id": r.id, "t": r.t, "start": r.first + at, "n": r.n})
-
-    found = spans.select("a", "id", "t", "first", "n", "bytes").mapInPandas(windows, "a long, h long, id long, t int, start long, n long")
-    often = staged(found.groupBy("a", "h").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "often")
-    hit = found.where("n = 1").join(often.hint("shuffle_merge"), ["a", "h"])
-    return hit.select("id", "t", "start", (F.col("start") + length).alias("end"))
+            out = []
+            for a, i, t, first, more, rel, n, lo, hi, raw in batch[["a", "id", "t", "first", "more", "rel", "n", "lo", "hi", "bytes"]].itertuples(index=False, name=None):
+                middle = (lo + hi) // 2
+                for low, high in ((lo, middle), (middle + 1, hi)):
+                    x, y = max(low, -rel), min(high, more - rel)
+                    if x > y:
+                        continue
+                    skip = x + rel  # strings of the piece before this half
+                    core = raw[rel + high : rel + low + length]
+                    part = raw[skip : rel + y + length]
+                    key, own = (int.from_bytes(hashlib.blake2b(b, digest_size=8, salt=f"{low},{high}".encode()).digest(), "little", signed=True) for b in (a.to_bytes(8, "little", signed=True) + core, part + bytes([(rel - skip) & 0xFF])))
+                    out.append((key, own, i, t, first + skip, y - x, rel - skip, n, low, high, part))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
+
+    return pieces.mapInPandas(halve, PIECE)
+
+
+def _crowded_marks(pieces: DataFrame, length: int) -> DataFrame | None:
+    """Marks of pieces whose anchors have very many kinds; None for no pieces. At one string a piece, equal cores are equal pieces, so the halving ends."""
+    marks = None
+    while not pieces.isEmpty():
+        parts = staged(_halves(pieces, length), "halves")
+        fields = ["id", "t", "first", "more", "rel", "lo", "hi", "bytes"]
+        kinds = staged(parts.groupBy("a", "s").agg(F.sum("n").alias("n"), F.min(F.struct(*fields)).alias("one")), "kinds")
+        often = kinds.where("n > 1").select("a", "s")
+        found = parts.where("n = 1").join(often.hint("shuffle_merge"), ["a", "s"]).select("id", "t", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("end"))
+        groups = staged(kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("a", "kinds"), "open")
+        left = staged(kinds.join(groups.hint("shuffle_merge"), "a").select("a", "s", "n", "kinds", "one.*"), "pieces")
+        found = found.union(_indexed_marks(left.where(F.col("kinds") <= MOST_SPANS), length))
+        marks = found if marks is None else marks.union(found)
+        pieces = left.where(F.col("kinds") > MOST_SPANS)
+    return marks
 
 
 def repeated_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -254,14 +282,14 @@ def repeated_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     end = F.col("first") + F.col("more") + length
     same = rows.where("NOT differ").select("id", "t", F.col("first").alias("start"), end.alias("end"))
 
-    kinds = staged(rows.where("differ").groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "first", "more")).alias("one")), "kinds")
+    kinds = staged(rows.where("differ").groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "first", "more", "rel")).alias("one")), "kinds")
     repeated = kinds.where("n > 1").select("a", "s")
     whole = rows.where("differ").join(repeated.hint("shuffle_merge"), ["a", "s"]).select("id", "t", F.col("first").alias("start"), end.alias("end"))
 
     # one span of each kind, for anchors with a kind that occurs once
     open_anchors = staged(kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1").select("a", "kinds"), "open")
     wanted = kinds.join(open_anchors.hint("shuffle_merge"), "a").select("a", "s", "n", "kinds", "one.*")
-    wanted = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("a", "s", "n", "kinds", "first", "more")).alias("spans"))
+    wanted = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("a", "s", "n", "kinds", "first", "more", "rel")).alias("spans"))
 
     def cut(batches):
         import pandas as pd
@@ -270,16 +298,14 @@ def repeated_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = []
             for i, t, text, spans_of in zip(batch["id"], batch["t"], batch["text"], batch["spans"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(x["a"], x["s"], i, t, x["first"], x["n"], x["kinds"], raw[x["first"] : x["first"] + x["more"] + length]) for x in spans_of]
-            yield pd.DataFrame(out, columns=["a", "s", "id", "t", "first", "n", "kinds", "bytes"])
+                out += [(x["a"], x["s"], i, t, x["first"], x["more"], x["rel"], x["n"], K - length, 0, raw[x["first"] : x["first"] + x["more"] + length], x["kinds"]) for x in spans_of]
+            yield pd.DataFrame(out, columns=[*(c.split()[0] for c in PIECE.split(", ")), "kinds"])
 
-    pieces = docs.join(wanted.hint("shuffle_merge"), ["id", "t"]).select("id", "t", "text", "spans").mapInPandas(cut, "a long, s long, id long, t int, first long, n long, kinds long, bytes binary")
+    pieces = docs.join(wanted.hint("shuffle_merge"), ["id", "t"]).select("id", "t", "text", "spans").mapInPandas(cut, f"{PIECE}, kinds long")
     pieces = staged(pieces.dropDuplicates(["a", "s"]), "pieces")
     marks = _indexed_marks(pieces.where(F.col("kinds") <= MOST_SPANS), length)
-    crowded = pieces.where(F.col("kinds") > MOST_SPANS)
-    if not crowded.isEmpty():
-        marks = marks.union(_grouped_marks(crowded, length))
-    return same.union(whole).union(marks)
+    crowded = _crowded_marks(pieces.where(F.col("kinds") > MOST_SPANS), length)
+    return same.union(whole).union(marks) if crowded is None else same.union(whole).union(marks).union(crowded)
 
 
 def _merged(ranges) -> list[list[int]]:
