@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insults (a lexicon induced from the labelled rows and seeds), threats, targets, negations and
-reporting verbs. Small acceptors read the symbols of a clause: one for what is said (insult or threat), one for whether
+Words become symbols: insults (a lexicon induced from the labelled rows and seeds), slurs (words with an induced stem,
+weaker evidence than insults), threats, targets, negations and reporting verbs. Small acceptors read the symbols of a clause: one for what is said (insult or threat), one for whether
 a person is meant, one for negation that stands before it, one for reported speech. Their composition is a single
 automaton whose final states tell how a clause matches, each with a weight. The weights are fitted to the labelled rows
 of the training folds; a document's score is the logistic of the weights of its matched clauses.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from itertools import product
 
@@ -25,13 +26,14 @@ TARGETS = frozenset("you your yours yourself he she him her they them people wom
 NEGATIONS = frozenset("not no never nobody isn't aren't don't doesn't wasn't won't cannot nunca nadie jamás ne pas jamais personne nicht kein keine nie niemand".split())
 REPORTS = frozenset("said says say wrote writes called calls quoted quotes claimed claims reported reports according dijo dice llamó dit disait appelé selon sagte sagt nannte laut".split())
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = range(5)
+INSULT, THREAT, TARGET, NEGATION, REPORT, SLUR = range(6)
+SYMBOLS = 6
 _SYMBOLS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+")
 
 
 @dataclass(frozen=True)
 class Acceptor:
-    """A deterministic acceptor over the five symbols: arcs (state, symbol) -> state; others stay. States count from 0."""
+    """A deterministic acceptor over the symbols: arcs (state, symbol) -> state; others stay. States count from 0."""
 
     states: int
     arcs: dict[tuple[int, int], int]
@@ -40,14 +42,14 @@ class Acceptor:
         return self.arcs.get((state, symbol), state)
 
 
-#: 0 nothing, 1 insult, 2 several insults, 3 threat.
-SAID = Acceptor(4, {(0, INSULT): 1, (1, INSULT): 2, (0, THREAT): 3, (3, INSULT): 2, (1, THREAT): 2})
+#: 0 nothing, 1 insult, 2 several insults, 3 threat, 4 slur, 5 several slurs.
+SAID = Acceptor(6, {(0, INSULT): 1, (1, INSULT): 2, (0, THREAT): 3, (3, INSULT): 2, (1, THREAT): 2, (0, SLUR): 4, (4, SLUR): 5, (4, INSULT): 2, (5, INSULT): 2, (1, SLUR): 2})
 #: 0 nobody, 1 a person is meant.
 MEANT = Acceptor(2, {(0, TARGET): 1})
 #: 0 none, 1 a negation is open, 2 it met an insult or threat, 3 these came without it.
-NEGATED = Acceptor(4, {(0, NEGATION): 1, (1, INSULT): 2, (1, THREAT): 2, (0, INSULT): 3, (0, THREAT): 3})
+NEGATED = Acceptor(4, {(0, NEGATION): 1, (1, INSULT): 2, (1, THREAT): 2, (1, SLUR): 2, (0, INSULT): 3, (0, THREAT): 3, (0, SLUR): 3})
 #: 0 none, 1 a report is open, 2 it met an insult or threat, 3 these came without it.
-REPORTED = Acceptor(4, {(0, REPORT): 1, (1, INSULT): 2, (1, THREAT): 2, (0, INSULT): 3, (0, THREAT): 3})
+REPORTED = Acceptor(4, {(0, REPORT): 1, (1, INSULT): 2, (1, THREAT): 2, (1, SLUR): 2, (0, INSULT): 3, (0, THREAT): 3, (0, SLUR): 3})
 
 
 def compose(*parts: Acceptor) -> tuple[dict[tuple[int, int], int], list[tuple[int, ...]]]:
@@ -55,7 +57,7 @@ def compose(*parts: Acceptor) -> tuple[dict[tuple[int, int], int], list[tuple[in
     names, todo, arcs = {(0,) * len(parts): 0}, [(0,) * len(parts)], {}
     while todo:
         state = todo.pop()
-        for symbol in range(5):
+        for symbol in range(SYMBOLS):
             after = tuple(p.step(s, symbol) for p, s in zip(parts, state))
             if after not in names:
                 names[after] = len(names)
@@ -66,18 +68,34 @@ def compose(*parts: Acceptor) -> tuple[dict[tuple[int, int], int], list[tuple[in
 
 ARCS, STATES = compose(SAID, MEANT, NEGATED, REPORTED)
 #: Classes of matched clauses: (what is said, a person is meant, negated, reported).
-CLASSES = [(s, m, n, r) for s, m, n, r in product((1, 2, 3), (0, 1), (0, 1), (0, 1))]
+CLASSES = [(s, m, n, r) for s, m, n, r in product((1, 2, 3, 4, 5), (0, 1), (0, 1), (0, 1))]
 _CLASS_OF = [CLASSES.index((s, m, int(n == 2), int(r == 2))) if s else -1 for s, m, n, r in STATES]
-N_FEATURES = len(CLASSES) + 2
+#: Counts of the classes, of different insults, of different slurs, of different slurs of one stem, and the matched share.
+N_FEATURES = len(CLASSES) + 4
+STEM_SIZES = (4, 5, 6, 7)
+
+
+def stem_counts(words: set[str]) -> Counter:
+    """How many of the words have each stem (first letters) and more behind it."""
+    return Counter(w[:k] for w in words for k in STEM_SIZES if len(w) > k)
 
 
 class ToxicGrammar:
     """The composed grammar with its lexicon and weights."""
 
-    def __init__(self, insults: frozenset[str], weights: np.ndarray | None = None, bias: float = 0.0):
+    def __init__(self, insults: frozenset[str], weights: np.ndarray | None = None, bias: float = 0.0, stems: frozenset[str] = frozenset()):
         self.symbols = {w: s for words, s in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT), (insults, INSULT)) for w in words}
         self.said = frozenset(w for w, s in self.symbols.items() if s in (INSULT, THREAT))
-        self.weights, self.bias = weights, bias
+        self.stems, self.weights, self.bias = stems, weights, bias
+
+    def stems_of(self, word: str) -> list[str]:
+        """The listed stems of a word."""
+        return [word[:k] for k in STEM_SIZES if len(word) > k and word[:k] in self.stems]
+
+    def symbol(self, word: str) -> int | None:
+        """A word's symbol, if it has one."""
+        found = self.symbols.get(word)
+        return SLUR if found is None and self.stems_of(word) else found
 
     def clauses(self, text: str | None) -> list[tuple[str, tuple[int, int, int, int]]]:
         """Matched clauses of a text as (clause, class); none for null."""
@@ -85,32 +103,35 @@ class ToxicGrammar:
         for clause in re.split(r"[.!?;:\n]+", text or ""):
             state = 0
             for w in _SYMBOLS.findall(clause.lower()):
-                if w in self.symbols:
-                    state = ARCS[(state, self.symbols[w])]
+                s = self.symbol(w)
+                if s is not None:
+                    state = ARCS[(state, s)]
             if _CLASS_OF[state] >= 0:
                 out.append((clause.strip(), CLASSES[_CLASS_OF[state]]))
         return out
 
     def features(self, text: str | None) -> np.ndarray:
-        """Logarithms of the matched clauses of each class and of different insults, and the matched share of all words."""
+        """Logarithms of the counts that N_FEATURES names."""
         x = np.zeros(N_FEATURES)
         words = _SYMBOLS.findall(text.lower()) if text else []
-        if not words or self.said.isdisjoint(words):
+        different = set(words)
+        slurs = {w: found for w in different if w not in self.symbols and (found := self.stems_of(w))}
+        if not slurs and self.said.isdisjoint(different):
             return x
-        state, met = 0, set()
+        state = 0
         for w in [*words, "."]:
-            s = self.symbols.get(w)
+            s = SLUR if w in slurs else self.symbols.get(w)
             if s is not None:
                 state = ARCS[(state, s)]
-                if s == INSULT:
-                    met.add(w)
             elif w[0] in ".!?;:\n":
                 k = _CLASS_OF[state]
                 if k >= 0:
                     x[k] += 1
                 state = 0
-        x[-1] = 100 * x[:-2].sum() / (len(words) + 20)
-        x[-2] = len(met)
+        x[-1] = 100 * x[:-4].sum() / (len(words) + 20)
+        x[-2] = max(Counter(t for found in slurs.values() for t in found).values(), default=0)
+        x[-3] = len(slurs)
+        x[-4] = sum(self.symbols.get(w) == INSULT for w in different)
         return np.log1p(x)
 
     def score(self, text: str | None) -> float:
@@ -141,7 +162,7 @@ def train_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Learns the insults and the weights from labelled rows of the training folds: about sample_rows of them at most, chosen by a hash of the id.
 
     An insult is a word for which the lower Wilson bound of its documents' share of toxic labels is over one half; the
-    most_insults surest are taken. Null labels are left out; of repeated ids the largest label counts. Without labelled
+    most_insults surest are taken. A slur's stem is one for which this holds of the documents with two or more such words. Null labels are left out; of repeated ids the largest label counts. Without labelled
     rows the seeds and fixed weights remain.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -149,12 +170,29 @@ def train_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < limit)  # about sample_rows rows: small enough to broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "_id")
 
-    words = rows.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    by_word = words.groupBy("word").agg(F.sum("y").alias("k"), F.count("*").alias("n")).where("k >= 3")
-    share, z2 = F.col("k") / F.col("n"), 1.96**2
-    low = (share + z2 / (2 * F.col("n")) - 1.96 * F.sqrt((share * (1 - share) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
-    found = by_word.withColumn("low", low).where("low > 0.5").orderBy(F.desc("low"), "word").limit(most_insults).collect()
-    grammar = ToxicGrammar(SEED_INSULTS | {r["word"] for r in found})
+    def surest(counted: DataFrame, least: int) -> frozenset[str]:
+        """The terms of (term, k toxic, n documents) whose lower Wilson bound is over one half."""
+        share, z2 = F.col("k") / F.col("n"), 1.96**2
+        low = (share + z2 / (2 * F.col("n")) - 1.96 * F.sqrt((share * (1 - share) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
+        found = counted.where(F.col("k") >= least).withColumn("low", low).where("low > 0.5").orderBy(F.desc("low"), F.desc("k"), "term").limit(most_insults)
+        return frozenset(r["term"] for r in found.collect())
+
+    def count_stems(batches):
+        import pandas as pd
+
+        for part in batches:
+            k, n = Counter(), Counter()
+            for y, text in zip(part["y"], part["text"]):
+                found = [t for t, times in stem_counts({w for w in _SYMBOLS.findall(text.lower()) if w[0].isalpha()}).items() if times > 1]
+                n.update(found)
+                if y:
+                    k.update(found)
+            yield pd.DataFrame({"term": list(n), "k": [k[t] for t in n], "n": list(n.values())})
+
+    words = rows.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("term"))
+    insults = surest(words.groupBy("term").agg(F.sum("y").alias("k"), F.count("*").alias("n")), 3)
+    stems = surest(rows.select("y", "text").mapInPandas(count_stems, "term string, k long, n long").groupBy("term").agg(F.sum("k").alias("k"), F.sum("n").alias("n")), 8)
+    grammar = ToxicGrammar(SEED_INSULTS | insults, stems=stems)
 
     def extract(batches):
         import pandas as pd
@@ -164,7 +202,7 @@ def train_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     sample = rows.select("y", "text").mapInPandas(extract, "y int, x array<double>").toPandas()
     if len(sample) < 20 or sample["y"].nunique() < 2:
-        grammar.weights, grammar.bias = np.where([c[2] or c[3] for c in CLASSES] + [False] * 2, 0.5, 1.5), -2.0
+        grammar.weights, grammar.bias = np.where([c[2] or c[3] for c in CLASSES] + [False] * 4, 0.5, 1.5), -2.0
         return grammar
     grammar.weights, grammar.bias = fit_logistic(np.vstack(sample["x"].to_numpy()), sample["y"].to_numpy(float))
     return grammar
