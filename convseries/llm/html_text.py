@@ -271,7 +271,8 @@ def train_model(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
                 labels = own_labels(nodes)
                 if labels:
                     found.update(count_labels(nodes, labels))
-            yield pd.DataFrame([(k, y, float(v)) for (k, y), v in found.items()], columns=["feature", "label", "n"]).astype({"label": "int32", "n": "float64"})
+            if found:
+                yield pd.DataFrame([(k, y, float(v)) for (k, y), v in found.items()], columns=["feature", "label", "n"]).astype({"label": "int32", "n": "float64"})
 
     sample = pages.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < limit).select(F.col(html_col).cast("string").alias("html"))
     counted = sample.mapInPandas(count, "feature string, label int, n double").groupBy("feature", "label").agg(F.sum("n").alias("n"))

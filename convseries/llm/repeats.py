@@ -251,7 +251,8 @@ def _halves(pieces: DataFrame, length: int) -> DataFrame:
                     part = raw[skip : rel + y + length]
                     key, own = (int.from_bytes(hashlib.blake2b(b, digest_size=8, salt=f"{low},{high}".encode()).digest(), "little", signed=True) for b in (a.to_bytes(8, "little", signed=True) + core, part + bytes([(rel - skip) & 0xFF])))
                     out.append((key, own, i, t, first + skip, y - x, rel - skip, n, low, high, part))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
 
     return pieces.mapInPandas(halve, PIECE)
 
@@ -299,7 +300,8 @@ def repeated_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for i, t, text, spans_of in zip(batch["id"], batch["t"], batch["text"], batch["spans"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 out += [(x["a"], x["s"], i, t, x["first"], x["more"], x["rel"], x["n"], K - length, 0, raw[x["first"] : x["first"] + x["more"] + length], x["kinds"]) for x in spans_of]
-            yield pd.DataFrame(out, columns=[*(c.split()[0] for c in PIECE.split(", ")), "kinds"])
+            if out:
+                yield pd.DataFrame(out, columns=[*(c.split()[0] for c in PIECE.split(", ")), "kinds"])
 
     pieces = docs.join(wanted.hint("shuffle_merge"), ["id", "t"]).select("id", "t", "text", "spans").mapInPandas(cut, f"{PIECE}, kinds long")
     pieces = staged(pieces.dropDuplicates(["a", "s"]), "pieces")
@@ -342,7 +344,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     at = b
                 kept.append(raw[at:])
                 out.append((i, len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": a, "end": b} for a, b in gone]))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+            if out:
+                yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
     out = base.join(by_doc.hint("shuffle_merge"), ["id", "t"], "left").select("id", "text", "marks")
     return out.mapInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)

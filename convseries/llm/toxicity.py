@@ -187,7 +187,8 @@ def train_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 n.update(found)
                 if y:
                     k.update(found)
-            yield pd.DataFrame({"term": list(n), "k": [k[t] for t in n], "n": list(n.values())})
+            if n:
+                yield pd.DataFrame({"term": list(n), "k": [k[t] for t in n], "n": list(n.values())})
 
     words = rows.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("term"))
     insults = surest(words.groupBy("term").agg(F.sum("y").alias("k"), F.count("*").alias("n")), 3)
