@@ -6,10 +6,13 @@ shingle thus differ in their whole part, which lowers the variance, and once eve
 below j + 1 no later step can change it, so most documents stop after a few steps.
 
 Documents with the same set are one class, for which the smallest id stands. Classes meet in the buckets of their
-bands. In a bucket everyone is compared with the member that shares most buckets, not with everyone; found links are
-joined into components. Buckets that still hold several components then take a second such member, and those that
-hold several even then compare all members of different components. So no link between classes that share a bucket
-is lost, and large groups of copies cost one comparison each.
+bands. In a bucket everyone is compared with its head, the member that shares most buckets, and the links found are
+joined into components: large groups of copies cost one comparison each. What this leaves are heads whose buckets
+hold several components. Where a head has few members, members of different components are compared with each other.
+Where it has many, the differences to the head tell who can be linked: two sets differ by what their differences to the
+head do not share, so a set that is not linked with the head needs a partner that shares a known number of differing
+shingles with it, and one of them is among the first of both in a fixed order (a prefix filter). So no link between classes that share a
+bucket is lost, and no bucket is compared all with all.
 
 Tables that a skewed key meets in a join are written first: Spark splits a skewed join only where both sides come
 straight from a shuffle.
@@ -17,6 +20,9 @@ straight from a shuffle.
 
 from __future__ import annotations
 
+import math
+from hashlib import blake2b
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,29 +118,97 @@ def _shingles(text: str, width: int = SHINGLE) -> set:
     return set(zip(*(words[k:] for k in range(width)))) if len(words) >= width else {tuple(words)} if words else set()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have at least percent similarity."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with text_a and text_b, by b."""
+    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("shuffle_merge"), "a")
+    return first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("shuffle_merge"), "b")
+
+
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, size_a, size_b, both) for pairs (a, b): the sizes of the full sets and of their intersection."""
+
+    def measure(batches):
+        import pandas as pd
 
-    def confirm(batches):
         held, held_set = None, set()
         for rows in batches:
-            keep = []
-            for b, x, y in zip(rows["b"], rows["text_a"], rows["text_b"]):
+            out = []
+            for a, b, x, y in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"]):
                 if b != held:
                     held, held_set = b, _shingles(y)
                 own = _shingles(x)
-                both = len(own & held_set)
-                keep.append(100 * both >= percent * (len(own) + len(held_set) - both))
-            yield rows.loc[keep, ["a", "b"]]
+                out.append((a, b, len(own), len(held_set), len(own & held_set)))
+            yield pd.DataFrame(out, columns=["a", "b", "size_a", "size_b", "both"], dtype="int64")
 
-    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("shuffle_merge"), "a")
-    full = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("shuffle_merge"), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a long, b long")
+    return _with_texts(pairs, texts).select("a", "b", "text_a", "text_b").mapInPandas(measure, "a long, b long, size_a long, size_b long, both long")
+
+
+def links(pairs: DataFrame, percent: int) -> DataFrame:
+    """The measured pairs with at least percent similarity."""
+    return pairs.where(100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b")
 
 
-def _alike(percent: int) -> F.Column:
-    """Sizes that allow the similarity."""
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
+def prefix_differences(pairs: DataFrame, texts: DataFrame, c: float) -> DataFrame:
+    """(b, e, a, component, apart, to_apart, to_near, k, d, size): of the shingles (hashed) that are in only one of the sets a and b, those of the prefixes of a, for partners that are apart and for those that are near; k is the place of e among the d differences.
+
+    The order is fixed: shingles that b lacks come first, for they are rare, then by hash."""
+
+    def differ(batches):
+        import pandas as pd
+
+        held, held_set = None, set()
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                if r.b != held:
+                    held, held_set = r.b, _shingles(r.text_b)
+                room = c * (r.size_a + r.most)
+                to_apart, to_near = (r.d - max(1, math.ceil((r.d + partner - room) / 2 - 1e-9)) + 1 for partner in (c * (r.least + r.size_b), r.nearest))
+                last = max(to_apart, to_near if r.apart else 0)
+                if last > 0:
+                    order = sorted((words in held_set, int.from_bytes(blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)) for words in _shingles(r.text_a) ^ held_set)
+                    out += [(r.b, e, r.a, r.component, r.apart, k < to_apart, k < to_near, k, r.d, r.size_a) for k, (_, e) in enumerate(order[:last])]
+            if out:
+                yield pd.DataFrame(out, columns=["b", "e", "a", "component", "apart", "to_apart", "to_near", "k", "d", "size"])
+
+    columns = ["a", "b", "component", "apart", "d", "size_a", "size_b", "least", "most", "nearest", "text_a", "text_b"]
+    return _with_texts(pairs, texts).select(*columns).mapInPandas(differ, "b long, e long, a long, component long, apart boolean, to_apart boolean, to_near boolean, k long, d long, size long")
+
+
+def _few_members(family: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members (head, id, n, component) of different components, neither of them the head."""
+    left = family.select("head", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")).where("a != head")
+    right = family.select("head", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b")).where("b != head")
+    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return left.join(right.hint("shuffle_merge"), "head").where((F.col("c_a") < F.col("c_b")) & alike).select("a", "b").distinct()
+
+
+def _many_members(family: DataFrame, stars: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components that can be linked, by the prefix filter on their differences to the head.
+
+    With c = (100 - percent) / (100 + percent), sets x and y are linked if at most c (|x| + |y|) shingles are in one of
+    them only, which is |dx| + |dy| - 2 shared for their differences dx, dy to the head. Members not linked with the head
+    (apart) have |dx| > c (|x| + |head|). The least number of shared differences follows from the smallest and largest
+    values in the head's family, and a set that must share m of its d differences has one of them among the first d - m + 1
+    of a fixed order.
+    """
+    c = (100 - percent) / (100 + percent)
+    own = family.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"), "component")
+    known = staged(own.join(stars.hint("shuffle_merge"), ["a", "b"]).withColumn("d", F.col("size_a") + F.col("size_b") - 2 * F.col("both")), "family")
+    known = known.withColumn("apart", 100 * F.col("both") < percent * (F.col("size_a") + F.col("size_b") - F.col("both")))
+    bounds = staged(known.groupBy("b").agg(F.min("size_a").alias("least"), F.max("size_a").alias("most"), F.min("d").alias("nearest"), F.bool_or("apart").alias("any_apart")).where("any_apart"), "bounds")
+    posted = staged(prefix_differences(known.join(bounds.hint("shuffle_merge"), "b"), texts, c), "posted")
+    left = posted.where("apart").select("b", "e", F.col("a").alias("x"), F.col("component").alias("cx"), F.col("to_apart").alias("xa"), F.col("to_near").alias("xn"), F.col("k").alias("kx"), F.col("d").alias("dx"), F.col("size").alias("sx"))
+    right = posted.where("to_apart").select("b", "e", F.col("a").alias("y"), F.col("component").alias("cy"), F.col("apart").alias("ya"), F.col("k").alias("ky"), F.col("d").alias("dy"), F.col("size").alias("sy"))
+    fits = (F.col("ya") & F.col("xa") & (F.col("x") < F.col("y"))) | (~F.col("ya") & F.col("xn"))
+    # the first shared difference leaves no more to share than stand behind it
+    behind = F.least(F.col("dx") - F.col("kx"), F.col("dy") - F.col("ky"))
+    fits = fits & (behind >= (F.col("dx") + F.col("dy") - c * (F.col("sx") + F.col("sy"))) / 2 - 1e-9)
+    return left.join(right.hint("shuffle_merge"), ["b", "e"]).where(fits & (F.col("cx") != F.col("cy"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+#: Members of a head up to which they are compared with each other without a filter.
+FEW = 48
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -154,43 +228,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = staged(members.drop("size").join(scores.hint("shuffle_merge"), "id"), "scored")
     texts = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(scores.select("id").hint("shuffle_merge"), "id").dropDuplicates(["id"]), "candidates")
 
-    def heads(of: DataFrame) -> DataFrame:
-        """The member of each bucket that shares most buckets."""
-        return of.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("score", -F.col("id"))).alias("head"))
-
-    def stars(of: DataFrame, chosen: DataFrame) -> DataFrame:
-        """Everyone of each bucket with its head, each pair once."""
-        return of.join(chosen.hint("shuffle_merge"), "key").select(F.col("id").alias("a"), F.col("head")["id"].alias("b"), F.col("n").alias("n_a"), F.col("head")["n"].alias("n_b")).where(_alike(percent)).select("a", "b").distinct()
-
-    def labelled(edges: DataFrame, of: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components so far, and the members of buckets with several of them."""
-        found = components(edges)
-        own = of.join(found.hint("shuffle_merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        own = staged(own, "labelled")
-        mixed = staged(own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed-keys")
-        return found, staged(own.join(mixed.hint("shuffle_merge"), "key"), "mixed")
-
-    first = small_checkpoint(heads(members))
-    tried = staged(stars(members, first), "pairs")
-    edges = staged(verified(tried, texts, percent), "links")
-    found, rest = labelled(edges, members.select("id", "n", "key", "score"))
-    if not rest.isEmpty():
-        of_head = staged(first.select("key", F.col("head")["id"].alias("id")).join(rest.select("key", "id", "component"), ["key", "id"]).select("key", F.col("component").alias("head_component")), "heads")
-        others = rest.join(of_head.hint("shuffle_merge"), "key").where("component != head_component")
-        second = small_checkpoint(heads(others))
-        more = staged(stars(rest, second).join(tried, ["a", "b"], "left_anti"), "pairs")
-        edges = staged(edges.union(verified(more, texts, percent)), "links")
-        tried = tried.union(more)
-        found, rest = labelled(edges, rest.drop("component"))
-    if not rest.isEmpty():
-        left = rest.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        right = rest.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        cross = left.join(right.hint("shuffle_merge"), "key").where((F.col("c_a") < F.col("c_b")) & _alike(percent)).select("a", "b").distinct()
-        known = tried.union(tried.select("b", "a"))
-        last = staged(cross.join(known, ["a", "b"], "left_anti"), "pairs")
-        edges = staged(edges.union(verified(last, texts, percent)), "links")
+    # everyone of each bucket with its head, each pair once
+    heads = small_checkpoint(members.groupBy("key").agg(F.max_by(F.col("id"), F.struct("score", -F.col("id"))).alias("head")))
+    headed = staged(members.join(heads.hint("shuffle_merge"), "key").select("key", "id", "n", "head"), "headed")
+    stars = staged(measured(headed.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), texts), "stars")
+    edges = staged(links(stars, percent), "links")
+    found = components(edges)
+
+    # heads whose buckets hold several components
+    labelled = staged(headed.join(found.hint("shuffle_merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    mixed = staged(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
+    family = staged(labelled.join(mixed.hint("shuffle_merge"), "key").select("head", "id", "n", "component").distinct(), "families")
+    sizes = staged(family.groupBy("head").agg(F.count("*").alias("members")).where("members > 2"), "sizes")
+    family = staged(family.join(sizes.hint("shuffle_merge"), "head"), "families")
+    if not family.isEmpty():
+        more = _few_members(family.where(F.col("members") <= FEW), percent)
+        many = family.where(F.col("members") > FEW)
+        if not many.isEmpty():
+            more = more.union(_many_members(many, stars, texts, percent)).distinct()
+        tried = stars.select("a", "b")
+        more = staged(more.join(tried.union(tried.select("b", "a")).hint("shuffle_merge"), ["a", "b"], "left_anti"), "pairs")
+        edges = staged(edges.union(links(measured(more, texts), percent)), "links")
         found = components(edges)
-    groups = classes.join(found.hint("shuffle_merge"), classes["rep"] == found["id"], "left").select("k1", "k2", F.col("n").alias("class_n"), F.coalesce("component", "rep").alias("component"))
+    groups = staged(classes.join(found.hint("shuffle_merge"), classes["rep"] == found["id"], "left").select("k1", "k2", F.col("n").alias("class_n"), F.coalesce("component", "rep").alias("component")), "groups")
     out = rows.join(groups.hint("shuffle_merge"), (rows["k1"] == groups["k1"]) & (rows["k2"] == groups["k2"]) & (rows["n"] == F.col("class_n")), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
