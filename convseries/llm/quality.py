@@ -63,6 +63,10 @@ def counts_udf(texts):  # noqa: ANN001, ANN201
     return pd.DataFrame([text_counts(t) for t in texts], columns=list(COUNTS), dtype="int64")
 
 
+# not to be run again for each expression that uses its result
+counts_udf = counts_udf.asNondeterministic()
+
+
 def with_counts(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs plus the base counts of the whole text and base_failed."""
     found = docs.withColumn("_counts", counts_udf(F.col(text_col).cast("string")))

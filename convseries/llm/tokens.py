@@ -2,11 +2,12 @@
 
 A text is cut where the tokenizer cuts it anyway (pieces of about a word), every distinct piece of a batch is encoded
 once by the tokenizers library, and the ids of the texts are put together with array operations. Pieces seen before in
-the same Python worker are remembered up to a bound.
+the same column are remembered up to a bound.
 """
 
 from __future__ import annotations
 
+import contextlib
 import re
 from functools import lru_cache
 
@@ -19,8 +20,8 @@ _SOLID = np.zeros(256, bool)
 _SOLID[33:127] = True
 _SOLID[0xC3:0xE1] = True
 _SOLID[0xE4:0xF5] = True
-#: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Pieces that are remembered before it starts anew.
+REMEMBERED = 300_000
 
 
 def _flags(*ranges: tuple[int, int]) -> np.ndarray:
@@ -95,6 +96,19 @@ class PieceEncoder:
         self.table = {c: "".join(_ALPHABET[b] for b in chr(c).encode()) for c in range(256)}
         self._reset()
 
+    def forget(self) -> None:
+        """Gives memory back: workers live on, and other stages need it."""
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        self._reset()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
     def _reset(self) -> None:
         self.slots: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
@@ -175,7 +189,7 @@ def encoder(path: str, kind: str) -> PieceEncoder:
     return PieceEncoder(path, kind)
 
 
-def encoded_texts(column, path: str, kind: str, end_id: int | None = 0, chunk_bytes: int = 8_000_000):
+def encoded_texts(column, path: str, kind: str, end_id: int | None = 0, chunk_bytes: int = 2_000_000):
     """For slices of an Arrow string column: (first row, ids, offsets) with end_id after each text."""
     enc = encoder(path, kind)
     for row, buf, offsets in text_chunks(column, chunk_bytes):
@@ -184,3 +198,4 @@ def encoded_texts(column, path: str, kind: str, end_id: int | None = 0, chunk_by
             ids = np.insert(ids, first[1:], np.uint32(end_id))
             first = first + np.arange(len(first))
         yield row, ids, first
+    enc.forget()
