@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
-Each document has five signals. On labelled holdout rows, each stratum (language) and signal has a grid of cutoffs; a
-cutoff's false rejections are the good rows (label 1) at or above it. An exact binomial bound says how likely so few
-of them would be if the true rate exceeded the allowed one; cutoffs are tried from mild to strict and the strictest before the
-first failure is taken (fixed-sequence testing), with Bonferroni's correction over strata and signals. With probability
+Each document has five signals. A rule is a cutoff for each of them and rejects what is at or above any. Each stratum
+(language) has one sequence of rules, mild to strict, each with one cutoff a grid cell lower than the one before; it is
+ordered by the bad labelled rows (label 0) and the documents without label, so it does not depend on the good rows
+(label 1) that it is tested on. An exact binomial bound says how likely so few false rejections (good rows that a rule
+rejects by any signal) would be if the true rate exceeded the allowed one; rules are tried in their order and the last
+before the first failure is taken (fixed-sequence testing), with Bonferroni's correction over strata. With probability
 of at least 1 - delta, every stratum then rejects at most `risk` of its good documents, over all signals together.
-Strata with too few labelled rows reject nothing.
+Strata with too few good rows (217 with four strata) reject nothing.
 """
 
 from __future__ import annotations
@@ -100,14 +102,14 @@ def log_binomial_cdf(k: int, n: int, p: float) -> float:
     return float(top + math.log(np.exp(terms - top).sum()))
 
 
-def choose_cutoff(cells: np.ndarray, good: np.ndarray, risk: float, delta: float) -> float:
-    """The strictest cutoff (a cell of the grid) that passes with all milder ones; GRID + 1 (none) if none does.
+def choose_cutoff(cells: np.ndarray, good: np.ndarray, risk: float, delta: float, grid: int = GRID) -> float:
+    """The strictest cutoff (a cell of the grid) that passes with all milder ones; grid + 1 (none) if none does.
 
     cells and good: grid cells with good rows and their numbers. A cutoff c rejects the cells >= c."""
-    per_cell = np.zeros(GRID + 2, np.int64)
+    per_cell = np.zeros(grid + 2, np.int64)
     np.add.at(per_cell, cells, good)
-    n, above, best = int(per_cell.sum()), 0, GRID + 1
-    for c in range(GRID, 0, -1):
+    n, above, best = int(per_cell.sum()), 0, grid + 1
+    for c in range(grid, 0, -1):
         above += int(per_cell[c])
         if not n or log_binomial_cdf(above, n, risk) > math.log(delta):
             break
@@ -115,27 +117,79 @@ def choose_cutoff(cells: np.ndarray, good: np.ndarray, risk: float, delta: float
     return float(best)
 
 
+def rule_steps(bad: np.ndarray, free: np.ndarray, weight: float = 0.02) -> list[tuple[int, int]]:
+    """The sequence of joint rules as steps (signal, its new cutoff), mild to strict.
+
+    bad and free: rows by signal and cell, labelled bad and without label. For each signal, the shares of both at or
+    above a cutoff give a curve, which is cut into the pieces that gain most bad rows for a document; `weight` is added
+    to both shares, so that a few rows do not come before many. Pieces are taken best first over all signals, as long
+    as bad rows are caught more often than others. Without rows of either kind all cutoffs go down together."""
+    if not bad[0].sum() or not free[0].sum():
+        return [(s, c) for c in range(GRID, 0, -1) for s in range(len(bad))]
+    pieces = []
+    for s in range(len(bad)):
+        y, x = (np.concatenate([[0.0], np.cumsum(v[s][:0:-1]) / v[s].sum()]) for v in (bad, free))  # at cutoffs GRID + 1, GRID, ..., 1
+        at, slope = 0, np.inf
+        while at < GRID:
+            gain = (y[at + 1 :] - y[at] + weight) / (x[at + 1 :] - x[at] + weight)
+            if gain.max() <= 1:
+                break
+            end, slope = at + 1 + int(gain.argmax()), min(slope, gain.max())
+            pieces += [(-slope, s, GRID + 1 - k) for k in range(at + 1, end + 1)]
+            at = end
+    return [(s, c) for _, s, c in sorted(pieces, key=lambda piece: piece[0])]
+
+
 def calibrate(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", label_col: str = "quality", control: RiskControl = RiskControl(), prefix: str = "") -> DataFrame:
-    """Cutoffs as (stratum, signal, cutoff) from all labelled rows that pass the base rules.
+    """Cutoffs as (stratum, signal, cutoff) from all rows that pass the base rules.
 
-    Null labels and ids are left out; of repeated ids the smallest label counts. The histogram that cutoffs are chosen
-    from has at most GRID + 1 rows for each stratum and signal, and each stratum is its own group.
+    Null labels and ids are left out; of repeated ids the smallest label counts. The histogram that rules are ordered
+    by has at most GRID + 1 rows for each stratum and signal, the one they are tested on a row for each step, and each
+    stratum is its own group.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.min(label_col).alias("_label"))
     cell = lambda x: F.floor(x * GRID).cast("int")
     rows = counted.where(~F.col(prefix + "base_failed")).select(F.col(id_col).alias("_label_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), *[cell(x).alias(s) for s, x in signals(prefix).items()])
-    rows = rows.join(known, "_label_id").where("_label = 1")
-    long = rows.select("stratum", F.explode(F.map_from_arrays(F.array(*map(F.lit, SIGNALS)), F.array(*map(F.col, SIGNALS)))).alias("signal", "cell"))
-    grid = small_checkpoint(long.groupBy("stratum", "signal", "cell").agg(F.count("*").alias("good")))
-    tests = max(1, grid.select("stratum").distinct().count()) * len(SIGNALS)
+    rows = staged(rows, "quality-cells")
+    labelled = rows.join(known, "_label_id")
+    long = lambda df, *more: df.select("stratum", *more, F.posexplode(F.array(*map(F.col, SIGNALS))).alias("signal", "cell"))
+    keys = ["stratum", "signal", "cell"]
+    every = long(rows).groupBy(*keys).agg(F.count("*").alias("n"))
+    marked = long(labelled, "_label").groupBy(*keys).agg(F.count("*").alias("labelled"), F.count_if(F.col("_label") == 0).alias("bad"))
+    grid = every.join(marked, keys, "left").select(*keys, F.coalesce("bad", F.lit(0)).alias("bad"), (F.col("n") - F.coalesce("labelled", F.lit(0))).alias("free"))
+
+    def order(pdf):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        bad, free = np.zeros((2, len(SIGNALS), GRID + 1), np.int64)
+        bad[pdf["signal"], pdf["cell"]] = pdf["bad"]
+        free[pdf["signal"], pdf["cell"]] = pdf["free"]
+        steps = rule_steps(bad, free)
+        first = np.full((len(SIGNALS), GRID + 1), len(steps) + 1)  # the step from which on a cell is rejected
+        for k, (s, c) in enumerate(steps):
+            first[s, c] = k + 1
+        return pd.DataFrame({"stratum": [pdf["stratum"][0]], "signals": [[s for s, _ in steps]], "cutoffs": [[c for _, c in steps]], "first": [first.tolist()]})
+
+    paths = small_checkpoint(grid.groupBy("stratum").applyInPandas(order, "stratum string, signals array<int>, cutoffs array<int>, first array<array<int>>"))
+    step = F.least(*[F.get(F.get("first", F.lit(k)), F.col(s)) for k, s in enumerate(SIGNALS)])
+    # a row per stratum is joined
+    good = labelled.where("_label = 1").join(F.broadcast(paths.select("stratum", "first")), "stratum").groupBy("stratum", step.alias("step")).agg(F.count("*").alias("good"))
+    tested = small_checkpoint(good.groupBy("stratum").agg(F.collect_list(F.struct("step", "good")).alias("found")).join(paths.drop("first"), "stratum"))
+    strata = max(1, tested.count())
 
     def choose(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        cut = choose_cutoff(pdf["cell"].to_numpy(), pdf["good"].to_numpy(), control.risk / len(SIGNALS), control.delta / tests)
-        return pd.DataFrame({"stratum": [pdf["stratum"][0]], "signal": [pdf["signal"][0]], "cutoff": [cut]})
+        row = pdf.iloc[0]
+        n_steps = len(row["signals"])
+        at = np.array([n_steps + 1 - f["step"] for f in row["found"]])  # strict to mild, 0 for what no rule rejects
+        best = choose_cutoff(at, np.array([f["good"] for f in row["found"]]), control.risk, control.delta / strata, n_steps)
+        cut = np.full(len(SIGNALS), GRID + 1.0)
+        for s, c in list(zip(row["signals"], row["cutoffs"]))[: n_steps + 1 - int(best)]:
+            cut[s] = c
+        return pd.DataFrame({"stratum": row["stratum"], "signal": SIGNALS, "cutoff": cut})
 
-    return small_checkpoint(grid.groupBy("stratum", "signal").applyInPandas(choose, "stratum string, signal string, cutoff double"))
+    return small_checkpoint(tested.groupBy("stratum").applyInPandas(choose, "stratum string, signal string, cutoff double"))
 
 
 def judge(counted: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang", prefix: str = "") -> DataFrame:

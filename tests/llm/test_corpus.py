@@ -93,6 +93,38 @@ def test_cutoffs_hold_their_bound():
     assert failures <= 20
 
 
+def test_small_strata_reject(spark):
+    words = ["".join(random.Random(k).choices("abcdefgh", k=1 + k % 9)) for k in range(400)]
+    rng = random.Random(5)
+
+    def text(junk):
+        own = rng.sample(words, 70)
+        return " ".join(w + "#" if junk and k % 3 == 0 else w for k, w in enumerate(own))
+
+    found = []
+    for lang, good, bad, free in (("en", 600, 60, 600), ("de", 230, 40, 400), ("fr", 100, 30, 100)):
+        kinds = [1] * good + [0] * bad + [None] * (free - 90) + [-1] * 90
+        found += [(len(found) + k, lang, text(kind in (0, -1)), kind) for k, kind in enumerate(kinds)]
+    docs = spark.createDataFrame(found, "doc_id long, lang string, text string, kind int")
+    labels = docs.where("kind >= 0").select("doc_id", F.col("kind").alias("quality"))
+    out = quality.quality_table(docs, labels).join(docs.select("doc_id", "kind"), "doc_id").collect()
+    for lang, n_bad in (("en", 60), ("de", 40), ("fr", 0)):  # 100 good rows cannot show a risk of 0.02
+        own = [r for r in out if r.lang == lang]
+        assert sum(r.kind == 0 and not r.kept for r in own) == n_bad
+        good = [r.kept for r in own if r.kind == 1]
+        assert good.count(False) <= 0.02 * len(good)
+
+
+def test_rule_steps_take_what_separates_first():
+    bad, free = np.zeros((2, 2, quality.GRID + 1), np.int64)
+    bad[0, 40:50], free[0, 45], free[0, 1] = 5, 60, 340
+    bad[1, :10], free[1, :10] = 5, 40
+    steps = quality.rule_steps(bad, free)
+    assert steps[-1] == (0, 40) and {s for s, _ in steps} == {0}
+    none = np.zeros_like(bad)
+    assert quality.rule_steps(none, free)[:3] == [(0, 200), (1, 200), (0, 199)] and len(quality.rule_steps(bad, none)) == 2 * quality.GRID
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------------------
 
 
