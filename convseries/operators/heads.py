@@ -1,7 +1,8 @@
 """Classifier heads on group features: ridge with leave-one-out, soft targets, context votes, and the ensemble object.
 
-A head is fitted from a labelled context, which is capped (MOST_CONTEXT rows, see sampling.cap_context): one group's
-context is one task. Heads are small (classes x features) and reach every partition of the rows to score by broadcast.
+A head is fitted from all rows of its labelled context. Groups of at most MOST_CONTEXT rows are a task each; beyond
+that the rows meet in partial sums of products (features x features), and leave-one-out errors take a second pass.
+Heads are small (classes x features) and reach every partition of the rows to score by broadcast.
 """
 
 from __future__ import annotations
@@ -51,42 +52,127 @@ def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (x - mean) / scale, mean, scale
 
 
-def fit_heads(train: DataFrame, keys: str = "grp", features: str = "features", label: str = "label") -> DataFrame:
-    """One ridge head per group from (grp, label, features): standardised features, targets -1 and 1, one row for two classes."""
+def _hot(pdf, classes: list[str]) -> np.ndarray:  # noqa: ANN001
+    """Targets -1 and 1, one column for two classes."""
+    hot = np.where(pdf["label"].to_numpy()[:, None] == np.array(classes, object)[None, :], 1.0, -1.0)
+    return hot[:, 1:] if len(classes) == 2 else hot
 
-    def fit(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
 
-        if len(pdf) > MOST_CONTEXT:
-            raise ValueError(f"a context of {len(pdf)} rows; cap it at {MOST_CONTEXT}")
-        pdf = pdf.sort_values("id", kind="stable")
-        classes = sorted(pdf["label"].unique())
-        x, mean, scale = _scaled(np.vstack(pdf["features"].to_numpy()))
-        hot = np.where(pdf["label"].to_numpy()[:, None] == np.array(classes, object)[None, :], 1.0, -1.0)
-        coef, intercept, alpha = fit_ridge(x, hot[:, 1:] if len(classes) == 2 else hot)
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "classes": [classes], "mean": [mean], "scale": [scale], "coef": [list(coef)], "intercept": [intercept], "alpha": [alpha]})
+def _soft(pdf, classes: list[str]) -> np.ndarray:  # noqa: ANN001
+    """One-hot for labelled rows, the given probabilities for others."""
+    return np.array([[float(c == own) for c in classes] if own is not None else [dict(p).get(c, 0.0) for c in classes] for own, p in zip(pdf["label"], pdf["proba"])])
 
-    rows = train.select(F.col(keys).cast("long").alias("grp"), F.col("id").cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(features).alias("features"))
-    return rows.groupBy("grp").applyInPandas(fit, HEAD_SCHEMA)
 
+def _merge_sums(parts) -> tuple[int, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Rows, means and centred sums of products of the union of parts (Chan's update)."""
+    n, mean, products = 0, 0.0, 0.0
+    for m, other, more in parts:
+        delta = other - mean
+        products = products + more + np.outer(delta, delta) * (n * m / (n + m))
+        mean, n = mean + delta * (m / (n + m)), n + m
+    return n, mean, products
 
-def soft_target_heads(train: DataFrame, classes: list[str], features: str = "features") -> DataFrame:
-    """One ridge head per group on probability vectors: one-hot for labelled rows, the teacher's map for pool rows. An unknown label is an error."""
+
+def _fit_sums(rows: DataFrame, targets, classes: dict[int, list[str]]) -> DataFrame:  # noqa: ANN001
+    """Heads from all rows of (grp, label, proba, features), however many a group has.
+
+    Each partition sums its products, which meet in two rounds; a group's eigenvectors are broadcast and give each row's
+    leave-one-out error for every alpha as in fit_ridge. Driver and broadcast hold features x features numbers a group."""
+    import pandas as pd
+
+    sums_schema = "grp long, part int, n long, mean array<double>, products array<double>"
+
+    def groups(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for grp, part in batch.groupby("grp"):
+                yield int(grp), np.vstack(part["features"].to_numpy()).astype(float), targets(part, classes[int(grp)])
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        from pyspark import TaskContext
+
+        found = {}
+        for grp, x, y in groups(batches):
+            both = np.hstack([x, y])
+            centred = both - both.mean(axis=0)
+            own = len(both), both.mean(axis=0), centred.T @ centred
+            found[grp] = _merge_sums([found[grp], own]) if grp in found else own
+        for grp, (n, mean, products) in found.items():
+            yield pd.DataFrame({"grp": [grp], "part": [TaskContext.get().partitionId() % 64], "n": [n], "mean": [mean], "products": [products.ravel()]})
+
+    def merge(pdf):  # noqa: ANN001, ANN202
+        n, mean, products = _merge_sums((int(r.n), r.mean_, r.products.reshape(len(r.mean_), -1)) for r in pdf.rename(columns={"mean": "mean_"}).itertuples())
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "part": [pdf["part"].iloc[0]], "n": [n], "mean": [mean], "products": [products.ravel()]})
+
+    merged = rows.mapInPandas(sums, sums_schema).groupBy("grp", "part").applyInPandas(merge, sums_schema).groupBy("grp").applyInPandas(merge, sums_schema)
+    solved = {}
+    for r in merged.collect():
+        mean = np.array(r["mean"])
+        products = np.array(r["products"]).reshape(len(mean), -1)
+        d = len(mean) - (1 if len(classes[r["grp"]]) == 2 and targets is _hot else len(classes[r["grp"]]))
+        scale = np.sqrt(np.maximum(0.0, products.diagonal()[:d]) / r["n"])
+        scale = np.where(scale > 1e-12 * np.abs(mean[:d]), scale, 1.0)
+        values, vectors = np.linalg.eigh(products[:d, :d] / np.outer(scale, scale))
+        solved[r["grp"]] = r["n"], mean[:d], scale, mean[d:], np.maximum(0.0, values), vectors, vectors.T @ (products[:d, d:] / scale[:, None])
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(solved)
+
+    def errors(batches):  # noqa: ANN001, ANN202
+        found = {}
+        for grp, x, y in groups(batches):
+            n, mean, scale, y_mean, values, vectors, weights = shared.value[grp]
+            z = (x - mean) / scale @ vectors
+            own = [((((y - y_mean) - z @ (weights / (values + alpha)[:, None])) / np.maximum(1e-12, 1 - (z**2 / (values + alpha)).sum(axis=1) - 1.0 / n)[:, None]) ** 2).sum() for alpha in ALPHAS]
+            found[grp] = found.get(grp, 0.0) + np.array(own)
+        for grp, own in found.items():
+            yield pd.DataFrame({"grp": grp, "k": np.arange(len(ALPHAS)), "error": own})
+
+    least = rows.mapInPandas(errors, "grp long, k int, error double").groupBy("grp", "k").agg(F.sum("error").alias("error")).groupBy("grp").agg(F.min_by("k", F.struct("error", "k")).alias("k"))
+    out = []
+    for r in least.collect():
+        _, mean, scale, y_mean, values, vectors, weights = solved[r["grp"]]
+        alpha = float(ALPHAS[r["k"]])
+        coef = (vectors @ (weights / (values + alpha)[:, None])).T
+        out.append((r["grp"], classes[r["grp"]], mean.tolist(), scale.tolist(), coef.tolist(), y_mean.tolist(), alpha))
+    return spark.createDataFrame(out, HEAD_SCHEMA)
+
+
+def _fit(rows: DataFrame, targets, classes: list[str] | None = None) -> DataFrame:  # noqa: ANN001
+    """Heads of (grp, id, label, proba, features); without a class list each group has the classes of its rows."""
+    rows = kept(rows)
+    counts = rows.groupBy("grp", "label").agg(F.count("*").alias("n")).collect()  # a row per group and class
+    sizes, known = {}, {}
+    for r in counts:
+        sizes[r["grp"]] = sizes.get(r["grp"], 0) + r["n"]
+        known.setdefault(r["grp"], set()).update([r["label"]] if r["label"] is not None else [])
+    if classes is not None and (unknown := set().union(*known.values()) - set(classes)):
+        raise ValueError(f"labels {sorted(unknown)} are not in the class list")
+    lists = {g: classes if classes is not None else sorted(found) for g, found in known.items()}
 
     def fit(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
         pdf = pdf.sort_values("id", kind="stable")
-        unknown = {y for y in pdf["label"].dropna()} - set(classes)
-        if unknown:
-            raise ValueError(f"labels {sorted(unknown)} are not in the class list")
+        own = lists[int(pdf["grp"].iloc[0])]
         x, mean, scale = _scaled(np.vstack(pdf["features"].to_numpy()))
-        y = np.array([[float(c == own) for c in classes] if own is not None else [dict(p).get(c, 0.0) for c in classes] for own, p in zip(pdf["label"], pdf["proba"])])
-        coef, intercept, alpha = fit_ridge(x, y)
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "classes": [classes], "mean": [mean], "scale": [scale], "coef": [list(coef)], "intercept": [intercept], "alpha": [alpha]})
+        coef, intercept, alpha = fit_ridge(x, targets(pdf, own))
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "classes": [own], "mean": [mean], "scale": [scale], "coef": [list(coef)], "intercept": [intercept], "alpha": [alpha]})
 
-    rows = train.select(F.col("grp").cast("long").alias("grp"), "id", "label", "proba", F.col(features).alias("features"))
-    return rows.groupBy("grp").applyInPandas(fit, HEAD_SCHEMA)
+    large = [g for g, n in sizes.items() if n > MOST_CONTEXT]
+    if not large:
+        return rows.groupBy("grp").applyInPandas(fit, HEAD_SCHEMA)
+    heads = _fit_sums(rows.where(F.col("grp").isin(large)), targets, lists)
+    return heads.unionByName(rows.where(~F.col("grp").isin(large)).groupBy("grp").applyInPandas(fit, HEAD_SCHEMA)) if len(large) < len(sizes) else heads
+
+
+def fit_heads(train: DataFrame, keys: str = "grp", features: str = "features", label: str = "label") -> DataFrame:
+    """One ridge head per group from (grp, label, features): standardised features, targets -1 and 1, one row for two classes."""
+    none = F.lit(None).cast("map<string,double>")
+    return _fit(train.select(F.col(keys).cast("long").alias("grp"), F.col("id").cast("long").alias("id"), F.col(label).cast("string").alias("label"), none.alias("proba"), F.col(features).alias("features")), _hot)
+
+
+def soft_target_heads(train: DataFrame, classes: list[str], features: str = "features") -> DataFrame:
+    """One ridge head per group on probability vectors: one-hot for labelled rows, the teacher's map for pool rows. An unknown label is an error."""
+    return _fit(train.select(F.col("grp").cast("long").alias("grp"), "id", "label", "proba", F.col(features).alias("features")), _soft, classes)
 
 
 def _dot(weights: Column, x: Column) -> Column:
@@ -133,11 +219,60 @@ def score_with_margin(rows: DataFrame, heads: DataFrame, features: str = "featur
     return scored.withColumns({"student": argmax_decision(F.col("decision"), F.col("classes")), "margin": routing.decision_margin(F.col("decision"))}).drop("decision", "classes")
 
 
+def _nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest rows of x for each of q and their squared distances, ties by position."""
+    d = (x**2).sum(axis=1)[None, :] - 2 * q @ x.T + (q**2).sum(axis=1)[:, None]
+    if len(x) <= k or np.isnan(d).any():
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    else:
+        rows, cols = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+        cols = cols[np.lexsort((cols, d[rows, cols], rows))]
+        near = cols[np.searchsorted(rows, np.arange(len(q)))[:, None] + np.arange(k)]
+    return near, np.take_along_axis(d, near, axis=1)
+
+
+def _block_vote(context: DataFrame, test: DataFrame, n_context: int, temperature: float, k: int) -> DataFrame:
+    """context_vote for contexts of any size: the k nearest of each block of about MOST_CONTEXT context rows, then of all blocks. A task holds one block and one chunk of as many test rows."""
+    test = kept(test.withColumn("_row", F.monotonically_increasing_id()))
+    blocks, chunks = -(-n_context // MOST_CONTEXT), max(1, -(-test.count() // MOST_CONTEXT))
+    classes = [r[0] for r in context.select("label").distinct().orderBy("label").collect()]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = test.withColumn("chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks)).cast("int")).withColumn("block", each(blocks))
+    right = context.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("chunk", each(chunks))
+
+    def near(own, block):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        schema = {"_row": "int64", "id": "int64", "d": "float64", "other": "int64", "label": "object"}
+        if not len(own) or not len(block):
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in schema.items()})
+        block = block.sort_values("id", kind="stable")
+        x, ids, labels = np.vstack(block["features"].to_numpy()).astype(float), block["id"].to_numpy(), block["label"].to_numpy()
+        found = []
+        for at in range(0, len(own), 500):
+            part = own.iloc[at : at + 500]
+            rows, d = _nearest(np.vstack(part["features"].to_numpy()).astype(float), x, k)
+            m = rows.shape[1]
+            found.append(pd.DataFrame({"_row": np.repeat(part["_row"].to_numpy(), m), "id": np.repeat(part["id"].to_numpy(), m), "d": d.ravel(), "other": ids[rows.ravel()], "label": labels[rows.ravel()]}))
+        return pd.concat(found)
+
+    keys = ["block", "chunk"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, "_row long, id long, d double, other long, label string")
+    best = found.groupBy("_row", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "other", "label"))), 1, k).alias("near"))  # k rows a block
+    w = best.withColumn("w", F.transform("near", lambda v: F.exp(-(v["d"] - F.col("near")[0]["d"]) / temperature)))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    share = lambda c: total(F.zip_with("near", "w", lambda v, x: F.when(v["label"] == c, x).otherwise(0.0))) / total(F.col("w"))
+    return w.select("id", F.map_from_arrays(F.array(*map(F.lit, classes)), F.array(*map(share, classes))).alias("proba"))
+
+
 def context_vote(train: DataFrame, test: DataFrame, temperature: float = 1.0, k: int = 5, features: str = "features") -> DataFrame:
-    """(id, proba) of test rows by the k nearest labelled rows (squared distance, ties by id), weighted by softmax. No training; the context, capped at MOST_CONTEXT rows, is broadcast."""
-    rows = train.select("id", F.col("label").cast("string").alias("label"), features).orderBy("id").limit(MOST_CONTEXT + 1).collect()
-    if len(rows) > MOST_CONTEXT:
-        raise ValueError(f"the context has more than {MOST_CONTEXT} rows; cap it first")
+    """(id, proba) of test rows by the k nearest labelled rows (squared distance, ties by id), weighted by softmax. No training; a context of at most MOST_CONTEXT rows is broadcast, a larger one is dealt in blocks."""
+    known = train.select(F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col(features).alias("features"))
+    asked = test.select(F.col("id").cast("long").alias("id"), F.col(features).alias("features"))
+    n_context = known.count()
+    if n_context > MOST_CONTEXT:
+        return _block_vote(known, asked, n_context, temperature, k)
+    rows = known.orderBy("id").collect()
     context = test.sparkSession.sparkContext.broadcast((np.array([r[2] for r in rows], float), [r[1] for r in rows]))
     classes = sorted({r[1] for r in rows})
 
@@ -145,21 +280,17 @@ def context_vote(train: DataFrame, test: DataFrame, temperature: float = 1.0, k:
         import pandas as pd
 
         x, labels = context.value
-        norms = (x**2).sum(axis=1)
         hot = np.array([[float(y == c) for c in classes] for y in labels])
         for batch in batches:
             if not len(batch):
                 continue
-            q = np.vstack(batch["features"].to_numpy()).astype(float)
-            d = norms[None, :] - 2 * q @ x.T + (q**2).sum(axis=1)[:, None]
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            w = np.take_along_axis(d, near, axis=1)
+            near, w = _nearest(np.vstack(batch["features"].to_numpy()).astype(float), x, k)
             w = np.exp(-(w - w[:, :1]) / temperature)
             w /= w.sum(axis=1, keepdims=True)
             p = np.einsum("ij,ijc->ic", w, hot[near])
             yield pd.DataFrame({"id": batch["id"], "proba": [dict(zip(classes, map(float, row))) for row in p]})
 
-    return test.select(F.col("id").cast("long").alias("id"), F.col(features).alias("features")).mapInPandas(vote, "id long, proba map<string,double>")
+    return asked.mapInPandas(vote, "id long, proba map<string,double>")
 
 
 def test_chunks(df: DataFrame, size: int, id_col: str = "id") -> DataFrame:

@@ -209,3 +209,41 @@ def test_attach_and_columns(spark):
         src.attach_features(a, spark.createDataFrame([(1, 5.0)], "id long, x double")).collect()
     with pytest.raises(ValueError, match="zz"):
         src.require_columns(a, ["ID", "zz"])
+
+
+def _labelled(spark, n, classes, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(5, 2, (n, 4)) @ np.diag([1, 10, 0.1, 0])  # the last feature is constant
+    y = [classes[int(v)] for v in (np.abs(x[:, 0] + x[:, 1] / 10 + rng.normal(0, 1, n)) / 4).astype(int) % len(classes)]
+    rows = [(g, i, y[i], (x[i] * (g + 1)).tolist()) for g in range(2) for i in range(n)]
+    return x, y, spark.createDataFrame(rows, "grp long, id long, label string, features array<double>").repartition(5)
+
+
+def test_large_contexts_fit_on_all_rows(spark, monkeypatch):
+    for classes in (["a", "b"], ["a", "b", "c"]):
+        x, y, df = _labelled(spark, 240, classes)
+        monkeypatch.setattr(heads, "MOST_CONTEXT", 50)
+        soft = df.withColumn("proba", F.when(F.col("id") % 3 == 0, F.create_map(F.lit("a"), F.lit(0.25), F.lit("b"), F.lit(0.75)))).withColumn("label", F.when(F.col("proba").isNull(), F.col("label")))
+        found = heads.fit_heads(df).collect(), heads.soft_target_heads(soft, classes).collect()
+        hot = np.array([[float(own == c) for c in classes] for own in y])
+        mixed = np.array([[0.25, 0.75, 0.0][: len(classes)] if i % 3 == 0 else hot[i] for i in range(len(x))])
+        for got, want in zip(found, (2 * (hot[:, 1:] if len(classes) == 2 else hot) - 1, mixed)):
+            assert sorted(r.grp for r in got) == [0, 1]
+            for r in got:
+                z, mean, scale = heads._scaled(x * (r.grp + 1))
+                coef, intercept, alpha = heads.fit_ridge(z, want)
+                assert r.classes == classes and r.alpha == pytest.approx(alpha)
+                for a, b in ((r["mean"], mean), (r.scale, scale), (r.coef, coef), (r.intercept, intercept)):
+                    assert np.allclose(a, b, atol=1e-8)
+
+
+def test_large_contexts_vote_with_all_rows(spark, monkeypatch):
+    _, _, df = _labelled(spark, 240, ["a", "b", "c"])
+    rows = df.where("grp = 0")
+    train, test = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+    want = {r.id: r.proba for r in heads.context_vote(train, test).collect()}
+    monkeypatch.setattr(heads, "MOST_CONTEXT", 25)
+    got = {r.id: r.proba for r in heads.context_vote(train, test).collect()}
+    assert got.keys() == want.keys() and len(got) == 60
+    for i, proba in got.items():
+        assert proba == pytest.approx(want[i])
