@@ -73,7 +73,7 @@ def _merge_sums(parts) -> tuple[int, np.ndarray, np.ndarray]:  # noqa: ANN001
     return n, mean, products
 
 
-def _fit_sums(rows: DataFrame, targets, classes: dict[int, list[str]]) -> DataFrame:  # noqa: ANN001
+def _fit_sums(rows: DataFrame, targets, classes: dict[int, list[str]], scaled: bool) -> DataFrame:  # noqa: ANN001
     """Heads from all rows of (grp, label, proba, features), however many a group has.
 
     Each partition sums its products, which meet in two rounds; a group's eigenvectors are broadcast and give each row's
@@ -110,7 +110,7 @@ def _fit_sums(rows: DataFrame, targets, classes: dict[int, list[str]]) -> DataFr
         products = np.array(r["products"]).reshape(len(mean), -1)
         d = len(mean) - (1 if len(classes[r["grp"]]) == 2 and targets is _hot else len(classes[r["grp"]]))
         scale = np.sqrt(np.maximum(0.0, products.diagonal()[:d]) / r["n"])
-        scale = np.where(scale > 1e-12 * np.abs(mean[:d]), scale, 1.0)
+        scale = np.where((scale > 1e-12 * np.abs(mean[:d])) & scaled, scale, 1.0)
         values, vectors = np.linalg.eigh(products[:d, :d] / np.outer(scale, scale))
         solved[r["grp"]] = r["n"], mean[:d], scale, mean[d:], np.maximum(0.0, values), vectors, vectors.T @ (products[:d, d:] / scale[:, None])
     spark = rows.sparkSession
@@ -136,9 +136,8 @@ def _fit_sums(rows: DataFrame, targets, classes: dict[int, list[str]]) -> DataFr
     return spark.createDataFrame(out, HEAD_SCHEMA)
 
 
-def _fit(rows: DataFrame, targets, classes: list[str] | None = None) -> DataFrame:  # noqa: ANN001
-    """Heads of (grp, id, label, proba, features); without a class list each group has the classes of its rows."""
-    rows = kept(rows)
+def _fit(rows: DataFrame, targets, classes: list[str] | None = None, scaled: bool = True) -> DataFrame:  # noqa: ANN001
+    """Heads of (grp, id, label, proba, features), which is read up to three times; without a class list each group has the classes of its rows."""
     counts = rows.groupBy("grp", "label").agg(F.count("*").alias("n")).collect()  # a row per group and class
     sizes, known = {}, {}
     for r in counts:
@@ -153,26 +152,28 @@ def _fit(rows: DataFrame, targets, classes: list[str] | None = None) -> DataFram
 
         pdf = pdf.sort_values("id", kind="stable")
         own = lists[int(pdf["grp"].iloc[0])]
-        x, mean, scale = _scaled(np.vstack(pdf["features"].to_numpy()))
+        x = np.vstack(pdf["features"].to_numpy())
+        x, mean, scale = _scaled(x) if scaled else (x, np.zeros(x.shape[1]), np.ones(x.shape[1]))
         coef, intercept, alpha = fit_ridge(x, targets(pdf, own))
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "classes": [own], "mean": [mean], "scale": [scale], "coef": [list(coef)], "intercept": [intercept], "alpha": [alpha]})
 
     large = [g for g, n in sizes.items() if n > MOST_CONTEXT]
     if not large:
         return rows.groupBy("grp").applyInPandas(fit, HEAD_SCHEMA)
-    heads = _fit_sums(rows.where(F.col("grp").isin(large)), targets, lists)
+    heads = _fit_sums(rows.where(F.col("grp").isin(large)), targets, lists, scaled)
     return heads.unionByName(rows.where(~F.col("grp").isin(large)).groupBy("grp").applyInPandas(fit, HEAD_SCHEMA)) if len(large) < len(sizes) else heads
 
 
-def fit_heads(train: DataFrame, keys: str = "grp", features: str = "features", label: str = "label") -> DataFrame:
-    """One ridge head per group from (grp, label, features): standardised features, targets -1 and 1, one row for two classes."""
+def fit_heads(train: DataFrame, keys: str = "grp", features: str = "features", label: str = "label", scaled: bool = True, keep: bool = True) -> DataFrame:
+    """One ridge head per group from (grp, label, features): features standardised unless told otherwise, targets -1 and 1, one row for two classes. Without keep, train is computed up to three times."""
     none = F.lit(None).cast("map<string,double>")
-    return _fit(train.select(F.col(keys).cast("long").alias("grp"), F.col("id").cast("long").alias("id"), F.col(label).cast("string").alias("label"), none.alias("proba"), F.col(features).alias("features")), _hot)
+    rows = train.select(F.col(keys).cast("long").alias("grp"), F.col("id").cast("long").alias("id"), F.col(label).cast("string").alias("label"), none.alias("proba"), F.col(features).alias("features"))
+    return _fit(kept(rows) if keep else rows, _hot, scaled=scaled)
 
 
 def soft_target_heads(train: DataFrame, classes: list[str], features: str = "features") -> DataFrame:
     """One ridge head per group on probability vectors: one-hot for labelled rows, the teacher's map for pool rows. An unknown label is an error."""
-    return _fit(train.select(F.col("grp").cast("long").alias("grp"), "id", "label", "proba", F.col(features).alias("features")), _soft, classes)
+    return _fit(kept(train.select(F.col("grp").cast("long").alias("grp"), "id", "label", "proba", F.col(features).alias("features"))), _soft, classes)
 
 
 def _dot(weights: Column, x: Column) -> Column:
@@ -311,7 +312,7 @@ def coef_magnitude(heads: DataFrame) -> DataFrame:
 
 
 def bootstrap_stability(train: DataFrame, k: int, draws: int, seed: int = 0) -> DataFrame:
-    """(feature, frequency): how often a feature is among the k largest coefficients over bootstrap resamples of a capped context (id, label, features)."""
+    """(feature, frequency): how often a feature is among the k largest coefficients over bootstrap resamples of a context (id, label, features)."""
     resampled = sampling.bootstrap(train.select("id", "label"), draws, seed).join(train.select("id", "features"), "id")
     heads = fit_heads(resampled.select(F.col("draw").alias("grp"), "id", "label", "features"))
     from pyspark.sql import Window
@@ -332,13 +333,13 @@ def oof_margins(train: DataFrame, folds: int, seed: int = 0, features: str = "fe
 
 def tune_block_weight(train: DataFrame, n_first: int, folds: int, weights: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0, 9.3, 20.0, 50.0), seed: int = 0) -> DataFrame:
     """(weight, accuracy): out-of-fold accuracy for each weight of the features after the first n_first; context rows multiply by folds and weights."""
-    rows = sampling.stratified_folds(train, folds, seed)
+    rows = kept(sampling.stratified_folds(train, folds, seed))  # the grid, folds x weights times as large, is not written
     grid = rows.withColumn("wi", F.explode(F.sequence(F.lit(0), F.lit(len(weights) - 1))))
     w = F.get(F.array(*map(F.lit, weights)), F.col("wi"))
     grid = grid.withColumn("features", F.transform("features", lambda v, i: F.when(i < n_first, v).otherwise(v * w)))
     # the weight acts after standardising, so heads must not scale it away: features come standardised
     fits = grid.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("held <> fold").withColumn("grp", (F.col("wi") * folds + F.col("held")).cast("long"))
-    heads = kept(fit_heads(fits).withColumns({"coef": F.col("coef")}))
+    heads = kept(fit_heads(fits, scaled=False, keep=False))
     scored = score_with_margin(grid.withColumn("grp", (F.col("wi") * folds + F.col("fold")).cast("long")), heads)
     return scored.groupBy(w.alias("weight")).agg(F.avg((F.col("student") == F.col("label")).cast("double")).alias("accuracy"))
 

@@ -49,13 +49,13 @@ def decision_values(spark, sf_dir):
 
 @query("C4_soft_target_ridge")
 def soft_target_ridge(spark, sf_dir):
-    g = _groups(spark, sf_dir).where("grp = 0")
+    g = _groups(spark, sf_dir)
     classes = [r[0] for r in series(spark, sf_dir).select("label").distinct().orderBy("label").collect()]
     teacher = ensemble.mean_proba(group_cube(spark, sf_dir)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cls", "mean_p"))).alias("proba"))
     rows = g.join(teacher, "id").withColumn("label", F.when(F.col("split") == "train", F.col("label")))
     fitted = heads.soft_target_heads(rows, classes)
     out = heads.decision_values(g.where("split = 'test'"), fitted)
-    return out.select("id", heads.argmax_decision(F.col("decision"), F.col("classes")).alias("yhat"))
+    return out.select("grp", "id", heads.argmax_decision(F.col("decision"), F.col("classes")).alias("yhat"))
 
 
 @query("C5_context_vote")
@@ -95,10 +95,10 @@ def group_ensemble(spark, sf_dir):
 
 @query("F6_tune_block_weight")
 def tune_block_weight(spark, sf_dir):
-    wide = [f"f{k}" for k in range(12)]
+    wide = [f"f{k}" for k in range(64)]
     s = series(spark, sf_dir).where("split = 'train'")
     flat = statistics.standardize(s.select("id", "split", "label", *[F.get("values", F.lit(k)).alias(c) for k, c in enumerate(wide)]), wide)
-    out = heads.tune_block_weight(flat.select("id", "label", F.array(*wide).alias("features")), 8, 3, (0.5, 1.0, 4.0))
+    out = heads.tune_block_weight(flat.select("id", "label", F.array(*wide).alias("features")), 8, 3)
     return out.select("weight", r6("accuracy").alias("accuracy"))
 
 
@@ -109,7 +109,7 @@ def coef_magnitude(spark, sf_dir):
 
 @query("F9_bootstrap_stability")
 def bootstrap_stability(spark, sf_dir):
-    s = series(spark, sf_dir).where("split = 'train'").select("id", "label", F.slice("values", 1, 16).alias("features"))
+    s = series(spark, sf_dir).where("split = 'train'").select("id", "label", F.col("values").alias("features"))
     return heads.bootstrap_stability(s, 4, 5, SEED).select("feature", r6("frequency").alias("frequency"))
 
 

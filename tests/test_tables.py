@@ -247,3 +247,43 @@ def test_large_contexts_vote_with_all_rows(spark, monkeypatch):
     assert got.keys() == want.keys() and len(got) == 60
     for i, proba in got.items():
         assert proba == pytest.approx(want[i])
+
+
+@pytest.mark.parametrize("most", [10_000, 50])
+def test_tuned_weights_and_stability_against_numpy(spark, monkeypatch, most):
+    monkeypatch.setattr(heads, "MOST_CONTEXT", most)
+    classes = ["a", "b", "c"]
+    x, y, df = _labelled(spark, 240, classes)
+    z = heads._scaled(x)[0]
+    flat = spark.createDataFrame([(i, y[i], z[i].tolist()) for i in range(len(z))], "id long, label string, features array<double>")
+    hot = 2 * np.array([[float(c == own) for c in classes] for own in y]) - 1
+    fold = {r.id: r.fold for r in sampling.stratified_folds(flat, 3).collect()}
+    fold = np.array([fold[i] for i in range(len(z))])
+    want = {}
+    for w in (0.01, 0.5, 50.0):
+        v, right = z * np.array([1, w, w, w]), 0
+        for f in range(3):
+            coef, intercept, _ = heads.fit_ridge(v[fold != f], hot[fold != f])
+            guess = (v[fold == f] @ coef.T + intercept).argmax(axis=1)
+            right += sum(classes[g] == y[i] for g, i in zip(guess, np.flatnonzero(fold == f)))
+        want[w] = right / len(z)
+    got = {r.weight: r.accuracy for r in heads.tune_block_weight(flat, 1, 3, (0.01, 0.5, 50.0)).collect()}
+    assert got == pytest.approx(want) and want[0.01] != want[0.5]
+    counts, draws = np.zeros(4), {}
+    for r in sampling.bootstrap(flat.select("id", "label"), 3, 7).collect():
+        draws.setdefault(r.draw, []).append(r.id)
+    for ids in draws.values():
+        ids = sorted(ids)
+        size = np.abs(heads.fit_ridge(heads._scaled(z[ids])[0], hot[ids])[0]).mean(axis=0)
+        counts[np.argsort(-size, kind="stable")[:2]] += 1
+    found = {r.feature: r.frequency for r in heads.bootstrap_stability(flat, 2, 3, 7).collect()}
+    assert found == pytest.approx({k: c / 3 for k, c in enumerate(counts)})
+
+
+def test_queries_take_all_groups_and_points(spark, sf):
+    from convseries.plans import registry
+
+    queries = registry.queries()
+    assert queries["C4_soft_target_ridge"](spark, sf).select("grp").distinct().count() == 8
+    assert queries["F6_tune_block_weight"](spark, sf).count() == 7
+    assert queries["F9_bootstrap_stability"](spark, sf).count() == 64
