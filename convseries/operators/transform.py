@@ -9,12 +9,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convseries.functions.series import conv_max, convolve, ppv
 from convseries.operators.kernels import LONGEST, check_bank, draw_kernels
 
-#: Doubles that one block of convolutions holds at most.
-BLOCK = 1 << 20
+#: Doubles that one block of convolutions holds at most; a block stays in a core's cache.
+BLOCK = 1 << 15
 
 
 def transform_block(x: np.ndarray, kernels: list[tuple]) -> np.ndarray:
@@ -93,47 +94,58 @@ def conv_features(df: DataFrame, values: str, k: int, seed: int = 0, first: int
     """df with the interleaved features of kernels first .. first + k - 1; the column may hold arrays or arrays of channels.
 
     Without n_reference each row's own length draws the bank, which suits tables of one length only. Null series give
-    null; series with nulls, of unequal channels, too short for the kernels or below n_reference are errors. The
-    workers get the series column and what else df has, so select what is needed first. A bank takes about 100 bytes
-    per kernel and channel and is drawn once in each worker. normalize brings each channel to zero mean and unit deviation first.
+    null; series with nulls, of unequal channels, too short for the kernels or below n_reference are errors. A column of
+    df called `name` is replaced. The workers get df's rows, so select what is needed first; what the series column is
+    computed from does not matter, nor what becomes of the features, for no expression is moved across the workers. A bank
+    takes about 100 bytes per kernel and channel and is drawn once in each task. normalize brings each channel to zero
+    mean and unit deviation first.
     """
     check_bank(k, n_reference or LONGEST, first)
+    many = dict(df.dtypes)[values].startswith("array<array")
+    fields = [f for f in df.schema.fields if f.name != name]
+    others = [f.name for f in fields]
     own = Transformer(k, seed, first, n_reference, normalize)
 
-    @F.pandas_udf("array<double>")
-    def features(column):  # noqa: ANN001, ANN202
-        import pandas as pd
+    def features(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
 
-        return pd.Series(own(column.tolist()))
+        for batch in batches:
+            found = own(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+            known = [f for f in found if f is not None]
+            ends = np.cumsum([0 if f is None else len(f) for f in found], dtype=np.int32)
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32(), mask=np.array([f is None for f in found] + [False]))
+            column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(known) if known else np.zeros(0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*others, name])
 
-    return df.withColumn(name, features(F.col(values).cast("array<array<double>>" if dict(df.dtypes)[values].startswith("array<array") else "array<double>")))
+    series = F.col(f"`{values}`").cast("array<array<double>>" if many else "array<double>")
+    rows = df.select(*[F.col(f"`{c}`") for c in others], series.alias("_series"))
+    return rows.mapInArrow(features, T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
-def register(spark) -> None:  # noqa: ANN001
-    """SQL functions conv_features and conv_features_mv: (series, kernels, seed, first[, n_reference]) -> array<double>."""
-
-    def make(kind: str):
-        def features(series, k, seed, first, *rest):  # noqa: ANN001, ANN202
-            import pandas as pd
-
-            out: list = [None] * len(series)
-            n_ref = rest[0] if rest else pd.Series([None] * len(series))
-            groups: dict[tuple, list[int]] = {}
-            for i, args in enumerate(zip(k, seed, first, n_ref)):
-                if series.iloc[i] is None or any(pd.isna(a) for a in args[:3]):
-                    continue
-                groups.setdefault((int(args[0]), int(args[1]), int(args[2]), None if pd.isna(args[3]) else int(args[3])), []).append(i)
-            for args, rows in groups.items():
-                for i, f in zip(rows, Transformer(*args)([series.iloc[i] for i in rows])):
-                    out[i] = f
-            return pd.Series(out)
+def _sql_function(spark, name: str) -> None:  # noqa: ANN001
+    import pandas as pd
 
-        return features
+    def features(series: pd.Series, k: pd.Series, seed: pd.Series, first: pd.Series, *rest: pd.Series) -> pd.Series:
+        out: list = [None] * len(series)
+        n_ref = rest[0] if rest else pd.Series([None] * len(series))
+        groups: dict[tuple, list[int]] = {}
+        for i, args in enumerate(zip(k, seed, first, n_ref)):
+            if series.iloc[i] is None or any(pd.isna(a) for a in args[:3]):
+                continue
+            groups.setdefault((int(args[0]), int(args[1]), int(args[2]), None if pd.isna(args[3]) else int(args[3])), []).append(i)
+        for args, rows in groups.items():
+            for i, f in zip(rows, Transformer(*args)([series.iloc[i] for i in rows])):
+                out[i] = f
+        return pd.Series(out)
 
-    from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
+    features.__annotations__ = {"series": pd.Series, "k": pd.Series, "seed": pd.Series, "first": pd.Series, "rest": pd.Series, "return": pd.Series}
+    spark.udf.register(name, F.pandas_udf(features, "array<double>"))
 
-    for name, kind in (("conv_features", "array<double>"), ("conv_features_mv", "array<array<double>>")):
-        spark.udf.register(name, pandas_udf(make(kind), "array<double>", PandasUDFType.SCALAR))
+
+def register(spark) -> None:  # noqa: ANN001
+    """SQL functions conv_features and conv_features_mv: (series, kernels, seed, first[, n_reference]) -> array<double>. One function takes series of one channel and of several, so both names stand for it."""
+    for name in ("conv_features", "conv_features_mv"):
+        _sql_function(spark, name)
 
 
 def conv_features_relational(series: DataFrame, bank: DataFrame, id_col: str = "id") -> DataFrame:

@@ -258,13 +258,21 @@ def bank_table(spark, sf_dir):
 
 # -- T: transform ------------------------------------------------------------------------------------------------------
 
-KERNELS = 4
-CONV_SQL = f"""WITH {LONG}, kids AS (SELECT unnest(range({KERNELS}))::BIGINT AS kernel_id), {bank_sql('kids', 64)},
+#: Kernels of the twins that the transform is checked by, and of a production bank.
+KERNELS, BANK = 4, 1000
+
+
+def conv_ctes(k: int, n_ref: int | str = 64) -> str:
+    """CTE `conv` (id, kernel_id, o, c): the convolutions of `long` (id, t, value) with the first k kernels; n_ref may be a scalar subquery."""
+    return f"""kids AS (SELECT unnest(range({k}))::BIGINT AS kernel_id), {bank_sql('kids', n_ref)},
 shape AS (SELECT id, count(*) AS n FROM long GROUP BY id), bank AS MATERIALIZED (SELECT w.kernel_id, j, weight, length, bias, dilation, padding FROM weights w JOIN params p USING (kernel_id)),
 places AS (SELECT id, kernel_id, bias, dilation, padding, unnest(range(n + 2 * padding - (length - 1) * dilation)) AS o FROM shape, (SELECT DISTINCT kernel_id, length, bias, dilation, padding FROM bank)),
 terms AS (SELECT p.id, p.kernel_id, p.o, p.bias, b.weight, p.o + b.j * p.dilation - p.padding AS t FROM places p JOIN bank b USING (kernel_id)),
-conv AS (SELECT x.id, x.kernel_id, x.o, any_value(x.bias) + sum(x.weight * l.value) AS c FROM terms x JOIN long l ON l.id = x.id AND l.t = x.t GROUP BY ALL)
-SELECT id, kernel_id, round(max(c), 6) AS max, round(count_if(c > 0) / count(*)::DOUBLE, 9) AS ppv FROM conv GROUP BY ALL"""
+conv AS (SELECT x.id, x.kernel_id, x.o, any_value(x.bias) + sum(x.weight * l.value) AS c FROM terms x JOIN long l ON l.id = x.id AND l.t = x.t GROUP BY ALL)"""
+
+
+FEATURES_SQL = "SELECT id, kernel_id, round(max(c), 6) AS max, round(count_if(c > 0) / count(*)::DOUBLE, 9) AS ppv FROM conv GROUP BY ALL"
+CONV_SQL = f"WITH {LONG}, {conv_ctes(KERNELS)} {FEATURES_SQL}"
 
 
 def _flat(df):

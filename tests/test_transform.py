@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convseries.functions import series as fs
+from convseries.functions.prng import Streams
 from convseries.operators import kernels, transform
 from convseries.sources import series as src
 
@@ -153,3 +154,36 @@ def test_sql_functions(spark):
     row = spark.sql(f"SELECT conv_features(array({x}), 4, 7, 4) AS a, conv_features(array({x}), 8, 7, 0) AS b, conv_features_mv(array(array({x})), 4, 7, 4) AS c, conv_features(array({x}), 4, 7, 4, 16) AS d").first()
     assert row.a == row.b[8:16] == row.c == row.d
     assert math.isfinite(row.a[0])
+
+
+def test_features_of_computed_series_in_lambdas(spark):
+    """Neither what the series come from nor what is made of the features may reach into the workers' step."""
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=40).tolist(), "x", {"a": 1.0}) for k in range(6)]
+    df = spark.createDataFrame(rows, "id long, values array<double>, features string, more map<string,double>")
+    scaled = df.withColumn("values", fs.normalize_series(F.col("values")))
+    wide = transform.conv_features(scaled, "values", 10, 7)
+    assert wide.columns == ["id", "values", "more", "features"]
+    got = wide.groupBy().agg(F.avg(fs.array_mean(fs.maxes(F.col("features")))).alias("m"), F.avg(fs.array_mean(fs.ppvs(F.col("features")))).alias("p")).collect()[0]
+    want = np.array([r.features for r in transform.conv_features(df, "values", 10, 7, normalize=True).collect()])
+    assert (got.m, got.p) == pytest.approx((want[:, ::2].mean(), want[:, 1::2].mean()), abs=1e-9)
+    assert transform.conv_features(df.limit(0), "values", 4).collect() == []
+
+
+def golden_series():
+    """8 x 128 normals of one stream, row by row."""
+    one = Streams(0, np.array([0]))
+    one.state = np.array([0xC0FFEE], np.uint64)  # the seed itself, not a substream of it
+    return np.array([one.normal()[0] for _ in range(8 * 128)]).reshape(8, 128)
+
+
+@pytest.mark.parametrize(("first", "k"), [(0, 64), (9000, 16)])
+def test_golden_banks(spark, first, k):
+    """The reference banks (seed 20260811, 64 kernels from 0 and 16 from 9000) over the reference input, against the plain loop."""
+    x = golden_series()
+    bank = kernels.draw_kernels(20260811, np.arange(first, first + k), 128)
+    got = np.array(features(spark, x.tolist(), "array<double>", k, 20260811, first))
+    want = np.array([[v for kernel in bank for v in naive([row.tolist()], kernel)] for row in x])
+    assert np.abs(got - want).max() < 1e-12 and (got[:, 1::2] == want[:, 1::2]).all()
+    if first:
+        assert bank == kernels.draw_kernels(20260811, np.arange(first + k), 128)[first:]
