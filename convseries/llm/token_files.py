@@ -10,9 +10,11 @@ so that a task that is run again, or twice, leaves the same files.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 import zlib
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -24,6 +26,8 @@ from convseries.llm.tokens import encoded_texts, encoder
 
 #: What stands for a null document id in `p.docs`.
 NO_ID = -(2**63)
+#: Documents that a batch of the reader holds.
+ROWS = 10_000
 
 
 def _local(uri: str) -> str | None:
@@ -32,20 +36,21 @@ def _local(uri: str) -> str | None:
     return found.path if found.scheme in ("", "file") else None
 
 
-def write_file(uri: str, data: bytes | memoryview) -> None:
-    """Writes the whole file, or none."""
+@contextlib.contextmanager
+def new_file(uri: str):  # noqa: ANN201
+    """A file to append to under a name of its own; it takes its own name when all is written, and there is none otherwise."""
     path, name = _local(uri), f".{uuid.uuid4().hex}"
     if path is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path + name, "wb") as f:
-            f.write(data)
+            yield f
         os.replace(path + name, path)
         return
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_output_stream(path + name) as f:
-        f.write(data)
+        yield f
     store.move(path + name, path)
 
 
@@ -73,22 +78,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str =
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        ids, sizes, names = [], [], []
         width = 2 if max(encoder(tokenizer, kind).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        for batch in batches:
-            column = batch.column(1)
-            names.append(np.asarray(batch.column(0).cast(pa.int64()).fill_null(NO_ID)))
-            for _, flat, first in encoded_texts(column, tokenizer, kind, end_id):
-                ids.append(flat.astype(f"<u{width}", copy=False))
-                sizes.append(np.diff(first))
-        if not names or not sum(map(len, names)):
+        name, n_docs, n_ids = f"{folder}/part-{part:06d}", 0, 0
+        first_batch = next((b for b in batches if b.num_rows), None)
+        if first_batch is None:
             return
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
-        name = f"{folder}/part-{part:06d}"
-        write_file(f"{name}.ids", memoryview(np.concatenate(ids)).cast("B"))
-        write_file(f"{name}.offsets", offsets.tobytes())
-        write_file(f"{name}.docs", np.concatenate(names).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "width": pa.array([width], pa.int32()), "n_docs": pa.array([len(offsets) - 1], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64())})
+        with new_file(f"{name}.ids") as ids, new_file(f"{name}.offsets") as offsets, new_file(f"{name}.docs") as names:
+            offsets.write(np.zeros(1, "<i8").tobytes())
+            for batch in chain([first_batch], batches):
+                names.write(np.asarray(batch.column(0).cast(pa.int64()).fill_null(NO_ID)).astype("<i8").tobytes())
+                for _, flat, first in encoded_texts(batch.column(1), tokenizer, kind, end_id):
+                    ids.write(memoryview(flat.astype(f"<u{width}", copy=False)).cast("B"))
+                    offsets.write((n_ids + first[1:]).astype("<i8").tobytes())
+                    n_docs, n_ids = n_docs + len(first) - 1, n_ids + int(first[-1])
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "width": pa.array([width], pa.int32()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     parts = small_checkpoint(ordered.mapInArrow(write, "part long, width int, n_docs long, n_ids long"))
@@ -97,7 +100,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str =
 
 
 def read_token_files(parts: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """Every document in the files as (id, start, n_tokens, ids_crc32), part by part over memory-mapped files."""
+    """Every document in the files as (id, start, n_tokens, ids_crc32), over memory-mapped files; a task for each part."""
 
     def read(batches):
         import pandas as pd
@@ -106,10 +109,13 @@ def read_token_files(parts: DataFrame, folder: str, id_col: str = "doc_id") -> D
             for part, width, base in zip(batch["part"], batch["width"], batch["base"]):
                 name = f"{folder}/part-{part:06d}"
                 ids, offsets, docs = map_file(f"{name}.ids", f"<u{width}"), map_file(f"{name}.offsets", "<i8"), map_file(f"{name}.docs", "<i8")
-                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pd.DataFrame({"id": pd.array(docs, dtype="Int64").astype(object).where(docs != NO_ID, None) if (docs == NO_ID).any() else np.asarray(docs), "start": base + offsets[:-1], "n_tokens": np.diff(offsets), "ids_crc32": np.array(crc, np.int64)})
+                for at in range(0, len(docs), ROWS):
+                    own, ends = docs[at : at + ROWS], offsets[at : at + ROWS + 1]
+                    crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(ends[:-1], ends[1:])]
+                    yield pd.DataFrame({"id": pd.array(own, dtype="Int64").astype(object).where(own != NO_ID, None) if (own == NO_ID).any() else np.asarray(own), "start": base + ends[:-1], "n_tokens": np.diff(ends), "ids_crc32": np.array(crc, np.int64)})
 
-    found = parts.select("part", "width", "base").repartition("part").mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")
+    # the number is given, so that the tasks are not put together for their small rows: each opens a file
+    found = parts.select("part", "width", "base").repartition(max(1, parts.count())).mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")
     return found.withColumnRenamed("id", id_col)
 
 

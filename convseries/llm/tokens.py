@@ -8,6 +8,7 @@ the same column are remembered up to a bound.
 from __future__ import annotations
 
 import contextlib
+import json
 import re
 from functools import lru_cache
 
@@ -48,19 +49,21 @@ def _letter_cuts(buf: np.ndarray, cut: np.ndarray) -> None:
     cut[1:-1] |= (ends & _SIGN[after]) | (_SIGN[before] & begins)
 
 
-def _byte_level_cuts(buf: np.ndarray) -> np.ndarray:
-    """Cuts of a byte-level pre-tokenizer with the usual pattern: before the last white space that precedes a solid character, and after it unless it is a space (which the next word takes); between letters and signs."""
+def _byte_level_cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Cuts of a byte-level pre-tokenizer with the usual pattern: before the last white space that precedes a solid character of its text, and after it unless it is a space (which the next word takes); between letters and signs."""
     cut = np.zeros(len(buf) + 1, bool)
     if len(buf) > 1:
         before = IS_WHITE[buf[:-1]] & _SOLID[buf[1:]]
+        ends = offsets[(offsets > 0) & (offsets < len(buf))]
+        before[ends - 1] = False  # what follows belongs to the next text
         cut[:-2] |= before
         cut[1:-1] |= before & (buf[:-1] != 32)
         _letter_cuts(buf, cut)
     return cut
 
 
-def _word_cuts(buf: np.ndarray) -> np.ndarray:
-    """Cuts of a pre-tokenizer that drops white space: where a word begins after ASCII white space; between letters and signs."""
+def _word_cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Cuts of a pre-tokenizer that drops white space: where a word begins after ASCII white space; between letters and signs. All look at the two sides of the cut only, and a cut between two texts is one anyway."""
     cut = np.zeros(len(buf) + 1, bool)
     if len(buf) > 1:
         cut[1:-1] = IS_WHITE[buf[:-1]] & ~IS_WHITE[buf[1:]]
@@ -69,6 +72,32 @@ def _word_cuts(buf: np.ndarray) -> np.ndarray:
 
 
 CUTS = {"byte": _byte_level_cuts, "word": _word_cuts}
+#: The parts of a tokenizer's file that the cuts rely on; others are encoded text by text.
+# The patterns of the two kinds of files.
+RELIED_ON = {
+    "byte": {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+    "word": {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    },
+}
+
+
+def _cuts_hold(tokenizer, kind: str) -> bool:  # noqa: ANN001
+    """Whether the file is of the kind whose cuts are known: its normaliser, pre-tokenizer and a plain BPE model, and added tokens that take no white space beside them."""
+    found = json.loads(tokenizer.to_str())
+    model = found["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix"))
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in found["added_tokens"])
+    return plain and added and not found.get("truncation") and all(found.get(k) == v for k, v in RELIED_ON[kind].items())
+
+
 _LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"
 #: Pieces that the pre-tokenizer leaves whole, so that they can go to the BPE model itself.
 WHOLE = {"byte": re.compile(f" ?(?:{_LETTERS}|{_SIGNS})"), "word": re.compile(rf"(?:{_LETTERS}|{_SIGNS})[ \t\n\x0b\x0c\r]*")}
@@ -85,12 +114,13 @@ _ALPHABET = _byte_alphabet()
 
 
 class PieceEncoder:
-    """Encodes texts by pieces. kind: 'byte' for byte-level vocabularies, 'word' for those that drop white space."""
+    """Encodes texts by pieces. kind: 'byte' for byte-level vocabularies, 'word' for those that drop white space. A file whose rules are not those of its kind is encoded text by text."""
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cuts, self.whole, self.kind = Tokenizer.from_file(path), CUTS[kind], WHOLE[kind], kind
+        self.by_pieces = _cuts_hold(self.tokenizer, kind)
         self.model = self.tokenizer.model
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table = {c: "".join(_ALPHABET[b] for b in chr(c).encode()) for c in range(256)}
@@ -130,14 +160,19 @@ class PieceEncoder:
             out[k] = e.ids
         return out
 
-    def _keep_marks_whole(self, buf: np.ndarray, cut: np.ndarray) -> None:
-        """No cut inside an added token's own text."""
-        raw = buf.tobytes()
+    def _cut(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where texts are cut. The text before an added token ends there, and there is no cut inside the token."""
+        raw, found = buf.tobytes(), []
         for mark in self.marks:
             at = raw.find(mark)
             while at >= 0:
-                cut[at + 1 : at + len(mark)] = False
+                found.append((at, len(mark)))
                 at = raw.find(mark, at + 1)
+        cut = self.cuts(buf, np.concatenate([offsets, np.array([at for at, _ in found], np.int64)]))
+        for at, n in found:
+            cut[at + 1 : at + n] = False
+        cut[offsets] = True
+        return cut
 
     def _learn(self, pieces: list[str]) -> None:
         for k in range(0, len(pieces), 20_000):
@@ -159,10 +194,11 @@ class PieceEncoder:
         """Ids of all texts in a row, and the first id of each text (one more at the end)."""
         import pyarrow as pa
 
-        cut = self.cuts(buf)
-        self._keep_marks_whole(buf, cut)
-        cut[offsets] = True
-        bounds = np.flatnonzero(cut)
+        if not self.by_pieces:
+            raw = buf.tobytes()
+            found = [e.ids for e in self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(ids) for ids in found])]).astype(np.int64)
+        bounds = np.flatnonzero(self._cut(buf, offsets))
         if len(bounds) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         pieces = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])

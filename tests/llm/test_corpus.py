@@ -366,6 +366,34 @@ def test_pieces_give_the_tokenizers_ids(name, kind, rows):
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_ids_do_not_depend_on_neighbours(name, kind):
+    """Short texts with white-space ends, control and odd characters, many in one batch."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(name)
+    plain, rng = Tokenizer.from_file(path), random.Random(11)
+    signs = [" ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x00", "\x1c", "\x85", "\u00a0", "\u3000", "\u2028", "a", "B", "é", "ß", "İ", "x1", "12", ".", ",", "'", "'s", "'LL", "-", "<|endoftext|>", "<|endof", "text|>", "中", "ﬁ", "e\u0301", "=\u0338", "word", "Hello", "😀"]
+    texts = ["hello\n\n", "world", "hello\n\n", "", " ", "x", "\n"] + ["".join(rng.choices(signs, k=rng.randint(0, 7))) for _ in range(20000)]
+    for order in (texts, texts[::-1]):
+        got = [ids[a:b].tolist() for _, ids, first in tokens.encoded_texts(pa.array(order), path, kind, None) for a, b in zip(first, first[1:])]
+        want = [e.ids for e in plain.encode_batch(order, add_special_tokens=False)]
+        assert [(t, g, w) for t, g, w in zip(order, got, want) if g != w] == []
+
+
+def test_other_tokenizers_are_encoded_whole(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "other.json"))
+    texts = ["some words,  and\n\nmore", "x", "", " y"]
+    got = [ids[a:b].tolist() for _, ids, first in tokens.encoded_texts(pa.array(texts), str(tmp_path / "other.json"), "byte", None) for a, b in zip(first, first[1:])]
+    assert got == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def digest(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -379,8 +407,14 @@ def test_token_files(docs, rows, empty):
         ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
         want.append((i, start, len(ids), digest(ids)))
         start += len(ids)
-    out = token_files.token_file_digests(docs, path).collect()
-    assert sorted(map(tuple, out)) == sorted(want)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    docs.sparkSession.conf.set(coalesce, "false")
+    found = token_files.token_file_digests(docs, path)
+    docs.sparkSession.conf.unset(coalesce)
+    assert found.rdd.getNumPartitions() > 1  # files are read in parallel
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    null = docs.sparkSession.createDataFrame([(None, "a\n\n"), (None, None), (4, "b")], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.start, r.n_tokens) for r in token_files.token_file_digests(null, path).collect()) == [(False, 5, 2), (True, 0, 1), (True, 1, 4)]
     assert token_files.token_file_digests(empty, path).count() == 0
 
 
