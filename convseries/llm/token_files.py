@@ -112,7 +112,7 @@ def read_token_files(parts: DataFrame, folder: str, id_col: str = "doc_id") -> D
                 for at in range(0, len(docs), ROWS):
                     own, ends = docs[at : at + ROWS], offsets[at : at + ROWS + 1]
                     crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(ends[:-1], ends[1:])]
-                    yield pd.DataFrame({"id": pd.array(own, dtype="Int64").astype(object).where(own != NO_ID, None) if (own == NO_ID).any() else np.asarray(own), "start": base + ends[:-1], "n_tokens": np.diff(ends), "ids_crc32": np.array(crc, np.int64)})
+                    yield pd.DataFrame({"id": pd.arrays.IntegerArray(np.array(own, np.int64), np.asarray(own == NO_ID)), "start": base + ends[:-1], "n_tokens": np.diff(ends), "ids_crc32": np.array(crc, np.int64)})
 
     # the number is given, so that the tasks are not put together for their small rows: each opens a file
     found = parts.select("part", "width", "base").repartition(max(1, parts.count())).mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")
