@@ -5,7 +5,8 @@ a time: at step j the shingle offers j plus a fraction at the place that its per
 shingle thus differ in their whole part, which lowers the variance, and once every place of a document holds a value
 below j + 1 no later step can change it, so most documents stop after a few steps.
 
-Documents with the same set are one class, for which the smallest id stands. Classes meet in the buckets of their
+Documents with the same set are one class, for which the smallest id stands; sets are the same where a cryptographic
+digest of 128 bits of all their shingles is, which are made of such digests of their words. Classes meet in the buckets of their
 bands. In a bucket everyone is compared with its head, the member that shares most buckets, and the links found are
 joined into components: large groups of copies cost one comparison each. What this leaves are heads whose buckets
 hold several components. Where a head has few members, members of different components are compared with each other.
@@ -27,32 +28,49 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convseries.llm.common import BYTE_VALUES, GOLD, lowered, mix, prefix_sums, range_hashes, small_checkpoint, staged, text_chunks, word_bounds
+from convseries.llm.common import GOLD, lowered, mix, small_checkpoint, staged, text_chunks, word_bounds
 from convseries.llm.graphs import components
 
 #: With these, two sets of similarity 0.85 share no band with probability 4e-6.
 BANDS, ROWS = 32, 7
 SHINGLE = 5
+_SALTS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, sorted, one text after another; and where each text's begin."""
-    low = lowered(buf)
-    start, end = word_bounds(low, offsets)
-    words = range_hashes(prefix_sums(BYTE_VALUES[low]), start, end)
-    first = np.searchsorted(start, offsets)  # the words of text i are first[i] .. first[i + 1]
+def word_digests(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each word as two columns, and the first word of each text (one more at the end)."""
+    import pyarrow as pa
+
+    start, end = word_bounds(buf, offsets)
+    if not len(start):
+        return np.zeros((0, 2), np.uint64), np.zeros(len(offsets), np.int64)
+    bounds = np.column_stack([start, end]).ravel().astype(np.int64)  # words and the gaps between them by turns
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf))])
+    coded = pieces.dictionary_encode()
+    digests = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist()), "<u8").reshape(-1, 2)
+    return digests[coded.indices.to_numpy(zero_copy_only=False)[::2]], np.searchsorted(start, offsets)
+
+
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The distinct shingle hashes of each text, sorted, one text after another; where each text's begin; and a 128-bit digest of each whole set, over 128 bits of each shingle."""
+    words, first = word_digests(lowered(buf), offsets)  # the words of text i are first[i] .. first[i + 1]
     n = np.diff(first)
-    sums = prefix_sums(words)
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(n)), count)
     at = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    found = range_hashes(sums, at, at + np.minimum(n[doc], width))
+    found = np.tile(_SALTS, (len(doc), 1))
+    for k in range(width):
+        live = slice(None) if count.sum() == 0 or n[doc].min() > k else n[doc] > k
+        found[live] = mix((found[live] + words[at[live] + k]) * GOLD)
     bounds = np.concatenate([[0], np.cumsum(count)])
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        found[a:b].sort()
+    order = np.lexsort((found[:, 0], doc))
+    found = found[order]
     new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
-    return found[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(n)))])
+    new[1:] = (found[1:] != found[:-1]).any(axis=1) | (doc[1:] != doc[:-1])
+    found = np.ascontiguousarray(found[new])
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(n)))])
+    raw = memoryview(found).cast("B") if len(found) else memoryview(b"")
+    return np.ascontiguousarray(found[:, 0]), bounds, [blake2b(raw[16 * a : 16 * b], digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def _draw(k: int) -> np.uint64:
@@ -93,21 +111,20 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, k1, k2, bands): set size, a 128-bit key of the whole set, band keys (none for an empty set)."""
+    """(id, n, k1, k2, bands): set size, a 128-bit digest of the whole set, band keys (none for an empty set)."""
 
     def sign(batches):
         import pyarrow as pa
 
         for batch in batches:
             for row, buf, offsets in text_chunks(batch.column(1), 300_000):
-                sets, bounds = shingle_sets(buf, offsets)
+                sets, bounds, digests = shingle_sets(buf, offsets)
                 n = np.diff(bounds)
-                upto = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                k1, k2 = (u[bounds[1:]] - u[bounds[:-1]] for u in upto)
+                k1, k2 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
                 keys = band_keys(super_minhash(sets, bounds, BANDS * ROWS)).view(np.int64)
                 size = np.where(n > 0, BANDS, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], names=["id", "n", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(k1)), pa.array(np.ascontiguousarray(k2)), lists], names=["id", "n", "k1", "k2", "bands"])
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(sign, "id long, n long, k1 long, k2 long, bands array<long>")
@@ -258,5 +275,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The documents whose id stands for its group, with all their columns; null ids stay."""
-    gone = near_groups(docs, id_col, text_col, percent).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, id_col, text_col, percent).where("NOT kept").select(F.col(id_col).alias("gone")).distinct()
+    return docs.alias("_docs").join(gone.alias("_out"), F.col(f"_docs.{id_col}") == F.col("_out.gone"), "left_anti")

@@ -332,6 +332,37 @@ def test_near_groups(docs, rows, empty, monkeypatch, few):
         assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
+def thue_morse(n):
+    """Words of n letters that polynomial hashes modulo a power of two cannot tell from their complement."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_words_are_told_apart(spark):
+    rows = []
+    for n in (1024, 2048, 4096):
+        a, b = thue_morse(n)
+        rows += [a, b, f"one two {a} four five six", f"one two {b} four five six"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = near_dedup.near_groups(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(i, i) for i in range(len(rows))]
+
+
+def test_recall_of_links(spark, sf):
+    """Every link of the documents whose id is divisible by 50, with all documents, ends in one component; nothing else is joined."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(table).collect()}
+    assert got == {i: c for i, (_, c) in plain_components(rows).items()}
+    assert sum(i % 50 == 0 for i in got) > 1
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(k, "the same words here " * 20, 1, 2, 3, 4, 5) for k in range(3)], "doc_id long, text string, _gone long, gone long, id long, component_id long, k1 long")
+    left = near_dedup.drop_near_copies(docs)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [0]
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(0)
     universe = rng.integers(1, 2**63, 300).astype(np.uint64)
