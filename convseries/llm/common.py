@@ -48,6 +48,21 @@ def small_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Most rows of a table of one row per key that is broadcast; larger ones meet salted rows instead.
+BROADCAST_ROWS, SALTS = 50_000, 32
+
+
+def per_key(rows: DataFrame, table: DataFrame, key: str, salt: F.Column, how: str = "inner") -> DataFrame:
+    """rows with the columns of a table that has one row per key (nulls are equal): broadcast if the table is small, else by keys and salts, so that a frequent key does not meet in one task. salt is a column of rows; how is inner or left."""
+    same = F.col(f"_l.{key}").eqNullSafe(F.col(f"_r.{key}"))
+    more = [F.col(f"_r.`{c}`") for c in table.columns if c != key]
+    if table.count() <= BROADCAST_ROWS:
+        return rows.alias("_l").join(F.broadcast(table.alias("_r")), same, how).select("_l.*", *more)
+    left = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)))
+    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.alias("_l").join(right.alias("_r"), same & (F.col("_l._salt") == F.col("_r._salt")), how).select("_l.*", *more).drop("_salt")
+
+
 def word_count(col) -> F.Column:
     """Words in a text column as long; null counts as none."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")

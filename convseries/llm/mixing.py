@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convseries.llm.common import small_checkpoint, staged, word_count
+from convseries.llm.common import per_key, small_checkpoint, staged, word_count
 
 #: Bits of the hash that one histogram resolves, and the number of histograms.
 BUCKET_BITS, LEVELS = 12, 3
-#: Most rows of a per-source table that is broadcast (about 100 bytes each); larger ones meet salted documents instead.
-BROADCAST_ROWS, SALTS = 50_000, 32
 
 
 def hash36(col: Column) -> Column:
@@ -50,16 +48,6 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), sha
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _per_source(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """docs (source, h, ...) with the columns of a table of one row per source: broadcast if that is small, else by salted keys."""
-    table = table.withColumnRenamed("source", "_source")
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    if table.count() <= BROADCAST_ROWS:
-        return docs.join(F.broadcast(table), same).drop("_source")
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return docs.join(salted, same & (F.pmod(F.col("h"), F.lit(SALTS)) == F.col("_salt"))).drop("_source", "_salt")
-
-
 def _bucket(level: int) -> Column:
     return F.shiftright("h", BUCKET_BITS * (LEVELS - level))
 
@@ -74,7 +62,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     done = None
     for level in range(1, LEVELS + 1):
         last = level == LEVELS
-        inside = _per_source(sized, open_at).where(_bucket(level - 1) == F.col("prefix"))
+        inside = per_key(sized, open_at, "source", F.col("h")).where(_bucket(level - 1) == F.col("prefix"))
         sums = inside.groupBy("source", _bucket(level).alias("bucket")).agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("budget").alias("budget"))
         w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(w))
@@ -100,7 +88,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = small_checkpoint(source_targets(totals, weights, share_percent, most).withColumn("whole", F.when(F.col("target") >= F.col("source_size"), F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")))
     limits = thresholds(sized, targets.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
     table = targets.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left").select("t.source", "source_size", "target", "whole", F.coalesce("limit", F.lit(0)).alias("limit"))
-    out = _per_source(sized, small_checkpoint(table))
+    out = per_key(sized, small_checkpoint(table), "source", F.col("h"))
     copies = F.least(F.lit(most).cast("long"), F.col("whole") + (F.col("h") < F.col("limit")).cast("long"))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 

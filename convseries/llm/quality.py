@@ -7,6 +7,7 @@ ordered by the bad labelled rows (label 0) and the documents without label, so i
 rejects by any signal) would be if the true rate exceeded the allowed one; rules are tried in their order and the last
 before the first failure is taken (fixed-sequence testing), with Bonferroni's correction over strata. With probability
 of at least 1 - delta, every stratum then rejects at most `risk` of its good documents, over all signals together.
+Good rows with one text are one trial, for they share their fate; near copies still count as trials of their own.
 Strata with too few good rows (217 with four strata) reject nothing.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convseries.llm.common import WHITE, small_checkpoint, staged
+from convseries.llm.common import WHITE, per_key, small_checkpoint, staged
 
 SIGNALS = ("symbols", "dup_lines", "repeats", "short_words", "long_words")
 SYMBOLS = "#*$%&|<>"
@@ -69,17 +70,16 @@ def counts_udf(texts):  # noqa: ANN001, ANN201
 counts_udf = counts_udf.asNondeterministic()
 
 
-def with_counts(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs plus the base counts of the whole text and base_failed."""
-    found = docs.withColumn("_counts", counts_udf(F.col(text_col).cast("string")))
-    out = found.withColumns({prefix + n: F.col("_counts")[n] for n in COUNTS}).drop("_counts")
-    failed = (F.col(prefix + "n_words") < 50) | (100 * F.col(prefix + "n_repeat_words") > 50 * F.col(prefix + "n_words"))
-    return out.withColumn(prefix + "base_failed", failed)
+def counted(rows: DataFrame, name: str = "quality") -> DataFrame:
+    """rows (id, stratum, text, ...) with the base counts, base_failed and a digest of the text in its place, written once: the counting runs once for each row."""
+    found = rows.withColumn("counts", counts_udf(F.col("text"))).withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).drop("text")
+    failed = (F.col("counts.n_words") < 50) | (100 * F.col("counts.n_repeat_words") > 50 * F.col("counts.n_words"))
+    return staged(found.withColumn("base_failed", failed), name)
 
 
-def signals(prefix: str = "") -> dict[str, Column]:
+def signals() -> dict[str, Column]:
     """The signals from the base counts, each from 0 (good) to 1."""
-    c = lambda n: F.col(prefix + n).cast("double")
+    c = lambda n: F.col(f"counts.{n}").cast("double")
     part = lambda a, b: F.least(F.lit(1.0), a / F.greatest(b, F.lit(1.0)))
     mean = c("word_chars") / F.greatest(c("n_words"), F.lit(1.0))
     return {
@@ -140,18 +140,17 @@ def rule_steps(bad: np.ndarray, free: np.ndarray, weight: float = 0.02) -> list[
     return [(s, c) for _, s, c in sorted(pieces, key=lambda piece: piece[0])]
 
 
-def calibrate(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", label_col: str = "quality", control: RiskControl = RiskControl(), prefix: str = "") -> DataFrame:
-    """Cutoffs as (stratum, signal, cutoff) from all rows that pass the base rules.
+def calibrate(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", control: RiskControl = RiskControl()) -> DataFrame:
+    """Cutoffs as (stratum, signal, cutoff) from all counted rows that pass the base rules.
 
-    Null labels and ids are left out; of repeated ids the smallest label counts. The histogram that rules are ordered
-    by has at most GRID + 1 rows for each stratum and signal, the one they are tested on a row for each step, and each
-    stratum is its own group.
+    Null labels and ids are left out; of repeated ids, and of good rows with one text, the smallest label counts. The
+    histogram that rules are ordered by has at most GRID + 1 rows for each stratum and signal, the one they are tested on
+    a row for each step, and each stratum is its own group.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.min(label_col).alias("_label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("_label"))
     cell = lambda x: F.floor(x * GRID).cast("int")
-    rows = counted.where(~F.col(prefix + "base_failed")).select(F.col(id_col).alias("_label_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), *[cell(x).alias(s) for s, x in signals(prefix).items()])
-    rows = staged(rows, "quality-cells")
-    labelled = rows.join(known, "_label_id")
+    rows = staged(rows.where("NOT base_failed").select("id", "stratum", "text_key", *[cell(x).alias(s) for s, x in signals().items()]), "quality-cells")
+    labelled = rows.join(known, "id")
     long = lambda df, *more: df.select("stratum", *more, F.posexplode(F.array(*map(F.col, SIGNALS))).alias("signal", "cell"))
     keys = ["stratum", "signal", "cell"]
     every = long(rows).groupBy(*keys).agg(F.count("*").alias("n"))
@@ -172,8 +171,8 @@ def calibrate(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", str
 
     paths = small_checkpoint(grid.groupBy("stratum").applyInPandas(order, "stratum string, signals array<int>, cutoffs array<int>, first array<array<int>>"))
     step = F.least(*[F.get(F.get("first", F.lit(k)), F.col(s)) for k, s in enumerate(SIGNALS)])
-    # a row per stratum is joined
-    good = labelled.where("_label = 1").join(F.broadcast(paths.select("stratum", "first")), "stratum").groupBy("stratum", step.alias("step")).agg(F.count("*").alias("good"))
+    trials = labelled.groupBy("stratum", "text_key", *SIGNALS).agg(F.min("_label").alias("_label")).where("_label = 1")
+    good = per_key(trials, paths.select("stratum", "first"), "stratum", F.xxhash64("text_key")).groupBy("stratum", step.alias("step")).agg(F.count("*").alias("good"))
     tested = small_checkpoint(good.groupBy("stratum").agg(F.collect_list(F.struct("step", "good")).alias("found")).join(paths.drop("first"), "stratum"))
     strata = max(1, tested.count())
 
@@ -192,25 +191,29 @@ def calibrate(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", str
     return small_checkpoint(tested.groupBy("stratum").applyInPandas(choose, "stratum string, signal string, cutoff double"))
 
 
-def judge(counted: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang", prefix: str = "") -> DataFrame:
-    """counted plus kept: false if the base failed or any signal is at or above its stratum's cutoff. Strata without cutoffs keep all. One row per stratum is joined."""
-    wide = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias("_cutoffs"))
-    rows = counted.withColumn("_stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
-    rows = rows.join(wide.withColumnRenamed("stratum", "_stratum"), "_stratum", "left")
-    bad = F.col(prefix + "base_failed")
-    for name, x in signals(prefix).items():
-        bad = bad | F.coalesce(F.floor(x * GRID) >= F.try_element_at("_cutoffs", F.lit(name)), F.lit(False))
-    return rows.withColumn(prefix + "kept", ~bad).drop("_stratum", "_cutoffs")
+def judge(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """The counted rows plus kept: false if the base failed or any signal is at or above its stratum's cutoff. Strata without cutoffs keep all. One row per stratum is joined, by broadcast unless there are very many."""
+    wide = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias("cutoffs"))
+    found = per_key(rows, small_checkpoint(wide), "stratum", F.xxhash64("text_key"), "left")
+    bad = F.col("base_failed")
+    for name, x in signals().items():
+        bad = bad | F.coalesce(F.floor(x * GRID) >= F.try_element_at("cutoffs", F.lit(name)), F.lit(False))
+    return found.withColumn("kept", ~bad).drop("cutoffs")
+
+
+def _stratum(stratum_col: str) -> Column:
+    return F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")
 
 
 def quality_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", control: RiskControl = RiskControl()) -> DataFrame:
-    """One row per document: id, stratum, base counts, base_failed, kept. Null texts have no words and fail; an empty table gives an empty result."""
-    counted = staged(with_counts(docs.select(id_col, stratum_col, F.col(text_col).alias("_text")), "_text").drop("_text"), "quality")
-    return judge(counted, calibrate(counted, labels, id_col, stratum_col, control=control), stratum_col)
+    """One row per document: id, stratum, base counts, base_failed, kept. Null texts have no words and fail; a null stratum is the empty one; other columns of the documents do not matter; an empty table gives an empty result."""
+    rows = counted(docs.select(F.col(id_col).alias("id"), _stratum(stratum_col), F.col(text_col).cast("string").alias("text")))
+    out = judge(rows, calibrate(rows, labels, id_col, control=control))
+    return out.select(F.col("id").alias(id_col), F.col("stratum").alias(stratum_col), *[F.col(f"counts.{n}").alias(n) for n in COUNTS], "base_failed", "kept")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", control: RiskControl = RiskControl()) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    counted = with_counts(docs, text_col, "_q_")
-    cutoffs = calibrate(counted, labels, id_col, stratum_col, control=control, prefix="_q_")
-    return judge(counted, cutoffs, stratum_col, "_q_").where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are kept, with all their columns. They are written once with their counts, so that neither the counting nor a shuffle of texts is repeated for the verdict."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = counted(docs.select(row, F.col(id_col).alias("id"), _stratum(stratum_col), F.col(text_col).cast("string").alias("text")))
+    return judge(rows, calibrate(rows, labels, id_col, control=control)).where("kept").select("row.*")

@@ -76,7 +76,7 @@ def test_quality_counts(spark, docs, rows, labels, empty):
     for r in out:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want[r.doc_id]
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
-    assert quality.quality_table(empty, labels).count() == 0
+    assert quality.quality_table(empty, labels).count() == quality.drop_low_quality(empty, labels).count() == 0
     assert set(quality.drop_low_quality(docs, labels).columns) == set(docs.columns)
     assert quality.drop_low_quality(docs, labels).count() == sum(r.kept for r in out)
 
@@ -115,6 +115,91 @@ def test_small_strata_reject(spark):
         assert good.count(False) <= 0.02 * len(good)
 
 
+def plain_signals(text):
+    n, chars, symbols, dup, repeats = plain_counts(text)
+    lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    mean = chars / max(n, 1)
+    unit = lambda x: max(0.0, min(1.0, x))
+    values = symbols * 2 / max(chars, 1), dup / max(lines, 1), repeats / max(n, 1), (5.0 - mean) / 5.0, (mean - 5.0) / 20.0
+    return [int(unit(v) * quality.GRID) for v in values], n < 50 or 100 * repeats > 50 * n
+
+
+def plain_verdicts(rows, labels, risk=0.02, delta=0.05, grid=200, weight=0.02):
+    """kept by id, from the definition: rows are (id, text, stratum), labels id -> 0 or 1 (the smallest)."""
+    from math import comb
+
+    cells = {i: plain_signals(t) for i, t, _ in rows}
+    strata = defaultdict(list)
+    for i, t, s in rows:
+        if not cells[i][1]:
+            strata[s or ""].append((i, t))
+    paths = {}
+    for s, own in strata.items():
+        bad = [cells[i][0] for i, _ in own if labels.get(i) == 0]
+        free = [cells[i][0] for i, _ in own if i not in labels]
+        steps = []
+        if not bad or not free:
+            steps = [(k, c) for c in range(grid, 0, -1) for k in range(5)]
+        else:
+            pieces = []
+            for k in range(5):
+                share = lambda group, c: sum(x[k] >= c for x in group) / len(group)  # noqa: B023, E731
+                at, slope = grid + 1, float("inf")
+                while at > 1:
+                    gains = [((share(bad, c) - share(bad, at) + weight) / (share(free, c) - share(free, at) + weight), c) for c in range(at - 1, 0, -1)]
+                    best = max(g for g, _ in gains)
+                    if best <= 1:
+                        break
+                    end, slope = next(c for g, c in gains if g == best), min(slope, best)
+                    pieces += [(-slope, k, c) for c in range(at - 1, end - 1, -1)]
+                    at = end
+            steps = [(k, c) for _, k, c in sorted(pieces, key=lambda x: x[0])]
+        trials = {}
+        for i, t in own:
+            if i in labels:
+                trials[t] = min(labels[i], trials.get(t, 1))
+        paths[s] = steps, [plain_signals(t)[0] for t, y in trials.items() if y == 1]
+    tested, chosen = max(1, sum(bool(good) for _, good in paths.values())), {}
+    for s, (steps, good) in paths.items():
+        cut, best = [grid + 1] * 5, [grid + 1] * 5
+        for k, c in steps if good else []:
+            cut[k] = c
+            wrong = sum(any(v >= x for v, x in zip(g, cut)) for g in good)
+            if sum(comb(len(good), j) * risk**j * (1 - risk) ** (len(good) - j) for j in range(wrong + 1)) > delta / tested:
+                break
+            best = list(cut)
+        chosen[s] = best
+    return {i: not cells[i][1] and not any(v >= x for v, x in zip(cells[i][0], chosen[s or ""])) for i, _, s in rows}
+
+
+def test_verdicts_equal_the_definition(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=1 + k % 9)) for k in range(400)]
+
+    def text(junk):
+        own = rng.sample(words, rng.randint(60, 75))
+        return " ".join(w + "#" * rng.randint(0, 2) if junk and rng.random() < 0.4 else w for w in own)
+
+    rows, labels = [], {}
+    for lang, good, bad, free in (("en", 420, 50, 300), (None, 250, 30, 120), ("de", 90, 20, 50), ("fr", 3, 0, 10)):
+        for k in range(good + bad + free):
+            i = len(rows)
+            junk = good <= k < good + bad or k >= good + bad + free - 25
+            rows.append((i, rows[i - 1][1] if k % 9 == 8 else text(junk or rng.random() < 0.004), lang))
+            if k < good + bad:
+                labels[i] = int(k < good)
+    rows += [(len(rows), None, "en"), (len(rows) + 1, "", None), (len(rows) + 2, "few words", "de")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, counts long, stratum long").repartition(3)
+    marks = spark.createDataFrame(list(labels.items()) + [(0, 1), (None, 0), (7, None)], "doc_id long, quality int")
+    want = plain_verdicts(rows, labels)
+    assert {r.doc_id: r.kept for r in quality.quality_table(docs, marks).collect()} == want
+    assert 0 < sum(labels.get(i) == 0 and not k for i, k in want.items())
+    left = quality.drop_low_quality(docs, marks)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, k in want.items() if k}
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "PythonUDF" not in plan  # no text is shuffled, nothing is counted again
+
+
 def test_rule_steps_take_what_separates_first():
     bad, free = np.zeros((2, 2, quality.GRID + 1), np.int64)
     bad[0, 40:50], free[0, 45], free[0, 1] = 5, 60, 340
