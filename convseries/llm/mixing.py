@@ -28,7 +28,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), sha
     Weights repeat over the sources by code point, null last. The targets share share_percent of all sizes by weight;
     a target stops at `most` times its source's size and the excess goes to the others by weight, until none is above.
     That is one water level: with r = most * size / weight ascending, the sources that stop are those whose r is at
-    most the level left for the rest. The two windows run over one row per source.
+    most the level left for the rest. The windows run over one row per source in one task (about 100 bytes each, so
+    ten million sources take a gigabyte).
     """
     by_code = Window.orderBy(F.col("source").isNull(), "source")
     at = F.pmod(F.row_number().over(by_code) - 1, F.lit(len(weights)))
@@ -77,25 +78,40 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return small_checkpoint(done.unionByName(open_at.select("source", F.col("prefix").alias("limit"))))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share_percent: int = 150, most: int = 2) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken (words, repeats counted).
-
-    Null texts have size 0; a null source is a source of its own, the last. Rows that repeat an id share its fate.
-    An empty table gives an empty result.
-    """
-    sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash36(F.col(id_col)).alias("h")), "sizes")
+def mix_table(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_percent: int = 150, most: int = 2) -> DataFrame:
+    """One row per source for documents (source, h, size): source_size, target, whole (times that all its documents are taken) and limit (documents with a lower hash are taken once more)."""
     totals = small_checkpoint(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = small_checkpoint(source_targets(totals, weights, share_percent, most).withColumn("whole", F.when(F.col("target") >= F.col("source_size"), F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")))
     limits = thresholds(sized, targets.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
     table = targets.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left").select("t.source", "source_size", "target", "whole", F.coalesce("limit", F.lit(0)).alias("limit"))
-    out = per_key(sized, small_checkpoint(table), "source", F.col("h"))
-    copies = F.least(F.lit(most).cast("long"), F.col("whole") + (F.col("h") < F.col("limit")).cast("long"))
+    return small_checkpoint(table)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash36(F.col(id_col)).alias("h"))
+    return staged(sized, "sizes")
+
+
+def _copies(most: int) -> Column:
+    return F.least(F.lit(most).cast("long"), F.col("whole") + (F.col("h") < F.col("limit")).cast("long"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share_percent: int = 150, most: int = 2) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken (words, repeats counted), copies.
+
+    Null texts have size 0; a null source is a source of its own, the last. Rows that repeat an id in a source share its
+    fate. An empty table gives an empty result.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    out = per_key(sized, mix_table(sized, weights, share_percent, most), "source", F.col("h"))
+    copies = _copies(most)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents as the mix takes them: rows that are taken twice are repeated, others dropped. Wordless texts are kept once if their hash is taken."""
-    mix = mix_sources(docs, id_col, **options).select(F.col(id_col).alias("_mix_id"), F.col("copies").alias("_mix_copies")).groupBy("_mix_id").agg(F.max("_mix_copies").alias("_mix_copies"))
-    rows = docs.join(mix.where("_mix_copies > 0"), F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*columns)
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share_percent: int = 150, most: int = 2) -> DataFrame:
+    """The documents as the mix takes them, with all their columns: those that are taken twice are repeated, others dropped. A document's source and hash decide, so no text is shuffled. Wordless texts stay if their hash is taken."""
+    table = mix_table(_sized(docs, id_col, text_col, source_col), weights, share_percent, most)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = per_key(docs.select(row, F.col(source_col).cast("string").alias("source"), hash36(F.col(id_col)).alias("h")), table, "source", F.col("h"))
+    taken = rows.withColumn("copies", _copies(most)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -243,7 +243,11 @@ def test_mix(docs, rows, empty):
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
     assert mixing.mix_sources(empty).count() == 0
     mixed = mixing.apply_mix(docs)
-    assert mixed.columns == docs.columns and sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) >= sum(taken.values()) - 4000
+    copies = Counter()
+    for r in out:
+        copies[r.doc_id] += r.copies
+    assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == +copies
+    assert mixing.apply_mix(empty).count() == 0
 
 
 # -- 3 -----------------------------------------------------------------------------------------------------------------
