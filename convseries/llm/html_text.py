@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe object canvas head".split())
+HIDDEN = frozenset("template svg object canvas audio video head".split())
+#: Elements whose content is raw text, none of it shown as the page's text: it ends at their own end tag only.
+RAW = frozenset("script style title textarea noscript iframe noembed noframes".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = RAW - {"textarea", "iframe", "noembed"} | frozenset("base basefont bgsound link meta template head".split())
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split()
@@ -28,14 +32,25 @@ CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot option optgro
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("html body table ul ol dl div article section aside nav main header footer form td th".split())
 
+#: What may stand beside a body.
+ROOT = IN_HEAD | frozenset(("html", "body"))
+
 #: Blocks that hold others; their tie to the block above differs from that of paragraphs, headings and the like.
 HOLDERS = frozenset("html body div section article main header footer nav aside form center table tbody tr td ul ol dl".split())
 
 CONTENT_MARKS = ("article", "main")
 OTHER_MARKS = ("nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "select", "textarea", "search")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S | re.I)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Open elements up to which new ones are opened inside each other, as in browsers; deeper ones count with the last of these.
+DEEPEST = 512
+
+# The states of the HTML tokenizer inside a tag, without a way back: name, attributes with quoted or bare values, end.
+_SPACE = r"[\t\n\f\r ]"
+_ATTRIBUTE = rf"""([^\t\n\f\r />][^\t\n\f\r />=]*+)(?:{_SPACE}*+={_SPACE}*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|(?=>)|([^\t\n\f\r >"'][^\t\n\f\r >]*+)))?+"""
+_NAMED = re.compile(_ATTRIBUTE)
+_TAG = re.compile(rf"""</?([a-zA-Z][^\t\n\f\r />]*+)((?:[\t\n\f\r /]++|{_ATTRIBUTE.replace("([^", "(?:[^")})*+)>""")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.I) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -48,20 +63,69 @@ class Node:
         self.parent, self.tag, self.names, self.chars, self.link_chars = parent, tag, names, 0, 0
 
 
+def tokens(page: str):  # noqa: ANN201
+    """The page as (tag, attributes, end tag or not), and texts as (None, text, False), in one pass.
+
+    Comments, declarations and the content of RAW elements are left out; what stands in a tag, comment or RAW element
+    that is never closed goes with it, as in a browser.
+    """
+    at, n = 0, len(page)
+    while at < n:
+        less = page.find("<", at)
+        if less < 0:
+            less = n
+        if less > at:
+            yield None, page[at:less], False
+        at = less
+        after = page[at + 1 : at + 3]
+        end = after[:1] == "/"
+        letter = after[1:] if end else after[:1]
+        if "a" <= letter.lower() <= "z" and letter.isascii():
+            m = _TAG.match(page, at)
+            if m is None:
+                return
+            at, tag = m.end(), m[1].lower()
+            yield tag, m[2], end
+            if not end and tag in RAW:
+                close = _RAW_END[tag].search(page, at)
+                if close is None:
+                    return
+                m = _TAG.match(page, close.start())
+                at = m.end() if m else n
+        elif page.startswith("<!--", at):
+            m = None if page.startswith((">", "->"), at + 4) else _COMMENT_END.search(page, at + 4)
+            at = page.find(">", at) + 1 if page.startswith((">", "->"), at + 4) else m.end() if m else n
+        elif after[:1] in ("!", "?") or (end and after[1:]):  # the like of a comment; an end tag without a name
+            at = page.find(">", at) + 1 or n
+        elif at < n:
+            yield None, "<", False
+            at += 1
+
+
+def _names(attributes: str) -> tuple[str, ...]:
+    """The words of class, id and role."""
+    found: dict[str, str] = {}
+    for m in _NAMED.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return tuple(w for k in ("class", "id", "role") for w in _WORDS.findall(html.unescape(found.get(k, "")).lower()))
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements (parents first) and the texts of the blocks in page order as (node, text).
 
-    End tags that a browser implies are implied; those that match nothing are left out. Inline elements belong to
-    their block; a line break is white space. Text in scripts, styles, comments and the head is none.
+    End tags that a browser implies are implied; those that match nothing are left out. A head ends at the first thing
+    that cannot stand in it. Inline elements belong to their block; a line break is white space. Text in scripts,
+    styles, titles, comments and the head is none. The time is in proportion to the page.
     """
     nodes, blocks = [Node(-1, "html", ())], []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block that they belong to
+    opened = Counter(["html"])  # how many of a tag are open
     hidden = links = 0
     text: list[str] = []
 
     def flush() -> None:
         if text:
-            joined = " ".join(html.unescape("".join(text)).split())
+            joined = " ".join("".join(text).split())
             text.clear()
             if joined:
                 blocks.append((stack[-1][1], joined))
@@ -74,28 +138,42 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag in BLOCK:
                 flush()
             stack.pop()
+            opened[tag] -= 1
             hidden -= tag in HIDDEN
             links -= tag == "a"
 
-    for m in _TOKEN.finditer(page):
-        tag = m[3]
+    def push(tag: str, node: int) -> None:
+        nonlocal hidden, links
+        if len(stack) < DEEPEST:
+            stack.append((tag, node))
+            opened[tag] += 1
+            hidden += tag in HIDDEN
+            links += tag == "a"
+
+    for tag, rest, end in tokens(page):
+        if stack[-1][0] == "head" and not end and (tag not in IN_HEAD if tag is not None else rest.strip()):
+            pop(len(stack) - 1)
+        if len(stack) == 1 and not end and (tag not in ROOT if tag is not None else rest.strip()):  # a body that is not written
+            nodes.append(Node(0, "body", ()))
+            push("body", len(nodes) - 1)
         if tag is None:
-            piece = m[0]
-            if m[1] is None and (piece[0] != "<" or len(piece) == 1) and not hidden:
+            if not hidden:
+                piece = html.unescape(rest)
                 text.append(piece)
                 if links:
                     nodes[stack[-1][1]].link_chars += len(piece.strip())
             continue
-        tag = tag.lower()
-        if m[2]:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if at and (tag in BLOCK or tag in HIDDEN or not any(stack[k][0] in SCOPE for k in range(at + 1, len(stack)))):
+        if end:
+            if not opened[tag] or tag in ("html", "body"):  # what follows a body belongs to it
+                continue
+            at = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
+            if tag in BLOCK or tag in HIDDEN or not any(stack[k][0] in SCOPE for k in range(at + 1, len(stack))):
                 pop(at)
             continue
         if tag == "br":
             text.append(" ")
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack[1:]):
+        if (tag in ("html", "body") and opened[tag]) or (tag == "head" and (len(nodes) > 1 or len(stack) > 1 or blocks)):
             continue
         if tag in CLOSES_P or tag in SIBLINGS:
             ends = SIBLINGS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
@@ -105,28 +183,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if stack[k][0] in SCOPE and stack[k][0] not in ends:
                     break
-        if tag == "body":
-            at = next((k for k, (t, _) in enumerate(stack) if t == "head"), 0)
-            if at:
-                pop(at)
         if tag in BLOCK:
             flush()
+            if tag == "textarea":
+                continue
             if tag != "hr":
-                names = tuple(w for found in _NAMED.finditer(m[4]) for w in _WORDS.findall((found[2] or found[3] or found[4] or "").lower()))
-                nodes.append(Node(stack[-1][1], tag, names))
-                stack.append((tag, len(nodes) - 1))
-        elif tag not in VOID and not m[4].endswith("/"):
-            stack.append((tag, stack[-1][1]))
-            hidden += tag in HIDDEN
-            links += tag == "a"
+                nodes.append(Node(stack[-1][1], tag, _names(rest) if rest else ()))
+                push(tag, len(nodes) - 1)
+        elif tag in RAW:
+            continue
+        elif tag not in VOID and not rest.endswith("/"):
+            push(tag, stack[-1][1])
         else:
             text.append(" " if tag == "img" else "")
-    pop(0 if len(stack) == 1 and stack[0][0] != "html" else 1)
-    if text:
-        joined = " ".join(html.unescape("".join(text)).split())
-        if joined:
-            blocks.append((0, joined))
-            nodes[0].chars += len(joined)
+    pop(1)
+    flush()
     return nodes, blocks
 
 
@@ -256,8 +327,8 @@ def labelled_pages() -> list[tuple[list[Node], list[int]]]:
     return out
 
 
-def train_model(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_rows: int = 2000) -> TreeModel:
-    """Fits the potentials to the built pages and to at most about sample_rows of the given ones, chosen by a hash of the id."""
+def train_model(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_rows: int = 2000, most_features: int = 5000) -> TreeModel:
+    """Fits the potentials to the built pages and to at most about sample_rows of the given ones, chosen by a hash of the id and the page; the driver reads the most_features commonest features of these. The pages to extract from are never limited."""
     total = pages.count()
     limit = min(1_000_000, int(1_000_000 * sample_rows / max(1, total)))
 
@@ -274,9 +345,9 @@ def train_model(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
             if found:
                 yield pd.DataFrame([(k, y, float(v)) for (k, y), v in found.items()], columns=["feature", "label", "n"]).astype({"label": "int32", "n": "float64"})
 
-    sample = pages.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < limit).select(F.col(html_col).cast("string").alias("html"))
+    sample = pages.where(F.pmod(F.xxhash64(id_col, html_col), F.lit(1_000_000)) < limit).select(F.col(html_col).cast("string").alias("html"))
     counted = sample.mapInPandas(count, "feature string, label int, n double").groupBy("feature", "label").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "feature", "label").limit(5000).collect()
+    rows = counted.orderBy(F.desc("n"), "feature", "label").limit(most_features).collect()
     counts: Counter = Counter({(r["feature"], r["label"]): r["n"] for r in rows})
     whole = sum(v for (k, _), v in counts.items() if k.startswith("tag "))
     built: Counter = Counter()
