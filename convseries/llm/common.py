@@ -63,6 +63,20 @@ def per_key(rows: DataFrame, table: DataFrame, key: str, salt: F.Column, how: st
     return left.alias("_l").join(right.alias("_r"), same & (F.col("_l._salt") == F.col("_r._salt")), how).select("_l.*", *more).drop("_salt")
 
 
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, salt: F.Column) -> DataFrame:
+    """Inner join of rows with a written table of one row per key, in which n counts the key's rows: rows of the most frequent keys are dealt to SALTS by `salt`.
+
+    Frequent are keys with more than 1,000 rows and more than the BROADCAST_ROWS-th part of all, so there are at most
+    BROADCAST_ROWS of them, which are broadcast to the rows.
+    """
+    most = max(1000, (table.agg(F.sum(n)).first()[0] or 0) // BROADCAST_ROWS)
+    often = F.col(n) > most
+    hot = table.where(often).select(*keys, F.lit(True).alias("_hot"))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(salt, F.lit(SALTS))).otherwise(0)).drop("_hot")
+    right = table.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right.hint("shuffle_merge"), [*keys, "_salt"]).drop("_salt")
+
+
 def word_count(col) -> F.Column:
     """Words in a text column as long; null counts as none."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
@@ -84,35 +98,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A 64-bit value for each byte, from the finaliser.
 BYTE_VALUES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GOLD)
-BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(BASE, -1, 1 << 64)
+#: Two odd bases, and what a byte stands for in the sums of each.
+BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+BYTES = (BYTE_VALUES, mix(BYTE_VALUES + GOLD))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        up = np.full(n, BASE, np.uint64)
-        down = np.full(n, _INVERSE, np.uint64)
+        up = np.full(n, base, np.uint64)
+        down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < at least n."""
-    return _powers(1 << max(22, int(n).bit_length()))
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < at least n."""
+    return _powers(1 << max(22, int(n).bit_length()), BASES[which])
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """s with s[j] - s[i] = sum of values[t] * BASE**t for i <= t < j, modulo 2**64."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=out[1:])
+def prefix_sums(buf: np.ndarray, which: int = 0) -> np.ndarray:
+    """s with s[j] - s[i] = sum of value(buf[t]) * base**t for i <= t < j, modulo 2**64."""
+    up, _ = powers(len(buf) + 1, which)
+    out = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(BYTES[which][buf] * up[: len(buf)], dtype=np.uint64, out=out[1:])
     return out
 
 
-def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed hashes of the ranges [start, end): equal for equal contents, wherever they stand."""
-    _, down = powers(len(sums))
+def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Mixed hashes of the ranges [start, end): equal for equal contents, wherever they stand. For ranges of up to a few hundred bytes: longer ones can be made to collide on purpose, in both sums."""
+    _, down = powers(len(sums), which)
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * GOLD)
 
 

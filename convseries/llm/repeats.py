@@ -3,7 +3,7 @@
 A string of `length` bytes that starts at two places of the corpus holds the same anchor at both: the leftmost of its
 K-byte substrings with the smallest hash. The strings that share an anchor begin side by side, so an anchor stands for a
 span of the text, with all of them. Spark counts anchors over the whole corpus. Spans whose anchor is rare need no
-look; spans that are equal as a whole are repeated as a whole. What is left are spans that share an anchor but differ
+look; spans that are equal as a whole (by 128 bits of hashes beside the anchor's 64) are repeated as a whole. What is left are spans that share an anchor but differ
 somewhere: one of each kind goes, dealt by anchor, to a run-length index.
 
 The index sorts the suffixes of a block of spans, forms the Burrows-Wheeler transform and keeps only the ends of its
@@ -23,13 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convseries.llm.common import BYTE_VALUES, GOLD, mix, powers, prefix_sums, range_hashes, staged, text_chunks
+from convseries.llm.common import GOLD, mix, powers, prefix_sums, range_hashes, salted_join, staged, text_chunks
 
 LENGTH = 200
 #: Bytes of an anchor.
 K = 32
-#: Low bits of a place in the keys that choose anchors.
-_PLACE_BITS = np.uint64(28)
+#: Low bits of a place in the keys that choose anchors: texts have less than 4 GB.
+_PLACE_BITS = np.uint64(32)
 #: Most different spans of one anchor in the index, and about the bytes of a block.
 MOST_SPANS, BLOCK_BYTES = 1500, 2_000_000
 SEPARATOR = 0xFF  # never in UTF-8
@@ -50,12 +50,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_spans(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, span hash, first, more, rel) of the spans of texts: the strings of `length` bytes that start at first and the next `more` bytes share the anchor, which stands rel bytes after first."""
-    none = (np.zeros(0, np.int64),) * 6
+    """(text, anchor hash, two span hashes, first, more, rel) of the spans of texts: the strings of `length` bytes that start at first and the next `more` bytes share the anchor, which stands rel bytes after first."""
+    none = (np.zeros(0, np.int64),) * 7
     if len(buf) < length:
         return none
     width = length - K + 1
-    sums = prefix_sums(BYTE_VALUES[buf])
+    sums = prefix_sums(buf)
     at = np.arange(len(buf) - K + 1)
     _, down = powers(len(sums))
     keys = ((sums[K:] - sums[:-K]) * down[: len(at)] * GOLD) >> _PLACE_BITS << _PLACE_BITS | at.astype(np.uint64)
@@ -73,24 +73,24 @@ def anchor_spans(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     ok = first <= last
     text, first, last = text[ok], first[ok], last[ok]
     anchor = place[first]
-    spans = range_hashes(sums, first, last + length)
     # where the anchor stands in the span is part of what makes spans equal
-    return text, range_hashes(sums, anchor, anchor + K).view(np.int64), mix(spans + (anchor - first).astype(np.uint64)).view(np.int64), first - offsets[text], last - first, anchor - first
+    spans = [mix(range_hashes(x, first, last + length, k) + (anchor - first).astype(np.uint64)).view(np.int64) for k, x in enumerate((sums, prefix_sums(buf, 1)))]
+    return text, range_hashes(sums, anchor, anchor + K).view(np.int64), *spans, first - offsets[text], last - first, anchor - first
 
 
 def span_table(docs: DataFrame, length: int) -> DataFrame:
-    """(a, s, id, t, first, more, rel): every span of every text (id, t, text)."""
+    """(a, s, s2, d, first, more, rel): every span of every text (d, text)."""
 
     def find(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for row, buf, offsets in text_chunks(batch.column(2), 2_000_000):
-                text, a, s, first, more, rel = anchor_spans(buf, offsets, length)
+            for row, buf, offsets in text_chunks(batch.column(1), 2_000_000):
+                text, a, s, s2, first, more, rel = anchor_spans(buf, offsets, length)
                 take = pa.array(row + text)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int64()), pa.array(more.astype(np.int16)), pa.array(rel.astype(np.int16))], names=["a", "s", "id", "t", "first", "more", "rel"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(s2), batch.column(0).take(take), pa.array(first, pa.int64()), pa.array(more.astype(np.int16)), pa.array(rel.astype(np.int16))], names=["a", "s", "s2", "d", "first", "more", "rel"])
 
-    return docs.mapInArrow(find, "a long, s long, id long, t int, first long, more short, rel short")
+    return docs.mapInArrow(find, "a long, s long, s2 long, d binary, first long, more short, rel short")
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +202,7 @@ def mark_block(spans: list[bytes], length: int) -> list[list[tuple[int, int]]]:
 
 
 def _indexed_marks(spans: DataFrame, length: int) -> DataFrame:
-    """Marks (id, t, start, end) of the spans (PIECE) that occur once, each anchor within one block."""
+    """Marks (d, start, end) of the spans (PIECE) that occur once, each anchor within one block."""
 
     def mark(batches):
         import pandas as pd
@@ -210,26 +210,26 @@ def _indexed_marks(spans: DataFrame, length: int) -> DataFrame:
         held: list = []
 
         def flush(rows):
-            found = mark_block([r[5] for r in rows], length)
-            out = [(r[1], r[2], r[3] + a, r[3] + b) for r, marks in zip(rows, found) if r[4] == 1 for a, b in marks]
-            return pd.DataFrame(out, columns=["id", "t", "start", "end"]).astype({"id": object, "t": "int32", "start": "int64", "end": "int64"})
+            found = mark_block([r[4] for r in rows], length)
+            out = [(r[1], r[2] + a, r[2] + b) for r, marks in zip(rows, found) if r[3] == 1 for a, b in marks]
+            return pd.DataFrame(out, columns=["d", "start", "end"]).astype({"d": object, "start": "int64", "end": "int64"})
 
         size = 0
         for batch in batches:
-            for r in batch[["a", "id", "t", "first", "n", "bytes"]].itertuples(index=False, name=None):
+            for r in batch[["a", "d", "first", "n", "bytes"]].itertuples(index=False, name=None):
                 if size >= BLOCK_BYTES and held[-1][0] != r[0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[5])
+                size += len(r[4])
         if held:
             yield flush(held)
 
-    return spans.repartition("a").sortWithinPartitions("a", "s").mapInPandas(mark, "id long, t int, start long, end long")
+    return spans.repartition("a").sortWithinPartitions("a", "s", "s2").mapInPandas(mark, "d binary, start long, end long")
 
 
 #: A span of one kind: its anchor and span keys, place, number of occurrences, the distances (lo, hi) from the anchor at which its strings may start, and its bytes.
-PIECE = "a long, s long, id long, t int, first long, more int, rel int, n long, lo int, hi int, bytes binary"
+PIECE = "a long, s long, s2 long, d binary, first long, more int, rel int, n long, lo int, hi int, bytes binary"
 
 
 def _halves(pieces: DataFrame, length: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _halves(pieces: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for a, i, t, first, more, rel, n, lo, hi, raw in batch[["a", "id", "t", "first", "more", "rel", "n", "lo", "hi", "bytes"]].itertuples(index=False, name=None):
+            for a, d, first, more, rel, n, lo, hi, raw in batch[["a", "d", "first", "more", "rel", "n", "lo", "hi", "bytes"]].itertuples(index=False, name=None):
                 middle = (lo + hi) // 2
                 for low, high in ((lo, middle), (middle + 1, hi)):
                     x, y = max(low, -rel), min(high, more - rel)
@@ -249,8 +249,8 @@ def _halves(pieces: DataFrame, length: int) -> DataFrame:
                     skip = x + rel  # strings of the piece before this half
                     core = raw[rel + high : rel + low + length]
                     part = raw[skip : rel + y + length]
-                    key, own = (int.from_bytes(hashlib.blake2b(b, digest_size=8, salt=f"{low},{high}".encode()).digest(), "little", signed=True) for b in (a.to_bytes(8, "little", signed=True) + core, part + bytes([(rel - skip) & 0xFF])))
-                    out.append((key, own, i, t, first + skip, y - x, rel - skip, n, low, high, part))
+                    key, own = (hashlib.blake2b(b, digest_size=16, salt=f"{low},{high}".encode()).digest() for b in (a.to_bytes(8, "little", signed=True) + core, part + bytes([(rel - skip) & 0xFF])))
+                    out.append((*np.frombuffer(key[:8] + own, "<i8").tolist(), d, first + skip, y - x, rel - skip, n, low, high, part))
             if out:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
 
@@ -262,12 +262,12 @@ def _crowded_marks(pieces: DataFrame, length: int) -> DataFrame | None:
     marks = None
     while not pieces.isEmpty():
         parts = staged(_halves(pieces, length), "halves")
-        fields = ["id", "t", "first", "more", "rel", "lo", "hi", "bytes"]
-        kinds = staged(parts.groupBy("a", "s").agg(F.sum("n").alias("n"), F.min(F.struct(*fields)).alias("one")), "kinds")
-        often = kinds.where("n > 1").select("a", "s")
-        found = parts.where("n = 1").join(often.hint("shuffle_merge"), ["a", "s"]).select("id", "t", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("end"))
+        fields = ["d", "first", "more", "rel", "lo", "hi", "bytes"]
+        kinds = staged(parts.groupBy("a", "s", "s2").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.min(F.struct(*fields)).alias("one")), "kinds")
+        often = staged(kinds.where("n > 1").select("a", "s", "s2", "parts"), "often")
+        found = salted_join(parts.where("n = 1").drop("n"), often, ["a", "s", "s2"], "parts", F.xxhash64("d", "first")).select("d", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("end"))
         groups = staged(kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("a", "kinds"), "open")
-        left = staged(kinds.join(groups.hint("shuffle_merge"), "a").select("a", "s", "n", "kinds", "one.*"), "pieces")
+        left = staged(salted_join(kinds.drop("parts"), groups, ["a"], "kinds", F.col("s")).select("a", "s", "s2", "n", "kinds", "one.*"), "pieces")
         found = found.union(_indexed_marks(left.where(F.col("kinds") <= MOST_SPANS), length))
         marks = found if marks is None else marks.union(found)
         pieces = left.where(F.col("kinds") > MOST_SPANS)
@@ -275,36 +275,36 @@ def _crowded_marks(pieces: DataFrame, length: int) -> DataFrame | None:
 
 
 def repeated_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, t, start, end): ranges of bytes of the texts (id, t, text) covered by strings that also start elsewhere; ranges may overlap."""
-    spans = span_table(docs, length)
-    anchors = spans.groupBy("a").agg(F.count("*").alias("times"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("times > 1")
-    shared = staged(anchors.select("a", (F.col("lo") != F.col("hi")).alias("differ")), "shared")  # written, so that the join can split a frequent anchor
-    rows = staged(spans.join(shared.hint("shuffle_merge"), "a"), "spans")
+    """(d, start, end): ranges of bytes of the texts (d, text) covered by strings that also start elsewhere; ranges may overlap. Equal rows have equal keys d."""
+    spans, kind, place = span_table(docs, length), ["a", "s", "s2"], F.xxhash64("d", "first")
+    anchors = spans.groupBy("a").agg(F.count("*").alias("times"), *[f(c).alias(f"{n}_{c}") for c in ("s", "s2") for n, f in (("lo", F.min), ("hi", F.max))]).where("times > 1")
+    shared = staged(anchors.select("a", "times", ((F.col("lo_s") != F.col("hi_s")) | (F.col("lo_s2") != F.col("hi_s2"))).alias("differ")), "shared")
+    rows = staged(salted_join(spans, shared, ["a"], "times", place).drop("times"), "spans")
     end = F.col("first") + F.col("more") + length
-    same = rows.where("NOT differ").select("id", "t", F.col("first").alias("start"), end.alias("end"))
+    same = rows.where("NOT differ").select("d", F.col("first").alias("start"), end.alias("end"))
 
-    kinds = staged(rows.where("differ").groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "first", "more", "rel")).alias("one")), "kinds")
-    repeated = kinds.where("n > 1").select("a", "s")
-    whole = rows.where("differ").join(repeated.hint("shuffle_merge"), ["a", "s"]).select("id", "t", F.col("first").alias("start"), end.alias("end"))
+    kinds = staged(rows.where("differ").groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("d", "first", "more", "rel")).alias("one")), "kinds")
+    repeated = kinds.where("n > 1").select(*kind, "n")
+    whole = salted_join(rows.where("differ"), repeated, kind, "n", place).select("d", F.col("first").alias("start"), end.alias("end"))
 
     # one span of each kind, for anchors with a kind that occurs once
     open_anchors = staged(kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1").select("a", "kinds"), "open")
-    wanted = kinds.join(open_anchors.hint("shuffle_merge"), "a").select("a", "s", "n", "kinds", "one.*")
-    wanted = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("a", "s", "n", "kinds", "first", "more", "rel")).alias("spans"))
+    wanted = salted_join(kinds, open_anchors, ["a"], "kinds", F.col("s")).select(*kind, "n", "kinds", "one.*")
+    wanted = wanted.groupBy("d").agg(F.collect_list(F.struct(*kind, "n", "kinds", "first", "more", "rel")).alias("spans"))
 
     def cut(batches):
         import pandas as pd
 
         for batch in batches:
             out = []
-            for i, t, text, spans_of in zip(batch["id"], batch["t"], batch["text"], batch["spans"]):
+            for d, text, spans_of in zip(batch["d"], batch["text"], batch["spans"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(x["a"], x["s"], i, t, x["first"], x["more"], x["rel"], x["n"], K - length, 0, raw[x["first"] : x["first"] + x["more"] + length], x["kinds"]) for x in spans_of]
+                out += [(x["a"], x["s"], x["s2"], d, x["first"], x["more"], x["rel"], x["n"], K - length, 0, raw[x["first"] : x["first"] + x["more"] + length], x["kinds"]) for x in spans_of]
             if out:
                 yield pd.DataFrame(out, columns=[*(c.split()[0] for c in PIECE.split(", ")), "kinds"])
 
-    pieces = docs.join(wanted.hint("shuffle_merge"), ["id", "t"]).select("id", "t", "text", "spans").mapInPandas(cut, f"{PIECE}, kinds long")
-    pieces = staged(pieces.dropDuplicates(["a", "s"]), "pieces")
+    pieces = docs.join(wanted.hint("shuffle_merge"), "d").select("d", "text", "spans").mapInPandas(cut, f"{PIECE}, kinds long")
+    pieces = staged(pieces.dropDuplicates(kind), "pieces")
     marks = _indexed_marks(pieces.where(F.col("kinds") <= MOST_SPANS), length)
     crowded = _crowded_marks(pieces.where(F.col("kinds") > MOST_SPANS), length)
     return same.union(whole).union(marks) if crowded is None else same.union(whole).union(marks).union(crowded)
@@ -323,12 +323,16 @@ def _merged(ranges) -> list[list[int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and `removed`, the maximal ranges as array<struct<start,end>>.
 
-    Texts are UTF-8 bytes, null is empty; texts shorter than `length` lose nothing. Two rows with one id are two
-    documents; if their texts are equal each repeats the other. An empty table gives an empty result.
+    Texts are UTF-8 bytes, null is empty; texts shorter than `length` lose nothing. Two rows with one id, or without,
+    are two documents; if their texts are equal each repeats the other. Other columns do not matter. An empty table
+    gives an empty result. Inside, a document is known by a 128-bit digest of its id and text, so that rows without id
+    are searched like others and equal rows share their ranges.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("t", F.hash("text")).select("id", "t", "text")
-    marks = repeated_marks(base.where(F.octet_length("text") >= length).where("id IS NOT NULL"), length)
-    by_doc = marks.distinct().groupBy("id", "t").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    base = own.select(F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(" "), F.col("text")).cast("binary"))).alias("d"), "id", "text")
+    marks = repeated_marks(base.select("d", "text").where(F.octet_length("text") >= length), length)
+    by_doc = marks.distinct().groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
     def cut(batches):
         import pandas as pd
@@ -343,9 +347,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(raw[at:a])
                     at = b
                 kept.append(raw[at:])
-                out.append((i, len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": a, "end": b} for a, b in gone]))
+                out.append((None if i is None or i != i else int(i), len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": a, "end": b} for a, b in gone]))
             if out:
-                yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+                yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]).astype({"id": "Int64"})
 
-    out = base.join(by_doc.hint("shuffle_merge"), ["id", "t"], "left").select("id", "text", "marks")
+    out = base.join(by_doc.hint("shuffle_merge"), "d", "left").select(F.col("id").cast("string").alias("id"), "text", "marks")  # as text: pandas would make nulls of integers floats
     return out.mapInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)

@@ -277,6 +277,20 @@ def test_repeats(docs, rows, empty, monkeypatch, most):
         assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_without_ids_and_of_frequent_passages(spark, monkeypatch):
+    """Null and repeated ids are documents like others; a passage in every document is dealt to salts."""
+    rng = random.Random(6)
+    text = lambda k: "".join(rng.choices("abcdefghij ", k=k))
+    often, rare = text(300), text(260)
+    rows = [(None if k % 3 == 0 else k % 50, text(rng.randint(0, 150)) + often[rng.randint(0, 60) :] + text(30)) for k in range(1100)]
+    rows += [(None, text(20) + rare), (7, rare + text(20)), (None, None), (None, text(431)), (3, "x" * 500), (3, "x" * 230)]
+    rows += [(None, rows[-3][1]), (None, rows[-3][1])]
+    docs = spark.createDataFrame([(*r, 1, b"x") for r in rows], "doc_id long, text string, a long, d binary").repartition(5)
+    show = lambda rows: Counter((-1 if i is None else i, *x) for i, *x in rows)
+    got = show((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect())
+    assert got == show((r[0], *x) for r, x in zip(rows, plain_removed([(r[1] or "").encode() for r in rows], 200)))
+
+
 def test_run_length_index():
     rng = random.Random(2)
     for t in range(60):
