@@ -63,8 +63,8 @@ def per_key(rows: DataFrame, table: DataFrame, key: str, salt: F.Column, how: st
     return left.alias("_l").join(right.alias("_r"), same & (F.col("_l._salt") == F.col("_r._salt")), how).select("_l.*", *more).drop("_salt")
 
 
-def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, salt: F.Column) -> DataFrame:
-    """Inner join of rows with a written table of one row per key, in which n counts the key's rows: rows of the most frequent keys are dealt to SALTS by `salt`.
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, salt: F.Column, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with a written table of one row per key, in which n counts the key's rows: rows of the most frequent keys are dealt to SALTS by `salt`.
 
     Frequent are keys with more than 1,000 rows and more than the BROADCAST_ROWS-th part of all, so there are at most
     BROADCAST_ROWS of them, which are broadcast to the rows.
@@ -74,7 +74,7 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, salt
     hot = table.where(often).select(*keys, F.lit(True).alias("_hot"))
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(salt, F.lit(SALTS))).otherwise(0)).drop("_hot")
     right = table.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right.hint("shuffle_merge"), [*keys, "_salt"]).drop("_salt")
+    return left.join(right.hint("shuffle_merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def word_count(col) -> F.Column:

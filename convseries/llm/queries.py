@@ -70,7 +70,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-#: Rules of the URL filter, and the words that make a host a listed one.
+#: Rules of the URL filter, and the words that put a host of the pages on the list of this query.
 RULES = [
     url_filter.UrlRule("allow", "org", "/"),
     url_filter.UrlRule("block", "example.org", "/es/"),
@@ -83,7 +83,9 @@ LISTED_HOSTS = r"(^|[.-])(casino|bets|pills|spam|adult|ads)([.-]|$)"
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule and verdict of every page's url."""
-    out = url_filter.filter_urls(_table(spark, sf_dir, "pages"), RULES, F.col("key").rlike(LISTED_HOSTS))
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.select(url_filter.url_host(F.col("url")).alias("key")).where(F.col("key").rlike(LISTED_HOSTS)).distinct()
+    out = url_filter.filter_urls(pages, RULES, listed)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 

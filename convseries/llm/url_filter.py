@@ -3,19 +3,18 @@
 The cascade alternates levels. Level 1 is a Bloom filter of the listed keys; level 2 holds the other keys of the
 corpus that level 1 lets through; level 3 the listed keys that level 2 lets through, and so on until a level lets
 none of the other side through. Every key of the corpus is known when the levels are built, so the walk through the
-levels decides membership exactly, with no join over the pages. A level is one row with an array of 64-bit words; the
-pages read it as a scalar subquery, so its size is checked first: beyond max_filter_bytes the same answer comes from
-an equi-join on the key.
+levels decides membership exactly, with no join over the pages. Pages read the levels' words as scalar subqueries of a
+few rows (see `bloom`), whose size has a bound: lists too long for it get fewer bits a key and more levels.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convseries.llm.bloom import BloomFilter, bloom_filter
 from convseries.llm.common import small_checkpoint
 
 
@@ -57,66 +56,29 @@ def rule_for(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Column,
     return text, verdict
 
 
-def _positions(key: Column, level: int, n_bits: int, n_hashes: int) -> list[Column]:
-    first = F.pmod(F.xxhash64(key, F.lit(2 * level)), F.lit(n_bits))
-    step = F.pmod(F.xxhash64(key, F.lit(2 * level + 1)), F.lit(n_bits))
-    return [F.pmod(first + step * F.lit(i), F.lit(n_bits)) for i in range(n_hashes)]
-
-
-@dataclass
-class BloomLevel:
-    """One level: its number, size, hashes and the one-row DataFrame with the words."""
-
-    level: int
-    n_bits: int
-    n_hashes: int
-    words: DataFrame
-
-    def holds(self, key: Column) -> Column:
-        """Whether the level lets the key through."""
-        words = self.words.scalar()
-        found = F.lit(True)
-        for p in _positions(key, self.level, self.n_bits, self.n_hashes):
-            word = F.get(words, F.shiftright(p, 6).cast("int"))
-            found = found & (F.getbit(word, (p % 64).cast("int")) == 1)
-        return found
-
-
-def bloom_level(keys: DataFrame, n_keys: int, level: int, bits_per_key: int) -> BloomLevel:
-    """A Bloom filter of the column `key`. Bits are set by bit_or over words, combined on the map side; the words meet in one row, whose size is n_keys * bits_per_key bits."""
-    n_words = max(1, math.ceil(n_keys * bits_per_key / 64))
-    n_hashes = max(1, round(bits_per_key * math.log(2)))
-    position = F.explode(F.array(*_positions(F.col("key"), level, 64 * n_words, n_hashes)))
-    set_bits = keys.select(position.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p % 64 AS INT))").alias("bits"))
-    empty = keys.sparkSession.range(n_words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    words = set_bits.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    row = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
-    return BloomLevel(level, 64 * n_words, n_hashes, small_checkpoint(row))
-
-
 class BloomCascade:
     """Exact membership of listed keys over a complete universe of keys."""
 
-    def __init__(self, levels: list[BloomLevel]):
+    def __init__(self, levels: list[BloomFilter]):
         self.levels = levels
 
     def contains(self, key: Column) -> Column:
         """True for listed keys. The first level that stops a key decides: an odd level stops other keys, an even one listed keys."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(self.levels):
-            out = F.when(~level.holds(key), F.lit(level.level % 2 == 0)).otherwise(out)
+            out = F.when(~level.holds(key), F.lit(level.seed % 2 == 0)).otherwise(out)
         return out
 
     @staticmethod
-    def build(universe: DataFrame, bits_per_key: int = 10, max_filter_bytes: int = 8 << 20) -> BloomCascade | None:
-        """From a table (key, listed) with each key of the corpus once. None where a level would be larger than max_filter_bytes."""
-        levels: list[BloomLevel] = []
+    def build(universe: DataFrame, bits_per_key: int = 10, **sizes: int) -> BloomCascade:
+        """From a table (key, listed) with each key of the corpus once. sizes: bounds of the filters, as bloom_filter takes them. An error where even one bit for each listed key passes them."""
+        levels: list[BloomFilter] = []
         inside, outside = universe.where("listed").select("key"), universe.where("NOT listed").select("key")
         n = inside.count()
         while True:
-            if n * bits_per_key / 8 > max_filter_bytes:
-                return None
-            level = bloom_level(inside, n, len(levels) + 1, bits_per_key)
+            level = bloom_filter(inside, n, len(levels) + 1, bits_per_key, **sizes)
+            if level.n_bits < n:
+                raise ValueError(f"{n} listed keys are too many for a filter of {level.n_bits} bits")
             levels.append(level)
             outside = small_checkpoint(outside.where(level.holds(F.col("key"))))
             n = outside.count()
@@ -125,26 +87,23 @@ class BloomCascade:
             inside, outside = outside, inside
 
 
-def host_universe(pages: DataFrame, listed: Column, url_col: str = "url") -> DataFrame:
-    """Each host of the pages once, as (key, listed); listed is an expression over `key`."""
-    hosts = pages.select(url_host(F.col(url_col)).alias("key")).distinct()
-    return small_checkpoint(hosts.withColumn("listed", F.coalesce(listed, F.lit(False))))
+def host_universe(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
+    """Each host of the pages once, as (key, listed); listed is a table with the column `key`, of which only hosts of the pages are taken."""
+    hosts = pages.select(url_host(F.col(url_col)).alias("key"), F.lit(True).alias("here"), F.lit(False).alias("listed"))
+    marked = listed.select(F.col("key").cast("string").alias("key"), F.lit(False).alias("here"), F.lit(True).alias("listed"))
+    both = hosts.unionByName(marked).groupBy("key").agg(F.bool_or("here").alias("here"), F.bool_or("listed").alias("listed"))
+    return small_checkpoint(both.where("here").select("key", "listed"))
 
 
-def filter_urls(pages: DataFrame, rules: list[UrlRule], listed: Column, url_col: str = "url", bits_per_key: int = 10, max_filter_bytes: int = 8 << 20) -> DataFrame:
-    """pages plus host, path, rule and verdict: the longest rule's, else block for listed hosts and allow for others.
+def filter_urls(pages: DataFrame, rules: list[UrlRule], listed: DataFrame, url_col: str = "url", bits_per_key: int = 10, **sizes: int) -> DataFrame:
+    """pages plus host, path, rule and verdict: the longest rule's, else block for hosts in the column `key` of listed and allow for others.
 
-    Null urls and those without '://' have an empty host and path, which is never listed by default. Repeated rows
-    stay repeated; an empty table gives an empty one. Columns of the pages named host, path, rule or verdict are replaced.
+    Null urls and those without '://' have an empty host and path; the empty host is listed only if the list has it.
+    Repeated and null keys of the list do not matter, nor do null page ids or urls of any length. Repeated rows stay
+    repeated; an empty table gives an empty one. Columns of the pages named host, path, rule or verdict are replaced.
     """
-    universe = host_universe(pages, listed, url_col)
-    cascade = BloomCascade.build(universe, bits_per_key, max_filter_bytes)
-    out = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
-    text, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    if cascade is not None:
-        is_listed = cascade.contains(F.col("host"))
-        return out.withColumns({"rule": text, "verdict": F.coalesce(verdict, F.when(is_listed, "block").otherwise("allow"))})
-    keys = universe.where("listed").select(F.col("key").alias("_listed_key"))
-    out = out.join(keys, F.col("host") == F.col("_listed_key"), "left")
-    out = out.withColumns({"rule": text, "verdict": F.coalesce(verdict, F.when(F.col("_listed_key").isNotNull(), "block").otherwise("allow"))})
-    return out.drop("_listed_key")
+    cascade = BloomCascade.build(host_universe(pages, listed, url_col), bits_per_key, **sizes)
+    url = F.col(url_col)
+    text, verdict = rule_for(url_host(url), url_path(url), rules)
+    verdict = F.coalesce(verdict, F.when(cascade.contains(url_host(url)), "block").otherwise("allow"))
+    return pages.withColumns({"host": url_host(url), "path": url_path(url), "rule": text, "verdict": verdict})

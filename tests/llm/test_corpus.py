@@ -424,13 +424,23 @@ def test_exact_groups(docs, rows, empty, digits):
     for r in rows:
         groups[norm(r[1])].append(r)
     want = sorted((r[0], min(g, key=lambda x: (-len(x[1] or ""), x[0]))[0], len(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for r in g)
-    out = exact_dedup.exact_groups(docs, digest_hex=digits).collect()
+    out = exact_dedup.exact_groups(docs, digest_hex=digits, memtable_rows=3 if digits == 64 else 100).collect()  # 24 runs, two levels
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out) == want
     assert all(r.kept == (r.doc_id == r.keep_id) for r in out)
     if digits == 64:
         assert exact_dedup.exact_groups(empty).count() == 0
         kept = exact_dedup.drop_exact_copies(docs)
         assert kept.columns == docs.columns and kept.select("doc_id").distinct().count() == len(groups)
+        assert exact_dedup.drop_exact_copies(empty).count() == 0
+
+
+def test_exact_groups_without_ids(spark):
+    rows = [(None, "a b"), (None, "ab"), (4, "a  b"), (5, None), (None, ""), (6, "c"), (None, "d")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, digest string, sha string")
+    out = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect())
+    assert out == Counter([(None, 4, 3, False), (None, 4, 3, False), (4, 4, 3, True), (5, 5, 2, True), (None, 5, 2, False), (6, 6, 1, True), (None, None, 1, True)])
+    left = exact_dedup.drop_exact_copies(docs)
+    assert left.columns == docs.columns and Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(4, "a  b"), (5, None), (6, "c"), (None, "d")])
 
 
 # -- 6 -----------------------------------------------------------------------------------------------------------------
@@ -690,16 +700,18 @@ def test_dominance_keeps_the_optimum():
 
 def test_urls(spark):
     urls = ["http://A.Example.org/es/x?y", "https://example.org/en/12#t", "https://example.org", "x://www.casino-win.example.net?q=/", "ftp://b.com/de/", "http://com/fr/1", "no scheme", None, "", "http://spam-farm.example.org/en/7", "http://notexample.org/es/", "HTTP://ads.x/"]
-    pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)] + [(0, urls[0], "again")], "page_id long, url string, rule string")
-    listed = F.col("key").rlike(queries.LISTED_HOSTS)
+    urls += ["http://ads.x/" + "y" * 100_000]
+    pages = spark.createDataFrame([(i, u, "mine", "k", True) for i, u in enumerate(urls)] + [(0, urls[0], "again", "k", False)], "page_id long, url string, rule string, key string, listed boolean")
+    listed = spark.createDataFrame([(h,) for h in ("www.casino-win.example.net", "spam-farm.example.org", "ads.x", "ads.x", "not.here", None)], "key string")
     out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, queries.RULES, listed).collect()}
     assert out == {
         0: ("a.example.org", "/es/x", "example.org/es/", "block"), 1: ("example.org", "/en/12", "example.org/en/1", "block"), 2: ("example.org", "", None, "allow"), 3: ("www.casino-win.example.net", "", None, "block"),
         4: ("b.com", "/de/", "com/de/", "block"), 5: ("com", "/fr/1", "com/fr/", "allow"), 6: ("", "", None, "allow"), 7: ("", "", None, "allow"), 8: ("", "", None, "allow"),
-        9: ("spam-farm.example.org", "/en/7", "org/", "allow"), 10: ("notexample.org", "/es/", "org/", "allow"), 11: ("ads.x", "/", None, "block"),
+        9: ("spam-farm.example.org", "/en/7", "org/", "allow"), 10: ("notexample.org", "/es/", "org/", "allow"), 11: ("ads.x", "/", None, "block"), 12: ("ads.x", "/" + "y" * 100_000, None, "block"),
     }
-    joined = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, queries.RULES, listed, max_filter_bytes=0).collect()}
-    assert joined == out and url_filter.filter_urls(pages.limit(0), queries.RULES, listed).count() == 0
+    assert url_filter.filter_urls(pages.limit(0), queries.RULES, listed).count() == 0
+    null = spark.createDataFrame([(None, None), (None, "http://ads.x/")], "page_id long, url string")
+    assert sorted(r.verdict for r in url_filter.filter_urls(null, queries.RULES, listed).collect()) == ["allow", "block"]
 
 
 def test_cascade_is_exact(spark):
@@ -707,6 +719,15 @@ def test_cascade_is_exact(spark):
     cascade = url_filter.BloomCascade.build(universe, bits_per_key=3)
     assert len(cascade.levels) > 2
     assert universe.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
+    cut = url_filter.BloomCascade.build(universe, bits_per_key=3, part_words=4)
+    assert len(cut.levels[0].parts) == 4  # a filter of several rows
+    assert universe.where(cut.contains(F.col("key")) != F.col("listed")).count() == 0
+    half = universe.withColumn("listed", F.xxhash64("key") % 2 == 0)
+    short = url_filter.BloomCascade.build(half, part_words=16, most_parts=2)
+    assert short.levels[0].n_bits == 2048  # far fewer than ten bits a key
+    assert half.where(short.contains(F.col("key")) != F.col("listed")).count() == 0
+    with pytest.raises(ValueError, match="too many"):
+        url_filter.BloomCascade.build(universe, part_words=1, most_parts=1)
 
 
 # -- queries -----------------------------------------------------------------------------------------------------------
