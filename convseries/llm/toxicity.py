@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become symbols: insults (a lexicon induced from the labelled rows and seeds), slurs (words with an induced stem,
-weaker evidence than insults), threats, targets, negations and reporting verbs. Small acceptors read the symbols of a clause: one for what is said (insult or threat), one for whether
-a person is meant, one for negation that stands before it, one for reported speech. Their composition is a single
-automaton whose final states tell how a clause matches, each with a weight. The weights are fitted to the labelled rows
-of the training folds; a document's score is the logistic of the weights of its matched clauses.
+weaker evidence than insults), threats, targets, negations and reporting verbs. Small acceptors read the symbols of a
+clause: one for what is said (insult or threat), one for whether a person is meant, one for negation that stands before
+it, one for reported speech, which a quotation carries over the ends of its clauses. Their composition is a single
+automaton whose final states tell how a clause matches, each with a weight. What its own clauses assert, neither negated
+nor reported, also counts once by word: a text that throws many different insults weighs more than one that repeats one.
+Words outside matched clauses, and those of negated or reported ones, do not enter. The weights are fitted to the
+labelled rows of the training folds; a document's score is the logistic of the weights of its matched clauses.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ REPORTS = frozenset("said says say wrote writes called calls quoted quotes claim
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, SLUR = range(6)
 SYMBOLS = 6
-_SYMBOLS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+")
+#: Words, ends of clauses, and marks of quotations.
+_SYMBOLS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]+|[\"“”„«»]")
+_ENDS, _QUOTES = frozenset(".!?;\n"), frozenset("\"“”„«»")
 
 
 @dataclass(frozen=True)
@@ -70,7 +75,7 @@ ARCS, STATES = compose(SAID, MEANT, NEGATED, REPORTED)
 #: Classes of matched clauses: (what is said, a person is meant, negated, reported).
 CLASSES = [(s, m, n, r) for s, m, n, r in product((1, 2, 3, 4, 5), (0, 1), (0, 1), (0, 1))]
 _CLASS_OF = [CLASSES.index((s, m, int(n == 2), int(r == 2))) if s else -1 for s, m, n, r in STATES]
-#: Counts of the classes, of different insults, of different slurs, of different slurs of one stem, and the matched share.
+#: Counts of the classes; of different insults, different slurs and different slurs of one stem in asserted clauses; and the matched share.
 N_FEATURES = len(CLASSES) + 4
 STEM_SIZES = (4, 5, 6, 7)
 
@@ -97,41 +102,55 @@ class ToxicGrammar:
         found = self.symbols.get(word)
         return SLUR if found is None and self.stems_of(word) else found
 
+    def known(self, words: set[str]) -> dict[str, int]:
+        """The symbols of those words that have one."""
+        return {w: s for w in words if (s := self.symbol(w)) is not None}
+
+    @staticmethod
+    def matches(words: list[str], known: dict[str, int]):  # noqa: ANN205
+        """The matched clauses of a text's words and marks as (first word, end, class number, words that say it).
+
+        A quotation that opens after a reporting verb reports up to its end mark, at most to the end of its line."""
+        state, first, said, reported = 0, 0, [], False
+        for k, w in enumerate([*words, "\n"]):
+            if w[0] in _ENDS:
+                if _CLASS_OF[state] >= 0:
+                    yield first, k, _CLASS_OF[state], said
+                reported = reported and "\n" not in w
+                state, first, said = ARCS[(0, REPORT)] if reported else 0, k + 1, []
+            elif w in _QUOTES:
+                if reported and state == ARCS[(0, REPORT)]:  # the quotation ended with the clause before
+                    state = 0
+                reported = not reported and STATES[state][3] == 1
+            elif (s := known.get(w)) is not None:
+                state = ARCS[(state, s)]
+                if s in (INSULT, SLUR):
+                    said.append(w)
+
     def clauses(self, text: str | None) -> list[tuple[str, tuple[int, int, int, int]]]:
         """Matched clauses of a text as (clause, class); none for null."""
-        out = []
-        for clause in re.split(r"[.!?;:\n]+", text or ""):
-            state = 0
-            for w in _SYMBOLS.findall(clause.lower()):
-                s = self.symbol(w)
-                if s is not None:
-                    state = ARCS[(state, s)]
-            if _CLASS_OF[state] >= 0:
-                out.append((clause.strip(), CLASSES[_CLASS_OF[state]]))
-        return out
+        words = list(_SYMBOLS.finditer(text or ""))
+        lower = [m[0].lower() for m in words]
+        found = self.matches(lower, self.known(set(lower)))
+        return [(text[words[a].start() : words[b - 1].end()], CLASSES[c]) for a, b, c, _ in found]
 
     def features(self, text: str | None) -> np.ndarray:
         """Logarithms of the counts that N_FEATURES names."""
         x = np.zeros(N_FEATURES)
         words = _SYMBOLS.findall(text.lower()) if text else []
-        different = set(words)
-        slurs = {w: found for w in different if w not in self.symbols and (found := self.stems_of(w))}
-        if not slurs and self.said.isdisjoint(different):
+        known = self.known(set(words))
+        if not {INSULT, THREAT, SLUR} & set(known.values()):
             return x
-        state = 0
-        for w in [*words, "."]:
-            s = SLUR if w in slurs else self.symbols.get(w)
-            if s is not None:
-                state = ARCS[(state, s)]
-            elif w[0] in ".!?;:\n":
-                k = _CLASS_OF[state]
-                if k >= 0:
-                    x[k] += 1
-                state = 0
+        asserted: set[str] = set()
+        for _, _, c, said in self.matches(words, known):
+            x[c] += 1
+            if CLASSES[c][2:] == (0, 0):
+                asserted.update(said)
+        slurs = {w: self.stems_of(w) for w in asserted if known[w] == SLUR}
         x[-1] = 100 * x[:-4].sum() / (len(words) + 20)
         x[-2] = max(Counter(t for found in slurs.values() for t in found).values(), default=0)
         x[-3] = len(slurs)
-        x[-4] = sum(self.symbols.get(w) == INSULT for w in different)
+        x[-4] = len(asserted) - len(slurs)
         return np.log1p(x)
 
     def score(self, text: str | None) -> float:
@@ -161,9 +180,11 @@ def is_held_out(id_col: str) -> F.Column:
 def train_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, most_insults: int = 500) -> ToxicGrammar:
     """Learns the insults and the weights from labelled rows of the training folds: about sample_rows of them at most, chosen by a hash of the id.
 
-    An insult is a word for which the lower Wilson bound of its documents' share of toxic labels is over one half; the
-    most_insults surest are taken. A slur's stem is one for which this holds of the documents with two or more such words. Null labels are left out; of repeated ids the largest label counts. Without labelled
-    rows the seeds and fixed weights remain.
+    An insult is a word of at least 3 toxic documents for which the lower Wilson bound of its documents' share of toxic
+    labels is over one half; the most_insults surest are taken. A slur's stem is one for which this holds of the documents
+    with two or more such words, at least 8 of them toxic; again the most_insults surest. Ties go to the more frequent,
+    then by code point. Null labels are left out; of repeated ids the largest label counts, and repeated rows count as
+    often as they occur. With fewer than 20 labelled rows, or one label only, the seeds and fixed weights remain.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     limit = min(1_000_000, int(1_000_000 * sample_rows / max(1, known.count())))
@@ -210,7 +231,7 @@ def train_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def score_toxicity(docs: DataFrame, grammar: ToxicGrammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, held_out, score, predicted. Null and empty texts get the score of no match; repeated rows stay."""
+    """One row per document: id, held_out, score, predicted. Null and empty texts get the score of no match; repeated rows stay; texts of any length are read whole; other columns do not matter; an empty table gives an empty result."""
 
     def score(batches):
         for rows in batches:

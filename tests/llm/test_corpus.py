@@ -455,6 +455,66 @@ def test_grammar():
     assert g.score("you idiot") > g.score("some idiotic word")
 
 
+def test_reports_reach_over_colons_and_quotations():
+    g = toxicity.ToxicGrammar(toxicity.SEED_INSULTS, np.ones(toxicity.N_FEATURES), -3.0)
+    kinds = lambda t: [c[2:] for _, c in g.clauses(t)]
+    assert kinds("He said: you idiot") == [(0, 1)]
+    assert kinds('She wrote "You idiot! You moron." You scum') == [(0, 1), (0, 1), (0, 0)]
+    assert kinds('She wrote "You idiot! You moron\nYou scum') == [(0, 1), (0, 1), (0, 0)]
+    assert kinds('"You idiot." You moron') == [(0, 0), (0, 0)]
+    assert g.features("He said: you idiot")[-4:-1].tolist() == [0, 0, 0] and g.features("You idiot, moron")[-4] == np.log(3)
+
+
+def plain_features(g, text):
+    """The features by rules, clause by clause, without an automaton; for texts without quotations."""
+    x, asserted, n_words = Counter(), set(), 0
+    for clause in re.split(r"[.!?;\n]+", text.lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)
+        n_words += len(words)
+        names = {toxicity.INSULT: "i", toxicity.THREAT: "t", toxicity.SLUR: "s", toxicity.TARGET: "m", toxicity.NEGATION: "n", toxicity.REPORT: "r"}
+        signs = "".join(names[g.symbol(w)] for w in words if g.symbol(w) is not None)
+        said = re.sub("[mnr]", "", signs)
+        if not said:
+            continue
+        what = (1 if len(said) == 1 else 2) if "i" in said else 3 if said[0] == "t" else 4 if said.count("s") == 1 else 5
+        before = re.split("[its]", signs)[0]
+        c = (what, int("m" in signs), int("n" in before), int("r" in before))
+        x[toxicity.CLASSES.index(c)] += 1
+        if not c[2] and not c[3]:
+            asserted |= {w for w in words if g.symbol(w) in (toxicity.INSULT, toxicity.SLUR)}
+    out = np.zeros(toxicity.N_FEATURES)
+    for k, n in x.items():
+        out[k] = n
+    ends = len(re.findall(r"[.!?;\n]+", text))
+    slurs = {w for w in asserted if g.symbol(w) == toxicity.SLUR}
+    out[-1] = 100 * sum(x.values()) / (n_words + ends + 20)
+    out[-2] = max((sum(w.startswith(t) and len(w) > len(t) for w in slurs) for t in g.stems), default=0)
+    out[-3], out[-4] = len(slurs), len(asserted - slurs)
+    return np.log1p(out)
+
+
+def test_features_equal_the_rules():
+    rng = random.Random(12)
+    g = toxicity.ToxicGrammar(toxicity.SEED_INSULTS, stems=frozenset(["grob", "groble"]))
+    words = ["idiot", "Moron", "stupid", "kill", "grobling", "groblex", "grobs", "grob", "you", "they", "not", "never", "said", "wrote", "plain", "word", "it's", "12", ".", "!", ";", "\n", ",", ":"]
+    for _ in range(1500):
+        text = " ".join(rng.choices(words, k=rng.randint(0, 25)))
+        assert g.features(text).tolist() == pytest.approx(plain_features(g, text).tolist()), text
+    long = "plain words and nothing else. " * 100_000 + "You idiot"
+    assert g.features(long).tolist() == pytest.approx(plain_features(g, long).tolist())
+
+
+def test_fit_has_no_slope():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    y = (x @ rng.normal(size=6) + rng.logistic(size=300) > 0.4).astype(float)
+    w, b = toxicity.fit_logistic(x, y)
+    loss = lambda w, b: np.logaddexp(0, -(2 * y - 1) * (x @ w + b)).sum() + 0.5 * w @ w + 0.5e-3 * b * b
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-4
+        assert loss(w, b) <= min(loss(w + step[:6], b + step[6]), loss(w - step[:6], b - step[6]))
+
+
 def test_toxicity_learns_and_holds_out(spark, empty):
     rng = random.Random(4)
     data, marks = [], []
@@ -466,7 +526,7 @@ def test_toxicity_learns_and_holds_out(spark, empty):
                 words.insert(rng.randrange(80), w)
         data.append((i, " ".join(words)))
         marks.append((i, 1, int(toxic)))
-    docs = spark.createDataFrame([*data, (900, None), (901, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, "z", 1, 0.5, 2) for r in [*data, (900, None), (901, "")]], "doc_id long, text string, term string, y long, score double, _id long")
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     grammar = toxicity.train_grammar(docs, labels)
     assert {"zonk", "blorp"} <= grammar.said
@@ -475,6 +535,7 @@ def test_toxicity_learns_and_holds_out(spark, empty):
     held = [i for i in range(400) if out[i].held_out]
     assert sum(out[i].predicted == (i % 4 == 0) for i in held) >= 0.97 * len(held)
     assert 0 <= out[900].score < 0.5 and out[900].score == out[901].score
+    assert toxicity.score_toxicity(docs.union(docs).withColumn("doc_id", F.lit(None).cast("long")), grammar).where("doc_id IS NULL").count() == 804
     assert toxicity.score_toxicity(empty, grammar).count() == 0
     untrained = toxicity.train_grammar(docs, labels.limit(0))
     assert untrained.score("you idiot") > untrained.score("hello there")
