@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, exact and near deduplication, source mix, packing.
 
 Each stage takes the documents that its predecessor kept and returns those that it keeps, with their columns; the last
-returns the places of all pieces. `run` writes every stage's result as Parquet in the shared folder and reads it back.
+returns the places of all pieces. `run` writes every stage's result as Parquet in the shared folder and reads it back;
+what a stage wrote on the way is removed then.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from convseries.llm import exact_dedup, mixing, near_dedup, packing, quality
-from convseries.llm.common import staged
+from convseries.llm.common import scratch, staged
 from convseries.llm.queries import tokenizer_path
 
 
@@ -40,15 +41,15 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies), ("near dedup", near_copies), ("source mix", source_mix), ("best-fit packing", best_fit_packing)]
 
-#: SQL can express neither the exact binomial cutoffs nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the exact binomial cutoffs nor the tokenizer; a test holds every stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as made:
+            docs = staged(stage(spark, docs, sf_dir), f"stage-{k}")
+            made.pop()  # the result itself, the last that was made
+    return STAGES[-1][1](spark, docs, sf_dir)

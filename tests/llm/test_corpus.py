@@ -807,16 +807,85 @@ def test_queries_agree_with_sql(spark, sf, name):
     assert sorted(tuple(map(cell, r)) for r in df.select(*names).collect()) == sorted(tuple(map(cell, r)) for r in found.fetchall())
 
 
-def test_pipeline(spark, sf):
+def hash36(i):
+    return int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:9], 16)
+
+
+def plain_mix(rows):
+    """(copies by row) of the mix by a sort: rows are (id, text, source)."""
+    n = lambda t: len(WORD.findall(t or ""))
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += n(t)
+    targets, out = plain_targets(size), []
+    for i, t, s in rows:
+        whole = int(targets[s] // max(size[s], 1)) if targets[s] >= size[s] else 0
+        budget = targets[s] - whole * size[s]
+        cell = sum(n(x) for j, x, z in rows if z == s and hash36(j) == hash36(i))
+        upto = sum(n(x) for j, x, z in rows if z == s and hash36(j) <= hash36(i))
+        out.append(min(2, whole + (2 * upto - cell <= 2 * budget)))
+    return out
+
+
+def plain_pipeline(rows, labels, path):
+    """What each stage of the pipeline keeps, from the definitions: rows are (id, text, lang, source). The last entry counts (id, piece, start, length, crc32)."""
+    from tokenizers import Tokenizer
+
+    out = []
+    verdict = plain_verdicts([r[:3] for r in rows], labels)
+    rows = [r for r in rows if verdict[r[0]]]
+    out.append([r[0] for r in rows])
+    groups = defaultdict(list)
+    for r in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")].append(r)
+    best = {k: min(g, key=lambda x: (-len(x[1] or ""), x[0] is None, x[0] or 0))[0] for k, g in groups.items()}
+    rows = [r for r in rows if best[re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")] == r[0]]
+    out.append([r[0] for r in rows])
+    component = plain_components([r for r in rows if r[0] is not None])
+    rows = [r for r in rows if r[0] is None or component[r[0]][1] == r[0]]
+    out.append([r[0] for r in rows])
+    copies = plain_mix([(r[0], r[1], r[3]) for r in rows])
+    rows = [r for r, k in zip(rows, copies) for _ in range(k)]
+    out.append([r[0] for r in rows])
+    plain, pieces = Tokenizer.from_file(path), []
+    for r in rows:
+        ids = [*plain.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        pieces += [(r[0], k // 2048, k, len(ids[k : k + 2048]), digest(ids[k : k + 2048])) for k in range(0, len(ids), 2048)]
+    return [*map(Counter, out), Counter(pieces)]
+
+
+def test_pipeline_equals_plain_python(spark, sf):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before, after = docs, None
+    labels = {r.doc_id: r.q for r in spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("q")).collect()}
+    want = plain_pipeline([(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()], labels, queries.tokenizer_path("word_bpe_49k.json"))
+    for (name, stage), kept in zip(corpus_pipeline.STAGES[:-1], want):
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns and Counter(r.doc_id for r in after.select("doc_id").collect()) == kept, name
+        docs = after.checkpoint()
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want[-1]
+    room = Counter()
+    for r in out:
+        room[r.sequence_id] += r.length
+    assert max(room.values()) <= 2048 and len(room) <= -(-sum(room.values()) // 2048) + 1
+
+
+@pytest.mark.parametrize("n", [0, 40])
+def test_pipeline_of_odd_tables(spark, tmp_path, n):
+    """Empty tables; null ids, texts, languages and sources; columns with the operators' own names."""
+    import corpus_pipeline
+
+    rng = random.Random(n)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(300)]
+    rows = [(None if k % 7 == 3 else k, None if k % 11 == 5 else " ".join(rng.choices(words, k=rng.randint(40, 90))), rng.choice(["en", None]), rng.choice(["a", None, "b"]), 1, "r", 2.0) for k in range(n)]
+    rows += [rows[k] for k in range(0, n, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, copies double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(0, n, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, sf)
-        assert after.columns == docs.columns, name
-        before = after.checkpoint()
-    packed = corpus_pipeline.STAGES[-1][1](spark, before, sf)
-    whole = corpus_pipeline.run(spark, sf)
-    key = lambda df: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
-    assert key(packed) == key(whole) and key(whole)
+        after = stage(spark, docs, str(tmp_path)).checkpoint()
+        assert after.columns == docs.columns and after.count() <= 2 * docs.count(), name
+        docs = after
+    assert (corpus_pipeline.run(spark, str(tmp_path)).count() > 0) == (n > 0)
