@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convseries.functions.stats import binom_sf, sign_test_p
+from convseries.operators.ranking import exact_quantile, global_rank, kept
 
 
 def _share(cond) -> F.Column:  # noqa: ANN001
@@ -32,18 +33,9 @@ def alignment(groups: DataFrame, n_rows: int, n_groups: int) -> DataFrame:
     return out.withColumn("aligned", ok)
 
 
-def observed(df: DataFrame, name: str) -> tuple[DataFrame, object]:
-    """df with in-flight counts (rows, distinct-ish ids) that are known once an action ran."""
-    from pyspark.sql import Observation
-
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("id").alias("ids")), seen
-
-
 def duplicate_series(df: DataFrame, values: str = "values") -> DataFrame:
-    """One row: series, distinct series, and those that repeat another. Series are compared by a 128-bit digest pair, grouped before the count."""
-    keys = df.select(F.xxhash64(values).alias("a"), F.hash(values).alias("b"), F.size(values).alias("n"))
-    per = keys.groupBy("a", "b", "n").agg(F.count("*").alias("k"))
+    """One row: series, distinct series, and those that repeat another. Whole series are compared, grouped before the count."""
+    per = df.groupBy(F.col(values).alias("v")).agg(F.count("*").alias("k"))
     return per.agg(F.sum("k").alias("series"), F.count("*").alias("distinct_series"), (F.sum("k") - F.count("*")).alias("duplicates"))
 
 
@@ -103,8 +95,13 @@ def binomial_tails(rows: DataFrame, k: str, n: str, p: str | float) -> DataFrame
 
 
 def benjamini_hochberg(rows: DataFrame, fdr: float, p: str = "p_value", key: str = "name", by: list[str] | None = None) -> DataFrame:
-    """rows plus rank, threshold and survives. A family of hypotheses (by) is ranked in one window: it has a row per hypothesis, not per record."""
+    """rows plus rank, threshold and survives. One family of all rows is ranked over range partitions; families (by) are ranked in a window each."""
     by = by or []
+    if not by:
+        ranked = kept(global_rank(rows, [F.col(p), F.col(key)]))
+        m = F.broadcast(ranked.agg(F.count("*").alias("_m")))  # one row, as is the next
+        cut = ranked.crossJoin(m).where(F.col(p) <= F.lit(fdr) * F.col("rank") / F.col("_m")).agg(F.coalesce(F.max("rank"), F.lit(0)).alias("_cut"), F.coalesce(F.max_by(p, "rank"), F.lit(0.0)).alias("threshold"))
+        return ranked.crossJoin(F.broadcast(cut)).withColumn("survives", F.col("rank") <= F.col("_cut")).drop("_cut")
     ranked = rows.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy(p, key)), "_m": F.count("*").over(Window.partitionBy(*by))})
     below = F.when(F.col(p) <= F.lit(fdr) * F.col("rank") / F.col("_m"), F.col("rank"))
     cut = F.coalesce(F.max(below).over(Window.partitionBy(*by)), F.lit(0))
@@ -198,8 +195,11 @@ def edge_strata(rows: DataFrame, edge: str, value: str) -> DataFrame:
     return rows.groupBy(F.when(F.col(edge) > 0, "ahead").otherwise("behind").alias("stratum")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
-def labeller_table(preds: DataFrame, truth: DataFrame, models: list[str]) -> DataFrame:
-    """(dataset, one column per model, best_single): accuracies side by side; preds is (dataset, model, id, yhat)."""
+def labeller_table(preds: DataFrame, truth: DataFrame, models: list[str], combined: DataFrame | None = None) -> DataFrame:
+    """(dataset, one column per model, best_single, ensemble): accuracies side by side; preds is (dataset, model, id, yhat), combined the ensemble's (dataset, id, yhat), if there is one."""
+    if combined is not None:
+        own = combined.join(truth, ["dataset", "id"]).groupBy("dataset").agg(_share(F.col("yhat") == F.col("y")).alias("ensemble"))
+        return labeller_table(preds, truth, models).join(own, "dataset", "left")
     rows = preds.join(truth, ["dataset", "id"]).withColumn("ok", (F.col("yhat") == F.col("y")).cast("double"))
     wide = rows.groupBy("dataset").pivot("model", models).agg(F.avg("ok"))
     return wide.withColumn("best_single", F.greatest(*[F.col(f"`{m}`") for m in models]) if len(models) > 1 else F.col(f"`{models[0]}`"))
@@ -215,8 +215,9 @@ def time_split(marks: DataFrame) -> DataFrame:
 def time_summary(times: DataFrame) -> DataFrame:
     """One row: totals, classify share, median and max-to-median of the classify times."""
     total = F.sum("transform_seconds") + F.sum("classify_seconds")
-    median = F.percentile("classify_seconds", F.lit(0.5))
-    return times.agg(F.sum("transform_seconds").alias("transform"), F.sum("classify_seconds").alias("classify"), F.try_divide(F.sum("classify_seconds"), total).alias("classify_share"), median.alias("median"), F.try_divide(F.max("classify_seconds"), median).alias("max_over_median"))
+    sums = times.agg(F.sum("transform_seconds").alias("transform"), F.sum("classify_seconds").alias("classify"), F.try_divide(F.sum("classify_seconds"), total).alias("classify_share"), F.max("classify_seconds").alias("_most"))
+    both = sums.crossJoin(exact_quantile(times, "classify_seconds", 0.5, "median"))  # a row each
+    return both.withColumn("max_over_median", F.try_divide("_most", "median")).drop("_most")
 
 
 def steadiness(times: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -258,13 +259,19 @@ def gate_table(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def route_report(rows: DataFrame) -> DataFrame:
-    """(alternate, budget, stratum, n, mean_accuracy, mean_delta, wins, losses, p): routing against the primary alone; rows are (dataset, alternate, budget, accuracy, primary_accuracy, n_classes), strata all, binary, multiclass."""
+    """(alternate, budget, stratum, n, mean_accuracy, mean_delta, wins, losses, p): routing against the primary alone; rows are (dataset, alternate, budget, accuracy, primary_accuracy, n_classes), strata all, binary, multiclass. See family_averages for alternates of the primary's own model against others."""
     d = F.col("accuracy") - F.col("primary_accuracy")
     strata = F.array(F.lit("all"), F.when(F.col("n_classes") == 2, "binary").otherwise("multiclass"))
     out = rows.withColumn("stratum", F.explode(strata)).groupBy("alternate", "budget", "stratum").agg(F.count("*").alias("n"), F.avg("accuracy").alias("mean_accuracy"), F.avg(d).alias("mean_delta"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"))
     return out.withColumn("p", sign_test_p(F.col("wins"), F.col("losses")))
 
 
+def family_averages(rows: DataFrame, own: list[str]) -> DataFrame:
+    """(budget, same_model, n, mean_delta): the gains of route_report's rows, averaged over alternates that are the primary's own model in another form (own) and over other models."""
+    same = F.col("alternate").isin(own)
+    return rows.groupBy("budget", same.alias("same_model")).agg(F.count("*").alias("n"), F.avg(F.col("accuracy") - F.col("primary_accuracy")).alias("mean_delta"))
+
+
 def noise_floor(runs: DataFrame) -> DataFrame:
     """(dataset, n_seeds, mean_accuracy, sd, mean_gain) over seeds."""
     return runs.groupBy("dataset").agg(F.count("*").alias("n_seeds"), F.avg("accuracy").alias("mean_accuracy"), F.stddev_samp("accuracy").alias("sd"), F.avg("gain").alias("mean_gain"))

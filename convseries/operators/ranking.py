@@ -3,19 +3,52 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once, in the checkpoint folder (a temporary one where the session has none)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder: spark.checkpoint.dir, or a temporary one where a local session has none. A cluster must name it."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="convseries-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own beside the checkpoints; not created."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once, in the checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Most rows of a table that is broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, computed once, to be broadcast if it has at most BROADCAST_ROWS rows; else a join shuffles it."""
+    found = kept(df)
+    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+
+
+def exact_quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
+    """One row: the q-quantile of a column, interpolated between its two order statistics, which a global rank finds; null for no values."""
+    ranked = global_rank(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v")), [F.col("_v")], "_rank")
+    place = F.lit(q) * (F.col("_n") - 1)
+    near = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("_n")))).where((F.col("_rank") - 1 - place > -1) & (F.col("_rank") - 1 - place < 1))  # one row on the right
+    lo, hi = F.min("_v"), F.max("_v")
+    return near.agg((lo + (hi - lo) * (F.first(place) - F.floor(F.first(place)))).alias(name))
+
+
 def uniform_rank(df: DataFrame, by: list[str], uniform: Column, ties: list[str], name: str = "rank") -> DataFrame:
     """df with row numbers from 1 within `by`, in the order of a uniform [0, 1) column, then `ties`.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from convseries.functions.prng import stable_uniform
 from convseries.functions.stats import sign_test_p
 from convseries.operators.ensemble import argmax_label
-from convseries.operators.ranking import global_rank
+from convseries.operators.ranking import exact_quantile, global_rank
 
 
 def proba_margin(proba: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
@@ -94,7 +94,7 @@ def route_signal(routed: DataFrame, random: DataFrame, keys: list[str]) -> DataF
 
 def calibrate_threshold(margins: DataFrame, target: float) -> DataFrame:
     """One row: the exact quantile of the margins, interpolated."""
-    return margins.agg(F.percentile("margin", F.lit(target)).alias("threshold"))
+    return exact_quantile(margins, "margin", target, "threshold")
 
 
 def route_threshold(rows: DataFrame, threshold: float) -> DataFrame:

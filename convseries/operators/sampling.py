@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convseries.functions.prng import stable_below, stable_uniform
-from convseries.operators.ranking import global_rank, uniform_rank
+from convseries.operators.ranking import global_rank, kept, small, uniform_rank
 
 
 def class_quota(counts: DataFrame, max_rows: int) -> DataFrame:
@@ -28,7 +28,7 @@ def cap_context(df: DataFrame, max_rows: int, seed: int, label: str = "label", i
     """At most max_rows rows, stratified: every class survives."""
     quota = class_quota(df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")), max_rows).select(F.col("label").alias("_label"), "quota")
     ranked = uniform_rank(df, [label], stable_uniform(seed, F.col(id_col)), [id_col], "_rank")
-    return ranked.join(F.broadcast(quota), F.col(label).eqNullSafe(F.col("_label"))).where("_rank <= quota").drop("_label", "quota", "_rank")
+    return ranked.join(small(quota), F.col(label).eqNullSafe(F.col("_label"))).where("_rank <= quota").drop("_label", "quota", "_rank")
 
 
 def resample_split(df: DataFrame, k: int, label: str = "label", id_col: str = "id") -> DataFrame:
@@ -37,7 +37,7 @@ def resample_split(df: DataFrame, k: int, label: str = "label", id_col: str = "i
         return df
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count_if(F.col("split") == "train").alias("_train"))
     ranked = uniform_rank(df, [label], stable_uniform(k, F.col(id_col)), [id_col], "_rank")
-    joined = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label")))
+    joined = ranked.join(small(sizes), F.col(label).eqNullSafe(F.col("_label")))
     return joined.withColumn("split", F.when(F.col("_rank") <= F.col("_train"), "train").otherwise("test")).drop("_label", "_train", "_rank")
 
 
@@ -58,7 +58,7 @@ def pool_holdout(df: DataFrame, seed: int, rep: int, label: str = "label", id_co
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
     whole = sizes.agg((F.min("_n") < 2).alias("_single"), F.sum("_n").alias("_all"))  # one row
     ranked = uniform_rank(uniform_rank(df, [label], u, [id_col], "_rank"), [], u, [id_col], "_rank_all")
-    joined = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label"))).crossJoin(F.broadcast(whole))
+    joined = ranked.join(small(sizes), F.col(label).eqNullSafe(F.col("_label"))).crossJoin(F.broadcast(whole))
     in_pool = F.when(F.col("_single"), F.col("_rank_all") <= F.floor(F.col("_all") / 2)).otherwise(F.col("_rank") <= F.floor(F.col("_n") / 2))
     return joined.withColumn("part", F.when(in_pool, "pool").otherwise("holdout")).drop("_label", "_n", "_single", "_all", "_rank", "_rank_all")
 
@@ -75,16 +75,25 @@ def corrupt_labels(df: DataFrame, rate: float, classes: list[str], seed: int, re
 def bootstrap(df: DataFrame, draws: int, seed: int, label: str = "label", id_col: str = "id", attempts: int | None = None) -> DataFrame:
     """(draw, slot, id, label): resamples with replacement of the table's own size. A resample that loses a class is drawn again, up to `attempts` (10 for each draw); fewer draws come out if that is not enough.
 
-    Rows multiply by the attempts, which the caller chooses, not by the data."""
+    Attempts are drawn as many at a time as draws are still missing, so rows multiply by the draws, and by more only
+    where classes get lost.
+    """
     attempts = attempts or 10 * draws
-    base = uniform_rank(df.select(F.col(id_col).alias("id"), F.col(label).alias("label")), [], stable_uniform(seed, F.col(id_col)), [id_col], "row")
-    size = base.agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))  # one row
-    slots = base.select("row").crossJoin(F.broadcast(size)).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    source = F.floor(stable_uniform(seed + 1, F.col("attempt") * F.col("n") + F.col("row")) * F.col("n")).cast("long") + 1
-    drawn = slots.withColumn("source", source).join(base.withColumnRenamed("row", "source"), "source")
-    good = drawn.groupBy("attempt").agg(F.countDistinct("label").alias("k"), F.first("n_labels").alias("n_labels")).where("k = n_labels")
-    first = good.withColumn("draw", F.row_number().over(Window.orderBy("attempt"))).where(F.col("draw") <= draws).select("attempt", "draw")
-    return drawn.join(F.broadcast(first), "attempt").select("draw", F.col("row").alias("slot"), "id", "label")
+    base = kept(uniform_rank(df.select(F.col(id_col).alias("id"), F.col(label).alias("label")), [], stable_uniform(seed, F.col(id_col)), [id_col], "row"))
+    size = F.broadcast(base.agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels")))  # one row
+    out, found, tried = None, 0, 0
+    while found < draws and tried < attempts:
+        last = min(attempts, tried + draws - found)
+        slots = base.select("row").crossJoin(size).withColumn("attempt", F.explode(F.sequence(F.lit(tried), F.lit(last - 1))))
+        source = F.floor(stable_uniform(seed + 1, F.col("attempt") * F.col("n") + F.col("row")) * F.col("n")).cast("long") + 1
+        drawn = kept(slots.withColumn("source", source).join(base.withColumnRenamed("row", "source"), "source"))
+        good = sorted(r["attempt"] for r in drawn.groupBy("attempt", "n_labels").agg(F.countDistinct("label").alias("k")).where("k = n_labels").collect())  # at most a row per attempt
+        if good:
+            number = F.element_at(F.create_map(*[F.lit(x) for k, attempt in enumerate(good) for x in (attempt, found + k + 1)]), F.col("attempt"))
+            part = drawn.where(F.col("attempt").isin(good)).select(number.alias("draw"), F.col("row").alias("slot"), "id", "label")
+            out = part if out is None else out.union(part)
+        found, tried = found + len(good), last
+    return out if out is not None else base.limit(0).select(F.lit(0).alias("draw"), F.col("row").alias("slot"), "id", "label")
 
 
 def confident_half(pool: DataFrame, id_col: str = "id") -> DataFrame:

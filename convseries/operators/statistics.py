@@ -12,6 +12,7 @@ from convseries.functions.prng import let
 from convseries.functions.series import array_mean, array_sum, finite_or_zero, is_nonfinite
 from convseries.functions.stats import binom_sf
 from convseries.operators.evaluate import benjamini_hochberg
+from convseries.operators.ranking import small
 
 #: What series_statistics makes.
 STATISTICS = ("fft_coefficient_1_abs", "fft_coefficient_5_abs", "fft_coefficient_6_abs", "number_peaks", "permutation_entropy", "binned_entropy", "sample_entropy", "longest_strike_above_mean", "quantile_q10", "quantile_q50", "quantile_q90")
@@ -158,7 +159,7 @@ def standardize(df: DataFrame, columns: list[str], by: list[str] | None = None)
     by = by or []
     train = F.col("split") == "train"
     fit = df.groupBy(*by).agg(*[F.avg(F.when(train, F.col(c))).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(F.when(train, F.col(c))).alias(f"_s_{c}") for c in columns])
-    joined = df.join(F.broadcast(fit), by) if by else df.crossJoin(F.broadcast(fit))  # one row (for each group)
+    joined = df.join(small(fit), by) if by else df.crossJoin(F.broadcast(fit))  # one row (for each group)
     scaled = {c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in columns}
     return joined.withColumns(scaled).drop(*[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
 
@@ -169,16 +170,10 @@ def block_scale(df: DataFrame, second: list[str], n_first: int, weight: float |
     return df.withColumns({c: F.col(c) * w for c in second})
 
 
-def _z(col: str, by: list[str]) -> Column:
-    w = Window.partitionBy(*(by or [F.lit(1)]))
-    train = F.when(F.col("split") == "train", F.col(col))
-    sd = F.stddev_pop(train).over(w)
-    return F.when(sd > 0, (F.col(col) - F.avg(train).over(w)) / sd).otherwise(0.0)
-
-
 def stack_heads(decisions: DataFrame, a: float) -> DataFrame:
     """decisions (id, cls, split, d1, d2) plus d = (1 - a) z(d1) + a z(d2), scaled by class."""
-    return decisions.withColumn("d", (1 - a) * _z("d1", ["cls"]) + a * _z("d2", ["cls"]))
+    scaled = standardize(decisions.withColumns({"_z1": F.col("d1"), "_z2": F.col("d2")}), ["_z1", "_z2"], ["cls"])
+    return scaled.withColumn("d", (1 - a) * F.col("_z1") + a * F.col("_z2")).drop("_z1", "_z2")
 
 
 def topk_counts(importances: DataFrame, k: int) -> DataFrame:

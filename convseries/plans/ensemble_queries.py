@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from convseries.operators import ensemble, heads, routing, sampling, serving, statistics
 from convseries.operators.kernels import EnsembleConfig
-from convseries.operators.ranking import kept
+from convseries.operators.ranking import kept, new_folder
 from convseries.operators.transform import conv_features
 from convseries.plans.base import CUBE, LONG, MODELS, PREDS, RECORDS, ROUTED, SERIES, SOFT, group_cube, predictions, query, r6, routed_rows, series, soft, supplier_records, table, truth, uniform_ctes
+from convseries.plans.series_queries import p_sql
 from convseries.streaming import scoring
 
 SEED = 7
@@ -202,9 +203,16 @@ def _folded(spark, sf_dir):
 PREDS_FOLDS = PREDS + ", " + FOLDS.split("FROM embeddings), ", 1)[1]
 
 
-@query("N12_grid_weights")
+GRID = """st AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS x), wg AS (SELECT row_number() OVER (ORDER BY a.x, b.x, c.x) - 1 AS w, a.x AS w0, b.x AS w1, c.x AS w2 FROM st a, st b, st c WHERE a.x + b.x + c.x > 0),
+wide AS (SELECT id, cls, max(CASE WHEN model = 'm0' THEN p END) AS p0, max(CASE WHEN model = 'm1' THEN p END) AS p1, max(CASE WHEN model = 'm2' THEN p END) AS p2 FROM soft GROUP BY ALL),
+wl AS (SELECT w, id, cls AS yhat FROM wide, wg QUALIFY row_number() OVER (PARTITION BY w, id ORDER BY round(w0 * p0 + w1 * p1 + w2 * p2, 12) DESC, cls) = 1),
+ws AS (SELECT w, fold, count_if(yhat = y) AS k, count(*) AS n FROM wl JOIN folds USING (id) GROUP BY ALL), wh AS (SELECT DISTINCT fold AS held FROM folds),
+wt AS (SELECT held, w, sum(k) / sum(n)::DOUBLE AS acc FROM ws JOIN wh ON fold <> held GROUP BY ALL), wb AS (SELECT * FROM wt QUALIFY row_number() OVER (PARTITION BY held ORDER BY acc DESC, w) = 1)"""
+
+
+@query("N12_grid_weights", f"WITH {PREDS_FOLDS}, {GRID} SELECT f.fold, b.w, round(b.acc, 6) AS train_accuracy, l.id, l.yhat FROM wl l JOIN folds f USING (id) JOIN wb b ON b.held = f.fold AND b.w = l.w")
 def grid_weights(spark, sf_dir):
-    out = ensemble.grid_weights(soft(spark, sf_dir).where("model <> 'm2'"), kept(_folded(spark, sf_dir)), ["m0", "m1"])
+    out = ensemble.grid_weights(kept(soft(spark, sf_dir)), kept(_folded(spark, sf_dir)), MODELS)
     return out.select("fold", "w", r6("train_accuracy").alias("train_accuracy"), "id", "yhat")
 
 
@@ -252,10 +260,10 @@ def decision_margin(spark, sf_dir):
     return series(spark, sf_dir).select("id", r6(routing.decision_margin(F.col("values"))).alias("many"), r6(routing.decision_margin(F.slice("values", 1, 1))).alias("one"))
 
 
-@query("M3_label_conf", f"WITH {SOFT}, s AS (SELECT id, cls, p / sum(p) OVER (PARTITION BY id) AS p FROM soft WHERE model = 'm0') SELECT id, cls AS yhat, round(p, 6) AS confidence FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, cls) = 1")
+@query("M3_label_conf", f"WITH {SOFT}, s AS (SELECT id, cls, p / sum(p) OVER (PARTITION BY id) AS p FROM soft WHERE model = 'm0') SELECT id, cls AS yhat, round(p, 9) AS confidence FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, cls) = 1")
 def label_conf(spark, sf_dir):
     out = routing.label_conf(soft(spark, sf_dir).where("model = 'm0'"), series(spark, sf_dir))
-    return out.select("id", "yhat", r6("confidence").alias("confidence"))
+    return out.select("id", "yhat", F.round("confidence", 9).alias("confidence"))  # p has nine digits: no ties to round
 
 
 RANKED = f"{ROUTED}, ranked AS (SELECT *, row_number() OVER (ORDER BY margin, id) AS rank, count(*) OVER () AS n FROM routed)"
@@ -288,11 +296,11 @@ def route_random(spark, sf_dir):
     return out.select(r6("fraction").alias("fraction"), r6("accuracy").alias("accuracy"))
 
 
-@query("M7_route_signal", f"WITH {RECORDS}, c AS (SELECT dataset, setting / 10.0 AS fraction, round(avg(one), 6) AS a, round(avg(two), 6) AS b FROM records GROUP BY ALL) SELECT round(fraction, 6) AS fraction, round(avg(a - b), 6) AS signal, count_if(a > b)::BIGINT AS wins, count_if(a < b)::BIGINT AS losses FROM c GROUP BY fraction")
+@query("M7_route_signal", f"WITH {RECORDS}, c AS (SELECT dataset, setting / 10.0 AS fraction, round(avg(one), 6) AS a, round(avg(two), 6) AS b FROM records GROUP BY ALL) SELECT round(fraction, 6) AS fraction, round(avg(a - b), 6) AS signal, count_if(a > b)::BIGINT AS wins, count_if(a < b)::BIGINT AS losses, round({p_sql("count_if(a > b)::BIGINT", "count_if(a < b)::BIGINT")}, 6) AS p FROM c GROUP BY fraction")
 def route_signal(spark, sf_dir):
     rows = supplier_records(spark, sf_dir).groupBy("dataset", (F.col("setting") / 10).alias("fraction")).agg(r6(F.avg("one")).alias("a"), r6(F.avg("two")).alias("b"))
     pick = lambda c: rows.select("dataset", "fraction", F.col(c).alias("accuracy"))
-    return routing.route_signal(pick("a"), pick("b"), ["dataset"]).select(r6("fraction").alias("fraction"), r6("signal").alias("signal"), "wins", "losses")
+    return routing.route_signal(pick("a"), pick("b"), ["dataset"]).select(r6("fraction").alias("fraction"), r6("signal").alias("signal"), "wins", "losses", r6("p").alias("p"))
 
 
 @query("M8_oof_margins")
@@ -322,7 +330,7 @@ def threshold_report(spark, sf_dir):
 def serve(spark, sf_dir):
     s = series(spark, sf_dir)
     train, test = s.where("split = 'train'").select("id", "label", "values"), s.where("split = 'test'").select("id", "values")
-    path = _folder(spark)
+    path = new_folder(spark, "deployed")
     serving.deploy(sampling.cap_context(train, 4000, SEED), path, 100, SEED, 0.2)
     student, meta = serving.load(spark, path)
     return serving.serve(test, student, meta, _ensemble(spark, sf_dir))
@@ -331,19 +339,11 @@ def serve(spark, sf_dir):
 @query("M11_deploy")
 def deploy(spark, sf_dir):
     train = sampling.cap_context(series(spark, sf_dir).where("split = 'train'"), 4000, SEED).select("id", "label", "values")
-    path = _folder(spark)
+    path = new_folder(spark, "deployed")
     serving.deploy(train, path, 100, SEED, 0.2)
     return serving.load(spark, path)[0].select("grp", F.size("classes").alias("n_classes"), F.size("mean").alias("n_features"), r6("alpha").alias("alpha"))
 
 
-def _folder(spark) -> str:
-    """A new folder beside the checkpoints."""
-    import uuid
-
-    kept(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/deployed-{uuid.uuid4().hex}"
-
-
 @query("M13_fit_call_cost", "WITH a AS (SELECT o_orderstatus AS arm, count(DISTINCT o_custkey)::BIGINT AS calls, count(*) AS rows, (count(DISTINCT o_custkey) * 2.0 + count(*) * 0.25) AS seconds FROM orders GROUP BY 1), s AS (SELECT * FROM a ORDER BY rows, calls, seconds LIMIT 1), b AS (SELECT * FROM a ORDER BY rows DESC, calls DESC, seconds DESC LIMIT 1), f AS (SELECT s.*, (s.seconds * b.rows - b.seconds * s.rows) / nullif(s.calls * b.rows - b.calls * s.rows, 0) AS fixed FROM s, b) SELECT round(fixed, 4) AS fixed, round((seconds - calls * fixed) / rows, 4) AS marginal FROM f")
 def fit_call_cost(spark, sf_dir):
     arms = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.countDistinct("o_custkey").alias("calls"), F.count("*").alias("rows"))
@@ -393,7 +393,13 @@ def corrupt_labels(spark, sf_dir):
     return sampling.corrupt_labels(series(spark, sf_dir), 0.2, NOISE_CLASSES, SEED).select("id", "label")
 
 
-@query("H6_bootstrap")
+BOOT = f"""base0 AS (SELECT id, label FROM series WHERE split = 'train'), {uniform_ctes('bu', 'base0', 'id', SEED)}, base AS (SELECT id, label, row_number() OVER (ORDER BY u, id) AS r, count(*) OVER () AS n FROM bu),
+slots AS (SELECT r, n, unnest(range(30))::BIGINT AS attempt FROM base), slots2 AS (SELECT *, attempt * n + r AS place FROM slots), {uniform_ctes('bs', 'slots2', 'place', SEED + 1, 'v')},
+drawn AS (SELECT s.attempt, s.r AS slot, b.id, b.label FROM bs s JOIN base b ON b.r = floor(s.v * s.n)::BIGINT + 1),
+good AS (SELECT attempt, row_number() OVER (ORDER BY attempt) AS draw FROM (SELECT attempt FROM drawn GROUP BY attempt HAVING count(DISTINCT label) = (SELECT count(DISTINCT label) FROM base)))"""
+
+
+@query("H6_bootstrap", f"WITH {SERIES}, {BOOT} SELECT draw::INTEGER AS draw, slot, id, label FROM drawn JOIN good USING (attempt) WHERE draw <= 3")
 def bootstrap(spark, sf_dir):
     return sampling.bootstrap(series(spark, sf_dir).where("split = 'train'"), 3, SEED)
 
@@ -402,13 +408,16 @@ ARMS_SQL = """pool AS (SELECT id, label FROM series WHERE split = 'test'), tr AS
 half AS (SELECT id, yhat FROM teach QUALIFY row_number() OVER (ORDER BY round(confidence, 9) DESC, id) <= greatest(1, (SELECT count(*) FROM teach) // 2))"""
 
 
-@query("H7_label_arms", f"WITH {MEAN}, {ARMS_SQL}, a AS (SELECT 'A' AS arm, * FROM tr UNION ALL SELECT 'B', * FROM tr UNION ALL SELECT 'B', id, yhat FROM teach UNION ALL SELECT 'C', * FROM tr UNION ALL SELECT 'C', * FROM pool UNION ALL SELECT 'Bc', * FROM tr UNION ALL SELECT 'Bc', * FROM half UNION ALL SELECT 'Bs', * FROM tr UNION ALL SELECT 'Bs', id, NULL FROM pool) SELECT arm, id, label FROM a")
+NOISY = f"{uniform_ctes('nu', 'pool', 'id', NOISE_SEED)}, {uniform_ctes('nv', 'nu', 'id', NOISE_SEED, 'u2', '2')}, noisy AS (SELECT id, CASE WHEN u < 0.2 THEN list_filter({NOISE_CLASSES}, lambda x: x <> label)[floor(u2 * 9)::BIGINT + 1] ELSE label END AS label FROM nv)"
+
+
+@query("H7_label_arms", f"WITH {MEAN}, {ARMS_SQL}, {NOISY}, a AS (SELECT 'A' AS arm, * FROM tr UNION ALL SELECT 'B', * FROM tr UNION ALL SELECT 'B', id, yhat FROM teach UNION ALL SELECT 'C', * FROM tr UNION ALL SELECT 'C', * FROM pool UNION ALL SELECT 'Bc', * FROM tr UNION ALL SELECT 'Bc', * FROM half UNION ALL SELECT 'Bs', * FROM tr UNION ALL SELECT 'Bs', id, NULL FROM pool UNION ALL SELECT 'N20', * FROM tr UNION ALL SELECT 'N20', * FROM noisy) SELECT arm, id, label FROM a")
 def label_arms(spark, sf_dir):
     s = series(spark, sf_dir)
     mean = ensemble.mean_proba(group_cube(spark, sf_dir))
     proba = mean.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cls", "mean_p"))).alias("proba"))
     teacher = ensemble.argmax_label(mean, ["id"]).withColumn("confidence", F.round("confidence", 9)).join(proba, "id")
-    return sampling.label_arms(s.where("split = 'train'").select("id", "label"), s.where("split = 'test'").select("id", "label"), teacher).select("arm", "id", "label")
+    return sampling.label_arms(s.where("split = 'train'").select("id", "label"), s.where("split = 'test'").select("id", "label"), teacher, (0.2,), NOISE_CLASSES, SEED).select("arm", "id", "label")
 
 
 @query("H8_confident_half", f"WITH {MEAN}, {ARMS_SQL} SELECT id, yhat FROM half")
@@ -434,7 +443,7 @@ def same_split(spark, sf_dir):
 
 def _drained(stream, spark, name: str):
     """What an available-now run of a stream writes, as a table in a new folder."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "deployed")
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
@@ -448,7 +457,7 @@ def _stream(spark, sf_dir, name: str):
 @query("X1_score_stream")
 def score_stream(spark, sf_dir):
     train = sampling.cap_context(series(spark, sf_dir).where("split = 'train'"), 4000, SEED).select("id", "label", "values")
-    path = _folder(spark)
+    path = new_folder(spark, "deployed")
     serving.deploy(train, path, 50, SEED, 0.2)
     student, meta = serving.load(spark, path)
     rows = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("values"))
@@ -465,7 +474,7 @@ def series_from_events(spark, sf_dir):
 @query("X3_escalate_batches")
 def escalate_batches(spark, sf_dir):
     s = series(spark, sf_dir)
-    path = _folder(spark)
+    path = new_folder(spark, "deployed")
     serving.deploy(sampling.cap_context(s.where("split = 'train'"), 4000, SEED).select("id", "label", "values"), path, 50, SEED, 0.2)
     student, meta = serving.load(spark, path)
     rows = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("values"))

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convseries.operators import evaluate
-from convseries.plans.base import CUBE, MODELS, PREDS, RECORDS, SERIES, group_cube, predictions, query, r6, series, supplier_records, table, truth
-from convseries.plans.series_queries import binom_sf_sql
+from convseries.operators import ensemble, evaluate
+from convseries.operators.ranking import new_folder
+from convseries.plans.base import CUBE, MODELS, PREDS, RECORDS, SERIES, group_cube, predictions, query, r6, series, soft, supplier_records, table, truth
+from convseries.plans.series_queries import binom_sf_sql, p_sql
 from convseries.sources import series as src
 
 
-def p_sql(wins: str, losses: str) -> str:
-    """The two-sided sign test in DuckDB."""
-    return f"CASE WHEN {wins} + {losses} = 0 THEN 1.0 ELSE least(1.0, 2 * {binom_sf_sql(f'greatest({wins}, {losses})', f'({wins} + {losses})', '0.5')}) END"
-
-
 def six(df, *cols):
     """df with doubles rounded."""
     doubles = {c for c, t in df.dtypes if t == "double"}
@@ -42,10 +38,10 @@ def duplicate_series(spark, sf_dir):
     return evaluate.duplicate_series(series(spark, sf_dir))
 
 
-@query("E4_compare_predictions", f"WITH {PREDS}, a AS (SELECT id, yhat FROM preds WHERE model = 'm0' AND id % 10 <> 0), b AS (SELECT id, yhat FROM preds WHERE model = 'm1' AND id % 11 <> 0), j AS (SELECT a.id AS ia, b.id AS ib, a.yhat AS ya, b.yhat AS yb FROM a FULL JOIN b ON a.id = b.id) SELECT count_if(ib IS NULL)::BIGINT AS only_a, count_if(ia IS NULL)::BIGINT AS only_b, count_if(ia IS NOT NULL AND ib IS NOT NULL)::BIGINT AS in_both, count_if(ia IS NOT NULL AND ib IS NOT NULL AND ya <> yb)::BIGINT AS differ, 0::BIGINT AS duplicated FROM j")
+@query("E4_compare_predictions", f"WITH {PREDS}, a AS (SELECT id, yhat FROM preds WHERE model = 'm0'), b AS (SELECT id, yhat FROM preds WHERE model = 'm1'), j AS (SELECT a.id AS ia, b.id AS ib, a.yhat AS ya, b.yhat AS yb FROM a FULL JOIN b ON a.id = b.id) SELECT count_if(ib IS NULL)::BIGINT AS only_a, count_if(ia IS NULL)::BIGINT AS only_b, count_if(ia IS NOT NULL AND ib IS NOT NULL)::BIGINT AS in_both, count_if(ia IS NOT NULL AND ib IS NOT NULL AND ya <> yb)::BIGINT AS differ, 0::BIGINT AS duplicated FROM j")
 def compare_predictions(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    return evaluate.compare_predictions(p.where("model = 'm0' AND id % 10 <> 0"), p.where("model = 'm1' AND id % 11 <> 0"))
+    return evaluate.compare_predictions(p.where("model = 'm0'"), p.where("model = 'm1'"))
 
 
 @query("E4_compare_labels", "WITH l AS (SELECT doc_id AS id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id) SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b, count(*) AS in_both, count_if(q <> t)::BIGINT AS differ, 0::BIGINT AS duplicated FROM l")
@@ -54,11 +50,11 @@ def compare_labels(spark, sf_dir):
     return evaluate.compare_predictions(one.select("id", F.col("q").alias("yhat")), one.select("id", F.col("t").alias("yhat")))
 
 
-@query("E5_conformance", f"WITH {SERIES}, v AS (SELECT (unnest(range(len(vals)))) AS k, unnest(vals) AS e FROM series), w AS (SELECT k, e, CASE WHEN k % 8 = 0 THEN e + 0.5 ELSE e END AS g FROM v) SELECT count(*) AS n_values, round(max(abs(e - g)), 6) AS max_abs, count_if(abs(e - g) > 1e-6)::BIGINT AS beyond, count_if(k % 2 = 1 AND e <> g)::BIGINT AS ppv_differ FROM w")
+@query("E5_conformance", f"WITH {SERIES}, v AS (SELECT (unnest(range(len(vals)))) AS k, unnest(vals) AS e FROM series), w AS (SELECT k, e, CASE WHEN k % 8 = 0 THEN e + 0.5 ELSE e END AS g FROM v) SELECT count(*) AS n_values, round(max(abs(e - g)), 6) AS max_abs, round(max(abs(e - g) / abs(nullif(e, 0))), 3) AS max_rel, count_if(abs(e - g) > 1e-6)::BIGINT AS beyond, count_if(k % 2 = 1 AND e <> g)::BIGINT AS ppv_differ FROM w")
 def conformance(spark, sf_dir):
     s = series(spark, sf_dir).select("id", F.col("values").alias("features"))
     moved = s.withColumn("features", F.transform("features", lambda v, i: F.when(i % 8 == 0, v + 0.5).otherwise(v)))
-    return six(evaluate.conformance(s, moved, ["id"], 1e-6), "n_values", "max_abs", "beyond", "ppv_differ")
+    return six(evaluate.conformance(s, moved, ["id"], 1e-6).withColumn("max_rel", F.round("max_rel", 3)))
 
 
 @query("E6_summarise", "SELECT l_suppkey, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem GROUP BY l_suppkey")
@@ -69,13 +65,11 @@ def summarise(spark, sf_dir):
 DELTAS = f"{RECORDS}, deltas AS (SELECT dataset, flag, setting, round(one - two, 6) AS d FROM records)"
 
 
-@query("E7_paired_summary", f"WITH {DELTAS}, s AS (SELECT flag, count(*) AS n, count_if(d > 0)::BIGINT AS wins, count_if(d = 0)::BIGINT AS ties, count_if(d < 0)::BIGINT AS losses, avg(d) AS m, quantile_cont(d, 0.5) AS q, 2.8 * stddev_samp(d) / sqrt(count(*)) AS det FROM deltas GROUP BY flag) SELECT flag, n, wins, ties, losses, round(m, 6) AS mean_delta, round(q, 6) AS median_delta, round(det, 6) AS detectable FROM s")
+@query("E7_paired_summary", f"WITH {RECORDS}, deltas AS (SELECT flag, one - two AS d FROM records), s AS (SELECT flag, count(*) AS n, count_if(d > 0)::BIGINT AS wins, count_if(d = 0)::BIGINT AS ties, count_if(d < 0)::BIGINT AS losses, avg(d) AS m, quantile_cont(d, 0.5) AS q, 2.8 * stddev_samp(d) / sqrt(count(*)) AS det FROM deltas GROUP BY flag) SELECT flag, n, wins, ties, losses, round(m, 6) AS mean_delta, round(q, 6) AS median_delta, round(det, 6) AS detectable, round({p_sql("wins", "losses")}, 6) AS p FROM s")
 def paired_summary(spark, sf_dir):
     r = supplier_records(spark, sf_dir)
     keys = ["dataset", "flag", "setting"]
-    both = r.select(*keys, F.col("one").alias("accuracy")), r.select(*keys, F.col("two").alias("accuracy"))
-    d = both[0].join(both[1].withColumnRenamed("accuracy", "o"), keys).withColumn("d", r6(F.col("accuracy") - F.col("o")))
-    return six(evaluate.delta_summary(d, "d", ["flag"]), "flag", "n", "wins", "ties", "losses", "mean_delta", "median_delta", "detectable")
+    return six(evaluate.paired_summary(r.select(*keys, F.col("one").alias("accuracy")), r.select(*keys, F.col("two").alias("accuracy")), keys, by=["flag"]))
 
 
 @query("E8_sign_test", f"WITH {DELTAS}, s AS (SELECT dataset, count_if(d > 0)::BIGINT AS wins, count_if(d < 0)::BIGINT AS losses FROM deltas GROUP BY dataset) SELECT dataset, wins, losses, round({p_sql('wins', 'losses')}, 6) AS p FROM s")
@@ -97,10 +91,10 @@ def binom_tails(spark, sf_dir):
     return six(_tails(spark, sf_dir))
 
 
-@query("E10_benjamini_hochberg", f"WITH {TAILS}, p AS (SELECT name, round({binom_sf_sql('k', 'n', '0.3')}, 9) AS p_value FROM w), r AS (SELECT *, row_number() OVER (ORDER BY p_value, name) AS rank, count(*) OVER () AS m FROM p), c AS (SELECT *, max(CASE WHEN p_value <= 0.3 * rank / m THEN rank ELSE 0 END) OVER () AS cut FROM r) SELECT name, round(p_value, 6) AS p_value, rank <= cut AS survives FROM c")
+@query("E10_benjamini_hochberg", f"WITH {TAILS}, p AS (SELECT name, k, n, round({binom_sf_sql('k', 'n', '0.3')}, 9) AS p_value FROM w), r AS (SELECT *, row_number() OVER (ORDER BY p_value, name) AS rank, count(*) OVER () AS m FROM p), c AS (SELECT *, max(CASE WHEN p_value <= 0.3 * rank / m THEN rank ELSE 0 END) OVER () AS cut FROM r) SELECT name, k, n, round(p_value, 6) AS p_value, rank, round(coalesce(max(CASE WHEN rank = cut THEN p_value END) OVER (), 0.0), 6) AS threshold, rank <= cut AS survives FROM c")
 def benjamini_hochberg(spark, sf_dir):
     rows = _tails(spark, sf_dir).withColumn("p_value", F.round("p_value", 9))
-    return six(evaluate.benjamini_hochberg(rows, 0.3), "name", "p_value", "survives")
+    return six(evaluate.benjamini_hochberg(rows, 0.3))
 
 
 OVERLAP = "wrong AS (SELECT id % 5 AS dataset, id, model, yhat, (yhat <> y)::INTEGER::DOUBLE AS w FROM preds JOIN truth USING (id)), ov AS (SELECT a.dataset, a.model AS a, b.model AS b, avg(a.w * b.w) AS joint, avg(a.w) * avg(b.w) AS independent, avg((a.yhat <> b.yhat)::INTEGER) AS disagreement FROM wrong a JOIN wrong b ON a.id = b.id AND a.model < b.model GROUP BY ALL)"
@@ -122,11 +116,11 @@ def overlap_report(spark, sf_dir):
     return six(evaluate.overlap_report(_overlap(spark, sf_dir)))
 
 
-@query("E13_compatible_runs", f"WITH {RECORDS}, r AS (SELECT dataset, flag AS model, setting, CASE WHEN size > 100 THEN NULL ELSE setting % 2 END AS cfg FROM records WHERE setting <= 2), b AS (SELECT dataset, cfg FROM r WHERE model = 'A' AND setting = 1) SELECT r.dataset, r.model, r.setting FROM r JOIN b ON r.dataset = b.dataset AND r.cfg IS NOT DISTINCT FROM b.cfg WHERE NOT (r.model = 'A' AND r.setting = 2)")
+@query("E13_compatible_runs", f"WITH {RECORDS}, r AS (SELECT dataset || '/' || setting AS dataset, flag AS model, CASE WHEN size > 100 THEN NULL ELSE floor(size)::BIGINT % 2 END AS cfg FROM records) SELECT r.dataset, r.model FROM r JOIN r b ON r.dataset = b.dataset AND b.model = 'A' AND r.cfg IS NOT DISTINCT FROM b.cfg")
 def compatible_runs(spark, sf_dir):
-    runs = supplier_records(spark, sf_dir).where("setting <= 2 AND NOT (flag = 'A' AND setting = 2)")
-    runs = runs.select("dataset", F.col("flag").alias("model"), "setting", F.when(F.col("size") > 100, F.lit(None)).otherwise(F.col("setting") % 2).alias("cfg"))
-    return evaluate.compatible_runs(runs, ["cfg"], "A").select("dataset", "model", "setting")
+    name = F.concat_ws("/", "dataset", F.col("setting").cast("string")).alias("dataset")
+    runs = supplier_records(spark, sf_dir).select(name, F.col("flag").alias("model"), F.when(F.col("size") > 100, F.lit(None)).otherwise(F.floor("size") % 2).alias("cfg"))
+    return evaluate.compatible_runs(runs, ["cfg"], "A").select("dataset", "model")
 
 
 RUNS = f"{RECORDS}, runs AS (SELECT dataset, setting AS resample, round(avg(one) - avg(two), 6) AS delta FROM records GROUP BY ALL), per AS (SELECT dataset, avg(delta) AS m, var_samp(delta) AS v, count(*) AS r FROM runs GROUP BY dataset), split AS (SELECT count(*) AS datasets, avg(r) AS mean_resamples, avg(m) AS grand_mean, avg(v) AS var_within, var_samp(m) AS var_of_means FROM per), vs AS (SELECT *, CASE WHEN datasets >= 2 THEN var_of_means - var_within / mean_resamples END AS raw FROM split)"
@@ -187,10 +181,11 @@ def edge_strata(spark, sf_dir):
     return six(evaluate.edge_strata(supplier_records(spark, sf_dir).withColumn("edge", r6(F.col("one") - F.col("two"))), "edge", "size"))
 
 
-@query("E20_labeller_table", f"WITH {PREDS}, a AS (SELECT id % 5 AS dataset, avg(CASE WHEN model = 'm0' THEN (yhat = y)::INTEGER END) AS m0, avg(CASE WHEN model = 'm1' THEN (yhat = y)::INTEGER END) AS m1, avg(CASE WHEN model = 'm2' THEN (yhat = y)::INTEGER END) AS m2 FROM preds JOIN truth USING (id) GROUP BY 1) SELECT dataset, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2, round(greatest(m0, m1, m2), 6) AS best_single FROM a")
+@query("E20_labeller_table", f"WITH {PREDS}, sn AS (SELECT model, id, cls, p / sum(p) OVER (PARTITION BY model, id) AS p FROM soft), en AS (SELECT id, cls AS yhat FROM (SELECT id, cls, sum(p) AS s FROM sn GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s / 3, 12) DESC, cls) = 1), ea AS (SELECT id % 5 AS dataset, avg((yhat = y)::INTEGER) AS e FROM en JOIN truth USING (id) GROUP BY 1), a AS (SELECT id % 5 AS dataset, avg(CASE WHEN model = 'm0' THEN (yhat = y)::INTEGER END) AS m0, avg(CASE WHEN model = 'm1' THEN (yhat = y)::INTEGER END) AS m1, avg(CASE WHEN model = 'm2' THEN (yhat = y)::INTEGER END) AS m2 FROM preds JOIN truth USING (id) GROUP BY 1) SELECT dataset, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2, round(greatest(m0, m1, m2), 6) AS best_single, round(e, 6) AS ensemble FROM a JOIN ea USING (dataset)")
 def labeller_table(spark, sf_dir):
     by5 = lambda df: df.withColumn("dataset", F.col("id") % 5)
-    return six(evaluate.labeller_table(by5(predictions(spark, sf_dir)), by5(truth(spark, sf_dir)), MODELS))
+    mean = ensemble.ensemble_models(soft(spark, sf_dir), MODELS).withColumn("mean_p", F.round("mean_p", 12))
+    return six(evaluate.labeller_table(by5(predictions(spark, sf_dir)), by5(truth(spark, sf_dir)), MODELS, by5(ensemble.argmax_label(mean, ["id"]))))
 
 
 MARKS = "marks AS (SELECT o_custkey AS grp, CASE o_orderkey % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'transformed' ELSE 'classified' END AS phase, o_orderdate AS ts FROM orders), times AS (SELECT grp, (max(CASE WHEN phase = 'transformed' THEN epoch_us(ts) END) - max(CASE WHEN phase = 'start' THEN epoch_us(ts) END)) / 1e6 AS t, (max(CASE WHEN phase = 'classified' THEN epoch_us(ts) END) - max(CASE WHEN phase = 'transformed' THEN epoch_us(ts) END)) / 1e6 AS c FROM marks GROUP BY grp)"
@@ -207,9 +202,9 @@ def time_split(spark, sf_dir):
     return six(_times(spark, sf_dir))
 
 
-@query("E21_time_summary", f"WITH {MARKS} SELECT round(quantile_cont(c, 0.5), 3) AS median, round(sum(c), 3) AS classify FROM times")
+@query("E21_time_summary", f"WITH {MARKS} SELECT round(sum(t), 3) AS transform, round(sum(c), 3) AS classify, round(sum(c) / (sum(t) + sum(c)), 6) AS classify_share, round(quantile_cont(c, 0.5), 3) AS median, round(max(c) / quantile_cont(c, 0.5), 6) AS max_over_median FROM times")
 def time_summary(spark, sf_dir):
-    return evaluate.time_summary(_times(spark, sf_dir)).select(F.round("median", 3).alias("median"), F.round("classify", 3).alias("classify"))
+    return evaluate.time_summary(_times(spark, sf_dir)).select(*[F.round(c, 3).alias(c) for c in ("transform", "classify", "median")], *[r6(c).alias(c) for c in ("classify_share", "max_over_median")])
 
 
 STEADY = f"{RECORDS}, t AS (SELECT dataset, setting AS grp, round(sum(size), 6) AS c FROM records GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY grp) AS i FROM t), rest AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY c DESC, grp) AS slow FROM i WHERE i > 1), o AS (SELECT dataset, CASE WHEN count(CASE WHEN slow > 1 THEN c END) >= 2 THEN stddev_pop(CASE WHEN slow > 1 THEN c END) / avg(CASE WHEN slow > 1 THEN c END) END AS spread, avg(c) AS m, max(c) AS w FROM rest GROUP BY dataset)"
@@ -238,16 +233,24 @@ def context_table(spark, sf_dir):
     return six(evaluate.context_table(_settings(spark, sf_dir).withColumn("frac", F.col("setting") / 7)))
 
 
-@query("E25_gate_table", f"WITH {RECORDS}, g AS (SELECT flag AS learner, round(one - two, 6) AS d FROM records), s AS (SELECT learner, count(*) AS n, count_if(d > 0)::BIGINT AS wins, count_if(d < 0)::BIGINT AS losses, avg(d) AS m, quantile_cont(d, 0.5) AS q FROM g GROUP BY learner) SELECT learner, n, wins, round(m, 6) AS mean_delta, round(q, 6) AS median_delta FROM s")
+@query("E25_gate_table", f"WITH {RECORDS}, g AS (SELECT flag AS learner, round(one - two, 6) AS d FROM records), s AS (SELECT learner, count(*) AS n, count_if(d > 0)::BIGINT AS wins, count_if(d < 0)::BIGINT AS losses, avg(d) AS m, quantile_cont(d, 0.5) AS q FROM g GROUP BY learner) SELECT learner, n, wins, round(m, 6) AS mean_delta, round(q, 6) AS median_delta, round({p_sql('wins', 'losses')}, 6) AS p, CASE WHEN m > 0 AND {p_sql('wins', 'losses')} < 0.05 THEN 'go' WHEN m > 0 THEN 'underpowered' ELSE 'stop' END AS verdict FROM s")
 def gate_table(spark, sf_dir):
     rows = supplier_records(spark, sf_dir).select(F.concat_ws("/", "dataset", F.col("setting").cast("string")).alias("dataset"), F.col("flag").alias("learner"), r6(F.col("one") - F.col("two")).alias("teacher"), F.lit(0.0).alias("student"))
-    return six(evaluate.gate_table(rows), "learner", "n", "wins", "mean_delta", "median_delta")
+    return six(evaluate.gate_table(rows))
+
+
+def _routed_runs(spark, sf_dir):
+    return supplier_records(spark, sf_dir).select("dataset", F.col("flag").alias("alternate"), F.col("setting").alias("budget"), F.col("one").alias("accuracy"), F.col("two").alias("primary_accuracy"), F.when(F.col("size") > 100, 2).otherwise(3).alias("n_classes"))
 
 
-@query("E26_route_report", f"WITH {RECORDS}, r AS (SELECT flag AS alternate, setting, one, two, CASE WHEN size > 100 THEN 'binary' ELSE 'multiclass' END AS s FROM records), x AS (SELECT alternate, setting, one, two, unnest(['all', s]) AS stratum FROM r) SELECT alternate, setting AS budget, stratum, count(*) AS n, round(avg(one), 6) AS mean_accuracy, round(avg(one - two), 6) AS mean_delta, count_if(one > two)::BIGINT AS wins, count_if(one < two)::BIGINT AS losses FROM x GROUP BY ALL")
+@query("E26_route_report", f"WITH {RECORDS}, r AS (SELECT flag AS alternate, setting, one, two, CASE WHEN size > 100 THEN 'binary' ELSE 'multiclass' END AS s FROM records), x AS (SELECT alternate, setting, one, two, unnest(['all', s]) AS stratum FROM r) SELECT alternate, setting AS budget, stratum, count(*) AS n, round(avg(one), 6) AS mean_accuracy, round(avg(one - two), 6) AS mean_delta, count_if(one > two)::BIGINT AS wins, count_if(one < two)::BIGINT AS losses, round({p_sql('count_if(one > two)::BIGINT', 'count_if(one < two)::BIGINT')}, 6) AS p FROM x GROUP BY ALL")
 def route_report(spark, sf_dir):
-    rows = supplier_records(spark, sf_dir).select("dataset", F.col("flag").alias("alternate"), F.col("setting").alias("budget"), F.col("one").alias("accuracy"), F.col("two").alias("primary_accuracy"), F.when(F.col("size") > 100, 2).otherwise(3).alias("n_classes"))
-    return six(evaluate.route_report(rows), "alternate", "budget", "stratum", "n", "mean_accuracy", "mean_delta", "wins", "losses")
+    return six(evaluate.route_report(_routed_runs(spark, sf_dir)))
+
+
+@query("E26_family_averages", f"WITH {RECORDS} SELECT setting AS budget, flag IN ('A', 'N') AS same_model, count(*) AS n, round(avg(one - two), 6) AS mean_delta FROM records GROUP BY ALL")
+def family_averages(spark, sf_dir):
+    return six(evaluate.family_averages(_routed_runs(spark, sf_dir), ["A", "N"]))
 
 
 @query("E27_noise_floor", f"WITH {RECORDS} SELECT dataset, count(*) AS n_seeds, round(avg(one), 6) AS mean_accuracy, round(stddev_samp(one), 6) AS sd, round(avg(two), 6) AS mean_gain FROM records GROUP BY dataset")
@@ -255,19 +258,23 @@ def noise_floor(spark, sf_dir):
     return six(evaluate.noise_floor(supplier_records(spark, sf_dir).withColumnsRenamed({"one": "accuracy", "two": "gain"})))
 
 
-@query("S11_run_record", f"WITH {PREDS}, a AS (SELECT model, count(*) AS n_rows, round(avg((yhat = y)::INTEGER), 6) AS accuracy FROM preds JOIN truth USING (id) GROUP BY model) SELECT model, n_rows, accuracy, 'kernels=10000' AS config FROM a")
+@query("S11_run_record", f"WITH {PREDS}, a AS (SELECT model, count(*) AS n_rows, round(avg((yhat = y)::INTEGER), 6) AS accuracy FROM preds JOIN truth USING (id) GROUP BY model) , i AS (SELECT id, count(DISTINCT model) AS k FROM preds GROUP BY id), n AS (SELECT count(*) AS n FROM series) SELECT model, n_rows, accuracy, 10000::BIGINT AS kernels, (SELECT count(*) FROM i) = (SELECT n FROM n) AND (SELECT min(k) = 3 AND max(k) = 3 FROM i) AS aligned, 0 AS failures FROM a")
 def run_record(spark, sf_dir):
-    """One record per model, assembled by the cluster; src.run_record makes the single row of one run."""
-    acc = evaluate.accuracy(predictions(spark, sf_dir).join(truth(spark, sf_dir), "id"), ["model"])
-    record = src.run_record(spark, {"kernels": 10000}, {}, {}, {}, []).select(F.concat(F.lit("kernels="), F.col("config")["kernels"]).alias("config"))
-    return acc.crossJoin(F.broadcast(record)).select("model", F.col("n").alias("n_rows"), r6("accuracy").alias("accuracy"), "config")
+    """One record per model: its configuration, shape, result and the alignment of its predictions."""
+    p = predictions(spark, sf_dir)
+    aligned = evaluate.alignment(p.withColumnRenamed("model", "grp"), series(spark, sf_dir).count(), len(MODELS)).first()["aligned"]
+    runs = evaluate.accuracy(p.join(truth(spark, sf_dir), "id"), ["model"]).collect()  # a row per model
+    records = [src.run_record(spark, {"model": r["model"], "kernels": 10000}, {"n_rows": r["n"]}, {"accuracy": r["accuracy"]}, {"aligned": aligned}, []) for r in runs]
+    c = lambda column, key: F.col(column)[key]
+    return src.union_groups(*records).select(
+        c("config", "model").alias("model"), c("shape", "n_rows").cast("long").alias("n_rows"), r6(c("result", "accuracy")).alias("accuracy"), c("config", "kernels").cast("long").alias("kernels"),
+        c("alignment", "aligned").cast("boolean").alias("aligned"), F.size("failures").alias("failures"),
+    )
 
 
 @query("S10_write_run", f"WITH {PREDS} SELECT model, id, yhat FROM preds")
 def write_run(spark, sf_dir):
     """Predictions through the JSON sink and back."""
-    from convseries.plans.ensemble_queries import _folder
-
-    path = f"{_folder(spark)}/predictions"
+    path = new_folder(spark, "predictions")
     src.write_run(predictions(spark, sf_dir), path)
     return spark.read.schema("model string, id long, yhat string").json(path)

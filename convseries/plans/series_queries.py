@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from convseries.functions import prng
 from convseries.functions import series as fs
 from convseries.operators import kernels, statistics, transform
+from convseries.operators.ranking import kept, new_folder
 from convseries.plans.base import CUBE, LONG, RECORDS, SERIES, draw_ctes, group_cube, mix_ctes, query, r6, seed_ctes, series, supplier_records, table, uniform_ctes
 from convseries.sources import series as src
 
@@ -18,7 +19,9 @@ SEED = 7
 
 @query("S1_read_series", f"WITH {SERIES} SELECT id, split, label, len(vals)::BIGINT AS n, round(list_sum(vals), 6) AS total FROM series")
 def read_series(spark, sf_dir):
-    return series(spark, sf_dir).select("id", "split", "label", F.size("values").cast("long").alias("n"), r6(fs.array_sum(F.col("values"))).alias("total"))
+    path = new_folder(spark, "series")
+    series(spark, sf_dir).write.parquet(path)
+    return src.read_series(spark, path).select("id", "split", "label", F.size("values").cast("long").alias("n"), r6(fs.array_sum(F.col("values"))).alias("total"))
 
 
 @query("S2_label_splits", f"WITH {SERIES} SELECT split, label, count(*) AS n FROM series GROUP BY ALL")
@@ -118,7 +121,10 @@ def require_columns(spark, sf_dir):
 @query("S17_preferred_runs", f"WITH {RECORDS} SELECT dataset, flag, setting, one FROM records WHERE size > 50 QUALIFY row_number() OVER (PARTITION BY dataset, flag ORDER BY setting) = 1")
 def preferred_runs(spark, sf_dir):
     runs = supplier_records(spark, sf_dir).withColumn("failures", F.when(F.col("size") <= 50, F.array(F.lit("too small"))).otherwise(F.array().cast("array<string>")))
-    return src.preferred_runs(src.clean_runs(runs), ["dataset", "flag"], F.col("setting")).select("dataset", "flag", "setting", "one")
+    path = new_folder(spark, "runs")
+    src.write_run(runs, path)
+    found = src.read_runs(spark, path, "dataset string, setting long, flag string, one double, failures array<string>")
+    return src.preferred_runs(found, ["dataset", "flag"], F.col("setting")).select("dataset", "flag", "setting", "one")
 
 
 # -- R: deterministic columns ------------------------------------------------------------------------------------------
@@ -258,8 +264,8 @@ def bank_table(spark, sf_dir):
 
 # -- T: transform ------------------------------------------------------------------------------------------------------
 
-#: Kernels of the twins that the transform is checked by, and of a production bank.
-KERNELS, BANK = 4, 1000
+#: Kernels of the transform, and of its relational and lambda twins.
+BANK, KERNELS = 100, 4
 
 
 def conv_ctes(k: int, n_ref: int | str = 64) -> str:
@@ -272,7 +278,9 @@ conv AS (SELECT x.id, x.kernel_id, x.o, any_value(x.bias) + sum(x.weight * l.val
 
 
 FEATURES_SQL = "SELECT id, kernel_id, round(max(c), 6) AS max, round(count_if(c > 0) / count(*)::DOUBLE, 9) AS ppv FROM conv GROUP BY ALL"
-CONV_SQL = f"WITH {LONG}, {conv_ctes(KERNELS)} {FEATURES_SQL}"
+CONV_SQL, BANK_SQL = (f"WITH {LONG}, {conv_ctes(k)} {FEATURES_SQL}" for k in (KERNELS, BANK))
+EVENTS = "long AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value FROM events)"
+SHORTEST = "(SELECT greatest(11, min(n)) FROM (SELECT count(*) AS n FROM events GROUP BY user_id))"
 
 
 def _flat(df):
@@ -282,9 +290,9 @@ def _flat(df):
     return rows.select("id", F.col("k").cast("long").alias("kernel_id"), r6(F.col("f.m")).alias("max"), F.round(F.col("f.p"), 9).alias("ppv"))
 
 
-@query("T1_conv_features", CONV_SQL)
+@query("T1_conv_features", BANK_SQL)
 def conv_features(spark, sf_dir):
-    return _flat(transform.conv_features(series(spark, sf_dir).select("id", "values"), "values", KERNELS, SEED))
+    return _flat(transform.conv_features(series(spark, sf_dir).select("id", "values"), "values", BANK, SEED))
 
 
 @query("T2_conv_features_channels")
@@ -294,7 +302,7 @@ def conv_features_channels(spark, sf_dir):
     return _flat(transform.conv_features(rows, "values", 50, SEED, 0, n_ref))
 
 
-@query("T3_conv_features_ragged")
+@query("T3_conv_features_ragged", f"WITH {EVENTS}, {conv_ctes(100, SHORTEST)} {FEATURES_SQL}")
 def conv_features_ragged(spark, sf_dir):
     rows = user_series(spark, sf_dir).withColumnRenamed("user_id", "id")
     n_ref = transform.reference_length(rows).first()["n_ref"]
@@ -304,7 +312,7 @@ def conv_features_ragged(spark, sf_dir):
 @query("T4_conv_features_relational", CONV_SQL)
 def conv_features_relational(spark, sf_dir):
     bank = kernels.bank_long(spark.range(KERNELS).withColumnRenamed("id", "kernel_id"), SEED, 64)
-    out = transform.conv_features_relational(src.explode_series(series(spark, sf_dir), ["id"]), bank.persist())
+    out = transform.conv_features_relational(src.explode_series(series(spark, sf_dir), ["id"]), kept(bank))
     return out.select("id", "kernel_id", r6("max").alias("max"), F.round("ppv", 9).alias("ppv"))
 
 
@@ -348,7 +356,7 @@ def truncate_series(spark, sf_dir):
     return cut.select("user_id", r6(fs.array_sum(F.col("values"))).alias("total"), F.size("values").cast("long").alias("n"))
 
 
-@query("T12_length_bias")
+@query("T12_length_bias", f"WITH {EVENTS}, {conv_ctes(50, SHORTEST)}, f AS (SELECT id, max(c) AS m, count_if(c > 0) / count(*)::DOUBLE AS p FROM conv GROUP BY id, kernel_id) SELECT n::INTEGER AS n, round(avg(m), 6) AS mean_max, round(avg(p), 6) AS mean_ppv FROM f JOIN shape USING (id) GROUP BY n")
 def length_bias(spark, sf_dir):
     rows = user_series(spark, sf_dir)
     n_ref = max(11, transform.reference_length(rows).first()["n_ref"])
@@ -370,19 +378,28 @@ def validate_series(spark, sf_dir):
     "F1_series_statistics",
     f"""WITH {LONG}, m AS (SELECT id, avg(value) AS mean, count(*) AS n FROM long GROUP BY id),
 w AS (SELECT l.*, m.mean, m.n, lag(value) OVER o AS before, lead(value) OVER o AS after FROM long l JOIN m USING (id) WINDOW o AS (PARTITION BY id ORDER BY t)),
-peaks AS (SELECT id, count_if(value > before AND value > after)::DOUBLE AS number_peaks, round(quantile_cont(value, 0.1), 6) AS quantile_q10, round(quantile_cont(value, 0.5), 6) AS quantile_q50,
+peaks AS (SELECT id, count_if(value > before AND value > after)::DOUBLE AS number_peaks, round(quantile_cont(value, 0.1), 6) AS quantile_q10, round(quantile_cont(value, 0.5), 6) AS quantile_q50, round(quantile_cont(value, 0.9), 6) AS quantile_q90,
+  round(sqrt(pow(sum(value * cos(-2 * pi() * 6 * t / n)), 2) + pow(sum(value * sin(-2 * pi() * 6 * t / n)), 2)), 6) AS fft_coefficient_6_abs,
   round(sqrt(pow(sum(value * cos(-2 * pi() * 1 * t / n)), 2) + pow(sum(value * sin(-2 * pi() * 1 * t / n)), 2)), 6) AS fft_coefficient_1_abs,
   round(sqrt(pow(sum(value * cos(-2 * pi() * 5 * t / n)), 2) + pow(sum(value * sin(-2 * pi() * 5 * t / n)), 2)), 6) AS fft_coefficient_5_abs FROM w GROUP BY id),
 isl AS (SELECT id, t - row_number() OVER (PARTITION BY id ORDER BY t) AS island FROM w WHERE value > mean),
 runs AS (SELECT id, max(k)::DOUBLE AS longest_strike_above_mean FROM (SELECT id, island, count(*) AS k FROM isl GROUP BY ALL) GROUP BY id)
-SELECT id, number_peaks, longest_strike_above_mean, quantile_q10, quantile_q50, fft_coefficient_1_abs, fft_coefficient_5_abs FROM peaks JOIN runs USING (id)""",
+SELECT id, number_peaks, longest_strike_above_mean, quantile_q10, quantile_q50, quantile_q90, fft_coefficient_1_abs, fft_coefficient_5_abs, fft_coefficient_6_abs FROM peaks JOIN runs USING (id)""",
 )
 def series_statistics(spark, sf_dir):
     out = statistics.series_statistics(series(spark, sf_dir).select("id", "values"))
-    return out.select("id", "number_peaks", "longest_strike_above_mean", *[r6(c).alias(c) for c in ("quantile_q10", "quantile_q50", "fft_coefficient_1_abs", "fft_coefficient_5_abs")])
+    return out.select("id", "number_peaks", "longest_strike_above_mean", *[r6(c).alias(c) for c in ("quantile_q10", "quantile_q50", "quantile_q90", "fft_coefficient_1_abs", "fft_coefficient_5_abs", "fft_coefficient_6_abs")])
 
 
-@query("F1_series_entropies")
+ENTROPY = "-sum(k / s::DOUBLE * ln(k / s::DOUBLE))"
+ENTROPIES = f"""{EVENTS}, m AS (SELECT id, count(*) AS n, min(value) AS lo, max(value) AS hi, 0.2 * stddev_pop(value) AS tol FROM long GROUP BY id),
+x AS (SELECT l.id, l.t, l.value AS a, lead(value) OVER o AS b, lead(value, 2) OVER o AS c, n, lo, hi, tol FROM long l JOIN m USING (id) WINDOW o AS (PARTITION BY id ORDER BY t)),
+perm AS (SELECT id, {ENTROPY} AS permutation_entropy FROM (SELECT id, k, sum(k) OVER (PARTITION BY id) AS s FROM (SELECT id, (a > b)::INTEGER * 4 + (a > c)::INTEGER * 2 + (b > c)::INTEGER AS code, count(*) AS k FROM x WHERE t < n - 2 GROUP BY ALL)) GROUP BY id),
+bins AS (SELECT id, {ENTROPY} AS binned_entropy FROM (SELECT id, k, sum(k) OVER (PARTITION BY id) AS s FROM (SELECT id, CASE WHEN hi > lo THEN least(9, floor((a - lo) / ((hi - lo) / 10)))::INTEGER ELSE 0 END AS cell, count(*) AS k FROM x GROUP BY ALL)) GROUP BY id),
+near AS (SELECT p.id, count_if(greatest(abs(p.a - q.a), abs(p.b - q.b)) <= p.tol) AS two, count_if(greatest(abs(p.a - q.a), abs(p.b - q.b), abs(p.c - q.c)) <= p.tol) AS three FROM x p JOIN x q ON p.id = q.id AND p.t < q.t WHERE q.t < q.n - 2 GROUP BY p.id)"""
+
+
+@query("F1_series_entropies", f"WITH {ENTROPIES} SELECT id AS user_id, round(permutation_entropy, 6) AS permutation_entropy, round(binned_entropy, 6) AS binned_entropy, round(CASE WHEN two = 0 THEN 'nan'::DOUBLE WHEN three = 0 THEN 'inf'::DOUBLE ELSE -ln(three / two::DOUBLE) END, 6) AS sample_entropy FROM perm JOIN bins USING (id) JOIN near USING (id)")
 def series_entropies(spark, sf_dir):
     out = statistics.series_statistics(user_series(spark, sf_dir))
     return out.select("user_id", *[r6(c).alias(c) for c in ("permutation_entropy", "binned_entropy", "sample_entropy")])
@@ -446,6 +463,11 @@ def binom_sf_sql(k: str, n: str, p: str) -> str:
     return f"CASE WHEN {k} <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range({k}, {n} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - ({p})))))) END"
 
 
+def p_sql(wins: str, losses: str) -> str:
+    """The two-sided sign test in DuckDB."""
+    return f"CASE WHEN {wins} + {losses} = 0 THEN 1.0 ELSE least(1.0, 2 * {binom_sf_sql(f'greatest({wins}, {losses})', f'({wins} + {losses})', '0.5')}) END"
+
+
 @query(
     "F10_select_features",
     f"""WITH {IMPORTANCE}, r AS (SELECT name, row_number() OVER (PARTITION BY dataset ORDER BY value DESC, name) AS k FROM imp), n AS (SELECT count(DISTINCT dataset) AS d, count(DISTINCT name) AS f FROM imp),
@@ -464,10 +486,10 @@ def _arms(spark, sf_dir):
     return supplier_records(spark, sf_dir).groupBy("dataset", F.col("flag").alias("arm")).agg(r6(F.avg("one")).alias("accuracy"))
 
 
-@query("F11_family_summary", f"WITH {ARMS}, d AS (SELECT a.arm, round(a.accuracy - b.accuracy, 6) AS d FROM arms a JOIN arms b ON a.dataset = b.dataset AND b.arm = 'A' WHERE a.arm <> 'A') SELECT arm, count(*) AS n, count_if(d > 0)::BIGINT AS wins, count_if(d = 0)::BIGINT AS ties, count_if(d < 0)::BIGINT AS losses, round(avg(d), 6) AS mean_delta, round(max(d), 6) AS best, round(min(d), 6) AS worst FROM d GROUP BY arm")
+@query("F11_family_summary", f"WITH {ARMS}, d AS (SELECT a.arm, round(a.accuracy - b.accuracy, 6) AS d FROM arms a JOIN arms b ON a.dataset = b.dataset AND b.arm = 'A' WHERE a.arm <> 'A') SELECT arm, count(*) AS n, count_if(d > 0)::BIGINT AS wins, count_if(d = 0)::BIGINT AS ties, count_if(d < 0)::BIGINT AS losses, round(avg(d), 6) AS mean_delta, round(quantile_cont(d, 0.5), 6) AS median_delta, round(max(d), 6) AS best, round(min(d), 6) AS worst FROM d GROUP BY arm")
 def family_summary(spark, sf_dir):
     out = statistics.family_summary(_arms(spark, sf_dir), "A")
-    return out.select("arm", "n", "wins", "ties", "losses", *[r6(c).alias(c) for c in ("mean_delta", "best", "worst")])
+    return out.select("arm", "n", "wins", "ties", "losses", *[r6(c).alias(c) for c in ("mean_delta", "median_delta", "best", "worst")])
 
 
 @query("F11_oracle_arm", f"WITH {ARMS} SELECT dataset, arm, accuracy FROM arms QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY accuracy DESC, arm) = 1")

@@ -287,3 +287,28 @@ def test_queries_take_all_groups_and_points(spark, sf):
     assert queries["C4_soft_target_ridge"](spark, sf).select("grp").distinct().count() == 8
     assert queries["F6_tune_block_weight"](spark, sf).count() == 7
     assert queries["F9_bootstrap_stability"](spark, sf).count() == 64
+
+
+def test_models_must_know_the_same_classes(spark):
+    soft = spark.createDataFrame([("m", 1, "a", 0.5), ("m", 1, "b", 0.5), ("n", 1, "a", 1.0)], "model string, id long, cls string, p double")
+    with pytest.raises(ValueError, match="classes"):
+        ensemble.ensemble_models(soft, ["m", "n"])
+    with pytest.raises(ValueError, match="no probabilities of x"):
+        ensemble.ensemble_models(soft, ["m", "x"])
+
+
+def test_compare_predictions_with_missing_and_repeated_ids(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (5, "z"), (5, "z")], "id long, yhat string")
+    b = spark.createDataFrame([(2, "y"), (3, "x"), (4, "w"), (5, "z")], "id long, yhat string")
+    assert rows(evaluate.compare_predictions(a, b)) == [(1, 1, 3, 1, 1)]
+
+
+def test_quantiles_from_two_order_statistics(spark):
+    from convseries.operators.ranking import exact_quantile
+
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=501).round(1).tolist()
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+    for q in (0.0, 0.2, 0.37, 0.5, 1.0):
+        assert exact_quantile(df, "v", q, "x").first()["x"] == pytest.approx(np.quantile(values, q), abs=1e-12)
+    assert exact_quantile(df.where("v IS NULL"), "v", 0.5, "x").first()["x"] is None
