@@ -55,14 +55,15 @@ def prefix_predictions(cube: DataFrame) -> DataFrame:
     return argmax_label(prefix_proba(cube), ["n_groups", "id"])
 
 
-def ensemble_models(soft: DataFrame, models: list[str]) -> DataFrame:
-    """(id, cls, mean_p) over models, each renormalised; only ids that all models have. soft is (model, id, cls, p). Models that do not know the same classes, or are missing, are an error."""
+def ensemble_models(soft: DataFrame, models: list[str], check: bool = True) -> DataFrame:
+    """(id, cls, mean_p) over models, each renormalised; only ids that all models have. soft is (model, id, cls, p). Models that are missing, or do not have the same classes and number of rows, are an error unless check is off: their splits differ."""
     rows = soft.where(F.col("model").isin(models))
-    lists = {r["model"]: r["classes"] for r in check_models(rows).collect()}  # a row per model
-    if missing := [m for m in models if m not in lists]:
-        raise ValueError(f"no probabilities of {', '.join(missing)}")
-    if len(set(lists.values())) > 1:
-        raise ValueError("the models do not agree on the classes")
+    if check:
+        found = {r["model"]: (r["classes"], r["n_rows"]) for r in check_models(rows).collect()}  # a row per model
+        if missing := [m for m in models if m not in found]:
+            raise ValueError(f"no probabilities of {', '.join(missing)}")
+        if len(set(found.values())) > 1:
+            raise ValueError(f"the models do not agree on classes or rows: {found}")
     share = F.col("p") / F.coalesce(F.nullif(F.sum("p").over(Window.partitionBy("model", "id")), F.lit(0.0)), F.lit(1.0))
     rows = rows.select("model", "id", "cls", share.alias("p"))
     full = rows.groupBy("id").agg(F.countDistinct("model").alias("n")).where(F.col("n") == len(models)).select("id")
