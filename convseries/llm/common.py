@@ -134,7 +134,7 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < at least n."""
-    return _powers(1 << max(22, int(n).bit_length()), BASES[which])
+    return _powers(1 << max(20, int(n).bit_length()), BASES[which])
 
 
 def prefix_sums(buf: np.ndarray, which: int = 0) -> np.ndarray:

@@ -85,7 +85,7 @@ def span_table(docs: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for row, buf, offsets in text_chunks(batch.column(1), 2_000_000):
+            for row, buf, offsets in text_chunks(batch.column(1), 1_000_000):
                 text, a, s, s2, first, more, rel = anchor_spans(buf, offsets, length)
                 take = pa.array(row + text)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(s2), batch.column(0).take(take), pa.array(first, pa.int64()), pa.array(more.astype(np.int16)), pa.array(rel.astype(np.int16))], names=["a", "s", "s2", "d", "first", "more", "rel"])
