@@ -59,7 +59,14 @@ def soft_target_ridge(spark, sf_dir):
     return out.select("grp", "id", heads.argmax_decision(F.col("decision"), F.col("classes")).alias("yhat"))
 
 
-@query("C5_context_vote")
+VOTE_SQL = f"""WITH {SERIES},
+d AS (SELECT a.id, b.id AS other, b.label, list_sum(list_transform(list_zip(a.vals, b.vals), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM series a, series b WHERE a.split = 'test' AND b.split = 'train'),
+near AS (SELECT id, label, exp(min(d) OVER (PARTITION BY id) - d) AS w FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) <= 5),
+classes AS (SELECT DISTINCT label AS cls FROM series WHERE split = 'train')
+SELECT id, cls, round(sum(CASE WHEN label = cls THEN w ELSE 0 END) / sum(w), 6) AS p FROM near CROSS JOIN classes GROUP BY id, cls"""
+
+
+@query("C5_context_vote", VOTE_SQL)
 def context_vote(spark, sf_dir):
     s = series(spark, sf_dir).withColumnRenamed("values", "features")
     out = heads.context_vote(s.where("split = 'train'"), s.where("split = 'test'"), 1.0, 5)
