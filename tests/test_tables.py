@@ -289,6 +289,42 @@ def test_queries_take_all_groups_and_points(spark, sf):
     assert queries["F9_bootstrap_stability"](spark, sf).count() == 64
 
 
+def test_ridge_queries_equal_plain_fits(spark, sf):
+    """C2 and C3 against ridge fits by the normal equations, whose leave-one-out errors come from the hat matrix."""
+    import pandas as pd
+
+    from convseries.plans import registry
+
+    e = pd.read_parquet(f"{sf}/embeddings.parquet")
+    values, y = np.array(e["embedding"].tolist(), float), "c" + e["label"].astype(str).to_numpy(object)
+    test = (e["vec_id"] % 5 == 0).to_numpy()
+    alphas, chosen = {}, {}
+    for grp in range(8):
+        x, own = values[:, 8 * grp : 8 * grp + 8], y[~test]
+        classes = sorted(set(own))
+        x = (x - x[~test].mean(axis=0)) / x[~test].std(axis=0)
+        ones = lambda a: np.column_stack([np.ones(len(a)), a])
+        a, t = ones(x[~test]), np.where(own[:, None] == np.array(classes, object), 1.0, -1.0)
+        best = None
+        for alpha in 10.0 ** np.linspace(-3, 3, 10):
+            inverse = np.linalg.inv(a.T @ a + alpha * np.diag([0.0] + [1.0] * 8))
+            w = inverse @ a.T @ t
+            error = (((t - a @ w) / (1 - np.einsum("ij,jk,ik->i", a, inverse, a))[:, None]) ** 2).mean()
+            if best is None or error < best[0]:
+                best = error, alpha, w
+        alphas[grp] = (len(classes), best[1])
+        scores = ones(x[test]) @ best[2]
+        for i, row in zip(e["vec_id"][test], scores):
+            chosen[grp, i] = classes[int(row.argmax())], row.max()
+    fitted = {r.grp: r for r in registry.queries()["C2_ridge_heads"](spark, sf).collect()}
+    assert {g: r.n_classes for g, r in fitted.items()} == {g: n for g, (n, _) in alphas.items()}
+    assert [fitted[g].alpha for g in range(8)] == pytest.approx([alphas[g][1] for g in range(8)], abs=1e-6)
+    got = {(r.grp, r.id): (r.yhat, r.top) for r in registry.queries()["C3_decision_values"](spark, sf).collect()}
+    assert got.keys() == chosen.keys()
+    for key, (label, top) in chosen.items():
+        assert got[key][0] == label and got[key][1] == pytest.approx(top, abs=2e-6)
+
+
 def test_models_must_know_the_same_classes(spark):
     soft = spark.createDataFrame([("m", 1, "a", 0.5), ("m", 1, "b", 0.5), ("n", 1, "a", 1.0)], "model string, id long, cls string, p double")
     with pytest.raises(ValueError, match="classes"):
