@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convseries.llm import exact_dedup, html_text, mixing, near_dedup, packing, quality, repeats, token_files, toxicity, url_filter
+from convseries.llm import exact_dedup, html_text, mixing, near_dedup, packing, phrases, quality, repeats, token_files, toxicity, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -89,9 +89,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """name -> callable(spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_repeats, op4_html_text, op5_exact_dedup, op6_toxicity, op7_near_dedup, op8_packing, op9_token_files, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_repeats, op4_html_text, op5_exact_dedup, op6_toxicity, op7_near_dedup, op8_packing, op9_token_files, op10_url_filter, op11_phrases)}
 
 
 MIX_SQL = r"""
@@ -130,7 +135,25 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'exampl
        WHEN regexp_matches(host, '(^|[.-])(casino|bets|pills|spam|adult|ads)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
+PHRASE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+u AS (SELECT lang, len, unnest([ws[i : i + len - 1] for i in range(1, len(ws) - len + 2)]) AS words FROM w CROSS JOIN (VALUES (1), (2), (3)) AS v(len)),
+g AS (SELECT lang, len, array_to_string(words, ' ') AS phrase, count(*) AS f FROM u GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE len = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM g WHERE len > 1 AND f >= 10),
+k AS (SELECT c.*, k, array_to_string(words[1 : k], ' ') AS head, array_to_string(words[k + 1 :], ' ') AS rest FROM c JOIN (VALUES (1), (2)) AS v(k) ON k < len),
+s AS (SELECT k.lang, k.phrase, k.f AS a, k.k, x.f AS l, y.f AS r, (1000000::HUGEINT * k.f * k.f // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM k JOIN g AS x ON x.lang = k.lang AND x.phrase = k.head JOIN g AS y ON y.lang = k.lang AND y.phrase = k.rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, unnest([array_to_string(words[1 : 2], ' '), array_to_string(words[2 : 3], ' ')]) AS phrase, f FROM c WHERE len = 3),
+t AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+      FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.f >= 50 * b.a))
+SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """name -> DuckDB SQL, where SQL can express the query."""
-    return {"op2_source_mix": MIX_SQL, "op5_exact_dedup": EXACT_SQL, "op10_url_filter": URL_SQL}
+    return {"op2_source_mix": MIX_SQL, "op5_exact_dedup": EXACT_SQL, "op10_url_filter": URL_SQL, "op11_phrases": PHRASE_SQL}
