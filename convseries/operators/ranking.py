@@ -69,9 +69,19 @@ def uniform_rank(df: DataFrame, by: list[str], uniform: Column, ties: list[str],
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """df with row numbers from 1 over the whole table: a range partitioning, row numbers within parts, and the sizes of the parts before."""
-    parts = kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    own = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return own.join(base, "_part").withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
+    """df with row numbers from 1 over the whole table, by one exchange: rows are range-partitioned, sorted and numbered in their part as they are written; the rows of the parts before come from a table of one row per part.
+
+    Rows that tie in `order` are numbered in any order, and need not meet in one task.
+    """
+    spark = df.sparkSession
+    order = [*order, F.col("_tie")]
+    rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number of the part stands above 33 bits, the place in it below
+    rows = kept(rows.drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    bases, before = [], 0
+    for found in sorted(rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # as many as there are parts
+        bases.append((found.part, before + 1))
+        before += found.n
+    table = spark.createDataFrame(bases, "_part long, _base long")
+    return rows.join(F.broadcast(table), part == F.col("_part")).withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
