@@ -195,3 +195,27 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     ends[offsets[1:]] = True
     end = word[:-1] & (~word[1:] | ends)
     return np.flatnonzero(start), np.flatnonzero(end)
+
+
+def word_strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: np.ndarray):  # noqa: ANN201
+    """Arrow strings of sizes[i] words each, taken in turn from the words buf[start:end] and joined by one space."""
+    import pyarrow as pa
+
+    own = end - start
+    step = own + 1
+    upto = np.cumsum(sizes)
+    step[upto[sizes > 0] - 1] -= 1
+    after = np.cumsum(step)
+    to = after - step
+    out = np.full(int(after[-1]) if len(after) else 0, 32, np.uint8)
+    at = np.repeat(to - np.cumsum(own) + own, own) + np.arange(own.sum())
+    out[at] = buf[at + np.repeat(start - to, own)]
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    offsets[1:] = np.concatenate([[0], after])[upto]
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(out))
+
+
+def word_numbers(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The same number, from 0, for equal words buf[start:end]."""
+    words = word_strings(buf, start, end, np.ones(len(start), np.int64))
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convseries.llm.common import BROADCAST_ROWS, GOLD, mix, prefix_sums, range_hashes, small_checkpoint, staged, text_chunks
+from convseries.llm.common import BROADCAST_ROWS, GOLD, mix, prefix_sums, range_hashes, small_checkpoint, staged, text_chunks, word_numbers, word_strings
 
 #: What ends a piece, what stands between words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -65,21 +65,8 @@ class Words:
 
     def texts(self, first: np.ndarray, n: int):  # noqa: ANN201
         """The n-grams that start at the words `first`, their words joined by one space, as an Arrow array."""
-        import pyarrow as pa
-
-        size = self.end - self.start
-        lengths = sum(size[first + k] for k in range(n)) + n - 1
-        ends = np.cumsum(lengths)
-        out = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
-        to = ends - lengths
-        for k in range(n):
-            own = size[first + k]
-            at = np.repeat(to - np.cumsum(own) + own, own) + np.arange(own.sum())
-            out[at] = self.buf[at + np.repeat(self.start[first + k] - to, own)]
-            to = to + own + 1
-        offsets = np.zeros(len(first) + 1, np.int64)
-        offsets[1:] = ends
-        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out))
+        own = (first[:, None] + np.arange(n)).ravel()
+        return word_strings(self.buf, self.start[own], self.end[own], np.full(len(first), n))
 
 
 def _seed(lang: str) -> int:
@@ -213,7 +200,7 @@ def exact_counts(texts: DataFrame, bits: int, bitmap_: np.ndarray, longest: int,
         for lang, words in _chunks(batches):
             found = [(0, pa.nulls(1, pa.large_string()), np.array([len(words.start)]))]
             # words by number, so that n-grams of a chunk are told apart exactly
-            number = _numbers(words)
+            number = word_numbers(words.buf, words.start, words.end)
             width = int(number.max()) + 1 if len(number) else 1
             for n in range(1, longest + 1):
                 first, key = words.grams(n, _seed(lang))
@@ -232,11 +219,6 @@ def exact_counts(texts: DataFrame, bits: int, bitmap_: np.ndarray, longest: int,
     return rows.groupBy("lang", "phrase", "len").agg(F.sum("f").alias("f")).where((F.col("f") >= threshold) | (F.col("len") == 0))
 
 
-def _numbers(words: Words) -> np.ndarray:
-    """The same number for equal words of a chunk."""
-    return words.texts(np.arange(len(words.start)), 1).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def frequent_ngrams(docs: DataFrame, threshold: int = 10, longest: int = 3, text_col: str = "text", lang_col: str = "lang", counters: int = COUNTERS) -> DataFrame:
     """(lang, phrase, len, f), written once: every n-gram of one to `longest` words that occurs `threshold` times or more in its language (null: `und`), with its exact count, and the number of words of each language as a row of len 0. Null texts are empty."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))

@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convseries.llm import exact_dedup, html_text, mixing, near_dedup, packing, phrases, quality, repeats, token_files, toxicity, url_filter
+from convseries.llm import exact_dedup, html_text, mixing, near_dedup, packing, periodic, phrases, quality, repeats, sharding, token_files, toxicity, url_filter
+from convseries.llm.common import WORD
 
 
 def tokenizer_path(name: str) -> str:
@@ -94,9 +95,35 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document, along a Hilbert curve through language, source and length."""
+    dimensions = [sharding.Dimension("lang"), sharding.Dimension("source"), sharding.Dimension("n_chars", amount=True)]
+    return sharding.hilbert_shards(_table(spark, sf_dir, "documents"), dimensions).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in one of ten documents, by the checksum h of its id, the n words from a = h/10 % n on become repetitions of the first p of them, p = 1 + (n - a) / (3 + h/10 % 8). Null ids stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", F.expr("crc32(cast(doc_id as string)) div 10").alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    tails = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("words"), at(i))), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, tails).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of every document and digests of its runs and of what is left without their repetitions."""
+    out = periodic.periodic_runs(repeated_tails(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    out = out.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"), "runs_sha256", "collapsed_sha256")
+    return out.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
 def queries() -> dict:
     """name -> callable(spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_repeats, op4_html_text, op5_exact_dedup, op6_toxicity, op7_near_dedup, op8_packing, op9_token_files, op10_url_filter, op11_phrases)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_repeats, op4_html_text, op5_exact_dedup, op6_toxicity, op7_near_dedup, op8_packing, op9_token_files, op10_url_filter, op11_phrases, op12_shards, op13_periodic_runs)}
 
 
 MIX_SQL = r"""
