@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convseries.operators.ranking import kept
+
 
 def mean_proba(cube: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, cls, mean_p, n_groups_seen) from (grp, id, cls, p)."""
@@ -157,7 +159,8 @@ def _stack(stacked: DataFrame, truth: DataFrame, make) -> DataFrame:  # noqa: AN
     spark = stacked.sparkSession
     classes = [r[0] for r in truth.select("y").distinct().orderBy("y").collect()]  # as many rows as classes
     index = F.array_position(F.array(*map(F.lit, classes)), F.col("y")) - 1
-    rows = stacked.join(truth, "id").select("id", "fold", array_to_vector("stacked").alias("raw"), index.cast("double").alias("label")).persist()
+    rows = stacked.join(truth, "id").select("id", "fold", array_to_vector("stacked").alias("raw"), index.cast("double").alias("label"))
+    rows = kept(rows)  # read twice for each fold
     out = None
     for f in sorted(r[0] for r in truth.select("fold").distinct().collect()):
         train, held = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)

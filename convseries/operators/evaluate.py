@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convseries.functions.stats import binom_sf, sign_test_p
-from convseries.operators.ranking import exact_quantile, global_rank, kept
+from convseries.operators.ranking import exact_quantile, global_rank, kept, with_median
 
 
 def _share(cond) -> F.Column:  # noqa: ANN001
@@ -75,10 +75,12 @@ def paired_summary(a: DataFrame, b: DataFrame, keys: list[str], value: str = "ac
 def delta_summary(rows: DataFrame, delta: str, by: list[str] | None = None) -> DataFrame:
     """n, wins, ties, losses, mean, median, detectable (2.8 standard errors), p (sign test) of paired deltas."""
     d = F.col(delta)
-    out = rows.groupBy(*(by or [])).agg(
-        F.count(d).alias("n"), F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d < 0).alias("losses"), F.avg(d).alias("mean_delta"), F.percentile(d, F.lit(0.5)).alias("median_delta"),
+    by = by or []
+    out = rows.groupBy(*by).agg(
+        F.count(d).alias("n"), F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d < 0).alias("losses"), F.avg(d).alias("mean_delta"),
         (2.8 * F.stddev_samp(d) / F.sqrt(F.count(d))).alias("detectable"),
     )
+    out = with_median(out, rows, by, d, "median_delta")
     return out.withColumn("p", sign_test_p(F.col("wins"), F.col("losses")))
 
 
@@ -111,13 +113,21 @@ def benjamini_hochberg(rows: DataFrame, fdr: float, p: str = "p_value", key: str
 
 
 def error_overlap(preds: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, a, b, joint, independent, ratio, disagreement) for each pair of models; ratio is null where independence expects none. preds is (model, id, yhat); a row multiplies by the pairs of models only."""
+    """(by, a, b, joint, independent, ratio, disagreement) for each pair of models; ratio is null where independence expects none. preds is (model, id, yhat).
+
+    An id's predictions become one pattern: for each model, in order, the place of the first one with the same answer, and
+    whether it is wrong. Equal patterns are counted before pairs of models are formed, so what is multiplied by pairs is
+    the number of patterns, not of rows. Null answers agree and disagree with nothing and are neither right nor wrong."""
     by = by or []
-    rows = preds.join(truth, [*by, "id"]).select(*by, "id", "model", "yhat", (F.col("yhat") != F.col("y")).cast("double").alias("wrong"))
-    left = rows.select(*by, "id", F.col("model").alias("a"), F.col("yhat").alias("ya"), F.col("wrong").alias("wa"))
-    right = rows.select(*by, "id", F.col("model").alias("b"), F.col("yhat").alias("yb"), F.col("wrong").alias("wb"))
-    pairs = left.join(right, [*by, "id"]).where("a < b")
-    out = pairs.groupBy(*by, "a", "b").agg(F.avg(F.col("wa") * F.col("wb")).alias("joint"), (F.avg("wa") * F.avg("wb")).alias("independent"), _share(F.col("ya") != F.col("yb")).alias("disagreement"))
+    rows = preds.join(truth, [*by, "id"]).select(*by, "id", F.struct("model", "yhat", (F.col("yhat") != F.col("y")).cast("int").alias("wrong")).alias("x"))
+    own = rows.groupBy(*by, "id").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # a row for each model
+    answers = own.select(*by, "xs", F.transform("xs", lambda x: x["yhat"]).alias("ys"))
+    pattern = F.transform("xs", lambda x: F.struct(x["model"].alias("model"), F.array_position("ys", x["yhat"]).alias("same"), x["wrong"].alias("wrong")))
+    counted = answers.groupBy(*by, pattern.alias("p")).agg(F.count("*").alias("n"))
+    pairs = counted.select(*by, "n", "p", F.explode("p").alias("a")).select(*by, "n", "a", F.explode("p").alias("b")).where("a.model < b.model")
+    mean = lambda value: F.sum(value * F.col("n")) / F.sum(F.when(value.isNotNull(), F.col("n")))
+    wa, wb, differ = F.col("a.wrong").cast("double"), F.col("b.wrong").cast("double"), (F.col("a.same") != F.col("b.same")).cast("double")
+    out = pairs.groupBy(*by, F.col("a.model").alias("a"), F.col("b.model").alias("b")).agg(mean(wa * wb).alias("joint"), (mean(wa) * mean(wb)).alias("independent"), mean(differ).alias("disagreement"))
     return out.withColumn("ratio", F.try_divide("joint", "independent"))
 
 

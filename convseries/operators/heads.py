@@ -1,8 +1,9 @@
 """Classifier heads on group features: ridge with leave-one-out, soft targets, context votes, and the ensemble object.
 
 A head is fitted from all rows of its labelled context. Groups of at most MOST_CONTEXT rows are a task each; beyond
-that the rows meet in partial sums of products (features x features), and leave-one-out errors take a second pass.
-Heads are small (classes x features) and reach every partition of the rows to score by broadcast.
+that the rows meet in partial sums of products (features x features), each group is solved in a task, and leave-one-out
+errors take a second pass over blocks of rows. Heads are small (classes x features) and reach every partition of the rows
+to score by broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from convseries.functions.prng import let
 from convseries.functions.series import slice_group
 from convseries.operators import ensemble, routing, sampling
 from convseries.operators.kernels import EnsembleConfig
+from convseries.operators.nearest import matrix, nearest, nearest_join
 from convseries.operators.ranking import global_rank, kept
 from convseries.operators.transform import conv_features
 
@@ -73,67 +75,82 @@ def _merge_sums(parts) -> tuple[int, np.ndarray, np.ndarray]:  # noqa: ANN001
     return n, mean, products
 
 
-def _fit_sums(rows: DataFrame, targets, classes: dict[int, list[str]], scaled: bool) -> DataFrame:  # noqa: ANN001
-    """Heads from all rows of (grp, label, proba, features), however many a group has.
+SUMS = "grp long, part int, n long, mean array<double>, products array<double>"
+SOLVED = "grp long, n long, mean array<double>, scale array<double>, y_mean array<double>, values array<double>, vectors array<double>, weights array<double>"
 
-    Each partition sums its products, which meet in two rounds; a group's eigenvectors are broadcast and give each row's
-    leave-one-out error for every alpha as in fit_ridge. Driver and broadcast hold features x features numbers a group."""
-    import pandas as pd
 
-    sums_schema = "grp long, part int, n long, mean array<double>, products array<double>"
+def _solve(n: int, mean: np.ndarray, products: np.ndarray, d: int, scaled: bool) -> tuple:
+    """What a group's sums say of all alphas: mean and scale of d features, means of the targets, eigenvalues and eigenvectors of the scaled products and the targets in their terms."""
+    scale = np.sqrt(np.maximum(0.0, products.diagonal()[:d]) / n)
+    scale = np.where((scale > 1e-12 * np.abs(mean[:d])) & scaled, scale, 1.0)
+    values, vectors = np.linalg.eigh(products[:d, :d] / np.outer(scale, scale))
+    return mean[:d], scale, mean[d:], np.maximum(0.0, values), vectors, vectors.T @ (products[:d, d:] / scale[:, None])
 
-    def groups(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            for grp, part in batch.groupby("grp"):
-                yield int(grp), np.vstack(part["features"].to_numpy()).astype(float), targets(part, classes[int(grp)])
+
+def _fit_sums(rows: DataFrame, targets, classes: dict[int, list[str]], scaled: bool, sizes: dict[int, int]) -> DataFrame:  # noqa: ANN001
+    """Heads from all rows of (grp, id, label, proba, features), however many a group has.
+
+    Each partition sums its products, which meet in two rounds; a task for each group finds its eigenvectors, and blocks of
+    MOST_CONTEXT rows meet them for each row's leave-one-out error at every alpha, as in fit_ridge. The driver sees sizes and
+    class lists only; a task holds features x features numbers of one group and one block of rows."""
+    import pandas as pd
 
     def sums(batches):  # noqa: ANN001, ANN202
         from pyspark import TaskContext
 
         found = {}
-        for grp, x, y in groups(batches):
-            both = np.hstack([x, y])
-            centred = both - both.mean(axis=0)
-            own = len(both), both.mean(axis=0), centred.T @ centred
-            found[grp] = _merge_sums([found[grp], own]) if grp in found else own
+        for batch in batches:
+            for grp, part in batch.groupby("grp"):
+                both = np.hstack([np.vstack(part["features"].to_numpy()).astype(float), targets(part, classes[int(grp)])])
+                centred = both - both.mean(axis=0)
+                own = len(both), both.mean(axis=0), centred.T @ centred
+                found[int(grp)] = _merge_sums([found[int(grp)], own]) if int(grp) in found else own
         for grp, (n, mean, products) in found.items():
             yield pd.DataFrame({"grp": [grp], "part": [TaskContext.get().partitionId() % 64], "n": [n], "mean": [mean], "products": [products.ravel()]})
 
+    def united(pdf):  # noqa: ANN001, ANN202
+        return _merge_sums((int(r.n), r.mean_, r.products.reshape(len(r.mean_), -1)) for r in pdf.rename(columns={"mean": "mean_"}).itertuples())
+
     def merge(pdf):  # noqa: ANN001, ANN202
-        n, mean, products = _merge_sums((int(r.n), r.mean_, r.products.reshape(len(r.mean_), -1)) for r in pdf.rename(columns={"mean": "mean_"}).itertuples())
+        n, mean, products = united(pdf)
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "part": [pdf["part"].iloc[0]], "n": [n], "mean": [mean], "products": [products.ravel()]})
 
-    merged = rows.mapInPandas(sums, sums_schema).groupBy("grp", "part").applyInPandas(merge, sums_schema).groupBy("grp").applyInPandas(merge, sums_schema)
-    solved = {}
-    for r in merged.collect():
-        mean = np.array(r["mean"])
-        products = np.array(r["products"]).reshape(len(mean), -1)
-        d = len(mean) - (1 if len(classes[r["grp"]]) == 2 and targets is _hot else len(classes[r["grp"]]))
-        scale = np.sqrt(np.maximum(0.0, products.diagonal()[:d]) / r["n"])
-        scale = np.where((scale > 1e-12 * np.abs(mean[:d])) & scaled, scale, 1.0)
-        values, vectors = np.linalg.eigh(products[:d, :d] / np.outer(scale, scale))
-        solved[r["grp"]] = r["n"], mean[:d], scale, mean[d:], np.maximum(0.0, values), vectors, vectors.T @ (products[:d, d:] / scale[:, None])
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(solved)
-
-    def errors(batches):  # noqa: ANN001, ANN202
-        found = {}
-        for grp, x, y in groups(batches):
-            n, mean, scale, y_mean, values, vectors, weights = shared.value[grp]
-            z = (x - mean) / scale @ vectors
-            own = [((((y - y_mean) - z @ (weights / (values + alpha)[:, None])) / np.maximum(1e-12, 1 - (z**2 / (values + alpha)).sum(axis=1) - 1.0 / n)[:, None]) ** 2).sum() for alpha in ALPHAS]
-            found[grp] = found.get(grp, 0.0) + np.array(own)
-        for grp, own in found.items():
-            yield pd.DataFrame({"grp": grp, "k": np.arange(len(ALPHAS)), "error": own})
-
-    least = rows.mapInPandas(errors, "grp long, k int, error double").groupBy("grp", "k").agg(F.sum("error").alias("error")).groupBy("grp").agg(F.min_by("k", F.struct("error", "k")).alias("k"))
-    out = []
-    for r in least.collect():
-        _, mean, scale, y_mean, values, vectors, weights = solved[r["grp"]]
+    def solve(pdf):  # noqa: ANN001, ANN202
+        n, mean, products = united(pdf)
+        own = classes[int(pdf["grp"].iloc[0])]
+        d = len(mean) - (1 if len(own) == 2 and targets is _hot else len(own))
+        found = _solve(n, mean, products, d, scaled)
+        return pd.DataFrame([(pdf["grp"].iloc[0], n, *(x.ravel() for x in found))], columns=["grp", "n", "mean", "scale", "y_mean", "values", "vectors", "weights"])
+
+    def parts(r):  # noqa: ANN001, ANN202
+        d = len(r["mean"])
+        return r["n"], r["mean"], r["scale"], r["y_mean"], r["values"], r["vectors"].reshape(d, d), r["weights"].reshape(d, -1)
+
+    def errors(part, solved):  # noqa: ANN001, ANN202
+        if not len(part):
+            return pd.DataFrame({"grp": pd.Series(dtype="int64"), "k": pd.Series(dtype="int32"), "error": pd.Series(dtype="float64")})
+        grp = int(part["grp"].iloc[0])
+        n, mean, scale, y_mean, values, vectors, weights = parts(solved.iloc[0])
+        y = targets(part, classes[grp])
+        z = (np.vstack(part["features"].to_numpy()).astype(float) - mean) / scale @ vectors
+        own = [((((y - y_mean) - z @ (weights / (values + alpha)[:, None])) / np.maximum(1e-12, 1 - (z**2 / (values + alpha)).sum(axis=1) - 1.0 / n)[:, None]) ** 2).sum() for alpha in ALPHAS]
+        return pd.DataFrame({"grp": grp, "k": np.arange(len(ALPHAS)), "error": own})
+
+    def head(solved):  # noqa: ANN001, ANN202
+        r = solved.iloc[0]
+        _, mean, scale, y_mean, values, vectors, weights = parts(r)
         alpha = float(ALPHAS[r["k"]])
         coef = (vectors @ (weights / (values + alpha)[:, None])).T
-        out.append((r["grp"], classes[r["grp"]], mean.tolist(), scale.tolist(), coef.tolist(), y_mean.tolist(), alpha))
-    return spark.createDataFrame(out, HEAD_SCHEMA)
+        return pd.DataFrame({"grp": [r["grp"]], "classes": [classes[int(r["grp"])]], "mean": [mean], "scale": [scale], "coef": [list(coef)], "intercept": [y_mean], "alpha": [alpha]})
+
+    merged = rows.mapInPandas(sums, SUMS).groupBy("grp", "part").applyInPandas(merge, SUMS)
+    solved = kept(merged.groupBy("grp").applyInPandas(solve, SOLVED))
+    blocks = F.element_at(F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, -(-n // MOST_CONTEXT))]), F.col("grp"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    beside = solved.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    found = dealt.groupBy("grp", "block").cogroup(beside.groupBy("grp", "block")).applyInPandas(errors, "grp long, k int, error double")
+    least = found.groupBy("grp", "k").agg(F.sum("error").alias("error")).groupBy("grp").agg(F.min_by("k", F.struct("error", "k")).alias("k"))
+    return solved.join(least, "grp").groupBy("grp").applyInPandas(head, HEAD_SCHEMA)
 
 
 def _fit(rows: DataFrame, targets, classes: list[str] | None = None, scaled: bool = True) -> DataFrame:  # noqa: ANN001
@@ -160,7 +177,7 @@ def _fit(rows: DataFrame, targets, classes: list[str] | None = None, scaled: boo
     large = [g for g, n in sizes.items() if n > MOST_CONTEXT]
     if not large:
         return rows.groupBy("grp").applyInPandas(fit, HEAD_SCHEMA)
-    heads = _fit_sums(rows.where(F.col("grp").isin(large)), targets, lists, scaled)
+    heads = _fit_sums(rows.where(F.col("grp").isin(large)), targets, lists, scaled, {g: sizes[g] for g in large})
     return heads.unionByName(rows.where(~F.col("grp").isin(large)).groupBy("grp").applyInPandas(fit, HEAD_SCHEMA)) if len(large) < len(sizes) else heads
 
 
@@ -220,59 +237,26 @@ def score_with_margin(rows: DataFrame, heads: DataFrame, features: str = "featur
     return scored.withColumns({"student": argmax_decision(F.col("decision"), F.col("classes")), "margin": routing.decision_margin(F.col("decision"))}).drop("decision", "classes")
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows of x for each of q and their squared distances, ties by position."""
-    d = (x**2).sum(axis=1)[None, :] - 2 * q @ x.T + (q**2).sum(axis=1)[:, None]
-    if len(x) <= k or np.isnan(d).any():
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    else:
-        rows, cols = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
-        cols = cols[np.lexsort((cols, d[rows, cols], rows))]
-        near = cols[np.searchsorted(rows, np.arange(len(q)))[:, None] + np.arange(k)]
-    return near, np.take_along_axis(d, near, axis=1)
-
-
-def _block_vote(context: DataFrame, test: DataFrame, n_context: int, temperature: float, k: int) -> DataFrame:
-    """context_vote for contexts of any size: the k nearest of each block of about MOST_CONTEXT context rows, then of all blocks. A task holds one block and one chunk of as many test rows."""
-    test = kept(test.withColumn("_row", F.monotonically_increasing_id()))
-    blocks, chunks = -(-n_context // MOST_CONTEXT), max(1, -(-test.count() // MOST_CONTEXT))
+def _pivot_vote(context: DataFrame, test: DataFrame, n_context: int, temperature: float, k: int) -> DataFrame:
+    """context_vote for contexts of any size, by the join over pivots."""
+    test = kept(test.withColumn("row", F.monotonically_increasing_id()))
     classes = [r[0] for r in context.select("label").distinct().orderBy("label").collect()]
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = test.withColumn("chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks)).cast("int")).withColumn("block", each(blocks))
-    right = context.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("chunk", each(chunks))
-
-    def near(own, block):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        schema = {"_row": "int64", "id": "int64", "d": "float64", "other": "int64", "label": "object"}
-        if not len(own) or not len(block):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in schema.items()})
-        block = block.sort_values("id", kind="stable")
-        x, ids, labels = np.vstack(block["features"].to_numpy()).astype(float), block["id"].to_numpy(), block["label"].to_numpy()
-        found = []
-        for at in range(0, len(own), 500):
-            part = own.iloc[at : at + 500]
-            rows, d = _nearest(np.vstack(part["features"].to_numpy()).astype(float), x, k)
-            m = rows.shape[1]
-            found.append(pd.DataFrame({"_row": np.repeat(part["_row"].to_numpy(), m), "id": np.repeat(part["id"].to_numpy(), m), "d": d.ravel(), "other": ids[rows.ravel()], "label": labels[rows.ravel()]}))
-        return pd.concat(found)
-
-    keys = ["block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, "_row long, id long, d double, other long, label string")
-    best = found.groupBy("_row", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "other", "label"))), 1, k).alias("near"))  # k rows a block
+    lists = lambda df: df.withColumn("features", F.col("features").cast("array<double>"))
+    best = nearest_join(kept(lists(context)), lists(test).select("row", "features"), k, n_context)
     w = best.withColumn("w", F.transform("near", lambda v: F.exp(-(v["d"] - F.col("near")[0]["d"]) / temperature)))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     share = lambda c: total(F.zip_with("near", "w", lambda v, x: F.when(v["label"] == c, x).otherwise(0.0))) / total(F.col("w"))
-    return w.select("id", F.map_from_arrays(F.array(*map(F.lit, classes)), F.array(*map(share, classes))).alias("proba"))
+    shares = w.select("row", F.map_from_arrays(F.array(*map(F.lit, classes)), F.array(*map(share, classes))).alias("proba"))
+    return test.select("row", "id").join(shares, "row").select("id", "proba")
 
 
 def context_vote(train: DataFrame, test: DataFrame, temperature: float = 1.0, k: int = 5, features: str = "features") -> DataFrame:
-    """(id, proba) of test rows by the k nearest labelled rows (squared distance, ties by id), weighted by softmax. No training; a context of at most MOST_CONTEXT rows is broadcast, a larger one is dealt in blocks."""
+    """(id, proba) of test rows by the k nearest labelled rows (squared distance, ties by id), weighted by softmax. No training; a context of at most MOST_CONTEXT rows is broadcast, a larger one meets the test rows in the cells of pivots."""
     known = train.select(F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col(features).alias("features"))
     asked = test.select(F.col("id").cast("long").alias("id"), F.col(features).alias("features"))
     n_context = known.count()
     if n_context > MOST_CONTEXT:
-        return _block_vote(known, asked, n_context, temperature, k)
+        return _pivot_vote(known, asked, n_context, temperature, k)
     rows = known.orderBy("id").collect()
     context = test.sparkSession.sparkContext.broadcast((np.array([r[2] for r in rows], float), [r[1] for r in rows]))
     classes = sorted({r[1] for r in rows})
@@ -285,7 +269,7 @@ def context_vote(train: DataFrame, test: DataFrame, temperature: float = 1.0, k:
         for batch in batches:
             if not len(batch):
                 continue
-            near, w = _nearest(np.vstack(batch["features"].to_numpy()).astype(float), x, k)
+            near, w = nearest(matrix(batch["features"]), x, k)
             w = np.exp(-(w - w[:, :1]) / temperature)
             w /= w.sum(axis=1, keepdims=True)
             p = np.einsum("ij,ijc->ic", w, hot[near])

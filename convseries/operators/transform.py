@@ -15,27 +15,76 @@ from convseries.functions.series import conv_max, convolve, ppv
 from convseries.operators.kernels import LONGEST, check_bank, draw_kernels
 
 #: Doubles that one block of convolutions holds at most; a block stays in a core's cache.
-BLOCK = 1 << 15
-
-
-def transform_block(x: np.ndarray, kernels: list[tuple]) -> np.ndarray:
-    """Interleaved features of series of equal length: x is (series, channels, points). Bias first, then channel by channel and tap by tap."""
-    n_series, _, n = x.shape
-    out = np.empty((n_series, 2 * len(kernels)))
-    for k, (_, length, weights, bias, dilation, padding, channels) in enumerate(kernels):
-        positions = n + 2 * padding - (length - 1) * dilation
-        if positions <= 0:
+BLOCK = 1 << 17
+#: Points of the series that are transformed together.
+SERIES_BLOCK = 1 << 13
+
+
+class DilationGroup:
+    """The kernels of one dilation as a matrix: a row for each, with its weights for every channel and tap around its middle, and its bias last. Rows that read the same positions stand together."""
+
+    def __init__(self, dilation: int, kernels: list[tuple[int, tuple]], n: int, channels: int) -> None:
+        reach = {k: (kernel[1] - 1) // 2 * dilation for k, kernel in kernels}
+        # middles of a kernel: all points where it is padded, else those where it lies in the series
+        ordered = sorted(kernels, key=lambda x: (0 if x[1][5] else reach[x[0]], x[0]))
+        self.dilation, self.half = dilation, max(kernel[1] for _, kernel in ordered) // 2
+        self.at = np.array([k for k, _ in ordered])
+        taps = 2 * self.half + 1
+        self.weights = np.zeros((len(ordered), channels * taps + 1))
+        margins = []
+        for row, (k, (_, length, weights, bias, _, padding, own)) in zip(self.weights, ordered):
+            for c, w in zip(own, weights):
+                first = c * taps + self.half - (length - 1) // 2
+                row[first : first + length] = w
+            row[-1] = bias
+            margins.append(0 if padding else reach[k])
+        if 2 * margins[-1] >= n:
             raise ValueError("the kernel does not fit into the series")
-        conv = np.full((n_series, positions), bias)
-        for c, own in zip(channels, weights):
-            series = x[:, c, :]
-            for j, w in enumerate(own):
-                shift = j * dilation - padding
-                lo, hi = max(0, -shift), min(positions, n - shift)
-                if lo < hi:
-                    conv[:, lo:hi] += w * series[:, lo + shift : hi + shift]
-        out[:, 2 * k] = conv.max(axis=1)
-        out[:, 2 * k + 1] = (conv > 0).sum(axis=1) / positions
+        self.margins = np.array(margins)
+
+    def shifted(self, x: np.ndarray) -> np.ndarray:
+        """A row for each channel and tap: the series (series, channels, points), one after another, moved by the tap, zeros outside; the last row is ones."""
+        n_series, channels, n = x.shape
+        taps = 2 * self.half + 1
+        out = np.zeros((channels * taps + 1, n_series, n))
+        for j in range(taps):
+            shift = (j - self.half) * self.dilation
+            lo, hi = max(0, -shift), min(n, n - shift)
+            if lo < hi:
+                for c in range(channels):
+                    out[c * taps + j, :, lo:hi] = x[:, c, lo + shift : hi + shift]
+        out[-1] = 1.0
+        return out.reshape(len(out), -1)
+
+    def features(self, x: np.ndarray, out: np.ndarray) -> None:
+        """Sets the two columns of each kernel in out (series, 2 * kernels): one matrix product, then the largest value and the share of positive ones over each row's positions."""
+        n_series, _, n = x.shape
+        series = self.shifted(x)
+        step = max(1, BLOCK // series.shape[1])
+        for a in range(0, len(self.at), step):
+            conv = (self.weights[a : a + step] @ series).reshape(-1, n_series, n)
+            margins = self.margins[a : a + step]
+            for margin in np.unique(margins):
+                lo, hi = np.searchsorted(margins, margin, "left"), np.searchsorted(margins, margin, "right")
+                own = conv[lo:hi, :, margin : n - margin]
+                at = 2 * self.at[a + lo : a + hi]
+                out[:, at] = own.max(axis=2).T
+                out[:, at + 1] = (np.count_nonzero(own > 0, axis=2) / (n - 2 * margin)).T
+
+
+def dilation_groups(kernels: list[tuple], n: int, channels: int = 1) -> list[DilationGroup]:
+    """A bank cut by dilation, for series of n points."""
+    by_dilation: dict[int, list[tuple[int, tuple]]] = {}
+    for k, kernel in enumerate(kernels):
+        by_dilation.setdefault(kernel[4], []).append((k, kernel))
+    return [DilationGroup(d, own, n, channels) for d, own in by_dilation.items()]
+
+
+def transform_block(x: np.ndarray, groups: list[DilationGroup]) -> np.ndarray:
+    """Interleaved features of series of equal length: x is (series, channels, points)."""
+    out = np.empty((len(x), 2 * sum(len(g.at) for g in groups)))
+    for group in groups:
+        group.features(x, out)
     return out
 
 
@@ -60,10 +109,11 @@ def normalized(x: np.ndarray) -> np.ndarray:
 
 
 class Transformer:
-    """Features of lists of series; keeps the banks that it has drawn (one for each reference length and channel count)."""
+    """Features of lists of series; keeps the banks that it has drawn (one for each reference length and channel count) and their groups for the length at hand."""
 
     def __init__(self, k: int, seed: int, first: int = 0, n_reference: int | None = None, normalize: bool = False):
         self.k, self.seed, self.first, self.n_reference, self.normalize, self.banks = k, seed, first, n_reference, normalize, {}
+        self.grouped: tuple = (None, [])
 
     def bank(self, n: int, channels: int) -> list[tuple]:
         key = (self.n_reference or n, channels)
@@ -72,6 +122,11 @@ class Transformer:
             self.banks[key] = draw_kernels(self.seed, np.arange(self.first, self.first + self.k), key[0], channels)
         return self.banks[key]
 
+    def groups(self, n: int, channels: int) -> list[DilationGroup]:
+        if self.grouped[0] != (n, channels):
+            self.grouped = (n, channels), dilation_groups(self.bank(n, channels), n, channels)
+        return self.grouped[1]
+
     def __call__(self, series) -> list:
         """A feature list for each series, null for null. Series of one shape are one matrix."""
         out: list = [None] * len(series)
@@ -81,11 +136,11 @@ class Transformer:
                 x = _checked(values, self.n_reference)
                 by_shape.setdefault(x.shape, []).append((i, normalized(x) if self.normalize else x))
         for (channels, n), rows in by_shape.items():
-            bank = self.bank(n, channels)
-            step = max(1, BLOCK // n)
+            groups = self.groups(n, channels)
+            step = max(1, SERIES_BLOCK // (n * channels))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
-                for (i, _), f in zip(part, transform_block(np.stack([x for _, x in part]), bank)):
+                for (i, _), f in zip(part, transform_block(np.stack([x for _, x in part]), groups)):
                     out[i] = f
         return out
 
@@ -142,10 +197,25 @@ def _sql_function(spark, name: str) -> None:  # noqa: ANN001
     spark.udf.register(name, F.pandas_udf(features, "array<double>"))
 
 
+@F.udtf(returnType="kernel_id bigint, length int, bias double, dilation bigint, padding bigint, channel int, j int, weight double")
+class KernelBank:
+    """A row for each tap of the kernels first .. first + k - 1."""
+
+    def eval(self, seed: int, n_ref: int, k: int, first: int):  # noqa: ANN201
+        if None in (seed, n_ref, k, first):
+            return
+        check_bank(k, n_ref, first)
+        for kernel, length, weights, bias, dilation, padding, channels in draw_kernels(seed, np.arange(first, first + k), n_ref):
+            for channel, own in zip(channels, weights):
+                for j, weight in enumerate(own):
+                    yield kernel, length, bias, dilation, padding, channel, j, weight
+
+
 def register(spark) -> None:  # noqa: ANN001
-    """SQL functions conv_features and conv_features_mv: (series, kernels, seed, first[, n_reference]) -> array<double>. One function takes series of one channel and of several, so both names stand for it."""
+    """SQL functions conv_features and conv_features_mv: (series, kernels, seed, first[, n_reference]) -> array<double>, and the table function kernel_bank(seed, n_reference, kernels, first), which may be called laterally. One function takes series of one channel and of several, so both names stand for it."""
     for name in ("conv_features", "conv_features_mv"):
         _sql_function(spark, name)
+    spark.udtf.register("kernel_bank", KernelBank)
 
 
 def conv_features_relational(series: DataFrame, bank: DataFrame, id_col: str = "id") -> DataFrame:

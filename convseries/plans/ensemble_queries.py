@@ -487,5 +487,5 @@ def escalate_batches(spark, sf_dir):
     rows = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("values"))
     scored = scoring.score_stream(rows, student, meta, normalize=False)
     out = f"{path}/answers"
-    scoring.escalate_batches(scored, _ensemble(spark, sf_dir, 100, 2), lambda df, _: df.write.mode("append").parquet(out), f"{path}/check").awaitTermination()
-    return spark.read.parquet(out)
+    scoring.escalate_batches(scored, _ensemble(spark, sf_dir, 100, 2), scoring.batch_folders(out), f"{path}/check").awaitTermination()
+    return scoring.committed_batches(spark, out, "id long, yhat string, escalated boolean").drop("batch_id")

@@ -262,16 +262,32 @@ def noise_floor(spark, sf_dir):
 def run_record(spark, sf_dir):
     """One record per model: its configuration, shape, result and the alignment of its predictions."""
     p = predictions(spark, sf_dir)
-    aligned = evaluate.alignment(p.withColumnRenamed("model", "grp"), series(spark, sf_dir).count(), len(MODELS)).first()["aligned"]
-    runs = evaluate.accuracy(p.join(truth(spark, sf_dir), "id"), ["model"]).collect()  # a row per model
-    records = [src.run_record(spark, {"model": r["model"], "kernels": 10000}, {"n_rows": r["n"]}, {"accuracy": r["accuracy"]}, {"aligned": aligned}, []) for r in runs]
+    whole = evaluate.alignment(p.withColumnRenamed("model", "grp"), series(spark, sf_dir).count(), len(MODELS)).select("aligned")
+    runs = evaluate.accuracy(p.join(truth(spark, sf_dir), "id"), ["model"]).crossJoin(F.broadcast(whole))  # a row for each model, and one
+    records = src.run_records(runs.withColumnRenamed("n", "n_rows").withColumn("kernels", F.lit(10000)), ["model", "kernels"], ["n_rows"], ["accuracy"], ["aligned"], F.array(F.when(~F.col("aligned"), F.lit("not aligned"))))
+    return _records(records)
+
+
+def _records(records):
     c = lambda column, key: F.col(column)[key]
-    return src.union_groups(*records).select(
+    return records.select(
         c("config", "model").alias("model"), c("shape", "n_rows").cast("long").alias("n_rows"), r6(c("result", "accuracy")).alias("accuracy"), c("config", "kernels").cast("long").alias("kernels"),
         c("alignment", "aligned").cast("boolean").alias("aligned"), F.size("failures").alias("failures"),
     )
 
 
+@query("S11_failed_runs", f"WITH {RECORDS}, r AS (SELECT dataset, count(*) AS n_runs, round(avg(one), 6) AS accuracy, count_if(size <= 50) AS small, count_if(two = 0) AS empty FROM records GROUP BY dataset) SELECT dataset, n_runs, accuracy, concat_ws('; ', CASE WHEN small > 0 THEN small::VARCHAR || ' runs are too small' END, CASE WHEN empty > 0 THEN empty::VARCHAR || ' runs have no gain' END) AS failures FROM r")
+def failed_runs(spark, sf_dir):
+    """A record for each dataset, written as JSON lines and read back, with what is wrong with its runs."""
+    runs = supplier_records(spark, sf_dir).groupBy("dataset").agg(F.count("*").alias("n_runs"), F.avg("one").alias("accuracy"), F.count_if(F.col("size") <= 50).alias("small"), F.count_if(F.col("two") == 0).alias("empty"))
+    problem = lambda n, text: F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(text)))
+    records = src.run_records(runs, ["dataset"], ["n_runs"], ["accuracy"], [], F.array(problem("small", " runs are too small"), problem("empty", " runs have no gain"))).drop("alignment")
+    path = new_folder(spark, "records")
+    src.write_run(records, path)
+    read = spark.read.schema(records.schema).json(path)
+    return read.select(F.col("config")["dataset"].alias("dataset"), F.col("shape")["n_runs"].cast("long").alias("n_runs"), r6(F.col("result")["accuracy"]).alias("accuracy"), F.concat_ws("; ", "failures").alias("failures"))
+
+
 @query("S10_write_run", f"WITH {PREDS} SELECT model, id, yhat FROM preds")
 def write_run(spark, sf_dir):
     """Predictions through the JSON sink and back."""

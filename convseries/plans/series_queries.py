@@ -72,6 +72,15 @@ def group_features(spark, sf_dir):
     return g.groupBy("grp", "split").agg(F.count("*").alias("n"), F.count("label").alias("labelled"))
 
 
+@query("S7_written_groups", f"WITH {SERIES}, g AS (SELECT unnest([0, 3, 5]) AS grp, id, vals FROM series WHERE split = 'test') SELECT grp::INTEGER AS grp, id, round(list_sum(vals[grp * 8 + 1 : grp * 8 + 8]), 6) AS total FROM g")
+def written_groups(spark, sf_dir):
+    """All groups through the partitioned sink; three of them are read back for the test split, from their folders alone."""
+    path = new_folder(spark, "groups")
+    src.write_group_features(src.group_features(series(spark, sf_dir).withColumnRenamed("values", "features"), 8, 8), path)
+    out = src.read_group_features(spark, path, [0, 3, 5], "test")
+    return out.select("grp", "id", r6(fs.array_sum(F.col("features"))).alias("total"))
+
+
 @query("S8_attach_features", f"WITH {SERIES} SELECT id, label, round(list_max(vals), 6) AS top FROM series")
 def attach_features(spark, sf_dir):
     s = series(spark, sf_dir)
@@ -295,6 +304,24 @@ def conv_features(spark, sf_dir):
     return _flat(transform.conv_features(series(spark, sf_dir).select("id", "values"), "values", BANK, SEED))
 
 
+@query("T1_conv_features_sql", BANK_SQL)
+def conv_features_sql(spark, sf_dir):
+    """The transform as a SQL function."""
+    transform.register(spark)
+    series(spark, sf_dir).createOrReplaceTempView("convseries_series")
+    found = spark.sql(f"SELECT id, conv_features(values, {BANK}, {SEED}, 0) AS features FROM convseries_series")
+    return _flat(found)
+
+
+@query("K3_kernel_bank_sql", f"WITH {SUPPLIERS}, {bank_sql('kids', 64)} SELECT kernel_id, p.length, j, round(weight, 6) AS weight, round(bias, 9) AS bias, dilation, padding FROM weights w JOIN params p USING (kernel_id)")
+def kernel_bank_sql(spark, sf_dir):
+    """Kernels by a table function that is called for every supplier."""
+    transform.register(spark)
+    supplier_kernels(spark, sf_dir).createOrReplaceTempView("convseries_kernels")
+    return spark.sql(f"""SELECT b.kernel_id, length, j, round(weight, 6) AS weight, round(bias, 9) AS bias, dilation, padding
+                         FROM convseries_kernels k, LATERAL kernel_bank({SEED}, 64, 1, k.kernel_id) b""")
+
+
 @query("T2_conv_features_channels")
 def conv_features_channels(spark, sf_dir):
     rows = supplier_channels(spark, sf_dir).withColumnRenamed("l_suppkey", "id")

@@ -71,6 +71,14 @@ def write_group_features(groups: DataFrame, path: str) -> None:
     groups.write.mode("overwrite").partitionBy("grp", "split").parquet(path)
 
 
+def read_group_features(spark: SparkSession, path: str, groups: list[int] | None = None, split: str | None = None) -> DataFrame:
+    """What write_group_features wrote, of some groups or one split only: their folders alone are read."""
+    rows = spark.read.parquet(path)
+    if groups is not None:
+        rows = rows.where(F.col("grp").isin(groups))
+    return rows if split is None else rows.where(F.col("split") == split)
+
+
 def attach_features(df: DataFrame, other: DataFrame, on: str = "id") -> DataFrame:
     """df with another family's columns by id, failing at run time where an id has none or several."""
     counted = other.withColumn("_n", F.count("*").over(Window.partitionBy(on)))
@@ -127,10 +135,10 @@ def eligible(described: DataFrame, most_classes: int = 10) -> DataFrame:
     return described.where(F.col("n_classes") <= most_classes).orderBy("n_test")
 
 
-def run_record(spark: SparkSession, config: dict, shape: dict, result: dict, alignment: dict, failures: list[str]) -> DataFrame:
-    """One row that documents a run, to be appended to a table of runs."""
-    text = lambda d: {str(k): str(v) for k, v in d.items()}
-    return spark.createDataFrame([(text(config), text(shape), {k: float(v) for k, v in result.items()}, text(alignment), list(failures))], "config map<string,string>, shape map<string,string>, result map<string,double>, alignment map<string,string>, failures array<string>")
+def run_records(runs: DataFrame, config: list[str], shape: list[str], result: list[str], alignment: list[str], failures: Column) -> DataFrame:
+    """(config, shape, result, alignment, failures): a record for each row of runs, to be appended to a table of runs. The named columns become maps by name; failures is a list of messages, none for a clean run."""
+    entries = lambda names, kind: F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"`{n}`").cast(kind))])
+    return runs.select(entries(config, "string").alias("config"), entries(shape, "string").alias("shape"), entries(result, "double").alias("result"), entries(alignment, "string").alias("alignment"), F.array_compact(failures).alias("failures"))
 
 
 def write_run(df: DataFrame, path: str) -> None:
