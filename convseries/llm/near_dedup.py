@@ -5,9 +5,9 @@ a time: at step j the shingle offers j plus a fraction at the place that its per
 shingle thus differ in their whole part, which lowers the variance, and once every place of a document holds a value
 below j + 1 no later step can change it, so most documents stop after a few steps.
 
-Documents with the same set are one class, for which the smallest id stands; sets are the same where a cryptographic
-digest of 128 bits of all their shingles is, which are made of such digests of their words. Classes meet in the buckets of their
-bands. In a bucket everyone is compared with its head, the member that shares most buckets, and the links found are
+Documents with the same set are one class; sets are the same where a cryptographic digest of 128 bits of all their
+shingles is, which are made of such digests of their words. Classes are the vertices, under numbers of their own, for an
+id may stand on rows with several texts; the classes of one id are joined. Classes meet in the buckets of their bands. In a bucket everyone is compared with its head, the member that shares most buckets, and the links found are
 joined into components: large groups of copies cost one comparison each. What this leaves are heads whose buckets
 hold several components. Where a head has few members, members of different components are compared with each other.
 Where it has many, the differences to the head tell who can be linked: two sets differ by what their differences to the
@@ -15,6 +15,8 @@ head do not share, so a set that is not linked with the head needs a partner tha
 shingles with it, and one of them is among the first of both in a fixed order (a prefix filter). So no link between classes that share a
 bucket is lost, and no bucket is compared all with all.
 
+Where sets are compared, a head's text travels once for HEAD_MEMBERS members, ahead of their texts.
+
 Tables that a skewed key meets in a join are written first: Spark splits a skewed join only where both sides come
 straight from a shuffle.
 """
@@ -110,6 +112,22 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return keys
 
 
+def set_keys(rows: DataFrame) -> DataFrame:
+    """(id, n, k1, k2, text) for rows (id, text): size and digest of the whole set."""
+
+    def sign(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row, buf, offsets in text_chunks(batch.column(1), 300_000):
+                _, bounds, digests = shingle_sets(buf, offsets)
+                k1, k2 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
+                ids, texts = (batch.column(k).slice(row, len(digests)) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds), pa.int64()), pa.array(np.ascontiguousarray(k1)), pa.array(np.ascontiguousarray(k2)), texts], names=["id", "n", "k1", "k2", "text"])
+
+    return rows.mapInArrow(sign, "id long, n long, k1 long, k2 long, text string")
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, k1, k2, bands): set size, a 128-bit digest of the whole set, band keys (none for an empty set)."""
 
@@ -135,10 +153,20 @@ def _shingles(text: str, width: int = SHINGLE) -> set:
     return set(zip(*(words[k:] for k in range(width)))) if len(words) >= width else {tuple(words)} if words else set()
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with text_a and text_b, by b."""
-    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("shuffle_merge"), "a")
-    return first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("shuffle_merge"), "b")
+#: Members for which a head's text is sent once.
+HEAD_MEMBERS = 200
+
+
+def _beside_heads(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (b, part, member, a, text, other columns of pairs (a, b, ...)), in the order of b and part: the text of the head b, then those of its members a. Heads with many members have several parts."""
+    sizes = staged(pairs.groupBy("b").agg(F.ceil(F.count("*") / HEAD_MEMBERS).alias("parts")), "head-sizes")
+    dealt = staged(pairs.join(sizes.hint("shuffle_merge"), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts"), "dealt")
+    others = [c for c in pairs.columns if c not in ("a", "b")]
+    kinds = dict(pairs.dtypes)
+    members = dealt.join(texts.select(F.col("id").alias("a"), "text").hint("shuffle_merge"), "a").select("b", "part", F.lit(True).alias("member"), "a", "text", *others)
+    heads = dealt.select("b", "part").distinct().join(texts.select(F.col("id").alias("b"), "text").hint("shuffle_merge"), "b")
+    heads = heads.select("b", "part", F.lit(False).alias("member"), F.col("b").alias("a"), "text", *[F.lit(0).cast(kinds[c]).alias(c) for c in others])
+    return members.union(heads).repartition("b", "part").sortWithinPartitions("b", "part", "member")
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -147,17 +175,19 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def measure(batches):
         import pandas as pd
 
-        held, held_set = None, set()
+        held: set = set()
         for rows in batches:
             out = []
-            for a, b, x, y in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"]):
-                if b != held:
-                    held, held_set = b, _shingles(y)
-                own = _shingles(x)
-                out.append((a, b, len(own), len(held_set), len(own & held_set)))
-            yield pd.DataFrame(out, columns=["a", "b", "size_a", "size_b", "both"], dtype="int64")
+            for b, member, a, text in zip(rows["b"], rows["member"], rows["a"], rows["text"]):
+                own = _shingles(text)
+                if member:
+                    out.append((a, b, len(own), len(held), len(own & held)))
+                else:
+                    held = own
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b", "size_a", "size_b", "both"], dtype="int64")
 
-    return _with_texts(pairs, texts).select("a", "b", "text_a", "text_b").mapInPandas(measure, "a long, b long, size_a long, size_b long, both long")
+    return _beside_heads(pairs.select("a", "b"), texts).mapInPandas(measure, "a long, b long, size_a long, size_b long, both long")
 
 
 def links(pairs: DataFrame, percent: int) -> DataFrame:
@@ -173,23 +203,25 @@ def prefix_differences(pairs: DataFrame, texts: DataFrame, c: float) -> DataFram
     def differ(batches):
         import pandas as pd
 
-        held, held_set = None, set()
+        held: set = set()
         for rows in batches:
             out = []
             for r in rows.itertuples(index=False):
-                if r.b != held:
-                    held, held_set = r.b, _shingles(r.text_b)
+                own = _shingles(r.text)
+                if not r.member:
+                    held = own
+                    continue
                 room = c * (r.size_a + r.most)
                 to_apart, to_near = (r.d - max(1, math.ceil((r.d + partner - room) / 2 - 1e-9)) + 1 for partner in (c * (r.least + r.size_b), r.nearest))
                 last = max(to_apart, to_near if r.apart else 0)
                 if last > 0:
-                    order = sorted((words in held_set, int.from_bytes(blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)) for words in _shingles(r.text_a) ^ held_set)
+                    order = sorted((words in held, int.from_bytes(blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)) for words in own ^ held)
                     out += [(r.b, e, r.a, r.component, r.apart, k < to_apart, k < to_near, k, r.d, r.size_a) for k, (_, e) in enumerate(order[:last])]
             if out:
                 yield pd.DataFrame(out, columns=["b", "e", "a", "component", "apart", "to_apart", "to_near", "k", "d", "size"])
 
-    columns = ["a", "b", "component", "apart", "d", "size_a", "size_b", "least", "most", "nearest", "text_a", "text_b"]
-    return _with_texts(pairs, texts).select(*columns).mapInPandas(differ, "b long, e long, a long, component long, apart boolean, to_apart boolean, to_near boolean, k long, d long, size long")
+    columns = ["a", "b", "component", "apart", "d", "size_a", "size_b", "least", "most", "nearest"]
+    return _beside_heads(pairs.select(*columns), texts).mapInPandas(differ, "b long, e long, a long, component long, apart boolean, to_apart boolean, to_near boolean, k long, d long, size long")
 
 
 def _few_members(family: DataFrame, percent: int) -> DataFrame:
@@ -228,28 +260,57 @@ def _many_members(family: DataFrame, stars: DataFrame, texts: DataFrame, percent
 FEW = 48
 
 
+KEYS = ["k1", "k2", "n"]
+
+
+def class_texts(docs: DataFrame, classes: DataFrame, several: DataFrame | None) -> DataFrame:
+    """(id, text): a text for each class (id, rep, keys) from docs (id, text). `several` are the ids with more than one set: their texts are told apart by their keys."""
+    texts = classes.select(F.col("id").alias("class"), F.col("rep").alias("id"), *KEYS)
+    if several is None:
+        found = docs.join(texts.select("id", "class").hint("shuffle_merge"), "id").select("class", "text")
+    else:
+        plain = texts.join(several.hint("shuffle_merge"), "id", "left_anti").select("id", "class")
+        found = docs.join(plain.hint("shuffle_merge"), "id").select("class", "text")
+        keyed = set_keys(docs.join(several.hint("shuffle_merge"), "id", "left_semi").select("id", "text"))
+        mixed = texts.join(several.hint("shuffle_merge"), "id", "left_semi").drop("id")
+        found = found.union(keyed.drop("id").join(mixed.hint("shuffle_merge"), KEYS).select("class", "text"))
+    return found.dropDuplicates(["class"]).withColumnRenamed("class", "id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) and split at white space; a set holds the distinct five-word shingles, or the whole
     sequence if there are fewer words. Null and wordless texts have an empty set, are linked with nothing and are kept.
-    Repeated rows of an id are one vertex. Rows with a null id are kept and have a null component. An empty table gives
-    an empty result.
+    Rows of one id are one document: the id is linked with whatever any of its texts is linked with, and all its rows have
+    the same component. Rows with a null id are kept and have a null component. An empty table gives an empty result.
     """
     rows = staged(signed(docs, id_col, text_col), "signed")
-    classes = staged(rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    spread = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
+    known = rows.where("id IS NOT NULL")
+    # a class's number stands in the written table, so that every reader finds the same
+    classes = known.where("n > 0").groupBy(*KEYS).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    several = staged(known.groupBy("id").agg(F.min(F.struct(*KEYS)).alias("lo"), F.max(F.struct(*KEYS)).alias("hi")).where("lo < hi").select("id"), "several")
+    several = None if several.isEmpty() else several
+
+    spread = classes.select("id", "n", F.explode("bands").alias("key"))
     shared = staged(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = staged(spread.join(shared.hint("shuffle_merge"), "key"), "members")
     scores = members.groupBy("id").agg(F.sum("size").alias("score"))
     members = staged(members.drop("size").join(scores.hint("shuffle_merge"), "id"), "scored")
-    texts = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(scores.select("id").hint("shuffle_merge"), "id").dropDuplicates(["id"]), "candidates")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = staged(class_texts(own, classes.drop("bands").join(scores.select("id").hint("shuffle_merge"), "id"), several), "candidates")
 
     # everyone of each bucket with its head, each pair once
     heads = small_checkpoint(members.groupBy("key").agg(F.max_by(F.col("id"), F.struct("score", -F.col("id"))).alias("head")))
     headed = staged(members.join(heads.hint("shuffle_merge"), "key").select("key", "id", "n", "head"), "headed")
     stars = staged(measured(headed.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), texts), "stars")
-    edges = staged(links(stars, percent), "links")
+    edges = links(stars, percent)
+    if several is not None:
+        of_id = staged(known.where("n > 0").join(several.hint("shuffle_merge"), "id", "left_semi").withColumnRenamed("id", "doc").join(classes.select(*KEYS, "id").hint("shuffle_merge"), KEYS).select("doc", "id").distinct(), "classes-of-ids")
+        hubs = staged(of_id.groupBy("doc").agg(F.min("id").alias("hub")), "hubs")
+        edges = edges.union(of_id.join(hubs.hint("shuffle_merge"), "doc").where("id != hub").select("id", "hub"))
+    edges = staged(edges, "links")
     found = components(edges)
 
     # heads whose buckets hold several components
@@ -267,9 +328,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         more = staged(more.join(tried.union(tried.select("b", "a")).hint("shuffle_merge"), ["a", "b"], "left_anti"), "pairs")
         edges = staged(edges.union(links(measured(more, texts), percent)), "links")
         found = components(edges)
-    groups = staged(classes.join(found.hint("shuffle_merge"), classes["rep"] == found["id"], "left").select("k1", "k2", F.col("n").alias("class_n"), F.coalesce("component", "rep").alias("component")), "groups")
+
+    # components by their smallest document; a class that is linked with nothing is its own
+    linked = staged(found.join(classes.select("id", "rep").hint("shuffle_merge"), "id"), "linked")
+    least = staged(linked.groupBy("component").agg(F.min("rep").alias("least")), "components")
+    named = staged(linked.join(least.hint("shuffle_merge"), "component").select("id", "least"), "named")
+    groups = classes.join(named.hint("shuffle_merge"), "id", "left").select("k1", "k2", F.col("n").alias("class_n"), F.coalesce("least", "rep").alias("component"))
+    groups = staged(groups, "groups")
     out = rows.join(groups.hint("shuffle_merge"), (rows["k1"] == groups["k1"]) & (rows["k2"] == groups["k2"]) & (rows["n"] == F.col("class_n")), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    component = F.coalesce("component", "id")
+    if several is not None:  # an empty text of an id that has others
+        of_others = staged(of_id.join(named.hint("shuffle_merge"), "id", "left").join(classes.select("id", "rep").hint("shuffle_merge"), "id").groupBy("doc").agg(F.min(F.coalesce("least", "rep")).alias("of_id")), "of-ids")
+        out = out.join(of_others.hint("shuffle_merge"), out["id"] == F.col("doc"), "left")
+        component = F.coalesce("component", "of_id", "id")
+    component = F.when(F.col("id").isNotNull(), component)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 

@@ -580,6 +580,57 @@ def test_near_groups(docs, rows, empty, monkeypatch, few):
         assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
+def plain_components_by_row(rows, percent=85):
+    """Component of each id where an id may stand on several rows: rows are vertices, rows of one id are linked."""
+    numbered = {r[0]: None for r in rows}
+    ids = {k: r[0] for k, r in enumerate(rows)}
+    alone = plain_components([(k, r[1]) for k, r in enumerate(rows)], percent)
+    parent = {i: i for i in numbered}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (_, c) in alone.items():
+        x, y = find(ids[k]), find(ids[c])
+        parent[max(x, y)] = min(x, y)
+    return {k: (alone[k][0], find(ids[k])) for k in alone}
+
+
+def test_ids_with_several_texts(spark):
+    """A link of any text of an id counts, in any order of the rows; an empty text goes with the others of its id."""
+    rng = random.Random(4)
+    text = lambda: [f"w{rng.randrange(5000)}" for _ in range(100)]
+    near = lambda words: " ".join("edited" if k == 50 else w for k, w in enumerate(words))
+    a, b, c = text(), text(), text()
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (5, None), (5, near(c)), (6, ""), (7, " ".join(a)), (7, " ".join(a)), (None, " ".join(b)), (8, " ".join(text())), (8, " ".join(text()))]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(2)
+        got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(docs).collect()}
+        assert {(i, c) for i, _, c, _ in got} == {(1, 1), (2, 1), (3, 1), (7, 1), (4, 4), (5, 4), (6, 6), (8, 8), (None, None)}
+        assert all(kept == (c == i) for i, _, c, kept in got) and (5, 0, 4, False) in got
+
+
+@pytest.mark.parametrize("few", [48, 2])
+def test_near_groups_of_repeated_ids(spark, rows, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "HEAD_MEMBERS", 3)
+    own = [(r[0] % 37, r[1]) for r in rows if r[0] is not None]
+    want = plain_components_by_row(own)
+    got = near_dedup.near_groups(spark.createDataFrame(own, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((own[k][0], n, c) for k, (n, c) in want.items())
+
+
+def test_pairs_travel_without_the_heads_text(spark):
+    """A head's text goes ahead of its members, once for each part."""
+    texts = spark.createDataFrame([(k, f"a b c d e f {k}") for k in range(500)], "id long, text string")
+    pairs = spark.range(1, 500).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    rows = near_dedup._beside_heads(pairs, texts)
+    assert rows.where("NOT member").count() == 3 and rows.where("member").count() == 499 and rows.columns == ["b", "part", "member", "a", "text"]
+    assert {(r.size_a, r.size_b, r.both) for r in near_dedup.measured(pairs, texts).collect()} == {(3, 3, 2)}
+
+
 def thue_morse(n):
     """Words of n letters that polynomial hashes modulo a power of two cannot tell from their complement."""
     bits = [bin(k).count("1") % 2 for k in range(n)]
@@ -597,7 +648,7 @@ def test_long_words_are_told_apart(spark):
 
 
 def test_recall_of_links(spark, sf):
-    """Every link of the documents whose id is divisible by 50, with all documents, ends in one component; nothing else is joined."""
+    """All pairs of the small table: every link ends in one component; nothing else is joined."""
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in table.collect()]
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(table).collect()}
@@ -605,6 +656,22 @@ def test_recall_of_links(spark, sf):
     assert sum(i % 50 == 0 for i in got) > 1
 
 
+def test_recall_of_a_larger_table(spark, sf):
+    """Every link of the documents of sf0.01 whose id is divisible by 50, with all documents, ends in one component."""
+    table = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in table.collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = frozenset(zip(w, w[1:], w[2:], w[3:], w[4:])) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+    component = {r.doc_id: r.component_id for r in near_dedup.near_groups(table).collect()}
+    found = missed = 0
+    for i in (i for i in sets if i % 50 == 0 and sets[i]):
+        for j, other in sets.items():
+            if j != i and 100 * len(sets[i] & other) >= 85 * len(sets[i] | other):
+                found, missed = found + (component[i] == component[j]), missed + (component[i] != component[j])
+    assert found > 3 and missed == 0
+
+
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(k, "the same words here " * 20, 1, 2, 3, 4, 5) for k in range(3)], "doc_id long, text string, _gone long, gone long, id long, component_id long, k1 long")
     left = near_dedup.drop_near_copies(docs)
