@@ -35,9 +35,18 @@ SCOPE = frozenset("html body table ul ol dl div article section aside nav main h
 #: What may stand beside a body.
 ROOT = IN_HEAD | frozenset(("html", "body"))
 
+#: The block that a browser puts around text that stands in a holder of blocks itself.
+LOOSE = "#text"
+
 #: Blocks that hold others; their tie to the block above differs from that of paragraphs, headings and the like.
 HOLDERS = frozenset("html body div section article main header footer nav aside form center table tbody tr td ul ol dl".split())
 
+#: What the features of a block that holds no others begin with, and what they weigh: such blocks come in numbers, and say the same again.
+LEAF, LEAF_WEIGHT = "leaf ", 0.3
+#: Names are given on purpose.
+NAME_WEIGHT = 2.0
+TAGS = ("tag ", f"{LEAF}tag ")
+
 CONTENT_MARKS = ("article", "main")
 OTHER_MARKS = ("nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "select", "textarea", "search")
 
@@ -111,25 +120,33 @@ def _names(attributes: str) -> tuple[str, ...]:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The block elements (parents first) and the texts of the blocks in page order as (node, text).
+    """The block elements (parents first) and the texts of the blocks in page order as (node, text). Text right in a holder of blocks gets a block of its own.
 
     End tags that a browser implies are implied; those that match nothing are left out. A head ends at the first thing
     that cannot stand in it. Inline elements belong to their block; a line break is white space. Text in scripts,
     styles, titles, comments and the head is none. The time is in proportion to the page.
     """
     nodes, blocks = [Node(-1, "html", ())], []
+    linked = 0  # characters of the text at hand that stand in links
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block that they belong to
     opened = Counter(["html"])  # how many of a tag are open
     hidden = links = 0
     text: list[str] = []
 
     def flush() -> None:
+        nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                blocks.append((stack[-1][1], joined))
-                nodes[stack[-1][1]].chars += len(joined)
+                node = stack[-1][1]
+                if nodes[node].tag in HOLDERS:
+                    nodes.append(Node(node, LOOSE, ()))
+                    node = len(nodes) - 1
+                blocks.append((node, joined))
+                nodes[node].chars += len(joined)
+                nodes[node].link_chars += linked
+            linked = 0
 
     def pop(depth: int) -> None:
         nonlocal hidden, links
@@ -161,7 +178,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 piece = html.unescape(rest)
                 text.append(piece)
                 if links:
-                    nodes[stack[-1][1]].link_chars += len(piece.strip())
+                    linked += len(piece.strip())
             continue
         if end:
             if not opened[tag] or tag in ("html", "body"):  # what follows a body belongs to it
@@ -202,24 +219,32 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 
 def features(nodes: list[Node]) -> list[list[str]]:
-    """What the unary potentials see of each node; text and link text count with all that a node holds."""
+    """What the unary potentials see of each node: tag, names, share of links and length of all its text; of a holder, how much of the page's text stands right in it; whether a block has all of the page's text, and whether a body has no holder with text in it."""
     chars, link_chars, held = [n.chars for n in nodes], [n.link_chars for n in nodes], []
     for k in range(len(nodes) - 1, 0, -1):
         chars[nodes[k].parent] += chars[k]
         link_chars[nodes[k].parent] += link_chars[k]
+    own = [0] * len(nodes)  # characters of the blocks right in a holder
     for k, n in enumerate(nodes):
+        if k and n.tag not in HOLDERS:
+            own[n.parent] += chars[k]
+    flat = not any(n.tag in HOLDERS and n.tag != "body" and chars[k] for k, n in enumerate(nodes) if n.parent >= 0)
+    for k, n in enumerate(nodes):
+        whole = n.tag not in HOLDERS and chars[k] == chars[0]
         share = min(3, int(4 * link_chars[k] / chars[k])) if chars[k] else 4
-        held.append([f"tag {n.tag}", f"links {share}", f"length {min(6, chars[k].bit_length() // 2)}", *{f"name {w}" for w in n.names}])
+        kind = "" if n.tag in HOLDERS else LEAF
+        held.append([f"{kind}tag {n.tag}", f"{kind}links {share}", f"{kind}length {min(6, chars[k].bit_length() // 2)}", *([] if kind or n.tag == "body" else [f"own {4 * own[k] // (chars[0] + 1)}"]), *(["whole"] if whole else ["flat"] if flat and n.tag == "body" else []), *{f"name {w}" for w in n.names}])
     return held
 
 
 class TreeModel:
     """Counts of features and of parent-child pairs by label, and the marginals that they give."""
 
-    def __init__(self, counts: dict[tuple[str, int], float], prior: float = 0.5):
-        labels = [sum(v for (k, y), v in counts.items() if k.startswith("tag ") and y == c) + 2 * prior for c in (0, 1)]
+    def __init__(self, counts: dict[tuple[str, int], float], prior: float = 0.05):
+        labels = [sum(v for (k, y), v in counts.items() if k.startswith(TAGS) and y == c) + 2 * prior for c in (0, 1)]
         self.seen = {k for k, _ in counts if not k.startswith("pair ")}
-        self.unary = {k: tuple(math.log((counts.get((k, y), 0) + prior) / (labels[y] + 2 * prior)) for y in (0, 1)) for k in self.seen}
+        weight = {k: NAME_WEIGHT if k.startswith("name ") else LEAF_WEIGHT if k.startswith(LEAF) else 1.0 for k in self.seen}
+        self.unary = {k: tuple(weight[k] * math.log((counts.get((k, y), 0) + prior) / (labels[y] + 2 * prior)) for y in (0, 1)) for k in self.seen}
         self.pair = {}
         for holder in (False, True):
             rows = [[counts.get((f"pair {holder} {above}", y), 0) + 1 for y in (0, 1)] for above in (0, 1)]
@@ -302,35 +327,57 @@ OTHER_NAMES = (
 
 
 def labelled_pages() -> list[tuple[list[Node], list[int]]]:
-    """Built pages with a label for each block: for each naming word a page with one content block of that kind (div, section, article or main by turn) and one other block."""
-    out = []
+    """Built pages with a label for each block.
+
+    For each naming word there are pages in which a block of that name stands before, in or after the content, as links,
+    short lines, or prose that is as long as the content's, in paragraphs or loose; content has a name, an element of its
+    own (article, main), or neither."""
     prose = "Some longer sentences of running text, as articles have them, stand in this block. " * 3
-    tags, others = ("div", "section", "article", "main"), ("div", "section", "aside", "div")
-    for k, word in enumerate(OTHER_NAMES):
-        name, tag, other = CONTENT_NAMES[k % len(CONTENT_NAMES)], tags[k % 4], others[k % 4]
-        links = k % 2
-        inner = "<ul>" + f"<li><a href='#'>{word} item</a></li>" * 5 + "</ul>" if links else f"<h3>{word}</h3><p>{prose[: 40 + 30 * (k % 5)]}</p>"
+    tags, others = ("div", "section", "article", "main"), ("div", "section", "aside", "div", "article", "ol")
+    kinds = (
+        lambda word: "<ul>" + f"<li><a href='#'>{word} item</a></li>" * 5 + "</ul>",
+        lambda word: f"<h3>{word}</h3><p>{prose[:60]}</p>",
+        lambda word: f"<h2>{word}</h2>" + f"<p>{prose}</p>" * 3,
+        lambda word: f"{prose}<br>{prose}",
+        lambda word: f"<div class='{word}'><p>{prose}</p></div>" * 4,
+        lambda word: f"<ol class='{word}-list'>" + f"<li><p>{prose}</p></li>" * 6 + "</ol>",
+    )
+    bodies = (
+        lambda k, inside: f"<h1>A title of the page</h1>{f'<p>{prose}</p>' * (2 + k % 3)}{inside}<h2>Part</h2><p>{prose}</p><ul><li>{prose[:60]}</li></ul><blockquote><p>{prose[:80]}</p></blockquote>",
+        lambda k, inside: f"<h1>A title</h1>{prose}<br>{prose * (k % 3)}{inside}<p>{prose[: 80 + 40 * (k % 4)]}</p>",
+        lambda k, inside: f"<h1>A title</h1>{f'<p>{prose[: 50 + 50 * (k % 3)]}</p>' * 2}{inside}",
+    )
+    out = []
+    for k, word in enumerate(OTHER_NAMES * 4):
+        turn = k // len(OTHER_NAMES)
+        name, tag, other = CONTENT_NAMES[(k + turn) % len(CONTENT_NAMES)], tags[(k + turn) % 4], others[(k + turn) % 6]
+        inner = kinds[(k + turn) % 6](word)
+        block = f"<{other} {('class', 'id')[k % 2]}='{word}'>{inner}</{other}>"
+        before, inside, after = (block if turn in places else "" for places in ((0, 3), (1, 3), (0, 2)))
+        named = f" class='{name} content-{k % 2}'" if (k + turn) % 3 else ""
         page = (
-            f"<body><header><a href='/'>Site</a><h1>Site</h1></header><nav><ul>{'<li><a>Go there</a></li>' * 4}</ul></nav><div><div class='{word}'>{inner}</div><{tag} class='{name}'><h1>A title of the page</h1>"
-            f"{f'<p>{prose}</p>' * (2 + k % 3)}<h2>Part</h2><p>{prose}</p><ul><li>{prose[:60]}</li></ul><blockquote><p>{prose[:80]}</p></blockquote></{tag}>"
-            f"<{other} id='{word}'>{inner}</{other}></div><form><label>Name</label><button>Send</button></form><footer><p>Rights reserved.</p></footer></body>"
+            f"<body><header><a href='/'>Site</a><h1>Site</h1></header><nav><ul>{'<li><a>Go there</a></li>' * 4}</ul></nav><div>{before}<{tag}{named}>{bodies[k % 3](k, inside)}</{tag}>"
+            f"{after}</div><form><label>Name</label><p>{prose[: 100 * (k % 3)]}</p><button>Send</button></form><footer><p>Rights reserved.</p></footer></body>"
         )
-        nodes, _ = parse(page)
+        nodes, blocks = parse(page)
+        content = nodes[next(node for node, text in blocks if text.startswith("A title"))].parent
         labels = []
-        for n in nodes:
+        for at, n in enumerate(nodes):
             above = labels[n.parent] if n.parent >= 0 else 0
-            labels.append(1 if name in n.names else 0 if word in n.names or n.tag in OTHER_MARKS else above)
+            labels.append(1 if at == content else 0 if word in n.names or n.tag in OTHER_MARKS else above)
         out.append((nodes, labels))
-    for k in range(1, 4):  # pages without any naming: all of the body is content
-        nodes, _ = parse(f"<body><h1>A title</h1>{f'<p>{prose}</p>' * k}</body>")
+    plain = [f"<h1>A title</h1>{f'<p>{prose[: 60 * k]}</p>' * k}" for k in range(1, 5)] + [f"<h1>A title</h1>{prose}<p>{prose}</p>{prose[:70]}", f"<p>{prose[:20]}</p>"]
+    plain += [prose[:n] for n in (1, 3, 8, 20, 60, 150, 240)] + [f"<div>{prose[:n]}</div>" for n in (9, 70, 240)] + [f"<div>{prose}<p>{prose}</p>{prose}</div>"]
+    for page in plain:  # pages without any naming: all of the body is content
+        nodes, _ = parse(f"<body>{page}</body>")
         out.append((nodes, [0] + [1] * (len(nodes) - 1)))
     return out
 
 
-def train_model(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_rows: int = 2000, most_features: int = 5000) -> TreeModel:
-    """Fits the potentials to the built pages and to at most about sample_rows of the given ones, chosen by a hash of the id and the page; the driver reads the most_features commonest features of these. The pages to extract from are never limited."""
+def train_model(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_rows: int = 2000) -> TreeModel:
+    """Fits the potentials to the built pages and to about sample_rows of the given ones, chosen by a 63-bit hash of the id and the page; the driver reads the counts of their features. The pages to extract from are never limited."""
     total = pages.count()
-    limit = min(1_000_000, int(1_000_000 * sample_rows / max(1, total)))
+    limit = min(2**63 - 1, 2**63 * sample_rows // max(1, total))
 
     def count(batches):
         import pandas as pd
@@ -345,15 +392,14 @@ def train_model(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
             if found:
                 yield pd.DataFrame([(k, y, float(v)) for (k, y), v in found.items()], columns=["feature", "label", "n"]).astype({"label": "int32", "n": "float64"})
 
-    sample = pages.where(F.pmod(F.xxhash64(id_col, html_col), F.lit(1_000_000)) < limit).select(F.col(html_col).cast("string").alias("html"))
+    sample = pages.where(F.xxhash64(id_col, html_col).bitwiseAND(2**63 - 1) < F.lit(limit)).select(F.col(html_col).cast("string").alias("html"))
     counted = sample.mapInPandas(count, "feature string, label int, n double").groupBy("feature", "label").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "feature", "label").limit(most_features).collect()
-    counts: Counter = Counter({(r["feature"], r["label"]): r["n"] for r in rows})
-    whole = sum(v for (k, _), v in counts.items() if k.startswith("tag "))
+    counts: Counter = Counter({(r["feature"], r["label"]): r["n"] for r in counted.collect()})
+    whole = sum(v for (k, _), v in counts.items() if k.startswith(TAGS))
     built: Counter = Counter()
     for nodes, labels in labelled_pages():
         built.update(count_labels(nodes, labels))
-    own = sum(v for (k, _), v in built.items() if k.startswith("tag "))
+    own = sum(v for (k, _), v in built.items() if k.startswith(TAGS))
     weight = min(1.0, own / whole) if whole else 1.0  # the sample weighs as much as the built pages at most
     return TreeModel({k: built.get(k, 0) + weight * counts.get(k, 0) for k in built.keys() | counts.keys()})
 

@@ -397,6 +397,56 @@ def test_built_pages_give_their_articles(spark):
     assert len(wrong) <= len(built) // 50, wrong[:2]
 
 
+LONG = "Readers wrote long sentences here about many things that they had seen and thought of. " * 4
+ARTICLE = "<h1>Title here</h1>" + "".join(f"<p>Paragraph {i} of the article tells a long story with many words in it, and goes on for a while.</p>" for i in range(4))
+MAIN = re.sub("<[^>]*>", "\n", ARTICLE).replace("\n\n", "\n").strip()
+#: Pages with their main text: text right in a body, and what stands in or beside an article without belonging to it, as long as the article.
+HARD_PAGES = {
+    "text in the body": (f"<body>{PROSE}</body>", PROSE.strip()),
+    "no tags": ("Just some plain text, without any tag", "Just some plain text, without any tag"),
+    "short lines": ("<body>a<br><br>b</body>", "a b"),
+    "one short paragraph": ("<html><body><p>Hello world.</p></body></html>", "Hello world."),
+    "loose text beside paragraphs": (f"<body><h1>T of it</h1>{PROSE}<p>{LONG}</p>{PROSE}</body>", f"T of it\n{PROSE.strip()}\n{LONG.strip()}\n{PROSE.strip()}"),
+    "an unnamed div": (f"<body><nav><ul><li><a>x</a></li></ul></nav><div>{LONG}<p>{LONG}</p>{LONG}</div><footer>(c) 2020 Company. All rights reserved.</footer></body>", "\n".join([LONG.strip()] * 3)),
+    "line breaks": (f"<body><div class='post-body'>{LONG}<br>{LONG}</div><div class='sidebar'><h3>Popular</h3><p>{LONG[:150]}</p><ul><li><a>One thing</a></li></ul></div></body>", f"{LONG.strip()} {LONG.strip()}"),
+    "comments in the article": (f"<body><nav><a>Home</a></nav><article>{ARTICLE}<section class='comments'><h2>Comments</h2><p>{LONG}</p><p>{LONG}</p></section></article></body>", MAIN),
+    "many comments": (f"<body><article>{ARTICLE}<section class='comments'>{f'<div class=comment><p>{LONG}</p></div>' * 30}</section></article></body>", MAIN),
+    "a list of comments": (f"<body><article>{ARTICLE}</article><ol class='comment-list'>{f'<li><p>{LONG}</p></li>' * 10}</ol></body>", MAIN),
+    "comments as articles": (f"<body><main>{ARTICLE}{f'<article class=comment><p>{LONG}</p></article>' * 2}</main></body>", MAIN),
+    "a thread": (f"<body><article>{ARTICLE}<div id='disqus_thread'><p>{LONG}</p><p>{LONG}</p></div></article></body>", MAIN),
+    "newsletter": (f"<body><article>{ARTICLE}<div class='newsletter'>{LONG}</div></article></body>", MAIN),
+    "advert": (f"<body><article>{ARTICLE}<div class='advert'><p>{LONG}</p></div></article></body>", MAIN),
+    "cookies before": (f"<body><div class='cookie-banner'><p>{LONG}</p></div><main>{ARTICLE}</main></body>", MAIN),
+    "cookies inside": (f"<body><main><div class='cookie-banner'><p>{LONG}</p></div>{ARTICLE}</main></body>", MAIN),
+    "notice": (f"<body><div class='gdpr notice'><p>{LONG}</p></div><div class='content'>{ARTICLE}</div></body>", MAIN),
+    "form": (f"<body><article>{ARTICLE}<form><label>Name</label><input><p>{LONG}</p><button>Go</button></form></article></body>", MAIN),
+    "related": (f"<body><article>{ARTICLE}<div class='related'><h3>Related</h3><ul><li><a href=x>Other story</a></li></ul></div></article></body>", MAIN),
+}
+
+
+@pytest.mark.parametrize("name", HARD_PAGES)
+def test_hard_pages(name):
+    page, want = HARD_PAGES[name]
+    assert built_model().text(page) == want
+
+
+def test_hard_pages_with_a_trained_model(spark, sf):
+    """The model of the given pages, and one whose sample is empty, which is the built one."""
+    given = spark.read.parquet(f"{sf}/pages.parquet")
+    model = html_text.train_model(given)
+    assert {name: model.text(page) for name, (page, _) in HARD_PAGES.items()} == {name: want for name, (_, want) in HARD_PAGES.items()}
+    assert html_text.train_model(given, sample_rows=0).unary == built_model().unary
+    # given pages say themselves what is content; token F1 of all of them
+    hits = found = real = 0
+    for r in given.collect():
+        nodes, blocks = html_text.parse(r.html or "")
+        labels = html_text.own_labels(nodes)
+        if labels:
+            want, got = Counter(w for k, t in blocks if labels[k] for w in t.split()), Counter(model.text(r.html).split())
+            hits, found, real = hits + (want & got).total(), found + got.total(), real + want.total()
+    assert 2 * hits / (found + real) > 0.999
+
+
 def test_messages_are_exact():
     """Marginals by enumeration over a small tree."""
     from itertools import product
