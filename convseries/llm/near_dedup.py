@@ -159,6 +159,7 @@ HEAD_MEMBERS = 200
 
 def _beside_heads(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (b, part, member, a, text, other columns of pairs (a, b, ...)), in the order of b and part: the text of the head b, then those of its members a. Heads with many members have several parts."""
+    pairs = staged(pairs, "pairs")
     sizes = staged(pairs.groupBy("b").agg(F.ceil(F.count("*") / HEAD_MEMBERS).alias("parts")), "head-sizes")
     dealt = staged(pairs.join(sizes.hint("shuffle_merge"), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts"), "dealt")
     others = [c for c in pairs.columns if c not in ("a", "b")]
