@@ -48,6 +48,11 @@ class BloomFilter:
         return found
 
 
+def most_bits(part_words: int = PART_WORDS, most_parts: int = MOST_PARTS) -> int:
+    """Bits of the largest filter."""
+    return 64 * part_words * most_parts
+
+
 def bloom_filter(keys: DataFrame, n_keys: int, seed: int, bits_per_key: int = 10, part_words: int = PART_WORDS, most_parts: int = MOST_PARTS) -> BloomFilter:
     """A filter of the column `key`, which has n_keys values. Bits are set by bit_or over words, combined on the map side."""
     n_words = min(part_words * most_parts, max(1, math.ceil(n_keys * bits_per_key / 64)))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convseries.llm.common import BROADCAST_ROWS, GOLD, mix, prefix_sums, range_hashes, small_checkpoint, staged, text_chunks, word_numbers, word_strings
+from convseries.llm.common import GOLD, mix, per_key, prefix_sums, range_hashes, small_checkpoint, staged, text_chunks, word_numbers, word_strings
 
 #: What ends a piece, what stands between words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -30,6 +30,8 @@ COUNTERS = 2_000_000
 CHUNK = 4_000_000
 #: Bits of the bitmap of survivors: 16 for each, 2**20 to 2**30 (128 MB). Beyond 2**26 survivors it lets more n-grams through to the second pass, which counts them all the same.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 20, 30, 20
+#: Scores (0 to 1,000,000) that are counted together where the best of a language are looked for.
+SCORE_BIN = 1000
 
 
 class Words:
@@ -265,12 +267,14 @@ def collocations(docs: DataFrame, top: int = 2000, threshold: int = 10, longest:
     scored, covered = _cut_scores(grams, longest), _covered(grams, longest, inside_percent)
     free = scored.join(covered.hint("shuffle_merge"), ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < inside_percent * F.col("a"))).drop("most", "len")
     order: list[Column] = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    # the best of each of some parts of a language first, so that no task ranks all of one
+    # the best of each of some parts of a language, of these the score bins that hold the first `top`, and then their order
     salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = free.withColumn("salt", F.pmod(F.hash("phrase"), F.lit(salts)))
-    best = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    salted = free.withColumns({"salt": F.pmod(F.hash("phrase"), F.lit(salts)), "bin": F.floor(F.col("score") / SCORE_BIN)})
+    best = staged(salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top).drop("salt", "rank"), "best")
+    bins = best.groupBy("lang", "bin").agg(F.count("*").alias("rows"))  # at most 1,000,000 / SCORE_BIN + 1 a language
+    upto = F.sum("rows").over(Window.partitionBy("lang").orderBy(F.desc("bin")))
+    least = small_checkpoint(bins.withColumn("upto", upto).groupBy("lang").agg(F.max(F.when(F.col("upto") >= top, F.col("bin"))).alias("least")))
+    best = per_key(best, least, "lang", F.hash("phrase")).where(F.col("bin") >= F.coalesce("least", F.lit(0))).drop("bin", "least")
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     sizes = small_checkpoint(grams.where("len = 0").select("lang", F.col("f").alias("n")))
-    if sizes.count() <= BROADCAST_ROWS:
-        sizes = F.broadcast(sizes)
-    return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+    return per_key(best, sizes, "lang", F.hash("phrase")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))

@@ -22,15 +22,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convseries.llm.common import staged
+
 # Fixed seeds of the grammar, in four languages.
 SEED_INSULTS = frozenset("idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting dumb imbecile idiota estúpido imbécil connard abruti dummkopf arschloch abschaum".split())
-THREATS = frozenset("kill killed hurt destroy beat burn die stab shoot smash punch matar morir quemar tuer mourir brûler töten sterben verbrennen".split())
+THREATS = frozenset("kill killed hurt destroy beat burn stab shoot smash punch matar morir quemar tuer mourir brûler töten sterben verbrennen".split())
 TARGETS = frozenset("you your yours yourself he she him her they them people women men tú vosotros ustedes ellos ella tu vous toi ils elle du ihr euch dich sie".split())
 NEGATIONS = frozenset("not no never nobody isn't aren't don't doesn't wasn't won't cannot nunca nadie jamás ne pas jamais personne nicht kein keine nie niemand".split())
 REPORTS = frozenset("said says say wrote writes called calls quoted quotes claimed claims reported reports according dijo dice llamó dit disait appelé selon sagte sagt nannte laut".split())
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, SLUR = range(6)
 SYMBOLS = 6
+#: Threats leave out words that are common ones in another of the languages, such as `die`.
 #: Words, ends of clauses, and marks of quotations.
 _SYMBOLS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]+|[\"“”„«»]")
 _ENDS, _QUOTES = frozenset(".!?;\n"), frozenset("\"“”„«»")
@@ -177,25 +180,26 @@ def is_held_out(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, most_insults: int = 500) -> ToxicGrammar:
-    """Learns the insults and the weights from labelled rows of the training folds: about sample_rows of them at most, chosen by a hash of the id.
+def train_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000) -> ToxicGrammar:
+    """Learns the insults and the weights from labelled rows of the training folds: about sample_rows of them at most, chosen by hashes of the id and of the row.
 
     An insult is a word of at least 3 toxic documents for which the lower Wilson bound of its documents' share of toxic
-    labels is over one half; the most_insults surest are taken. A slur's stem is one for which this holds of the documents
-    with two or more such words, at least 8 of them toxic; again the most_insults surest. Ties go to the more frequent,
-    then by code point. Null labels are left out; of repeated ids the largest label counts, and repeated rows count as
-    often as they occur. With fewer than 20 labelled rows, or one label only, the seeds and fixed weights remain.
+    labels is over one half. A slur's stem is one for which this holds of the documents with two or more such words, at
+    least 8 of them toxic. Null labels are left out; of repeated ids the largest label counts; rows that repeat an id and
+    its text count once. With fewer than 20 labelled rows, or one label only, the seeds and fixed weights remain.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
-    limit = min(1_000_000, int(1_000_000 * sample_rows / max(1, known.count())))
-    known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < limit)  # about sample_rows rows: small enough to broadcast
+    part = lambda n: F.lit(min(2**63 - 1, 2**63 * sample_rows // max(1, n)))  # noqa: E731  of the range of a 63-bit hash
+    known = known.where(F.xxhash64("_id").bitwiseAND(2**63 - 1) < part(known.count()))  # about sample_rows rows: small enough to broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "_id")
+    rows = staged(rows.dropDuplicates(["_id", "text"]), "labelled")
+    rows = rows.where(F.xxhash64("text", "_id").bitwiseAND(2**63 - 1) < part(rows.count()))  # an id may stand on many rows
 
     def surest(counted: DataFrame, least: int) -> frozenset[str]:
         """The terms of (term, k toxic, n documents) whose lower Wilson bound is over one half."""
         share, z2 = F.col("k") / F.col("n"), 1.96**2
         low = (share + z2 / (2 * F.col("n")) - 1.96 * F.sqrt((share * (1 - share) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
-        found = counted.where(F.col("k") >= least).withColumn("low", low).where("low > 0.5").orderBy(F.desc("low"), F.desc("k"), "term").limit(most_insults)
+        found = counted.where(F.col("k") >= least).withColumn("low", low).where("low > 0.5")
         return frozenset(r["term"] for r in found.collect())
 
     def count_stems(batches):

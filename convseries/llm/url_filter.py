@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convseries.llm.bloom import BloomFilter, bloom_filter
-from convseries.llm.common import small_checkpoint
+from convseries.llm.bloom import BloomFilter, bloom_filter, most_bits
+from convseries.llm.common import per_key, small_checkpoint, staged
 
 
 @dataclass(frozen=True)
@@ -57,28 +57,40 @@ def rule_for(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Column,
 
 
 class BloomCascade:
-    """Exact membership of listed keys over a complete universe of keys."""
+    """Exact membership of listed keys over a complete universe of keys: filters, and where the keys of a level are too many for one, a table of the listed keys that are left there."""
 
-    def __init__(self, levels: list[BloomFilter]):
-        self.levels = levels
+    def __init__(self, levels: list[BloomFilter], rest: DataFrame | None = None):
+        self.levels, self.rest = levels, rest
 
-    def contains(self, key: Column) -> Column:
-        """True for listed keys. The first level that stops a key decides: an odd level stops other keys, an even one listed keys."""
-        out = F.lit(len(self.levels) % 2 == 1)
+    def contains(self, key: Column, rest: Column | None = None) -> Column:
+        """True for listed keys. The first level that stops a key decides: an odd level stops other keys, an even one listed keys. rest says it of keys that no level stops, where there is such a table."""
+        out = F.lit(len(self.levels) % 2 == 1) if rest is None else rest
         for level in reversed(self.levels):
             out = F.when(~level.holds(key), F.lit(level.seed % 2 == 0)).otherwise(out)
         return out
 
+    def mark(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
+        """rows plus a column that says whether the key is listed. Rows that a level stops stay where they are; others meet the table, if there is one."""
+        if self.rest is None:
+            return rows.withColumn(name, self.contains(key))
+        passes = F.lit(True)
+        for level in self.levels:
+            passes = passes & level.holds(key)
+        stopped = rows.where(~passes).withColumn(name, self.contains(key))
+        table = self.rest.select(F.col("key").alias("_key"), F.lit(True).alias("_listed"))
+        met = per_key(rows.where(passes).withColumn("_key", key), table, "_key", F.spark_partition_id(), "left")
+        return stopped.unionByName(met.withColumn(name, F.coalesce("_listed", F.lit(False))).drop("_key", "_listed"))
+
     @staticmethod
     def build(universe: DataFrame, bits_per_key: int = 10, **sizes: int) -> BloomCascade:
-        """From a table (key, listed) with each key of the corpus once. sizes: bounds of the filters, as bloom_filter takes them. An error where even one bit for each listed key passes them."""
+        """From a table (key, listed) with each key of the corpus once. sizes: bounds of the filters, as bloom_filter takes them. A level's keys (listed ones at odd levels, others at even ones) that pass even one bit each end the cascade in a table."""
         levels: list[BloomFilter] = []
         inside, outside = universe.where("listed").select("key"), universe.where("NOT listed").select("key")
         n = inside.count()
         while True:
+            if n > most_bits(**sizes):
+                return BloomCascade(levels, staged(inside if len(levels) % 2 == 0 else outside, "listed-keys"))
             level = bloom_filter(inside, n, len(levels) + 1, bits_per_key, **sizes)
-            if level.n_bits < n:
-                raise ValueError(f"{n} listed keys are too many for a filter of {level.n_bits} bits")
             levels.append(level)
             outside = small_checkpoint(outside.where(level.holds(F.col("key"))))
             n = outside.count()
@@ -105,5 +117,6 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], listed: DataFrame, url_c
     cascade = BloomCascade.build(host_universe(pages, listed, url_col), bits_per_key, **sizes)
     url = F.col(url_col)
     text, verdict = rule_for(url_host(url), url_path(url), rules)
-    verdict = F.coalesce(verdict, F.when(cascade.contains(url_host(url)), "block").otherwise("allow"))
-    return pages.withColumns({"host": url_host(url), "path": url_path(url), "rule": text, "verdict": verdict})
+    rows = cascade.mark(pages, url_host(url), "_on_list")
+    verdict = F.coalesce(verdict, F.when(F.col("_on_list"), "block").otherwise("allow"))
+    return rows.withColumns({"host": url_host(url), "path": url_path(url), "rule": text, "verdict": verdict}).drop("_on_list")

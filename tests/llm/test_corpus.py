@@ -512,7 +512,7 @@ def test_reports_reach_over_colons_and_quotations():
     assert kinds('She wrote "You idiot! You moron." You scum') == [(0, 1), (0, 1), (0, 0)]
     assert kinds('She wrote "You idiot! You moron\nYou scum') == [(0, 1), (0, 1), (0, 0)]
     assert kinds('"You idiot." You moron') == [(0, 0), (0, 0)]
-    assert g.features("He said: you idiot")[-4:-1].tolist() == [0, 0, 0] and g.features("You idiot, moron")[-4] == np.log(3)
+    assert g.features("He said: you idiot")[-4:-1].tolist() == [0, 0, 0] and g.features("You idiot, moron")[-4] == pytest.approx(np.log(3))
 
 
 def plain_features(g, text):
@@ -591,6 +591,32 @@ def test_toxicity_learns_and_holds_out(spark, empty):
     assert untrained.score("you idiot") > untrained.score("hello there")
 
 
+def test_common_words_are_no_threats():
+    """Neutral prose has a threat in none of the languages; `die` is an article in one of them."""
+    grammar = toxicity.ToxicGrammar(toxicity.SEED_INSULTS)
+    neutral = {
+        "en": "The people of the town said that you can see them on their way to the sea. She told you all of it.",
+        "de": "Die Frau und die Kinder sind da, sagte er. Ihr habt die Häuser gesehen, die du kennst. Nie war die Stadt so still.",
+        "fr": "Vous avez vu la ville, dit elle. Tu es venu avec eux et ils ne sont pas partis.",
+        "es": "Ellos vieron la ciudad, dijo ella. Ustedes nunca vinieron con ellos.",
+    }
+    assert not {"die", "der", "das", "la", "le", "the"} & toxicity.THREATS
+    for text in neutral.values():
+        assert grammar.clauses(text) == []
+    assert grammar.clauses("I will kill you")[0][1][0] == 3
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    rows = [(k, "you are a zonk" if k % 4 == 0 else "a quiet day in the town") for k in range(200)]
+    docs = spark.createDataFrame([*rows, *rows[:50] * 8, *[(4, f"another text {k} of this document") for k in range(300)]], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    once = toxicity.train_grammar(docs.dropDuplicates(["doc_id", "text"]), labels)
+    more = toxicity.train_grammar(docs, labels)
+    assert once.said == more.said and np.allclose(once.weights, more.weights) and "zonk" in more.said
+    few = toxicity.train_grammar(docs, labels, sample_rows=60)  # the texts of one id are sampled too
+    assert few.weights is not None and 0 < few.score("you are a zonk") < 1
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -897,6 +923,7 @@ def test_cascade_is_exact(spark):
     cascade = url_filter.BloomCascade.build(universe, bits_per_key=3)
     assert len(cascade.levels) > 2
     assert universe.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
+
     cut = url_filter.BloomCascade.build(universe, bits_per_key=3, part_words=4)
     assert len(cut.levels[0].parts) == 4  # a filter of several rows
     assert universe.where(cut.contains(F.col("key")) != F.col("listed")).count() == 0
@@ -904,8 +931,19 @@ def test_cascade_is_exact(spark):
     short = url_filter.BloomCascade.build(half, part_words=16, most_parts=2)
     assert short.levels[0].n_bits == 2048  # far fewer than ten bits a key
     assert half.where(short.contains(F.col("key")) != F.col("listed")).count() == 0
-    with pytest.raises(ValueError, match="too many"):
-        url_filter.BloomCascade.build(universe, part_words=1, most_parts=1)
+
+
+@pytest.mark.parametrize("listed", [60, 3000])
+def test_cascade_of_more_keys_than_bits(spark, listed):
+    """Levels whose keys no filter can hold end in a table, at an even level and at the first."""
+    universe = spark.range(5000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"), (F.col("id") < listed).alias("listed"))
+    cascade = url_filter.BloomCascade.build(universe, part_words=1, most_parts=1)
+    assert cascade.rest is not None and len(cascade.levels) == (1 if listed == 60 else 0)
+    marked = cascade.mark(universe, F.col("key"), "found")
+    assert marked.count() == 5000 and marked.where("found != listed").count() == 0 and marked.columns == ["key", "listed", "found"]
+    pages = universe.select(F.col("key").alias("page_id"), F.concat(F.lit("http://"), "key", F.lit("/x")).alias("url"), "listed")
+    out = url_filter.filter_urls(pages, [], universe.where("listed").select("key"), part_words=1, most_parts=1)
+    assert out.where((F.col("verdict") == "block") != F.col("listed")).count() == 0 and out.count() == 5000
 
 
 # -- queries -----------------------------------------------------------------------------------------------------------
