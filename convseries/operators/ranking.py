@@ -87,15 +87,16 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -
     sizes = rows.groupBy(*groups).agg(F.count("*").alias("_n")).where("_n > 0")
     wanted = sizes.withColumn("_q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_place", F.col("_q") * (F.col("_n") - 1))
     open_ = kept(wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place"))))).withColumn("_prefix", F.lit(0).cast("long")))
+    sent = F.broadcast if open_.count() <= BROADCAST_ROWS else lambda df: df  # as many rows at every level
     for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
         prefix = F.shiftrightunsigned("_bits", shift + DIGIT_BITS) if shift + DIGIT_BITS < 64 else F.lit(0).cast("long")
         keys = [*groups, "_prefix"]
-        prefixes = small(open_.select(*[F.col(k).alias(f"{k}_r") for k in keys]).distinct())
+        prefixes = sent(open_.select(*[F.col(k).alias(f"{k}_r") for k in keys]).distinct())
         inside = rows.withColumn("_prefix", prefix).join(prefixes, _same(keys, "_r"), "left_semi")
         cells = inside.groupBy(*keys, F.shiftrightunsigned("_bits", shift).bitwiseAND((1 << DIGIT_BITS) - 1).alias("_digit")).agg(F.count("*").alias("_count"))
         upto = F.sum("_count").over(Window.partitionBy(*keys).orderBy("_digit"))
         cells = cells.select(*[F.col(k).alias(f"{k}_r") for k in keys], "_digit", "_count", upto.alias("_upto"))
-        found = open_.join(cells, _same(keys, "_r") & (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_count")))
+        found = cells.join(sent(open_), _same(keys, "_r") & (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_count")))
         digit = F.shiftleft("_prefix", DIGIT_BITS).bitwiseOR(F.col("_digit"))
         open_ = kept(found.select(*groups, "_q", "_place", (F.col("_rank") - F.col("_upto") + F.col("_count")).alias("_rank"), digit.alias("_prefix"), (F.col("_at") if "_at" in open_.columns else F.col("_rank")).alias("_at")))
     found = open_.withColumn("_value", doubles(F.col("_prefix"))).groupBy(*groups, "_q", "_place").agg(F.min_by("_value", "_at").alias("_lo"), F.max_by("_value", "_at").alias("_hi"))

@@ -6,6 +6,8 @@ positions and taps as rows, and `conv_features_hof` uses array lambdas without a
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,24 +110,24 @@ def normalized(x: np.ndarray) -> np.ndarray:
     return (x - mean) / np.where(sd > 8 * np.finfo(float).eps * np.where(scale > 0, scale, 1.0), sd, 1.0)
 
 
-class Transformer:
-    """Features of lists of series; keeps the banks that it has drawn (one for each reference length and channel count) and their groups for the length at hand."""
+@lru_cache(maxsize=4)
+def drawn_bank(k: int, seed: int, first: int, n_reference: int, channels: int) -> list[tuple]:
+    """The bank of a reference length; a worker draws it once."""
+    check_bank(k, n_reference, first, channels)
+    return draw_kernels(seed, np.arange(first, first + k), n_reference, channels)
 
-    def __init__(self, k: int, seed: int, first: int = 0, n_reference: int | None = None, normalize: bool = False):
-        self.k, self.seed, self.first, self.n_reference, self.normalize, self.banks = k, seed, first, n_reference, normalize, {}
-        self.grouped: tuple = (None, [])
 
-    def bank(self, n: int, channels: int) -> list[tuple]:
-        key = (self.n_reference or n, channels)
-        if key not in self.banks:
-            check_bank(self.k, key[0], self.first, channels)
-            self.banks[key] = draw_kernels(self.seed, np.arange(self.first, self.first + self.k), key[0], channels)
-        return self.banks[key]
+@lru_cache(maxsize=64)
+def drawn_groups(k: int, seed: int, first: int, n_reference: int, n: int, channels: int) -> list[DilationGroup]:
+    """The bank of a reference length for series of n points."""
+    return dilation_groups(drawn_bank(k, seed, first, n_reference, channels), n, channels)
+
 
-    def groups(self, n: int, channels: int) -> list[DilationGroup]:
-        if self.grouped[0] != (n, channels):
-            self.grouped = (n, channels), dilation_groups(self.bank(n, channels), n, channels)
-        return self.grouped[1]
+class Transformer:
+    """Features of lists of series."""
+
+    def __init__(self, k: int, seed: int, first: int = 0, n_reference: int | None = None, normalize: bool = False):
+        self.k, self.seed, self.first, self.n_reference, self.normalize = k, seed, first, n_reference, normalize
 
     def __call__(self, series) -> list:
         """A feature list for each series, null for null. Series of one shape are one matrix."""
@@ -136,7 +138,7 @@ class Transformer:
                 x = _checked(values, self.n_reference)
                 by_shape.setdefault(x.shape, []).append((i, normalized(x) if self.normalize else x))
         for (channels, n), rows in by_shape.items():
-            groups = self.groups(n, channels)
+            groups = drawn_groups(self.k, self.seed, self.first, self.n_reference or n, n, channels)
             step = max(1, SERIES_BLOCK // (n * channels))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
