@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,6 +163,19 @@ class EnsembleConfig:
         return self
 
 
+def config_problem(n_kernels: Column, n_groups: Column, estimators: Column, config: EnsembleConfig = EnsembleConfig()) -> Column:
+    """What EnsembleConfig.validate would say of the sizes in each row, with the limits of config; null for good ones."""
+    good = (n_kernels > 0) & (n_groups > 0) & (estimators > 0)
+    features = F.when(n_groups > 0, F.call_function("div", n_kernels, n_groups) * FEATURES_PER_KERNEL)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return (
+        F.when(~good, F.lit("n_kernels, n_groups and estimators must be positive"))
+        .when(n_kernels % n_groups != 0, text("n_kernels ", n_kernels, " is not divisible by n_groups ", n_groups))
+        .when(features > config.most_features, text(features, f" features per group exceed {config.most_features}"))
+        .when(features > config.features_per_estimator * estimators, text(estimators, f" estimator(s) of {config.features_per_estimator} features do not cover ", features))
+    )
+
+
 def bank_fingerprints(features: DataFrame, feature_col: str = "features") -> DataFrame:
     """(grp, fingerprint) of group feature lists: the sum of all their values. Equal fingerprints mean that groups share a bank."""
     total = F.aggregate(F.col(feature_col), F.lit(0.0), lambda a, x: a + x)

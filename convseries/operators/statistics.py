@@ -194,6 +194,15 @@ def check_family(family: str, n_groups: int, n_channels: int) -> str:
     return family
 
 
+def family_problem(family: Column, n_groups: Column, n_channels: Column) -> Column:
+    """What check_family would say of each row; null for good ones."""
+    return (
+        F.when(~family.isin(*FAMILIES), F.concat(F.lit("unknown feature family "), family))
+        .when((family == "statistics") & (n_groups != 1), F.lit("a family without a group axis needs n_groups = 1"))
+        .when((family != "kernels") & (n_channels > 1), F.lit("statistics are defined for one channel"))
+    )
+
+
 def standardize(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """df with the columns at zero mean and unit population deviation of the training split; constant columns become 0."""
     by = by or []

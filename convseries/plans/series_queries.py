@@ -127,6 +127,13 @@ def require_columns(spark, sf_dir):
     return src.require_columns(series(spark, sf_dir), ["ID", "label"]).select("id", "label")
 
 
+@query("S16_missing_columns", "WITH o AS (SELECT o_custkey, list(DISTINCT lower(o_orderpriority)) AS have FROM orders GROUP BY o_custkey) SELECT o_custkey, array_to_string(list_filter(['1-urgent', '3-medium', '5-low'], lambda x: NOT list_contains(have, x)), ',') AS missing FROM o")
+def missing_columns(spark, sf_dir):
+    """Which of three names each customer's orders lack."""
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("have"))
+    return rows.select("o_custkey", F.concat_ws(",", src.missing_columns(F.col("have"), ["1-urgent", "3-medium", "5-low"])).alias("missing"))
+
+
 @query("S17_preferred_runs", f"WITH {RECORDS} SELECT dataset, flag, setting, one FROM records WHERE size > 50 QUALIFY row_number() OVER (PARTITION BY dataset, flag ORDER BY setting) = 1")
 def preferred_runs(spark, sf_dir):
     runs = supplier_records(spark, sf_dir).withColumn("failures", F.when(F.col("size") <= 50, F.array(F.lit("too small"))).otherwise(F.array().cast("array<string>")))
@@ -213,6 +220,33 @@ params0 AS (SELECT *, floor(pow(2.0, ud * log2(({n_ref} - 1) / (length - 1)::DOU
 params AS (SELECT kernel_id, length::INTEGER AS length, cursor::BIGINT AS cursor, -1.0 + 2.0 * ub AS bias, dilation, CASE WHEN floor(up * 2) = 1 THEN ((length - 1) * dilation) // 2 ELSE 0 END::BIGINT AS padding FROM params0)"""
 
 
+def channel_bank_sql(source: str, n_ref: int | str, channels: int, seed: int = SEED, pairs: int = 240) -> str:
+    """As bank_sql for several channels: CTEs `params` (kernel_id, length, n_sel, chosen, bias, dilation, padding) and `weights` (kernel_id, c, j, weight).
+
+    Draw 2 says how many channels, the next ones swap them to the front of a list, then come the normals of one chosen
+    channel after the other, bias, dilation and padding."""
+    swaps, last = [], "mc0"
+    for k in range(channels):
+        swaps.append(draw_ctes(f"md{k}", last, str(3 + k), "uo"))
+        moved = f"[CASE WHEN i = {k + 1} THEN ord[place] WHEN i = place THEN ord[{k + 1}] ELSE ord[i] END for i in range(1, {channels + 1})]"
+        swaps.append(f"ma{k} AS (SELECT * EXCLUDE (uo), {k + 1} + CASE WHEN n_sel > {k} THEN floor(uo * {channels - k})::BIGINT ELSE 0 END AS place FROM md{k})")
+        swaps.append(f"mc{k + 1} AS (SELECT * EXCLUDE (ord, place), {moved} AS ord FROM ma{k})")
+        last = f"mc{k + 1}"
+    return f"""{seed_ctes('ks', source, 'kernel_id', seed)}, {draw_ctes('kl', 'ks', '1', 'ul')}, {draw_ctes('kc', 'kl', '2', 'uc')},
+mc0 AS (SELECT kernel_id, stream, [7, 9, 11][floor(ul * 3)::BIGINT + 1] AS length, greatest(1, least({channels}, floor(pow(2.0, uc * log2({channels} + 1)))))::BIGINT AS n_sel, range({channels}) AS ord FROM kc),
+{', '.join(swaps)},
+kern AS (SELECT * EXCLUDE (ord), list_sort(ord[1 : n_sel]) AS chosen FROM {last}),
+kgrid AS (SELECT *, unnest(range({pairs}))::BIGINT AS p FROM kern), kgrid2 AS (SELECT *, 3 + n_sel + 2 * p AS step FROM kgrid),
+{draw_ctes('kdu', 'kgrid2', 'step', 'u1')}, {draw_ctes('kdv', 'kdu', 'step + 1', 'v1')},
+kpairs AS (SELECT *, 2 * u1 - 1 AS u, (2 * u1 - 1) * (2 * u1 - 1) + (2 * v1 - 1) * (2 * v1 - 1) AS s FROM kdv),
+taps AS (SELECT kernel_id, length, n_sel, chosen, stream, step, row_number() OVER (PARTITION BY kernel_id ORDER BY p) - 1 AS k, u * sqrt(-2.0 * ln(s) / s) AS normal FROM kpairs WHERE s > 0 AND s < 1 QUALIFY k < length * n_sel),
+weights AS (SELECT kernel_id, chosen[k // length + 1] AS c, (k % length)::INTEGER AS j, normal - avg(normal) OVER (PARTITION BY kernel_id, k // length) AS weight FROM taps),
+cur AS (SELECT kernel_id, length, n_sel, chosen, stream, step + 1 AS cursor FROM taps WHERE k = length * n_sel - 1),
+{draw_ctes('kb', 'cur', 'cursor + 1', 'ub')}, {draw_ctes('kd', 'kb', 'cursor + 2', 'ud')}, {draw_ctes('kp', 'kd', 'cursor + 3', 'up')},
+params0 AS (SELECT *, floor(pow(2.0, ud * log2(({n_ref} - 1) / (length - 1)::DOUBLE)))::BIGINT AS dilation FROM kp),
+params AS (SELECT kernel_id, length::INTEGER AS length, n_sel, chosen, -1.0 + 2.0 * ub AS bias, dilation, CASE WHEN floor(up * 2) = 1 THEN ((length - 1) * dilation) // 2 ELSE 0 END::BIGINT AS padding FROM params0)"""
+
+
 SUPPLIERS = "kids AS (SELECT s_suppkey AS kernel_id FROM supplier)"
 
 
@@ -241,7 +275,7 @@ def kernel_bank(spark, sf_dir):
     return own.select("kernel_id", "length", F.round("bias", 9).alias("bias"), "dilation", "padding", r6(F.array_max(F.get("weights", F.lit(0)))).alias("top"))
 
 
-@query("K4_multichannel_bank")
+@query("K4_multichannel_bank", f"WITH {SUPPLIERS}, {channel_bank_sql('kids', 64, 6)} SELECT kernel_id, length, round(bias, 6) AS bias, dilation, padding, n_sel::INTEGER AS n_channels, array_to_string(chosen, ',') AS channels FROM params")
 def multichannel_bank(spark, sf_dir):
     last = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0]
     bank = kernels.kernel_bank(spark, SEED, 64, int(last) + 1, channels=6).join(supplier_kernels(spark, sf_dir), "kernel_id")
@@ -260,6 +294,14 @@ def config_check(spark, sf_dir):
     return series(spark, sf_dir).agg(F.count("*").alias("n")).withColumn("features_per_group", F.lit(c.features_per_group).cast("long")).withColumn("cells", F.col("n") * c.features_per_group)
 
 
+@query("K6_config_report", "WITH c AS (SELECT p_size * 100 AS k, p_partkey % 13 - 1 AS g, p_partkey % 4 AS e FROM part), r AS (SELECT CASE WHEN k <= 0 OR g <= 0 OR e <= 0 THEN 'n_kernels, n_groups and estimators must be positive' WHEN k % g <> 0 THEN 'n_kernels ' || k || ' is not divisible by n_groups ' || g WHEN k // g * 2 > 2000 THEN (k // g * 2) || ' features per group exceed 2000' WHEN k // g * 2 > 500 * e THEN e || ' estimator(s) of 500 features do not cover ' || (k // g * 2) ELSE 'good' END AS problem FROM c) SELECT problem, count(*) AS n FROM r GROUP BY problem")
+def config_report(spark, sf_dir):
+    """The sizes of an ensemble for each part, and what is wrong with them."""
+    c = table(spark, sf_dir, "part").select((F.col("p_size") * 100).alias("k"), (F.col("p_partkey") % 13 - 1).alias("g"), (F.col("p_partkey") % 4).alias("e"))
+    problem = F.coalesce(kernels.config_problem(F.col("k"), F.col("g"), F.col("e")), F.lit("good"))
+    return c.groupBy(problem.alias("problem")).agg(F.count("*").alias("n"))
+
+
 @query("K7_bank_fingerprints", f"WITH {SERIES}, g AS (SELECT unnest(range(8)) AS grp, vals FROM series) SELECT grp::INTEGER AS grp, round(sum(list_sum(vals[grp * 8 + 1 : grp * 8 + 8])), 4) AS fingerprint FROM g GROUP BY ALL")
 def bank_fingerprints(spark, sf_dir):
     g = src.group_features(series(spark, sf_dir).withColumnRenamed("values", "features"), 8, 8)
@@ -322,11 +364,23 @@ def kernel_bank_sql(spark, sf_dir):
                          FROM convseries_kernels k, LATERAL kernel_bank({SEED}, 64, 1, k.kernel_id) b""")
 
 
-@query("T2_conv_features_channels")
+LINES = f"""line AS (SELECT l_suppkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(LINE_ORDER)}, l_quantity, l_extendedprice, l_discount) - 1 AS t, l_quantity, l_extendedprice, l_discount FROM lineitem),
+long AS (SELECT id, t, 0 AS c, l_quantity::DOUBLE AS value FROM line UNION ALL SELECT id, t, 1, l_extendedprice::DOUBLE FROM line UNION ALL SELECT id, t, 2, l_discount::DOUBLE FROM line)"""
+FEWEST_LINES = "(SELECT min(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey))"
+CHANNELS_SQL = f"""WITH {LINES}, kids AS (SELECT unnest(range(50))::BIGINT AS kernel_id), {channel_bank_sql('kids', FEWEST_LINES, 3)},
+shape AS (SELECT id, count(*) AS n FROM line GROUP BY id), bank AS MATERIALIZED (SELECT w.kernel_id, c, j, weight, dilation, padding FROM weights w JOIN params p USING (kernel_id)),
+places AS (SELECT id, kernel_id, bias, dilation, padding, unnest(range(n + 2 * padding - (length - 1) * dilation)) AS o FROM shape, params),
+terms AS (SELECT p.id, p.kernel_id, p.o, p.bias, b.c, b.weight, p.o + b.j * b.dilation - b.padding AS t FROM places p JOIN bank b USING (kernel_id)),
+conv AS (SELECT x.id, x.kernel_id, x.o, any_value(x.bias) + sum(x.weight * l.value) AS v FROM terms x JOIN long l ON l.id = x.id AND l.t = x.t AND l.c = x.c GROUP BY ALL)
+SELECT id, kernel_id, round(max(v), 2) AS max, round(count_if(v > 0) / count(*)::DOUBLE, 9) AS ppv FROM conv GROUP BY ALL"""
+
+
+@query("T2_conv_features_channels", CHANNELS_SQL)
 def conv_features_channels(spark, sf_dir):
+    """Three channels; the largest values are sums of prices, so two decimals tell as much as six elsewhere."""
     rows = supplier_channels(spark, sf_dir).withColumnRenamed("l_suppkey", "id")
     n_ref = transform.reference_length(rows).first()["n_ref"]
-    return _flat(transform.conv_features(rows, "values", 50, SEED, 0, n_ref))
+    return _flat(transform.conv_features(rows, "values", 50, SEED, 0, n_ref)).withColumn("max", F.round("max", 2))
 
 
 @query("T3_conv_features_ragged", f"WITH {EVENTS}, {conv_ctes(100, SHORTEST)} {FEATURES_SQL}")
@@ -452,6 +506,15 @@ def family_rules(spark, sf_dir):
     return series(spark, sf_dir).groupBy(F.lit(statistics.check_family("statistics", 1, 1)).alias("family")).agg(F.count("*").alias("n"))
 
 
+@query("F4_family_report", "WITH c AS (SELECT ['kernels', 'statistics', 'both', 'other'][l_linenumber % 4 + 1] AS family, l_orderkey % 3 AS g, l_partkey % 2 + 1 AS ch FROM lineitem), r AS (SELECT CASE WHEN family = 'other' THEN 'unknown feature family other' WHEN family = 'statistics' AND g <> 1 THEN 'a family without a group axis needs n_groups = 1' WHEN family <> 'kernels' AND ch > 1 THEN 'statistics are defined for one channel' ELSE 'good' END AS problem FROM c) SELECT problem, count(*) AS n FROM r GROUP BY problem")
+def family_report(spark, sf_dir):
+    """Feature families asked for by the line items, and what is wrong with them."""
+    l = table(spark, sf_dir, "lineitem")
+    family = F.get(F.array(*map(F.lit, ("kernels", "statistics", "both", "other"))), (F.col("l_linenumber") % 4).cast("int"))
+    problem = statistics.family_problem(family, F.col("l_orderkey") % 3, F.col("l_partkey") % 2 + 1)
+    return l.groupBy(F.coalesce(problem, F.lit("good")).alias("problem")).agg(F.count("*").alias("n"))
+
+
 WIDE = "w AS (SELECT id, split, vals[1] AS f0, vals[2] AS f1 FROM series)"
 
 

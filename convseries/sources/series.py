@@ -103,6 +103,12 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+def missing_columns(have: Column, names: list[str]) -> Column:
+    """Those of names that a list of column names lacks; case does not matter."""
+    lower = F.transform(have, lambda c: F.lower(c))
+    return F.filter(F.array(*map(F.lit, names)), lambda n: ~F.array_contains(lower, F.lower(n)))
+
+
 def explode_proba(df: DataFrame, proba: str = "proba") -> DataFrame:
     """(..., cls, p) from a map of class probabilities."""
     return df.select(*[c for c in df.columns if c != proba], F.explode(proba).alias("cls", "p"))

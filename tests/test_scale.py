@@ -210,6 +210,25 @@ def test_kernels_as_a_table_function(spark):
         spark.sql("SELECT * FROM kernel_bank(3, 64, 0, 2)").collect()
 
 
+def test_reports_say_what_the_checks_say(spark):
+    """Problems by column, against the messages of the functions that refuse."""
+    sizes = [(k, g, e) for k in (0, 10, 40, 1000, 10_000, 50_000) for g in (-1, 0, 1, 4, 7, 40) for e in (0, 1, 3)]
+    found = {(r.k, r.g, r.e): r.problem for r in spark.createDataFrame(sizes, "k long, g long, e long").withColumn("problem", kernels.config_problem(F.col("k"), F.col("g"), F.col("e"))).collect()}
+    families = [(f, g, c) for f in ("kernels", "statistics", "both", "odd") for g in (1, 2) for c in (1, 3)]
+    named = {(r.f, r.g, r.c): r.problem for r in spark.createDataFrame(families, "f string, g long, c long").withColumn("problem", statistics.family_problem(F.col("f"), F.col("g"), F.col("c"))).collect()}
+
+    def message(f):
+        try:
+            f()
+        except ValueError as e:
+            return str(e)
+
+    assert found == {s: message(lambda s=s: kernels.EnsembleConfig(*s).validate()) for s in sizes}
+    assert named == {s: message(lambda s=s: statistics.check_family(*s)) for s in families}
+    have = spark.createDataFrame([(["a", "B"],), ([],)], "have array<string>")
+    assert [r[0] for r in have.select(src.missing_columns(F.col("have"), ["A", "b", "c"])).collect()] == [["c"], ["A", "b", "c"]]
+
+
 class Halves:
     """Stands for an ensemble: answers `hard` for every row, or fails once."""
 
