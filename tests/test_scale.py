@@ -282,12 +282,15 @@ def embedded(sf):
 
 
 def plain_ridge(x, y, classes):
-    """Standardised ridge by the normal equations, the alpha by leave-one-out errors from the hat matrix: a scoring function, coefficients of the standardised features, alpha."""
+    """Standardised ridge by the normal equations, the alpha by leave-one-out errors from the hat matrix: a scoring function, coefficients of the standardised features, alpha. y: labels, or targets for each class."""
     mean, sd = x.mean(axis=0), x.std(axis=0)
     sd = np.where(sd > 0, sd, 1.0)
     a = np.column_stack([np.ones(len(x)), (x - mean) / sd])
-    t = np.where(np.array(y, object)[:, None] == np.array(classes, object), 1.0, -1.0)
-    t = t[:, 1:] if len(classes) == 2 else t
+    if np.ndim(y) == 2:
+        t = y
+    else:
+        t = np.where(np.array(y, object)[:, None] == np.array(classes, object), 1.0, -1.0)
+        t = t[:, 1:] if len(classes) == 2 else t
     best = None
     for alpha in 10.0 ** np.linspace(-3, 3, 10):
         inverse = np.linalg.inv(a.T @ a + alpha * np.diag([0.0] + [1.0] * x.shape[1]))
@@ -323,6 +326,26 @@ def test_group_heads_against_numpy(spark, sf, embedded):
         assert [size[g, k] for k in range(8)] == pytest.approx(np.abs(coef).mean(axis=1).tolist(), abs=2e-6)
 
 
+def test_soft_targets_query_against_numpy(spark, sf, embedded):
+    """C4: one-hot targets for training rows, the teacher's probabilities for the others."""
+    from convseries.operators import ensemble
+    from convseries.plans.base import group_cube
+
+    x, y, ids = embedded
+    test = ids % 5 == 0
+    classes = sorted(set(y))
+    teacher = {(r.id, r["cls"]): r.mean_p for r in ensemble.mean_proba(group_cube(spark, sf)).collect()}
+    targets = np.array([[teacher.get((i, c), 0.0) if held else float(c == own) for c in classes] for i, own, held in zip(ids, y, test)])
+    got = {(r.grp, r.id): r.yhat for r in registry.queries()["C4_soft_target_ridge"](spark, sf).collect()}
+    assert len(got) == 8 * test.sum()
+    for g in range(8):
+        own = x[:, 8 * g : 8 * g + 8]
+        d = plain_ridge(own, targets, classes)[0](own[test])
+        for i, row in zip(ids[test], d):
+            first, second = np.sort(row)[::-1][:2]
+            assert got[g, i] == classes[int(row.argmax())] or first - second < 1e-9
+
+
 def plain_features(x, k, seed):
     bank = kernels.draw_kernels(seed, np.arange(k), x.shape[1])
     from test_transform import naive
