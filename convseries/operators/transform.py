@@ -19,7 +19,9 @@ from convseries.operators.kernels import LONGEST, check_bank, draw_kernels
 #: Doubles that one block of convolutions holds at most; a block stays in a core's cache.
 BLOCK = 1 << 17
 #: Points of the series that are transformed together.
-SERIES_BLOCK = 1 << 13
+SERIES_BLOCK = 1 << 14
+#: Kernels and positions are filled up to a multiple of these with zeros.
+TILE, WIDTH = 8, 64
 
 
 class DilationGroup:
@@ -29,10 +31,11 @@ class DilationGroup:
         reach = {k: (kernel[1] - 1) // 2 * dilation for k, kernel in kernels}
         # middles of a kernel: all points where it is padded, else those where it lies in the series
         ordered = sorted(kernels, key=lambda x: (0 if x[1][5] else reach[x[0]], x[0]))
-        self.dilation, self.half = dilation, max(kernel[1] for _, kernel in ordered) // 2
+        self.dilation, self.half = dilation, LONGEST // 2
         self.at = np.array([k for k, _ in ordered])
         taps = 2 * self.half + 1
-        self.weights = np.zeros((len(ordered), channels * taps + 1))
+        # rows of zeros fill the last tile of the product, so that a kernel's sums are made in the same way in any bank
+        self.weights = np.zeros((-(-len(ordered) // TILE) * TILE, channels * taps + 1))
         margins = []
         for row, (k, (_, length, weights, bias, _, padding, own)) in zip(self.weights, ordered):
             for c, w in zip(own, weights):
@@ -45,10 +48,12 @@ class DilationGroup:
         self.margins = np.array(margins)
 
     def shifted(self, x: np.ndarray) -> np.ndarray:
-        """A row for each channel and tap: the series (series, channels, points), one after another, moved by the tap, zeros outside; the last row is ones."""
+        """A row for each channel and tap: the series (series, channels, points), one after another, moved by the tap, zeros outside; the last row is ones. Filled up with zeros to a multiple of WIDTH."""
         n_series, channels, n = x.shape
         taps = 2 * self.half + 1
-        out = np.zeros((channels * taps + 1, n_series, n))
+        width = -(-n_series * n // WIDTH) * WIDTH
+        wide = np.zeros((channels * taps + 1, width))
+        out = wide[:, : n_series * n].reshape(-1, n_series, n)
         for j in range(taps):
             shift = (j - self.half) * self.dilation
             lo, hi = max(0, -shift), min(n, n - shift)
@@ -56,15 +61,15 @@ class DilationGroup:
                 for c in range(channels):
                     out[c * taps + j, :, lo:hi] = x[:, c, lo + shift : hi + shift]
         out[-1] = 1.0
-        return out.reshape(len(out), -1)
+        return wide
 
     def features(self, x: np.ndarray, out: np.ndarray) -> None:
         """Sets the two columns of each kernel in out (series, 2 * kernels): one matrix product, then the largest value and the share of positive ones over each row's positions."""
         n_series, _, n = x.shape
         series = self.shifted(x)
-        step = max(1, BLOCK // series.shape[1])
+        step = max(1, BLOCK // series.shape[1] // TILE) * TILE
         for a in range(0, len(self.at), step):
-            conv = (self.weights[a : a + step] @ series).reshape(-1, n_series, n)
+            conv = (self.weights[a : a + step] @ series)[:, : n_series * n].reshape(-1, n_series, n)
             margins = self.margins[a : a + step]
             for margin in np.unique(margins):
                 lo, hi = np.searchsorted(margins, margin, "left"), np.searchsorted(margins, margin, "right")

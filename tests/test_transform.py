@@ -81,6 +81,18 @@ def test_groups_null_and_reference_length(spark):
     assert [len(f) for f in both] == [10, 10]
 
 
+def test_features_do_not_depend_on_what_is_computed_beside_them():
+    """Bit for bit the same in any slice of a bank and any batch of series."""
+    rng = np.random.default_rng(0)
+    whole = lambda x, bank: transform.transform_block(x, transform.dilation_groups(bank, x.shape[2], x.shape[1]))
+    for n, channels, rows in ((11, 1, 5), (64, 1, 30), (150, 3, 7), (299, 2, 40)):
+        x, bank = rng.normal(size=(rows, channels, n)), kernels.draw_kernels(n, np.arange(90), n, channels)
+        full = whole(x, bank)
+        for a, b in ((0, 1), (3, 4), (10, 40), (60, 90)):
+            for own in (slice(0, rows), slice(0, 1), slice(2, 5)):
+                assert (whole(x[own], bank[a:b]) == full[own, 2 * a : 2 * b]).all()
+
+
 @pytest.mark.parametrize(
     ("series", "args", "message"),
     [
