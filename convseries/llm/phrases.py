@@ -25,7 +25,7 @@ _KIND[list(GAPS)] = 1
 _KIND[list(ENDS)] = 2
 
 #: Counters of a summary; a partition of the hash range is given half as much mass as they can hold.
-COUNTERS = 2_000_000
+COUNTERS = 1_000_000
 #: Bytes of text that are counted at a time; whole texts.
 CHUNK = 4_000_000
 #: Bits of the bitmap of survivors: 16 for each, 2**20 to 2**30 (128 MB). Beyond 2**26 survivors it lets more n-grams through to the second pass, which counts them all the same.
@@ -35,9 +35,9 @@ SCORE_BIN = 1000
 
 
 class Words:
-    """The lower-cased words of many texts: hashes, bounds and what n-grams they start."""
+    """The lower-cased words of many texts: hashes, bounds and what n-grams they start. lang: a number for the language of each text."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> None:
         buf = buf.copy()
         buf[(buf >= 65) & (buf <= 90)] += 32
         kind = _KIND[buf]
@@ -55,12 +55,13 @@ class Words:
         np.add.at(breaks, inner, 1)
         self.piece = np.cumsum(breaks)[self.start] if len(self.start) else np.zeros(0, np.int64)
         self.hash = range_hashes(prefix_sums(buf), self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
+        self.lang = lang[np.searchsorted(offsets, self.start, side="right") - 1]
 
-    def grams(self, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and 64-bit key of every n-gram within a piece."""
+    def grams(self, n: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word and 64-bit key of every n-gram within a piece; seeds: one for each language."""
         count = max(0, len(self.start) - n + 1)
         first = np.flatnonzero(self.piece[:count] == self.piece[n - 1 :][:count])
-        key = np.full(len(first), (seed * 2 + 1) % 2**64, np.uint64)
+        key = seeds[self.lang[first]]
         for k in range(n):
             key = mix(key * GOLD + self.hash[first + k])
         return first, key
@@ -71,21 +72,16 @@ class Words:
         return word_strings(self.buf, self.start[own], self.end[own], np.full(len(first), n))
 
 
-def _seed(lang: str) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=7).digest(), "big")
-
-
 def _chunks(batches):
-    """(language, Words) for the texts of each language of each batch (text, lang)."""
-    import pyarrow.compute as pc
+    """(languages, a seed for each, Words) for a few megabytes of the texts of batches (text, lang) at a time."""
+    from hashlib import blake2b
 
     for batch in batches:
-        for lang in pc.unique(batch.column(1)).to_pylist():
-            own = batch.filter(pc.equal(batch.column(1), lang))
-            for _, buf, offsets in text_chunks(own.column(0), CHUNK):
-                yield lang, Words(buf, offsets)
+        coded = batch.column(1).dictionary_encode()
+        langs, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        seeds = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "big") for x in langs], np.uint64)
+        for row, buf, offsets in text_chunks(batch.column(0), CHUNK):
+            yield langs, seeds, Words(buf, offsets, codes[row : row + len(offsets) - 1])
 
 
 class Summary:
@@ -133,8 +129,8 @@ def part_summaries(texts: DataFrame, parts: int, longest: int) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        for lang, words in _chunks(batches):
-            keys, counts = np.unique(np.concatenate([words.grams(n, _seed(lang))[1] for n in range(1, longest + 1)]), return_counts=True)
+        for _, seeds, words in _chunks(batches):
+            keys, counts = np.unique(np.concatenate([words.grams(n, seeds)[1] for n in range(1, longest + 1)]), return_counts=True)
             # the upper half of the key times parts, so that a partition is a range of keys
             part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -158,7 +154,8 @@ def surviving_keys(summaries: DataFrame, counters: int, threshold: int) -> DataF
 
         part, summary = None, None
         for batch in batches:
-            for own, keys, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for row, own in enumerate(batch.column(0).to_pylist()):
+                keys, counts = (batch.column(k)[row].as_buffer() for k in (1, 2))
                 if own != part:
                     if summary is not None:
                         yield out(summary)
@@ -199,23 +196,24 @@ def exact_counts(texts: DataFrame, bits: int, bitmap_: np.ndarray, longest: int,
     def count(batches):
         import pyarrow as pa
 
-        for lang, words in _chunks(batches):
-            found = [(0, pa.nulls(1, pa.large_string()), np.array([len(words.start)]))]
+        for langs, seeds, words in _chunks(batches):
+            langs = pa.array(langs, pa.string())
+            n_words = np.bincount(words.lang, minlength=len(langs))
+            found = [(0, np.arange(len(langs)), pa.nulls(len(langs), pa.large_string()), n_words)]
             # words by number, so that n-grams of a chunk are told apart exactly
             number = word_numbers(words.buf, words.start, words.end)
             width = int(number.max()) + 1 if len(number) else 1
             for n in range(1, longest + 1):
-                first, key = words.grams(n, _seed(lang))
+                first, key = words.grams(n, seeds)
                 slot = key >> np.uint64(64 - bits)
                 first = first[sent.value[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
-                ids = number[first]
-                for k in range(1, n):
+                ids = words.lang[first].astype(np.int64)
+                for k in range(n):
                     _, ids = np.unique(ids * width + number[first + k], return_inverse=True)
                 _, at, counts = np.unique(ids, return_index=True, return_counts=True)
-                found.append((n, words.texts(first[at], n), counts))
-            for n, phrases, counts in found:
-                size = len(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), phrases.cast(pa.string()), pa.array(np.full(size, n, np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "len", "f"])
+                found.append((n, words.lang[first[at]], words.texts(first[at], n), counts))
+            for n, lang, phrases, counts in found:
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), phrases.cast(pa.string()), pa.array(np.full(len(counts), n, np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "len", "f"])
 
     rows = texts.mapInArrow(count, "lang string, phrase string, len int, f long")
     return rows.groupBy("lang", "phrase", "len").agg(F.sum("f").alias("f")).where((F.col("f") >= threshold) | (F.col("len") == 0))
