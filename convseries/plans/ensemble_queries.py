@@ -101,6 +101,14 @@ def group_ensemble(spark, sf_dir):
     return _ensemble(spark, sf_dir).predict(s.where("split = 'test'")).select("id", "yhat", r6("confidence").alias("confidence"))
 
 
+@query("C9_production_ensemble")
+def production_ensemble(spark, sf_dir):
+    """The ensemble at its default size: 40 groups of 250 kernels, 20,000 features a series."""
+    s = series(spark, sf_dir)
+    model = heads.GroupEnsemble(EnsembleConfig(seed=SEED)).fit(s.where("split = 'train'"))
+    return model.predict(s.where("split = 'test'")).select("id", "yhat", r6("confidence").alias("confidence"))
+
+
 @query("F6_tune_block_weight")
 def tune_block_weight(spark, sf_dir):
     wide = [f"f{k}" for k in range(64)]

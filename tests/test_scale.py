@@ -367,6 +367,28 @@ def test_ensemble_query_against_numpy(spark, sf, embedded):
         assert got[i][0] == classes[int(p.argmax())] and got[i][1] == pytest.approx(p.max(), abs=1e-5)
 
 
+def test_production_ensemble_against_numpy(spark, sf, embedded):
+    """The default ensemble, 10,000 kernels in 40 groups: some groups by the normal equations, all of them in the mean."""
+    x, y, ids = embedded
+    test = ids % 5 == 0
+    classes = sorted(set(y[~test]))
+    s = spark.createDataFrame([(int(i), v.tolist(), c) for i, v, c in zip(ids, x, y)], "id long, values array<double>, label string")
+    model = heads.GroupEnsemble(kernels.EnsembleConfig(seed=7)).fit(s.where("id % 5 <> 0"))
+    proba = {(r.grp, r.id): r.proba for r in model.group_proba(s.where("id % 5 = 0")).collect()}
+    assert len(proba) == 40 * test.sum()
+    bank = transform.Transformer(10_000, 7)
+    f = np.array(bank(list(x)))
+    for g in (0, 17, 39):
+        own = f[:, 500 * g : 500 * g + 500]
+        for i, p in zip(ids[test], softmax(plain_ridge(own[~test], y[~test], classes)[0](own[test]))):
+            assert [proba[g, i][c] for c in classes] == pytest.approx(p.tolist(), abs=1e-5)
+    got = {r.id: (r.yhat, r.confidence) for r in registry.queries()["C9_production_ensemble"](spark, sf).collect()}
+    assert got.keys() == set(ids[test])
+    for i, (label, confidence) in got.items():
+        mean = {c: sum(proba[g, i][c] for g in range(40)) / 40 for c in classes}
+        assert label == max(mean, key=mean.get) and confidence == pytest.approx(max(mean.values()), abs=1e-6)
+
+
 def test_margins_and_serving_against_numpy(spark, sf, embedded):
     """M8, M11, M12, X1 and X3: out-of-fold margins, the deployed student, its threshold, and who answers whom."""
     from convseries.operators import sampling
