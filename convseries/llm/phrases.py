@@ -27,7 +27,7 @@ _KIND[list(ENDS)] = 2
 #: Counters of a summary; a partition of the hash range is given half as much mass as they can hold.
 COUNTERS = 1_000_000
 #: Bytes of text that are counted at a time; whole texts.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Bits of the bitmap of survivors: 16 for each, 2**20 to 2**30 (128 MB). Beyond 2**26 survivors it lets more n-grams through to the second pass, which counts them all the same.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 20, 30, 20
 #: Scores (0 to 1,000,000) that are counted together where the best of a language are looked for.
