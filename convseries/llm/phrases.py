@@ -28,6 +28,8 @@ _KIND[list(ENDS)] = 2
 COUNTERS = 1_000_000
 #: Bytes of text that are counted at a time; whole texts.
 CHUNK = 2_000_000
+#: Rows of a batch that are copied at a time.
+ROWS = 500
 #: Bits of the bitmap of survivors: 16 for each, 2**20 to 2**30 (128 MB). Beyond 2**26 survivors it lets more n-grams through to the second pass, which counts them all the same.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 20, 30, 20
 #: Scores (0 to 1,000,000) that are counted together where the best of a language are looked for.
@@ -76,7 +78,7 @@ def _chunks(batches):
     """(languages, a seed for each, Words) for a few megabytes of the texts of batches (text, lang) at a time."""
     from hashlib import blake2b
 
-    for batch in batches:
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         coded = batch.column(1).dictionary_encode()
         langs, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         seeds = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "big") for x in langs], np.uint64)
