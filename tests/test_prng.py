@@ -80,3 +80,22 @@ def test_normals_drop_the_spare_and_count_rejected_pairs(spark):
     assert [r.normal for r in rows] == pytest.approx(want, abs=1e-12)
     with pytest.raises(Exception, match="too few"):
         prng.assert_enough(prng.accepted_normals(prng.candidate_pairs(spark.range(1), 9, "id", 6), ["id"], 6), ["id"], 6).collect()
+
+
+def test_pairs_are_drawn_in_every_task_and_normals_without_a_window(spark):
+    streams = spark.range(50).coalesce(1).withColumn("own", F.concat(F.lit("s"), F.col("id").cast("string")))
+    pairs = prng.candidate_pairs(streams, 9, "id", 40, 2)
+    assert pairs.rdd.getNumPartitions() == 4 and pairs.columns == ["id", "own", "p", "step", "u", "v", "s"]  # one file of streams, four tasks
+    stream = prng.substream_seed(9, F.col("id"))
+    u = 2 * prng.to_uniform(prng.draw(stream, F.col("step"))) - 1
+    v = 2 * prng.to_uniform(prng.draw(stream, F.col("step") + 1)) - 1
+    assert pairs.count() == 2000 and pairs.where((F.col("u") != u) | (F.col("v") != v) | (F.col("s") != u * u + v * v) | (F.col("step") != 2 + 2 * F.col("p")) | (F.col("own") != F.concat(F.lit("s"), F.col("id").cast("string")))).count() == 0
+    normals = prng.stable_normals(streams, 9, "id", 3 + F.col("id") % 3, 40, 2)
+    assert "Window" not in normals._jdf.queryExecution().executedPlan().toString()
+    want = prng.accepted_normals(pairs, ["id"], 3 + F.col("id") % 3)
+    key = lambda df: sorted((r.id, r.own, r.step, r.k, r.normal) for r in df.collect())
+    assert key(normals) == key(want)
+    with pytest.raises(Exception, match="too few"):
+        prng.stable_normals(spark.range(1), 9, "id", 6, 6, enough=True).collect()
+    with pytest.raises(Exception, match="non-negative"):
+        prng.candidate_pairs(spark.range(-1, 1), 9, "id", 6).collect()
