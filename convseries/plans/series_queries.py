@@ -198,7 +198,7 @@ def candidate_pairs(spark, sf_dir):
 @query("R7_stable_normals", f"WITH {PAIRS} SELECT kernel_id, row_number() OVER (PARTITION BY kernel_id ORDER BY p)::INTEGER AS k, round(u * sqrt(-2.0 * ln(s) / s), 6) AS normal FROM pairs WHERE s > 0 AND s < 1 QUALIFY k <= 5")
 def stable_normals(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("kernel_id"))
-    normals = prng.assert_enough(prng.accepted_normals(prng.candidate_pairs(parts, SEED, "kernel_id", 80, 2), ["kernel_id"], 5), ["kernel_id"], 5)
+    normals = prng.stable_normals(parts, SEED, "kernel_id", 5, 80, 2, enough=True)
     return normals.select("kernel_id", "k", r6("normal").alias("normal"))
 
 
