@@ -30,6 +30,8 @@ COUNTERS = 1_000_000
 CHUNK = 2_000_000
 #: Rows of a batch that are copied at a time.
 ROWS = 500
+#: Counters in a row of a summary: an Arrow batch has up to 10,000 rows, and both sides of a worker hold one.
+PIECE = 128
 #: Bits of the bitmap of survivors: 16 for each, 2**20 to 2**30 (128 MB). Beyond 2**26 survivors it lets more n-grams through to the second pass, which counts them all the same.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 20, 30, 20
 #: Scores (0 to 1,000,000) that are counted together where the best of a language are looked for.
@@ -55,7 +57,7 @@ class Words:
         breaks = np.zeros(len(buf) + 1, np.int32)
         breaks[:-1] = kind == 2
         np.add.at(breaks, inner, 1)
-        self.piece = np.cumsum(breaks)[self.start] if len(self.start) else np.zeros(0, np.int64)
+        self.piece = np.cumsum(breaks, dtype=np.int32)[self.start] if len(self.start) else np.zeros(0, np.int32)
         self.hash = range_hashes(prefix_sums(buf), self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
         self.lang = lang[np.searchsorted(offsets, self.start, side="right") - 1]
 
@@ -126,7 +128,7 @@ class Summary:
 
 
 def part_summaries(texts: DataFrame, parts: int, longest: int) -> DataFrame:
-    """(part, keys, counts) of texts (text, lang): the n-grams of up to `longest` words of a chunk of text, cut by hash partition; keys are sorted unsigned longs, counts unsigned ints."""
+    """(part, keys, counts) of texts (text, lang): the n-grams of up to `longest` words of a chunk of text, cut by hash partition, PIECE at most in a row; keys are sorted unsigned longs, counts unsigned ints."""
 
     def count(batches):
         import pyarrow as pa
@@ -135,12 +137,13 @@ def part_summaries(texts: DataFrame, parts: int, longest: int) -> DataFrame:
             keys, counts = np.unique(np.concatenate([words.grams(n, seeds)[1] for n in range(1, longest + 1)]), return_counts=True)
             # the upper half of the key times parts, so that a partition is a range of keys
             part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(keys))
+            new = np.concatenate([[True], part[1:] != part[:-1]]) if len(keys) else np.zeros(0, bool)
+            new[::PIECE] = True
+            cut = np.flatnonzero(new)
+            bounds = np.append(cut, len(keys))
             counts = counts.astype(np.uint32)  # a chunk has fewer words than that
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cut].astype(np.int64)), pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], names=["part", "keys", "counts"]
-            )
+            slices = [pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (keys, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int64)), *slices], names=["part", "keys", "counts"])
 
     return texts.mapInArrow(count, "part long, keys binary, counts binary")
 
@@ -154,15 +157,23 @@ def surviving_keys(summaries: DataFrame, counters: int, threshold: int) -> DataF
         def out(summary: Summary):
             return pa.RecordBatch.from_arrays([pa.array(summary.survivors().view(np.int64))], names=["key"])
 
+        def values(column, a: int, b: int, kind) -> np.ndarray:  # noqa: ANN001
+            """Rows a to b of a binary column, which stand one after another."""
+            _, ends, data = column.buffers()
+            ends = np.frombuffer(ends, np.int32)[column.offset :]
+            return np.frombuffer(data, np.uint8)[ends[a] : ends[b]].view(kind)
+
         part, summary = None, None
         for batch in batches:
-            for row, own in enumerate(batch.column(0).to_pylist()):
-                keys, counts = (batch.column(k)[row].as_buffer() for k in (1, 2))
-                if own != part:
+            parts = batch.column(0).to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]]) if len(parts) else []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if parts[a] != part:
                     if summary is not None:
                         yield out(summary)
-                    part, summary = own, Summary(counters, threshold)
-                summary.add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64))
+                    part, summary = parts[a], Summary(counters, threshold)
+                # copies, so that no batch is held for a few of its rows
+                summary.add(values(batch.column(1), a, b, np.uint64).copy(), values(batch.column(2), a, b, np.uint32).astype(np.int64))
         if summary is not None:
             yield out(summary)
 

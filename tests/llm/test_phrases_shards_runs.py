@@ -272,3 +272,18 @@ def test_runs_of_the_given_table(spark, sf, empty):
         assert got.runs_sha256 == hashlib.sha256("".join(f"{s},{l},{q}\n" for s, l, q in runs).encode()).hexdigest()
         assert got.collapsed_sha256 == hashlib.sha256(plain_collapsed(words, runs).encode()).hexdigest()
     assert changed > 5
+
+
+def test_rows_of_summaries_are_small(spark):
+    """A worker holds 10,000 rows at a time, whatever number of partitions the n-grams are cut into."""
+    texts = spark.createDataFrame([(" ".join(f"w{i % 997}x{i % 31}" for i in range(k, k + 4000)), "en") for k in range(3)], "text string, lang string").coalesce(1)
+    rows = phrases.part_summaries(texts, 2, 3).collect()
+    assert max(len(r["keys"]) for r in rows) <= 8 * phrases.PIECE and all(2 * len(r["counts"]) == len(r["keys"]) for r in rows)
+    found = Counter()
+    for r in rows:
+        keys = np.frombuffer(r["keys"], np.uint64)
+        assert (keys >> np.uint64(63) == r["part"]).all()
+        found.update(dict(zip(keys.tolist(), np.frombuffer(r["counts"], np.uint32).tolist())))
+    assert sum(found.values()) == 3 * (4000 + 3999 + 3998)
+    got = phrases.surviving_keys(phrases.part_summaries(texts, 2, 3), 100_000, 10)
+    assert sorted(r.key for r in got.collect()) == sorted(int(np.uint64(k).view(np.int64)) for k, n in found.items() if n >= 10)
