@@ -452,3 +452,34 @@ def test_stacks_on_a_fixed_split(spark):
     found = {r.id: r.yhat for r in ensemble.stack_logistic(stacked.where("id < 60"), one.where("id < 60")).collect()}
     assert {y for i, y in found.items() if i % 3} == {"x"} and not {y for i, y in found.items() if i % 3 == 0} & {"x"}
     assert ensemble.stack_logistic(stacked.limit(0), truth.limit(0)).count() == 0
+
+
+def test_grid_weights_shuffle_counts_only(spark, monkeypatch):
+    """All weightings are tried where an id stands; sums that differ by rounding only are ties, as in SQL."""
+    from convseries.operators import ensemble
+
+    rng = np.random.default_rng(5)
+    soft = [(m, i, c, float(p)) for i in range(60) for m in ("a", "b", "c") for c, p in zip("xyz", rng.dirichlet([1, 1, 1]).round(2)) if i % 7 or m != "b" or c != "y"]
+    soft += [(m, 60, c, p) for m, pair in (("a", (0.1, 0.3)), ("b", (0.2, 0.3)), ("c", (0.3, 0.0))) for c, p in zip("xy", pair)]  # 0.1 + 0.2 + 0.3 against 0.3 + 0.3
+    truth = [(i, "xyz"[int(rng.integers(3))], i % 3) for i in range(61)]
+    dfs = spark.createDataFrame(soft, "model string, id long, cls string, p double"), spark.createDataFrame(truth, "id long, y string, fold int")
+    plans = []
+    monkeypatch.setattr(ensemble, "kept", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), ranking.kept(df))[1])
+    got = {r.id: (r.fold, r.w, round(r.train_accuracy, 9), r.yhat) for r in ensemble.grid_weights(*dfs, ["a", "b", "c"]).collect()}
+    assert len(plans) == 2 and "MapInPandas" in plans[1]
+    weights = [c for c in itertools.product(ensemble.STEPS, repeat=3) if sum(c) > 0]
+    p = {(m, i, c): v for m, i, c, v in soft}
+
+    def label(i, w):
+        own = [c for c in "xyz" if any((m, i, c) in p for m in "abc")]
+        return min(own, key=lambda c: (-round(sum(x * p.get((m, i, c), 0.0) for m, x in zip("abc", w)), 12), c))
+
+    labels = {(i, k): label(i, w) for i, _, _ in truth for k, w in enumerate(weights)}
+    for held in range(3):
+        others = [(i, y) for i, y, f in truth if f != held]
+        right = [sum(labels[i, k] == y for i, y in others) for k in range(len(weights))]
+        k = right.index(max(right))
+        for i, _, f in truth:
+            if f == held:
+                assert got[i] == (f, k, round(right[k] / len(others), 9), labels[i, k])
+    assert ensemble.grid_weights(dfs[0].limit(0), dfs[1], ["a"]).count() == 0
