@@ -18,8 +18,8 @@ from convseries.operators.ranking import kept
 
 #: Rows of each side that a task holds, and the most pivots (their features go to every task; a matrix of their distances stays on the driver).
 ROWS, MOST_PIVOTS = 5_000, 512
-#: Asked rows that are compared at a time.
-STEP = 128
+#: Asked rows that are compared at a time, and rows that meet the pivots at a time.
+STEP, PLACED = 128, 1_000
 #: Rounding of distances, in parts of their size.
 SLACK = 1e-9
 
@@ -56,15 +56,19 @@ def choose_pivots(context: DataFrame, n: int) -> np.ndarray:
     return np.array([r[0] for r in context.orderBy(F.xxhash64("id"), "id").limit(most).select("features").collect()], float)
 
 
+def _parts(batches):  # noqa: ANN001, ANN202
+    """The rows of pandas batches, PLACED at a time, so that a worker holds no more than PLACED x MOST_PIVOTS distances."""
+    return (batch.iloc[at : at + PLACED] for batch in batches for at in range(0, len(batch), PLACED))
+
+
 def with_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """df (..., features) plus cell, the nearest pivot, and reach, the distance to it."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
     def place(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            if len(batch):
-                near, d = nearest(matrix(batch["features"]), shared.value, 1)
-                yield batch.assign(cell=near[:, 0].astype(np.int32), reach=np.sqrt(d[:, 0]))
+        for batch in _parts(batches):
+            near, d = nearest(matrix(batch["features"]), shared.value, 1)
+            yield batch.assign(cell=near[:, 0].astype(np.int32), reach=np.sqrt(d[:, 0]))
 
     return df.mapInPandas(place, T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]))
 
@@ -140,15 +144,15 @@ def near_rows(context: DataFrame, asked: DataFrame, k: int, n_context: int) -> D
 
     def counts(batches):  # noqa: ANN001, ANN202
         total = np.zeros(len(pivots), np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             total += np.bincount(_targets(batch["cell"].to_numpy(), batch["reach"].to_numpy(), *bounds.value)[1], minlength=len(pivots))
         yield pd.DataFrame({"to": np.arange(len(pivots)), "n": total})
 
     def send(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
+        for batch in _parts(batches):
             rows, to = _targets(batch["cell"].to_numpy(), batch["reach"].to_numpy(), *bounds.value)
-            for at in range(0, len(rows), 10_000):
-                yield batch.iloc[rows[at : at + 10_000]].drop(columns=["cell", "reach"]).assign(to=to[at : at + 10_000].astype(np.int32))
+            for at in range(0, len(rows), PLACED):
+                yield batch.iloc[rows[at : at + PLACED]].drop(columns=["cell", "reach"]).assign(to=to[at : at + PLACED].astype(np.int32))
 
     parts = lambda table, key: {r[key]: max(1, -(-r["n"] // ROWS)) for r in table.collect()}  # noqa: E731  a row per pivot
     blocks = parts(context.select("cell", "reach").mapInPandas(counts, "to int, n long").groupBy("to").agg(F.sum("n").alias("n")), "to")
