@@ -483,3 +483,38 @@ def test_grid_weights_shuffle_counts_only(spark, monkeypatch):
             if f == held:
                 assert got[i] == (f, k, round(right[k] / len(others), 9), labels[i, k])
     assert ensemble.grid_weights(dfs[0].limit(0), dfs[1], ["a"]).count() == 0
+
+
+def test_relational_transform_shuffles_points_only(spark):
+    """One exchange, by series; series with missing points and taps outside come out as by sums over rows."""
+    rng = np.random.default_rng(6)
+    x = {i: {t: float(v) for t, v in enumerate(rng.normal(size=12 + i)) if i != 3 or t not in (0, 4, 5)} for i in range(5)}
+    series = spark.createDataFrame([(i, t, v) for i, own in x.items() for t, v in own.items()], "id long, t long, value double").repartition(5)
+    bank = kernels.bank_long(spark.range(6).withColumnRenamed("id", "kernel_id"), 7, 12)
+    taps = ranking.kept(bank)
+    out = transform.conv_features_relational(series, taps)
+    got = {(r.id, r.kernel_id): (r.max, r.ppv) for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len([e for e in re.findall(r"Exchange hashpartitioning\((\w+)", re.sub(r"BroadcastExchange[^+]*", "", plan)) if e.startswith("_id")]) == 1
+    rows = taps.collect()
+    for k in range(6):
+        own = {r.j: r.weight for r in rows if r.kernel_id == k}
+        one = next(r for r in rows if r.kernel_id == k)
+        for i, points in x.items():
+            conv = []
+            for o in range(max(points) + 1 + 2 * one.padding - (one.length - 1) * one.dilation):
+                terms = [w * points[t] for j, w in own.items() if (t := o + j * one.dilation - one.padding) in points]
+                conv += [one.bias + sum(terms)] if terms else []
+            assert got[i, k] == (pytest.approx(max(conv), abs=1e-12), pytest.approx(np.mean([c > 0 for c in conv]))), (i, k)
+
+
+def test_workers_hold_parts_of_batches(spark, monkeypatch):
+    """What leaves a worker is bounded by bytes, whatever the rows of a batch."""
+    monkeypatch.setattr(transform, "FEATURES", 400)
+    wide = transform.conv_features(spark.range(50).select("id", F.array(*[F.sin(F.col("id") * 3 + k) for k in range(20)]).alias("values")).coalesce(1), "values", 20, 7, 0, 20)
+    sizes = wide.mapInArrow(lambda batches: batches, wide.schema).select(F.spark_partition_id(), "id", F.size("features").alias("n")).collect()
+    assert [r.n for r in sizes] == [40] * 50 and [r.id for r in sizes] == list(range(50))
+    import pandas as pd
+
+    parts = list(nearest._parts([pd.DataFrame({"a": range(2 * nearest.PLACED + 1)}), pd.DataFrame({"a": []})]))
+    assert [len(p) for p in parts] == [nearest.PLACED, nearest.PLACED, 1]
