@@ -518,3 +518,15 @@ def test_workers_hold_parts_of_batches(spark, monkeypatch):
 
     parts = list(nearest._parts([pd.DataFrame({"a": range(2 * nearest.PLACED + 1)}), pd.DataFrame({"a": []})]))
     assert [len(p) for p in parts] == [nearest.PLACED, nearest.PLACED, 1]
+
+
+def test_ensemble_scores_where_kernels_run(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], [math.sin((1 + i % 2) * t + i) for t in range(20)]) for i in range(30)], "id long, label string, values array<double>")
+    model = heads.GroupEnsemble(kernels.EnsembleConfig(40, 4, 1, 3)).fit(rows)
+    out = model.group_proba(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "features" not in plan
+    scored = heads.decision_values(model.features(rows.select("id", "values")), model.heads)
+    want = {(r.grp, r.id): r.proba for r in scored.select("grp", "id", heads.softmax_map(F.col("decision"), F.col("classes")).alias("proba")).collect()}
+    got = {(r.grp, r.id): r.proba for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
