@@ -530,3 +530,41 @@ def test_ensemble_scores_where_kernels_run(spark):
     want = {(r.grp, r.id): r.proba for r in scored.select("grp", "id", heads.softmax_map(F.col("decision"), F.col("classes")).alias("proba")).collect()}
     got = {(r.grp, r.id): r.proba for r in out.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def fitted_groups(model, x, y, k, n_ref):
+    """Holds each group's head against one fit in NumPy on the features of all rows."""
+    classes = sorted(set(y) - {None})
+    hot = np.where(np.array(y, object)[:, None] == np.array(classes, object), 1.0, -1.0)
+    found = model.heads.orderBy("grp").collect()
+    assert [r.grp for r in found] == list(range(model.config.n_groups))
+    for r in found:
+        z, mean, scale = heads._scaled(np.vstack(transform.Transformer(k, model.config.seed, r.grp * k, n_ref)(x)))
+        coef, intercept, alpha = heads.fit_ridge(z, hot[:, 1:] if len(classes) == 2 else hot)
+        assert r.classes == classes and r.alpha == pytest.approx(alpha)
+        for a, b in ((r["mean"], mean), (r.scale, scale), (r.coef, coef), (r.intercept, intercept)):
+            assert np.allclose(a, b, atol=1e-8)
+
+
+@pytest.mark.parametrize("points", [1 << 22, 50_000])
+def test_ensemble_is_fitted_from_all_rows(spark, monkeypatch, points):
+    """No row is left out beyond 10,000, in one block of rows or in several."""
+    monkeypatch.setattr(heads, "BLOCK_POINTS", points, raising=False)
+    rng = np.random.default_rng(5)
+    y = ["abc"[i % 3] for i in range(10_400)]
+    x = [(rng.normal(size=12) + np.sin(np.arange(12) * "abc".index(c))).tolist() for c in y]
+    rows = spark.createDataFrame([(i, c, v) for i, (c, v) in enumerate(zip(y, x))], "id long, label string, values array<double>")
+    fitted_groups(heads.GroupEnsemble(kernels.EnsembleConfig(24, 3, 1, 3)).fit(rows), x, y, 8, 12)
+
+
+def test_ensemble_fits_channels_in_many_blocks(spark, monkeypatch):
+    """Blocks of a row or none, whose sums meet in two rounds; two channels; a row without a label."""
+    rng = np.random.default_rng(6)
+    y = ["ab"[i % 2] if i else None for i in range(90)]
+    x = [rng.normal(size=(2, 12 + i % 2)).tolist() for i in range(90)]
+    rows = spark.createDataFrame([(i, c, v) for i, (c, v) in enumerate(zip(y, x))], "id long, label string, values array<array<double>>")
+    few = heads.GroupEnsemble(kernels.EnsembleConfig(12, 2, 1, 3)).fit(rows)
+    fitted_groups(few, x, y, 6, 12)
+    monkeypatch.setattr(heads, "MOST_CONTEXT", 40)
+    monkeypatch.setattr(heads, "BLOCK_POINTS", 30)
+    fitted_groups(heads.GroupEnsemble(kernels.EnsembleConfig(12, 2, 1, 3)).fit(rows), x, y, 6, 12)
